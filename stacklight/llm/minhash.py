@@ -233,7 +233,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", width: int = 5, percent
 
     banded = classes.select("rep", F.posexplode("bands").alias("band", "key"))
     hubs = banded.groupBy("band", "key").agg(F.min("rep").alias("hub"), F.max("rep").alias("last")).where("hub < last").select("band", "key", "hub")
-    ties = banded.join(hubs, ["band", "key"]).where("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct()
+    ties = banded.join(hubs.hint("merge"), ["band", "key"]).where("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct()
     clusters = connected_components(ties)
     members = materialize(classes.select("digest", "rep", "n").join(clusters, classes.rep == clusters.id).select("digest", "rep", "n", F.col("component").alias("cluster")), "minhash-members")
 
@@ -249,7 +249,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", width: int = 5, percent
                 yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in part], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names=["cluster", "rep", "n", "shingles"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), text_bytes(text).alias("text"))
-    sets = lambda who: texts.join(who, "rep").select("cluster", "rep", "digest", "text").mapInArrow(load, "cluster long, rep long, n long, shingles binary")
+    # the members grow with the corpus: merge joins at every size, never a broadcast
+    sets = lambda who: texts.join(who.hint("merge"), "rep").select("cluster", "rep", "digest", "text").mapInArrow(load, "cluster long, rep long, n long, shingles binary")
     large = materialize(members.groupBy("cluster").agg(F.sum("n").alias("n")).where(F.col("n") > cluster_shingles).select("cluster"), "minhash-large")
     if large.isEmpty():
         links = _groups(sets(members), percent)
