@@ -134,7 +134,7 @@ def repeated_spans(docs: DataFrame, text: str = "text", length: int = 400, group
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *cols], names=["doc_id", "uid", "text", "h", "c", "a", "d", "k"])
 
     table = materialize(docs.select(F.col("doc_id").cast("long"), text_bytes(text).alias("text")).mapInArrow(index, "doc_id long, uid long, text binary, h array<long>, c array<long>, a array<long>, d array<int>, k array<int>"), "suffix-index")
-    again = table.select(F.explode("h").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
+    again = materialize(table.select(F.explode("h").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h"), "suffix-again")
     rows = table.select("uid", F.inline(F.arrays_zip("h", "c", "a", "d", "k")))
     rows = materialize(rows.join(again, "h", "left_semi").select("uid", "h", "c", "a", "d", "k"), "suffix-rows")
     kinds = materialize(rows.groupBy("h", "c").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("uid", "a", "d", "k")).alias("at")).select("h", "c", "n", "at.*"), "suffix-contexts")
