@@ -1,6 +1,61 @@
-STAGES = []
+"""A training corpus from raw documents: five of the operators of stacklight.llm, one after another.
+
+Each stage takes (spark, docs, sf_dir), docs being all that its predecessor kept, and returns a DataFrame, which run() writes
+as Parquet and reads again for the next stage. All but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from stacklight.llm import decontaminate, mil, minhash, packing, suffix_dedup
+from stacklight.llm.common import documents, materialize
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops what the classifier rejects (score under 0.5)."""
+    model = mil.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return mil.score(docs, model, keep=COLUMNS).where("score >= 0.5").select("row.*")
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each group of near-duplicates: the one with the smallest id."""
+    kept = minhash.near_duplicates(docs).where("kept").select("doc_id").distinct()
+    return docs.join(kept.hint("merge"), "doc_id", "left_semi").select(COLUMNS)
+
+
+def repeated_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Removes repeated 400-byte strings; a document left empty goes. Bytes of a cut character go with it."""
+    rest = suffix_dedup.remove_repeats(docs, carry=["lang", "source"])
+    kept = rest.where("kept_text <> ''").withColumnRenamed("kept_text", "text")
+    return kept.select("doc_id", "text", "carried.lang", "carried.source", F.char_length("text").cast("long").alias("n_chars"))
+
+
+def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that hold a window of a benchmark item."""
+    found = decontaminate.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    dirty = found.where("contaminated").select("doc_id").distinct()
+    return docs.join(dirty, "doc_id", "left_anti").select(COLUMNS)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sequences of 2048 tokens: a row for each piece of a document, with its token ids."""
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), with_ids=True)
+
+
+STAGES = [("quality classifier", quality), ("near-duplicates", near_duplicates), ("suffix-array dedup", repeated_text), ("decontamination", benchmark_passages), ("packing", pack)]
+#: The classifier is trained and the suffix stage works on bytes; neither has an SQL form.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select(COLUMNS)
+    for i, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = materialize(docs, f"pipeline-{name.replace(' ', '-')}")
+    return docs

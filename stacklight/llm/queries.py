@@ -6,20 +6,28 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, minhash, packing, sharding, suffix_dedup
+from . import ann, chat, decontaminate, mil, minhash, packing, sharding, style_tree, suffix_dedup
 from .common import documents
 
 
+def op1_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return style_tree.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json")).select(*packing.COLUMNS)
 
 
+def op4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), lambda i: i % 100 == 0)
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.remove_repeats(documents(spark, sf_dir)).drop("kept")
+    return suffix_dedup.remove_repeats(documents(spark, sf_dir)).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,5 +45,9 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_turns(rows.unionByName(extra)))
 
 
-QUERIES = {f.__name__: f for f in (op2_packing, op5_decontaminate, op6_suffix_dedup, op7_sharding, op8_minhash, op9_chat_format)}
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mil.quality_scores(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+QUERIES = {f.__name__: f for f in (op1_main_text, op2_packing, op4_nearest, op5_decontaminate, op6_suffix_dedup, op7_sharding, op8_minhash, op9_chat_format, op10_quality)}
 ORACLE_SQL: dict[str, str] = {}

@@ -117,8 +117,9 @@ def ranges(flags: np.ndarray, first: int, count: int) -> list[int]:
     return np.flatnonzero(np.diff(np.concatenate([[False], flags[first : first + count], [False]]).view(np.int8))).tolist()
 
 
-def repeated_spans(docs: DataFrame, text: str = "text", length: int = 400, group_limit: int = GROUP_LIMIT, batch: int = BATCH_CONTEXTS) -> DataFrame:
-    """doc_id, text (binary, zstd), spans (array of start, end; unordered, overlapping; null: none) for each row of docs."""
+def repeated_spans(docs: DataFrame, text: str = "text", length: int = 400, carry: list[str] | None = None, group_limit: int = GROUP_LIMIT, batch: int = BATCH_CONTEXTS) -> DataFrame:
+    """doc_id, text (binary, zstd), spans (array of start, end; unordered, overlapping; null: none), carried (a struct of the
+    columns of `carry`) for each row of docs."""
     span = length - GRAM
 
     def index(batches):
@@ -131,9 +132,10 @@ def repeated_spans(docs: DataFrame, text: str = "text", length: int = 400, group
                 n += 1
             kinds = [pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32())]
             cols = [pa.array([o[i] for o in out], k) for i, k in enumerate(kinds)]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *cols], names=["doc_id", "uid", "text", "h", "c", "a", "d", "k"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("carried"), *cols], names=["doc_id", "carried", "uid", "text", "h", "c", "a", "d", "k"])
 
-    table = materialize(docs.select(F.col("doc_id").cast("long"), text_bytes(text).alias("text")).mapInArrow(index, "doc_id long, uid long, text binary, h array<long>, c array<long>, a array<long>, d array<int>, k array<int>"), "suffix-index")
+    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.struct(*carry or [F.lit(0).alias("none")]).alias("carried"), text_bytes(text).alias("text"))
+    table = materialize(given.mapInArrow(index, f"doc_id long, carried {given.schema['carried'].dataType.simpleString()}, uid long, text binary, h array<long>, c array<long>, a array<long>, d array<int>, k array<int>"), "suffix-index")
     again = materialize(table.select(F.explode("h").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h"), "suffix-again")
     rows = table.select("uid", F.inline(F.arrays_zip("h", "c", "a", "d", "k")))
     rows = materialize(rows.join(again, "h", "left_semi").select("uid", "h", "c", "a", "d", "k"), "suffix-rows")
@@ -187,7 +189,7 @@ def repeated_spans(docs: DataFrame, text: str = "text", length: int = 400, group
     verdicts = materialize(verdicts, "suffix-verdicts")
     spans = rows.select("uid", "h", "c", "a").join(verdicts, ["h", "c"]).select("uid", F.expr(f"transform(sequence(0, size(runs) - 1, 2), i -> struct(a + runs[i] as start, a + runs[i + 1] + {length - 1} as end))").alias("spans"))
     spans = spans.groupBy("uid").agg(F.flatten(F.collect_list("spans")).alias("spans"))
-    return table.select("uid", "doc_id", "text").join(spans, "uid", "left").select("doc_id", "text", "spans")
+    return table.select("uid", "doc_id", "carried", "text").join(spans, "uid", "left").select("doc_id", "carried", "text", "spans")
 
 
 def _by_digest(held: DataFrame, length: int, schema: str) -> DataFrame:
@@ -205,8 +207,9 @@ def _by_digest(held: DataFrame, length: int, schema: str) -> DataFrame:
     return hit.select("h", "c", F.flatten(F.transform("i", lambda i: F.array(i, i + 1))).alias("runs"))
 
 
-def remove_repeats(docs: DataFrame, text: str = "text", length: int = 400, **options) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept (the remaining bytes), kept_sha256 for each row of docs(doc_id, text)."""
+def remove_repeats(docs: DataFrame, text: str = "text", length: int = 400, carry: list[str] | None = None, **options) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept (the remaining bytes), kept_text (without the bytes of cut characters),
+    kept_sha256, carried (a struct of the columns of `carry`) for each row of docs(doc_id, text)."""
 
     def cut(batches):
         unpack = zstandard.ZstdDecompressor()
@@ -222,8 +225,10 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: int = 400, **opt
                         merged.append(list(s))
                 edges = [0, *(e for s in merged for e in s), len(t)]
                 kept = b"".join(t[a:z] for a, z in zip(edges[::2], edges[1::2], strict=True))
-                out.append((doc, len(t), len(t) - len(kept), len(merged), kept, hashlib.sha256(kept).hexdigest()))
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate(kinds)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"])
+                whole = "".join(t[a:z].decode("utf-8", "ignore") for a, z in zip(edges[::2], edges[1::2], strict=True))
+                out.append((doc, len(t), len(t) - len(kept), len(merged), kept, whole, hashlib.sha256(kept).hexdigest()))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string(), pa.string())
+            yield pa.RecordBatch.from_arrays([*(pa.array([o[i] for o in out], t) for i, t in enumerate(kinds)), b.column("carried")], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "kept_text", "kept_sha256", "carried"])
 
-    return repeated_spans(docs, text, length, **options).mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")
+    spans = repeated_spans(docs, text, length, carry, **options)
+    return spans.mapInArrow(cut, f"doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_text string, kept_sha256 string, carried {spans.schema['carried'].dataType.simpleString()}")
