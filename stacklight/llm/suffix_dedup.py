@@ -8,7 +8,7 @@ So that no text meets the whole corpus, the strings are first dealt to groups in
 1. The anchor of a string is the first of its 64-byte grams with the least hash. Equal strings have equal anchors at equal
    places. Runs of neighbouring strings share an anchor; such a run, the bytes that it covers, is a context.
 2. Contexts whose anchor occurs once hold no repeats. Equal contexts (128 bits over anchor and content) are one row with a
-   count; with two or more, all their strings repeat.
+   count (summed within each text first, so that a periodic text costs one row); with two or more, all their strings repeat.
 3. Where an anchor has different contexts, one text of each is fetched, and the contexts, aligned at the anchor, go through
    the construction: a round takes the column of symbols before the current suffixes (the BWT column), reorders the suffixes
    stably by it, and renews the common prefixes from range minima of the last round's. Rounds: one for each aligned column.
@@ -80,6 +80,18 @@ def contexts(text: bytes, length: int, gram: int = GRAM, piece: int = PIECE) ->
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
+def offsets(counts) -> pa.Array:
+    return pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
+
+
+def distinct(h, c, a, d, k) -> tuple[np.ndarray, ...]:
+    """A text's different contexts: h, c, d, k, how often each occurs, and the starts of all, one context after another."""
+    by = np.lexsort((a, c, h))
+    h, c = h[by], c[by]
+    first = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (c[1:] != c[:-1])])) if len(h) else np.zeros(0, np.int64)
+    return h[first], c[first], d[by][first], k[by][first], np.diff(np.append(first, len(h))), a[by]
+
+
 def repeated(rows: list[tuple[int, int, int, int, bytes]], length: int, gram: int = GRAM) -> np.ndarray:
     """rows: (group, copies, distance of the anchor, strings, context), a group's rows together. Which strings, by their start
     column (string 0 is column span - distance), repeat inside their group: a boolean matrix."""
@@ -125,21 +137,24 @@ def repeated_spans(docs: DataFrame, text: str = "text", length: int = 400, carry
     def index(batches):
         part, n, pack = TaskContext.get().partitionId(), 0, zstandard.ZstdCompressor(level=3)
         for b in batches:
-            out = []
+            uid, texts, found = [], [], []
             for t in b.column("text").to_pylist():
-                h, c, a, d, k = contexts(t, length)
-                out.append(((part << 36) + n, pack.compress(t), h.view(np.int64), c.view(np.int64), a, d, k))
+                found.append(distinct(*contexts(t, length)))
+                uid.append((part << 36) + n)
+                texts.append(pack.compress(t))
                 n += 1
-            kinds = [pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32())]
-            cols = [pa.array([o[i] for o in out], k) for i, k in enumerate(kinds)]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("carried"), *cols], names=["doc_id", "carried", "uid", "text", "h", "c", "a", "d", "k"])
+            outer = offsets([len(x[0]) for x in found])
+            h, c, d, k, m, a = (np.concatenate(x) for x in zip(*found, strict=True)) if found else [np.zeros(0, np.int64)] * 6
+            starts = pa.ListArray.from_arrays(offsets(m), pa.array(a, pa.int64()))
+            lists = [pa.ListArray.from_arrays(outer, x) for x in (pa.array(h.view(np.int64)), pa.array(c.view(np.int64)), pa.array(d, pa.int32()), pa.array(k, pa.int32()), pa.array(m, pa.int32()), starts)]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("carried"), pa.array(uid, pa.int64()), pa.array(texts, pa.binary()), *lists], names=["doc_id", "carried", "uid", "text", "h", "c", "d", "k", "m", "a"])
 
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.struct(*carry or [F.lit(0).alias("none")]).alias("carried"), text_bytes(text).alias("text"))
-    table = materialize(given.mapInArrow(index, f"doc_id long, carried {given.schema['carried'].dataType.simpleString()}, uid long, text binary, h array<long>, c array<long>, a array<long>, d array<int>, k array<int>"), "suffix-index")
-    again = materialize(table.select(F.explode("h").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h"), "suffix-again")
-    rows = table.select("uid", F.inline(F.arrays_zip("h", "c", "a", "d", "k")))
-    rows = materialize(rows.join(again, "h", "left_semi").select("uid", "h", "c", "a", "d", "k"), "suffix-rows")
-    kinds = materialize(rows.groupBy("h", "c").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("uid", "a", "d", "k")).alias("at")).select("h", "c", "n", "at.*"), "suffix-contexts")
+    table = materialize(given.mapInArrow(index, f"doc_id long, carried {given.schema['carried'].dataType.simpleString()}, uid long, text binary, h array<long>, c array<long>, d array<int>, k array<int>, m array<int>, a array<array<long>>"), "suffix-index")
+    again = materialize(table.select(F.inline(F.arrays_zip("h", "m"))).groupBy("h").agg(F.sum("m").alias("n")).where("n > 1").select("h"), "suffix-again")
+    rows = table.select("uid", F.inline(F.arrays_zip("h", "c", "d", "k", "m", "a")))
+    rows = materialize(rows.join(again, "h", "left_semi").select("uid", "h", "c", "d", "k", "m", "a"), "suffix-rows")
+    kinds = materialize(rows.groupBy("h", "c").agg(F.sum("m").alias("n"), F.min(F.struct("uid", F.col("a")[0].alias("a"), "d", "k")).alias("at")).select("h", "c", "n", "at.*"), "suffix-contexts")
     mixed = materialize(kinds.groupBy("h").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1"), "suffix-mixed")
     plain = kinds.where("n > 1").join(mixed.select("h"), "h", "left_anti").select("h", "c", F.array(F.lit(0), F.col("k")).alias("runs"))
 
@@ -187,7 +202,7 @@ def repeated_spans(docs: DataFrame, text: str = "text", length: int = 400, carry
     if large is not None:
         verdicts = verdicts.union(_by_digest(large, length, runs_schema))
     verdicts = materialize(verdicts, "suffix-verdicts")
-    spans = rows.select("uid", "h", "c", "a").join(verdicts, ["h", "c"]).select("uid", F.expr(f"transform(sequence(0, size(runs) - 1, 2), i -> struct(a + runs[i] as start, a + runs[i + 1] + {length - 1} as end))").alias("spans"))
+    spans = rows.select("uid", "h", "c", "a").join(verdicts, ["h", "c"]).select("uid", F.expr(f"flatten(transform(a, x -> transform(sequence(0, size(runs) - 1, 2), i -> struct(x + runs[i] as start, x + runs[i + 1] + {length - 1} as end))))").alias("spans"))
     spans = spans.groupBy("uid").agg(F.flatten(F.collect_list("spans")).alias("spans"))
     return table.select("uid", "doc_id", "carried", "text").join(spans, "uid", "left").select("doc_id", "carried", "text", "spans")
 
