@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .state import checkpoint
+
 FACTORISER_VERSION = 1
 
 
@@ -23,11 +25,14 @@ def confidence(n_loans: Column, n_renewals: Column, base=1.0, loan=1.0, renewal=
 def k_core(rows: DataFrame, min_works: int = 2, min_patrons: int = 2, rounds: int = 5) -> DataFrame:
     """Interactions of patrons with min_works works and works with min_patrons patrons: rarely borrowed works go, then patrons,
     at most `rounds` times. Counts are combined before the shuffle, so a work that everybody borrows is one row."""
+    rows = checkpoint(rows)
     for _ in range(rounds):
         works = rows.groupBy("work_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_patrons).select("work_id")
         rows = rows.join(works, "work_id", "left_semi")
         patrons = rows.groupBy("patron_ref").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_works).select("patron_ref")
-        rows = rows.join(patrons, "patron_ref", "left_semi")
+        before, rows = rows, checkpoint(rows.join(patrons, "patron_ref", "left_semi"))
+        if rows.count() == before.count():  # settled: further rounds would drop nothing
+            break
     return rows
 
 

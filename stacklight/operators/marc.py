@@ -59,7 +59,11 @@ def translate_vendor(xml: Column) -> Column:
 def fields(rec: Column, *tags: str) -> Column:
     """The data fields of the tags, one tag after another, in document order within a tag."""
     data = F.coalesce(rec["datafield"], F.array().cast("array<struct<_tag:string,_ind1:string,_ind2:string,subfield:array<struct<_code:string,_VALUE:string>>>>"))
-    return F.flatten(F.array(*[F.filter(data, lambda f, t=t: f["_tag"] == t) for t in tags]))
+
+    def of(tag):
+        return F.filter(data, lambda f: f["_tag"] == tag)
+
+    return F.flatten(F.array(*[of(t) for t in tags]))
 
 
 def values(field: Column, codes: str) -> Column:
@@ -103,7 +107,7 @@ def items(rec: Column, m: FieldMap) -> Column:
     """An array of item structs; the last of a repeated code counts."""
 
     def one(f):
-        last = lambda code: F.element_at(F.array_append(F.array(F.lit(None).cast("string")), F.lit("")), 1) if code is None else F.try_element_at(values(f, code), F.lit(-1))
+        last = lambda code: F.try_element_at(values(f, code), F.lit(-1))
         code = {name: c for c, name in m.item_codes.items()}
         cols = [F.coalesce(last(code[n]), F.lit("")).alias(n) for n in ("barcode", "owning_branch", "holding_branch", "location", "call_number", "item_type")]
         due = last(code["due_date"]).try_cast("date") if "due_date" in code else F.lit(None).cast("date")

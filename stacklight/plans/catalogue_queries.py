@@ -1,4 +1,455 @@
-"""Registered queries over the catalogue operators."""
+"""Registered queries over the catalogue operators, and the same in DuckDB SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import hashing
+from ..functions import text as T
+from ..operators import catalog, interactions, marc, merge, rank, search, vectors
+from . import adapters as A
 
 QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def put(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return put
+
+
+# vectors -----------------------------------------------------------------------------------------------------------
+
+
+def _probes(spark, sf_dir):
+    """The stated probes: every tenth work."""
+    e = A.embeddings(spark, sf_dir).where("work_id % 10 = 0")
+    return e.select(F.col("work_id").alias("probe"), F.col("vector").alias("probe_vector"), F.col("source_id").alias("probe_source"))
+
+
+def _rounded(df: DataFrame, *names: str) -> DataFrame:
+    return df.withColumns({n: F.round(n, 6) for n in names})
+
+
+_SCORED = "scored AS (SELECT probe, work_id, source_id, list_dot_product(vector, probe_vector) AS score, is_title_only FROM emb, probes WHERE work_id <> probe{mask}), ranked AS (SELECT *, row_number() OVER (PARTITION BY probe ORDER BY score DESC, work_id) AS rank FROM scored) "
+
+
+@query(A.with_("emb", "probes").rstrip() + ", " + _SCORED.format(mask=" AND source_id = probe_source") + "SELECT probe, work_id, source_id, round(score, 6) AS score, rank FROM ranked WHERE rank <= 10")
+def similar_content(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(vectors.top_k(vectors.score(_probes(spark, sf_dir), A.embeddings(spark, sf_dir)), 10), "score")
+
+
+@query(A.with_("emb", "probes").rstrip() + ", " + _SCORED.format(mask=" AND NOT is_title_only") + "SELECT probe, work_id, source_id, round(score, 6) AS score, rank FROM ranked WHERE rank <= 10")
+def similar_cross_source(spark, sf_dir):
+    return _rounded(vectors.top_k(vectors.score(_probes(spark, sf_dir), A.embeddings(spark, sf_dir), cross_source=True, exclude_title_only=True), 10), "score")
+
+
+_RERANK = (
+    A.with_("emb", "probes", "fac").rstrip()
+    + ", "
+    + _SCORED.format(mask=" AND source_id = probe_source").rstrip()
+    + ", pool AS (SELECT r.probe, r.work_id, r.score AS content_score, f.factors, f.n_patrons, q.factors AS pf, q.n_patrons AS pn FROM ranked r LEFT JOIN fac f ON f.work_id = r.work_id LEFT JOIN fac q ON q.work_id = r.probe WHERE rank <= 50), "
+    "owned AS (SELECT *, CASE WHEN factors IS NOT NULL AND n_patrons >= {floor} AND pf IS NOT NULL AND pn >= {floor} THEN list_dot_product(factors, pf) END AS own FROM pool), "
+    "counted AS (SELECT *, count(own) OVER (PARTITION BY probe) AS n_scored, quantile_cont(own, 0.5) OVER (PARTITION BY probe) AS fallback FROM owned), "
+    "blended AS (SELECT *, CASE WHEN n_scored >= 3 THEN (0.7 * content_score + 0.3 * coalesce(own, fallback)) / (0.7 + 0.3) ELSE content_score END AS score FROM counted), "
+    "placed AS (SELECT *, row_number() OVER (PARTITION BY probe ORDER BY score DESC, content_score DESC, work_id) AS rank FROM blended) "
+)
+_RERANK_OUT = "SELECT probe, work_id, round(content_score, 6) AS content_score, round(score, 6) AS score, CASE WHEN n_scored >= 3 THEN round(own, 6) END AS collaborative_score, CASE WHEN n_scored >= 3 AND own IS NOT NULL THEN 'hybrid' ELSE 'content' END AS signal, rank FROM placed WHERE rank <= 10"
+
+
+def _reranked(spark, sf_dir, weights):
+    pool = vectors.top_k(vectors.score(_probes(spark, sf_dir), A.embeddings(spark, sf_dir)), weights.pool)
+    fac = A.factors(spark, sf_dir)
+    candidates = pool.join(fac, "work_id", "left").select("probe", "work_id", F.col("score").alias("content_score"), "factors", "n_patrons")
+    own = fac.where("work_id % 10 = 0").select(F.col("work_id").alias("probe"), F.col("factors").alias("probe_vector"), F.col("n_patrons").alias("probe_patrons"))
+    return rank.rerank(candidates, own, weights)
+
+
+@query(_RERANK.replace("{floor}", "3") + _RERANK_OUT)
+def similar_hybrid(spark, sf_dir):
+    return _rounded(_reranked(spark, sf_dir, rank.Weights()), "content_score", "score", "collaborative_score")
+
+
+@query(_RERANK.replace("{floor}", "7") + _RERANK_OUT)
+def similar_abstain(spark, sf_dir):
+    """No work has seven patrons behind it: content order stands."""
+    return _rounded(_reranked(spark, sf_dir, rank.Weights(min_patrons=7)), "content_score", "score", "collaborative_score")
+
+
+@query(_RERANK.replace("{floor}", "3") + "SELECT probe, count(*) FILTER (WHERE signal = 'hybrid') AS hybrid_count, bool_or(score <> content_score) AS collaborative_applied, bool_and(signal = 'hybrid') AS borrowed FROM (SELECT *, CASE WHEN n_scored >= 3 AND own IS NOT NULL THEN 'hybrid' ELSE 'content' END AS signal FROM placed WHERE rank <= 10) GROUP BY probe")
+def borrowed_heading(spark, sf_dir):
+    return rank.borrowed_heading(_reranked(spark, sf_dir, rank.Weights()))
+
+
+_SEMANTIC = A.with_("emb", "probes").rstrip() + ", " + _SCORED.format(mask="").rstrip() + ", best AS (SELECT probe, work_id, score, rank, work_id % 64 AS key FROM ranked WHERE rank <= 40 AND score >= 0.1), kept AS (SELECT probe, work_id, score, key FROM (SELECT *, row_number() OVER (PARTITION BY probe, key ORDER BY rank) AS e FROM best) WHERE e = 1), out AS (SELECT *, row_number() OVER (PARTITION BY probe ORDER BY score DESC, work_id) AS rank FROM kept) "
+
+
+@query(_SEMANTIC + "SELECT probe, work_id, key, round(score, 6) AS score, rank FROM out WHERE rank <= 10")
+def semantic_topk_floor(spark, sf_dir):
+    keys = A.embeddings(spark, sf_dir).select("work_id", (F.col("work_id") % 64).alias("key"))
+    out = vectors.semantic_search(_probes(spark, sf_dir), A.embeddings(spark, sf_dir), keys, min_score=0.1, cross_source=True)
+    return _rounded(out.select("probe", "work_id", "key", "score", "rank"), "score")
+
+
+@query(_SEMANTIC + "SELECT probe, work_id, round(score, 6) AS score FROM out WHERE rank <= 10 AND work_id % 5 <> 0")
+def already_shown_anti(spark, sf_dir):
+    shown = A.embeddings(spark, sf_dir).where("work_id % 5 = 0").select("work_id")
+    return catalog.already_shown(semantic_topk_floor(spark, sf_dir), shown).select("probe", "work_id", "score")
+
+
+@query(A.with_("emb") + "SELECT work_id, round(list_sum(list_transform(vector, lambda x: x * x)), 6) AS norm2 FROM emb")
+def vector_normalize(spark, sf_dir):
+    e = A.embeddings(spark, sf_dir).withColumn("vector", vectors.normalize(F.col("vector")))
+    return e.select("work_id", F.round(vectors.dot(F.col("vector"), F.col("vector")), 6).alias("norm2"))
+
+
+# catalogue ---------------------------------------------------------------------------------------------------------
+
+_SUMMARY = A.with_("sources", "live", "items") + "SELECT w.id, source_id, s.name AS source_name, source_record_id, split_part(source_record_id, ':', -1) AS biblionumber, title, publisher, coalesce(n, 0) AS copies_total, coalesce(a, 0) AS copies_available, coalesce(last_had_items, true) OR coalesce(n, 0) > 0 AS has_holdings FROM live w LEFT JOIN (SELECT work_id, count(*) AS n, count(*) FILTER (WHERE due_date IS NULL) AS a FROM items GROUP BY 1) i ON i.work_id = w.id JOIN sources s ON s.id = source_id"
+
+
+@query(_SUMMARY)
+def work_summary(spark, sf_dir):
+    return catalog.work_summary(A.works(spark, sf_dir), A.items(spark, sf_dir), A.sources(spark, sf_dir))
+
+
+@query(A.with_("live") + ", wanted AS (SELECT DISTINCT CASE WHEN p_partkey % 2 = 0 THEN CAST(p_partkey AS VARCHAR) ELSE 'KOHA-' || p_brand || ':' || p_partkey END AS query FROM part WHERE p_partkey % 5 = 0) SELECT query, min(id) AS id FROM wanted JOIN live ON query = source_record_id OR (regexp_full_match(query, '[0-9]+') AND ends_with(source_record_id, ':' || query)) GROUP BY query HAVING count(*) = 1")
+def record_id_lookup(spark, sf_dir):
+    p = A.table(spark, sf_dir, "part").where("p_partkey % 5 = 0")
+    key = F.col("p_partkey").cast("string")
+    wanted = p.select(F.when(F.col("p_partkey") % 2 == 0, key).otherwise(F.concat(F.lit("KOHA-"), "p_brand", F.lit(":"), key)).alias("query")).distinct()
+    return catalog.by_record_id(A.works(spark, sf_dir), wanted)
+
+
+@query(A.with_("sources", "live") + "SELECT s.id, any_value(s.name) AS name, count(DISTINCT w.id) AS works, count(DISTINCT e.vec_id) AS embedded, count(DISTINCT CASE WHEN e.vec_id % 4 <> 0 THEN e.vec_id END) AS factorised FROM sources s LEFT JOIN live w ON w.source_id = s.id LEFT JOIN embeddings e ON e.vec_id = w.id GROUP BY s.id")
+def source_coverage(spark, sf_dir):
+    return catalog.source_breakdown(A.sources(spark, sf_dir), A.works(spark, sf_dir), A.embeddings(spark, sf_dir), A.factors(spark, sf_dir))
+
+
+@query(A.with_("live", "items", "emb", "fac") + "SELECT (SELECT count(*) FROM live) AS works, (SELECT count(*) FROM items) AS items, (SELECT count(*) FROM emb) AS embeddings, (SELECT count(*) FROM fac) AS factors, (SELECT count(*) FROM live) - (SELECT count(*) FROM emb) AS unembedded")
+def health(spark, sf_dir):
+    return catalog.health(A.works(spark, sf_dir), A.items(spark, sf_dir), A.embeddings(spark, sf_dir), A.factors(spark, sf_dir))
+
+
+@query(A.with_("live") + "SELECT lower(title) AS title_key, count(*) AS n FROM live GROUP BY 1 HAVING count(*) > 1")
+def duplicate_titles(spark, sf_dir):
+    return catalog.duplicate_titles(A.works(spark, sf_dir))
+
+
+@query(A.with_("live") + "SELECT topic, count(*) AS n FROM (SELECT unnest(subjects) AS topic FROM live) WHERE length(topic) BETWEEN 4 AND 40 GROUP BY 1 HAVING count(*) BETWEEN 8 AND 400")
+def topic_counts(spark, sf_dir):
+    return catalog.topic_counts(A.works(spark, sf_dir))
+
+
+@query(A.with_("live") + "SELECT w.id, w.source_id, w.content_hash FROM live w LEFT JOIN embeddings e ON e.vec_id = w.id WHERE e.vec_id IS NULL OR e.vec_id % 5 = 0 OR e.vec_id % 7 = 0 OR e.vec_id % 11 = 0")
+def stale_works(spark, sf_dir):
+    w = A.works(spark, sf_dir)
+    e = A.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.when(F.col("vec_id") % 7 == 0, "old").otherwise("m").alias("model"), F.when(F.col("vec_id") % 11 == 0, 1).otherwise(2).alias("embedder_version"))
+    e = e.join(w.select("id", "content_hash"), "id").select(F.col("id").alias("work_id"), F.when(F.col("id") % 5 == 0, "changed").otherwise(F.col("content_hash")).alias("source_hash"), "model", "embedder_version")
+    return catalog.stale_works(w, e, "m", 2)
+
+
+@query("SELECT event_type AS kind, count(*) AS queries, count(*) FILTER (WHERE user_id % 3 = 0) AS zero_results, count(*) FILTER (WHERE user_id % 3 = 0 AND value > 10) AS rescued, round(CASE WHEN count(*) FILTER (WHERE user_id % 3 = 0) > 0 THEN 100.0 * count(*) FILTER (WHERE user_id % 3 = 0 AND value > 10) / count(*) FILTER (WHERE user_id % 3 = 0) END, 4) AS rate FROM events GROUP BY 1")
+def rescue_rate(spark, sf_dir):
+    runs = A.table(spark, sf_dir, "events").select(F.col("event_type").alias("kind"), (F.col("user_id") % 3).alias("exact_hits"), (F.col("value") > 10).cast("int").alias("rescued_hits"))
+    return catalog.rescue_rate(runs)
+
+
+# interactions ------------------------------------------------------------------------------------------------------
+
+
+@query(A.with_("interactions") + "SELECT * FROM interactions")
+def interactions_by_pair(spark, sf_dir):
+    return interactions.interactions(A.loans(spark, sf_dir))
+
+
+@query(A.with_("interactions") + "SELECT patron_ref, work_id, CAST(least(greatest(1 + n_loans + 2 * n_renewals + 4 * greatest(n_loans - 1, 0), 1), 40) AS DOUBLE) AS confidence FROM interactions")
+def confidence(spark, sf_dir):
+    rows = interactions.interactions(A.loans(spark, sf_dir))
+    return rows.select("patron_ref", "work_id", interactions.confidence(F.col("n_loans"), F.col("n_renewals")).alias("confidence"))
+
+
+def _core_sql(works_floor: int, patrons_floor: int) -> str:
+    steps, last = [], "purchases"
+    for i in range(5):
+        steps.append(f"w{i} AS (SELECT * FROM {last} WHERE work_id IN (SELECT work_id FROM {last} GROUP BY 1 HAVING count(*) >= {patrons_floor}))")
+        steps.append(f"p{i} AS (SELECT * FROM w{i} WHERE patron_ref IN (SELECT patron_ref FROM w{i} GROUP BY 1 HAVING count(*) >= {works_floor}))")
+        last = f"p{i}"
+    return A.with_("purchases").rstrip() + ", " + ", ".join(steps) + f" SELECT * FROM {last}"
+
+
+@query(_core_sql(10, 12))
+def kcore(spark, sf_dir):
+    return interactions.k_core(interactions.interactions(A.events_loans(spark, sf_dir)), 10, 12)
+
+
+@query(A.with_("interactions") + "SELECT count(*) AS n_interactions, count(DISTINCT patron_ref) AS n_patrons, count(DISTINCT work_id) AS n_works, round(100.0 * count(*) / (count(DISTINCT patron_ref) * count(DISTINCT work_id)), 6) AS density, CAST(greatest(16, least(128, count(*) // (4 * (count(DISTINCT patron_ref) + count(DISTINCT work_id))))) AS INT) AS factors FROM interactions")
+def training_stats(spark, sf_dir):
+    s = interactions.training_stats(interactions.interactions(A.loans(spark, sf_dir)))
+    return _rounded(s.withColumn("factors", interactions.choose_factors(F.col("n_patrons"), F.col("n_works"), F.col("n_interactions"))), "density")
+
+
+@query("SELECT o_custkey AS work_id, dense_rank() OVER (ORDER BY o_custkey) - 1 AS work_id_idx FROM (SELECT DISTINCT o_custkey FROM orders)")
+def matrix_index(spark, sf_dir):
+    return interactions.index(A.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("work_id")), "work_id")
+
+
+@query(A.with_("interactions") + "SELECT work_id, count(*) AS n_patrons FROM interactions GROUP BY 1")
+def n_patrons(spark, sf_dir):
+    return interactions.patrons_per_work(interactions.interactions(A.loans(spark, sf_dir)))
+
+
+def _als(spark, sf_dir):
+    rows = interactions.interactions(A.events_loans(spark, sf_dir))
+    return rows, interactions.fit_als(rows, 16, iterations=5)
+
+
+@query()
+def als_factors(spark, sf_dir):
+    return _als(spark, sf_dir)[1]
+
+
+@query()
+def fold_in(spark, sf_dir):
+    rows, factors = _als(spark, sf_dir)
+    return interactions.fold_in(rows, factors)
+
+
+@query()
+def folded_rank(spark, sf_dir):
+    rows, factors = _als(spark, sf_dir)
+    some = rows.where("cast(patron_ref as long) % 20 = 0")  # the stated probes
+    return interactions.folded_ranking(interactions.fold_in(some, factors), factors, some)
+
+
+# merges ------------------------------------------------------------------------------------------------------------
+
+
+def _works_state(spark, sf_dir):
+    w = A.table(spark, sf_dir, "part")
+    base = w.select((F.col("p_size") % 5).alias("source_id"), F.col("p_partkey").cast("string").alias("source_record_id"), F.col("p_name").alias("title"), F.sha2("p_name", 256).alias("content_hash"), F.col("p_brand").alias("items_hash"), F.lit(False).alias("deleted"), F.col("p_partkey").alias("k"))
+    batch = base.where("k % 2 = 0").withColumns({"title": F.when(F.col("k") % 3 == 0, F.concat("title", F.lit("!"))).otherwise(F.col("title")), "content_hash": F.when(F.col("k") % 3 == 0, F.lit("new")).otherwise(F.col("content_hash")), "items_hash": F.when(F.col("k") % 5 == 0, F.lit("i")).otherwise(F.col("items_hash")), "deleted": F.col("k") % 7 == 0})
+    target = base.where("k % 4 <> 2").withColumn("deleted", F.col("k") % 13 == 0)
+    return target.drop("k"), batch.drop("k")
+
+
+_MERGE = """WITH base AS (SELECT p_size % 5 AS source_id, CAST(p_partkey AS VARCHAR) AS source_record_id, p_name AS title, sha256(p_name) AS content_hash, p_brand AS items_hash, p_partkey AS k FROM part),
+j AS (SELECT *, k % 4 <> 2 AS stored, k % 2 = 0 AS arrived, k % 3 = 0 AS changed, k % 7 = 0 AS gone, k % 13 = 0 AS was_gone, CASE WHEN k % 5 = 0 THEN 'i' ELSE items_hash END AS new_items FROM base WHERE k % 4 <> 2 OR k % 2 = 0),
+a AS (SELECT *, CASE WHEN NOT arrived THEN 'kept' WHEN gone AND stored THEN 'deleted' WHEN gone THEN 'ignored' WHEN NOT stored THEN 'inserted' WHEN NOT changed THEN 'unchanged' ELSE 'updated' END AS action FROM j),
+merged AS (SELECT source_id, source_record_id, CASE WHEN action IN ('inserted', 'updated') AND changed THEN title || '!' ELSE title END AS title, CASE WHEN action IN ('inserted', 'updated') AND changed THEN 'new' ELSE content_hash END AS content_hash, CASE WHEN action IN ('inserted', 'updated', 'unchanged') THEN new_items ELSE items_hash END AS items_hash, CASE WHEN action = 'deleted' THEN true WHEN action = 'kept' THEN was_gone ELSE false END AS deleted, action, action IN ('inserted', 'updated') OR (action = 'unchanged' AND items_hash <> new_items) AS items_changed FROM a WHERE action <> 'ignored') """
+
+
+@query(_MERGE + "SELECT * FROM merged")
+def upsert_works(spark, sf_dir):
+    return merge.merge_works(*_works_state(spark, sf_dir))
+
+
+@query(_MERGE + "SELECT action, count(*) AS n, count(*) FILTER (WHERE items_changed) AS items_refreshed FROM merged GROUP BY 1")
+def upsert_counters(spark, sf_dir):
+    return upsert_works(spark, sf_dir).groupBy("action").agg(F.count(F.lit(1)).alias("n"), F.count_if("items_changed").alias("items_refreshed"))
+
+
+@query(_MERGE + "SELECT source_id, source_record_id FROM merged WHERE deleted")
+def tombstones(spark, sf_dir):
+    return upsert_works(spark, sf_dir).where("deleted").select("source_id", "source_record_id")
+
+
+@query("SELECT l_partkey AS work_id, l_suppkey AS owning_branch FROM lineitem WHERE l_partkey % 3 <> 0 UNION ALL SELECT ps AS work_id, sup AS owning_branch FROM (SELECT DISTINCT l_partkey AS ps, l_suppkey AS sup FROM lineitem WHERE l_partkey % 3 = 0 AND (l_partkey % 6 = 0 OR l_partkey % 5 = 1))")
+def replace_items(spark, sf_dir):
+    i = A.items(spark, sf_dir).select("work_id", "owning_branch")
+    return merge.replace_items(i, i.where("work_id % 3 = 0").select("work_id"), i.where("work_id % 6 = 0 or work_id % 5 = 1").distinct())
+
+
+@query("SELECT CAST(1 AS INT) AS source_id, o_orderkey AS source_loan_id, o_custkey AS work_id, CAST(o_custkey AS VARCHAR) AS patron_ref, o_orderdate AS checked_out_at, CASE WHEN o_orderkey % 3 = 0 THEN o_orderdate + INTERVAL 7 DAY END AS checked_in_at, CASE WHEN o_orderkey % 3 = 0 THEN 1 ELSE 0 END AS renewals, CASE WHEN o_orderkey % 2 = 1 THEN 'inserted' WHEN o_orderkey % 3 = 0 THEN 'updated' ELSE 'kept' END AS action FROM orders WHERE o_orderkey % 2 = 0 OR o_orderkey % 3 = 0")
+def upsert_loans(spark, sf_dir):
+    o = A.table(spark, sf_dir, "orders").select(F.lit(1).alias("source_id"), F.col("o_orderkey").alias("source_loan_id"), F.col("o_custkey").alias("work_id"), F.col("o_custkey").cast("string").alias("patron_ref"), F.col("o_orderdate").alias("checked_out_at"))
+    target = o.where("source_loan_id % 2 = 0").select("*", F.lit(None).cast("timestamp").alias("checked_in_at"), F.lit(0).alias("renewals"))
+    batch = o.where("source_loan_id % 3 = 0").select("*", F.expr("checked_out_at + interval 7 day").alias("checked_in_at"), F.lit(1).alias("renewals"))
+    late = batch.withColumn("work_id", F.when(F.col("source_loan_id") % 2 == 0, -1).otherwise(F.col("work_id")))  # stored works stay
+    return merge.merge_loans(target, late)
+
+
+_RESOLVED = A.with_("works") + ", firsts AS (SELECT split_part(source_record_id, ':', -1) AS biblio_id, min(id) AS work_id FROM works GROUP BY 1), r AS (SELECT o_orderkey AS loan_id, work_id FROM orders LEFT JOIN firsts ON CAST(o_custkey * 3 AS VARCHAR) = biblio_id) "
+
+
+def _resolved(spark, sf_dir):
+    loans = A.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("loan_id"), (F.col("o_custkey") * 3).cast("string").alias("biblio_id"))
+    return merge.resolve_loans(loans, A.works(spark, sf_dir))
+
+
+@query(_RESOLVED + "SELECT * FROM r")
+def loan_resolution(spark, sf_dir):
+    return _resolved(spark, sf_dir)
+
+
+@query(_RESOLVED + "SELECT count(*) AS loans, count(*) FILTER (WHERE work_id IS NULL) AS unresolved FROM r")
+def unresolved_counts(spark, sf_dir):
+    return _resolved(spark, sf_dir).agg(F.count(F.lit(1)).alias("loans"), F.count_if(F.col("work_id").isNull()).alias("unresolved"))
+
+
+@query("SELECT l_partkey AS work_id, CASE WHEN l_linestatus = 'O' THEN 'current' ELSE 'history' END AS kind FROM lineitem")
+def union_loans(spark, sf_dir):
+    rows = A.table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("work_id"), "l_linestatus")
+    part = lambda open_, kind: rows.where((F.col("l_linestatus") == "O") == open_).select("work_id", F.lit(kind).alias("kind"))
+    return merge.union_loans(part(True, "current"), part(False, "history"))
+
+
+@query("SELECT doc_id AS work_id, 1 + quality * 4 AS rating FROM labels WHERE doc_id % 3 <> 0 UNION ALL SELECT doc_id, 1 + toxic FROM labels WHERE doc_id % 3 = 0")
+def upsert_ratings(spark, sf_dir):
+    r = A.table(spark, sf_dir, "labels")
+    return merge.merge_by_key(r.select(F.col("doc_id").alias("work_id"), (1 + F.col("quality") * 4).alias("rating")), r.where("doc_id % 3 = 0").select(F.col("doc_id").alias("work_id"), (1 + F.col("toxic")).alias("rating")), ["work_id"])
+
+
+# scalars -----------------------------------------------------------------------------------------------------------
+
+
+def _part(spark, sf_dir, *cols):
+    return A.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), *cols)
+
+
+@query("SELECT p_partkey AS id, regexp_replace(p_name, '[\\s:/;,=.]+$', '') AS title FROM part")
+def isbd_strip(spark, sf_dir):
+    return _part(spark, sf_dir, T.strip_isbd(F.concat("p_name", F.lit(" : "))).alias("title"))
+
+
+@query("SELECT p_partkey AS id, CASE WHEN p_partkey % 3 = 0 THEN '080442' || lpad(CAST(p_partkey % 1000 AS VARCHAR), 3, '0') || 'X' WHEN p_partkey % 3 = 1 THEN '9780670' || lpad(CAST(p_partkey AS VARCHAR), 6, '0') END AS isbn FROM part")
+def isbn_clean(spark, sf_dir):
+    k = F.col("p_partkey")
+    raw = F.when(k % 3 == 0, F.concat(F.lit("0-80442-"), F.lpad((k % 1000).cast("string"), 3, "0"), F.lit("x (pbk.)"))).when(k % 3 == 1, F.concat(F.lit("978-0-670-"), F.lpad(k.cast("string"), 6, "0"), F.lit(" :"))).otherwise(F.concat(F.lit("12345"), F.lit(" (alk. paper)")))
+    return _part(spark, sf_dir, T.clean_isbn(raw).alias("isbn"))
+
+
+@query("SELECT o_orderkey AS id, CAST(year(o_orderdate) AS SMALLINT) AS year FROM orders")
+def year_extract(spark, sf_dir):
+    o = A.table(spark, sf_dir, "orders")
+    return o.select(F.col("o_orderkey").alias("id"), T.extract_year(F.concat(F.lit("c"), F.date_format("o_orderdate", "yyyy"), F.lit(". 12345"))).alias("year"))
+
+
+@query("SELECT p_partkey AS id, 'L''' || p_name AS title FROM part")
+def nonfiling(spark, sf_dir):
+    return _part(spark, sf_dir, T.strip_nonfiling(F.concat(F.lit("[L']"), "p_name")).alias("title"))
+
+
+@query("SELECT doc_id, strip_accents(lower(text)) AS folded FROM documents")
+def accent_fold(spark, sf_dir):
+    return A.table(spark, sf_dir, "documents").select("doc_id", T.fold(F.col("text")).alias("folded"))
+
+
+@query("SELECT p_partkey AS id, CASE WHEN p_partkey % 4 = 0 THEN ['gle', 'eng'] WHEN p_partkey % 4 = 1 THEN ['fre'] WHEN p_partkey % 4 = 2 THEN ['gla'] ELSE CAST([] AS VARCHAR[]) END AS languages FROM part")
+def language_chain(spark, sf_dir):
+    k = F.col("p_partkey") % 4
+    a101 = F.when(k == 1, F.array(F.lit("Fre"), F.lit("und")))
+    a041 = F.when(k == 0, F.array(F.lit("gleeng"), F.lit("gle"))).when(k == 2, F.array(F.lit("junk")))
+    f008 = F.concat(F.lit("x" * 35), F.when(k == 3, "mul").otherwise("gla"), F.lit(" d"))
+    return _part(spark, sf_dir, T.language_chain(a101, a041, f008).alias("languages"))
+
+
+@query("SELECT p_partkey AS id, p_name || '. ' || p_type AS core, CASE WHEN p_partkey % 2 = 0 THEN p_brand ELSE '' END AS description, false AS is_title_only FROM part")
+def text_compose(spark, sf_dir):
+    t = T.build_text(F.col("p_name"), F.lit(None), F.array("p_type", F.lit(" ")), F.when(F.col("p_partkey") % 2 == 0, F.col("p_brand")), F.lit("  "))
+    return _part(spark, sf_dir, t.alias("t")).select("id", "t.*")
+
+
+@query("SELECT p_partkey AS id, sha256(p_name || chr(31) || p_brand || chr(31) || p_size) AS content_hash FROM part")
+def content_hash(spark, sf_dir):
+    return _part(spark, sf_dir, hashing.flat_hash(F.col("p_name"), F.col("p_brand"), F.col("p_size")).alias("content_hash"))
+
+
+def _pads(secret: str) -> tuple[str, str]:
+    key = secret.encode().ljust(64, b"\0")
+    return bytes(b ^ 0x36 for b in key).hex(), bytes(b ^ 0x5C for b in key).hex()
+
+
+@query("SELECT c_custkey, left(sha256(unhex('{1}') || unhex(sha256(unhex('{0}') || encode(CAST(c_custkey AS VARCHAR))))), 32) AS patron_ref FROM customer".format(*_pads(A.SECRET)))
+def patron_ref(spark, sf_dir):
+    return A.table(spark, sf_dir, "customer").select("c_custkey", hashing.patron_reference(F.col("c_custkey"), A.SECRET).alias("patron_ref"))
+
+
+@query("SELECT p_partkey AS id, trim(regexp_replace(regexp_replace(lower(p_name), '[^a-z0-9_\\s]', ' ', 'g'), '\\s+', ' ', 'g')) || '|' || trim(regexp_replace(regexp_replace(lower(p_brand), '[^a-z0-9_\\s]', ' ', 'g'), '\\s+', ' ', 'g')) AS key FROM part")
+def edition_key(spark, sf_dir):
+    return _part(spark, sf_dir, T.canonical_key(F.concat(F.lit("The "), "p_name"), F.array("p_brand")).alias("key"))
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, round(date_diff('second', o_orderdate, l_shipdate) / 86400.0, 6) AS days FROM lineitem JOIN orders ON l_orderkey = o_orderkey")
+def days_held(spark, sf_dir):
+    o = A.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_orderdate")
+    return A.table(spark, sf_dir, "lineitem").join(o, "l_orderkey").select("l_orderkey", "l_linenumber", "l_partkey", F.round(T.days_held(F.col("o_orderdate"), F.col("l_shipdate")), 6).alias("days"))
+
+
+@query("SELECT page_id, split_part(split_part(url, '//', -1), '/', 1) AS host FROM pages")
+def source_names(spark, sf_dir):
+    return A.table(spark, sf_dir, "pages").select("page_id", T.source_name(F.col("url")).alias("host"))
+
+
+# search ------------------------------------------------------------------------------------------------------------
+
+
+def _search_works(spark, sf_dir):
+    return A.works(spark, sf_dir)
+
+
+_GRAMS = "grams AS (SELECT id, field, list_distinct(flatten(list_transform(list_filter(regexp_split_to_array(text, '[^a-z0-9]+'), lambda w: w <> ''), lambda w: list_transform(range(1, length(w) + 2), lambda i: substring('  ' || w || ' ', i, 3))))) AS g FROM (SELECT id, 'title' AS field, lower(title) AS text FROM live UNION ALL SELECT id, 'authors', lower(array_to_string(authors, ' ')) FROM live))"
+
+
+@query(A.with_("live").rstrip() + ", " + _GRAMS + ", q AS (SELECT DISTINCT text AS query FROM (SELECT title AS text FROM live WHERE id % 50 = 0)), qg AS (SELECT query, list_distinct(flatten(list_transform(list_filter(regexp_split_to_array(lower(query), '[^a-z0-9]+'), lambda w: w <> ''), lambda w: list_transform(range(1, length(w) + 2), lambda i: substring('  ' || w || ' ', i, 3))))) AS g FROM q) SELECT query, id, field, len(grams.g) AS n, len(qg.g) AS n_query, len(list_intersect(grams.g, qg.g)) AS shared FROM qg, grams WHERE len(list_intersect(grams.g, qg.g)) >= greatest(1, 0.3 * len(qg.g))")
+def trigram_candidates(spark, sf_dir):
+    w = A.works(spark, sf_dir)
+    q = catalog.live(w).where("id % 50 = 0").select(F.col("title").alias("query")).distinct()
+    return search.trigram_candidates(q, search.trigram_index(w))
+
+
+@query()
+def search_exact(spark, sf_dir):
+    """Titles with a transposition, ISBNs and nonsense, against all works."""
+    w = catalog.live(A.works(spark, sf_dir)).where("id % 40 = 1")
+    q = w.select(T.transpose_typo(F.col("title")).alias("query")).union(w.select(F.get("isbns", F.lit(0)))).union(spark.sql("select 'zzzzqqqxyz'")).distinct()
+    return _rounded(search.search_exact(q, A.works(spark, sf_dir)), "score")
+
+
+# marc --------------------------------------------------------------------------------------------------------------
+
+
+def records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A MARCXML record for each part."""
+    sub = lambda code, value: F.concat(F.lit(f'<subfield code="{code}">'), value, F.lit("</subfield>"))
+    field = lambda tag, *subs: F.concat(F.lit(f'<datafield tag="{tag}" ind1=" " ind2=" ">'), *subs, F.lit("</datafield>"))
+    k = F.col("p_partkey")
+    xml = F.concat(
+        F.lit('<record xmlns="http://www.loc.gov/MARC21/slim"><leader>     nam a22     2  4500</leader>'),
+        field("020", sub("a", F.concat(F.lit("978067"), F.lpad(k.cast("string"), 7, "0"), F.lit(" (pbk.)")))),
+        field("100", sub("a", F.concat("p_brand", F.lit(",")))),
+        field("245", sub("a", F.concat("p_name", F.lit(" :"))), sub("b", F.concat("p_brand", F.lit(" /")))),
+        field("260", sub("b", F.concat("p_brand", F.lit(","))), sub("c", F.concat(F.lit("c"), (1900 + F.col("p_size")).cast("string"), F.lit(".")))),
+        field("650", sub("a", F.col("p_type")), sub("x", F.lit("History."))),
+        F.when(k % 2 == 0, field("952", sub("p", k.cast("string")))).otherwise(F.lit("")),
+        F.lit("</record>"),
+    )
+    return A.table(spark, sf_dir, "part").select(k.cast("string").alias("source_record_id"), (k % 97 == 0).alias("deleted"), marc.parse(xml).alias("rec"))
+
+
+@query("SELECT CAST(p_partkey AS VARCHAR) AS source_record_id, regexp_replace(p_name, '[\\s:/;,=.]+$', '') || ' : ' || p_brand AS title, p_brand AS author, '978067' || lpad(CAST(p_partkey AS VARCHAR), 7, '0') AS isbn, p_type || ' — History' AS subject, p_brand AS publisher, CAST(1900 + p_size AS SMALLINT) AS publication_year FROM part WHERE p_partkey % 97 <> 0")
+def marc_works(spark, sf_dir):
+    w = marc.works_batch(marc.map_records(records(spark, sf_dir)))
+    one = lambda c: F.get(c, F.lit(0))
+    return w.select("source_record_id", "title", one("authors").alias("author"), one("isbns").alias("isbn"), one("subjects").alias("subject"), "publisher", "publication_year")
+
+
+@query("SELECT CAST(p_partkey AS VARCHAR) AS source_record_id, CAST(p_partkey AS VARCHAR) AS barcode FROM part WHERE p_partkey % 2 = 0 AND p_partkey % 97 <> 0")
+def marc_items(spark, sf_dir):
+    return marc.items_batch(marc.map_records(records(spark, sf_dir))).select("source_record_id", "barcode")
+
+
+@query("SELECT CASE WHEN p_partkey % 97 = 0 THEN 'deleted' ELSE 'mapped' END AS status, count(*) AS n FROM part GROUP BY 1")
+def marc_counters(spark, sf_dir):
+    return marc.counters(marc.map_records(records(spark, sf_dir)))
+
+
+@query("SELECT tag, round(100.0 * n / (SELECT count(*) FROM part), 4) AS percent, CAST(0 AS DOUBLE) AS percent_repeated FROM (SELECT unnest(['020', '100', '245', '260', '650']) AS tag, count(*) AS n FROM part GROUP BY 1 UNION ALL SELECT '952', count(*) FROM part WHERE p_partkey % 2 = 0)")
+def marc_field_profile(spark, sf_dir):
+    return marc.field_profile(records(spark, sf_dir))
