@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, decontaminate, mil, minhash, packing, sharding, style_tree, suffix_dedup
+from . import ann, chat, decontaminate, mil, minhash, oracles, packing, sharding, style_tree, suffix_dedup
 from .common import documents
 
 
@@ -50,4 +50,4 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_main_text, op2_packing, op4_nearest, op5_decontaminate, op6_suffix_dedup, op7_sharding, op8_minhash, op9_chat_format, op10_quality)}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op5_decontaminate": oracles.OP5, "op8_minhash": oracles.OP8, "op9_chat_format": oracles.OP9}
