@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, decontaminate, mil, minhash, oracles, packing, sharding, style_tree, suffix_dedup
+from . import ann, chat, chunk_dedup, decontaminate, mil, minhash, oracles, packing, sharding, style_tree, suffix_dedup
 from .common import documents
 
 
@@ -18,6 +18,10 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json")).select(*packing.COLUMNS)
 
 
+def op3_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunk_dedup.remove_repeated_chunks(documents(spark, sf_dir)).drop("kept")
+
+
 def op4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), lambda i: i % 100 == 0)
 
@@ -49,5 +53,5 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mil.quality_scores(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op1_main_text, op2_packing, op4_nearest, op5_decontaminate, op6_suffix_dedup, op7_sharding, op8_minhash, op9_chat_format, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_main_text, op2_packing, op3_chunk_dedup, op4_nearest, op5_decontaminate, op6_suffix_dedup, op7_sharding, op8_minhash, op9_chat_format, op10_quality)}
 ORACLE_SQL: dict[str, str] = {"op5_decontaminate": oracles.OP5, "op8_minhash": oracles.OP8, "op9_chat_format": oracles.OP9}
