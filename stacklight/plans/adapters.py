@@ -20,7 +20,7 @@ def sources(spark, sf_dir):
 def works(spark, sf_dir):
     p = table(spark, sf_dir, "part")
     gone = F.when(F.col("p_partkey") % 97 == 0, F.lit("2024-01-01").cast("timestamp"))
-    return p.select(F.col("p_partkey").alias("id"), (F.col("p_size") % 5).alias("source_id"), F.concat(F.lit("KOHA-"), "p_brand", F.lit(":"), F.col("p_partkey").cast("string")).alias("source_record_id"), F.col("p_name").alias("title"), F.array("p_brand").alias("authors"), F.col("p_brand").alias("publisher"), F.array("p_type").alias("subjects"), F.array(F.lpad(F.col("p_partkey").cast("string"), 10, "0")).alias("isbns"), F.sha2(F.concat_ws("\x1f", "p_name", "p_type"), 256).alias("content_hash"), gone.alias("deleted_at"))
+    return p.select(F.col("p_partkey").alias("id"), (F.col("p_size") % 5).alias("source_id"), F.concat(F.lit("CAT-"), "p_brand", F.lit(":"), F.col("p_partkey").cast("string")).alias("source_record_id"), F.col("p_name").alias("title"), F.array("p_brand").alias("authors"), F.col("p_brand").alias("publisher"), F.array("p_type").alias("subjects"), F.array(F.lpad(F.col("p_partkey").cast("string"), 10, "0")).alias("isbns"), F.sha2(F.concat_ws("\x1f", "p_name", "p_type"), 256).alias("content_hash"), gone.alias("deleted_at"))
 
 
 def items(spark, sf_dir):
@@ -52,7 +52,7 @@ def factors(spark, sf_dir):
 
 CTE = {
     "sources": "SELECT n_nationkey AS id, n_name AS name, CASE WHEN n_regionkey = 0 THEN NULL WHEN n_regionkey = 1 THEN false ELSE true END AS last_had_items FROM nation",
-    "works": "SELECT p_partkey AS id, p_size % 5 AS source_id, 'KOHA-' || p_brand || ':' || p_partkey AS source_record_id, p_name AS title, [p_brand] AS authors, p_brand AS publisher, [p_type] AS subjects, [lpad(CAST(p_partkey AS VARCHAR), 10, '0')] AS isbns, sha256(p_name || chr(31) || p_type) AS content_hash, CASE WHEN p_partkey % 97 = 0 THEN TIMESTAMP '2024-01-01' END AS deleted_at FROM part",
+    "works": "SELECT p_partkey AS id, p_size % 5 AS source_id, 'CAT-' || p_brand || ':' || p_partkey AS source_record_id, p_name AS title, [p_brand] AS authors, p_brand AS publisher, [p_type] AS subjects, [lpad(CAST(p_partkey AS VARCHAR), 10, '0')] AS isbns, sha256(p_name || chr(31) || p_type) AS content_hash, CASE WHEN p_partkey % 97 = 0 THEN TIMESTAMP '2024-01-01' END AS deleted_at FROM part",
     "live": "SELECT * FROM works WHERE deleted_at IS NULL",
     "items": "SELECT l_partkey AS work_id, l_suppkey AS owning_branch, CASE WHEN l_linestatus = 'O' THEN l_shipdate END AS due_date FROM lineitem",
     "loans": "SELECT CAST(o_custkey AS VARCHAR) AS patron_ref, l_partkey AS work_id, CAST(l_returnflag = 'R' AS INT) AS renewals FROM lineitem JOIN orders ON l_orderkey = o_orderkey",

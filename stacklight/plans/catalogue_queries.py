@@ -119,11 +119,11 @@ def work_summary(spark, sf_dir):
     return catalog.work_summary(A.works(spark, sf_dir), A.items(spark, sf_dir), A.sources(spark, sf_dir))
 
 
-@query(A.with_("live") + ", wanted AS (SELECT DISTINCT CASE WHEN p_partkey % 2 = 0 THEN CAST(p_partkey AS VARCHAR) ELSE 'KOHA-' || p_brand || ':' || p_partkey END AS query FROM part WHERE p_partkey % 5 = 0) SELECT query, min(id) AS id FROM wanted JOIN live ON query = source_record_id OR (regexp_full_match(query, '[0-9]+') AND ends_with(source_record_id, ':' || query)) GROUP BY query HAVING count(*) = 1")
+@query(A.with_("live") + ", wanted AS (SELECT DISTINCT CASE WHEN p_partkey % 2 = 0 THEN CAST(p_partkey AS VARCHAR) ELSE 'CAT-' || p_brand || ':' || p_partkey END AS query FROM part WHERE p_partkey % 5 = 0) SELECT query, min(id) AS id FROM wanted JOIN live ON query = source_record_id OR (regexp_full_match(query, '[0-9]+') AND ends_with(source_record_id, ':' || query)) GROUP BY query HAVING count(*) = 1")
 def record_id_lookup(spark, sf_dir):
     p = A.table(spark, sf_dir, "part").where("p_partkey % 5 = 0")
     key = F.col("p_partkey").cast("string")
-    wanted = p.select(F.when(F.col("p_partkey") % 2 == 0, key).otherwise(F.concat(F.lit("KOHA-"), "p_brand", F.lit(":"), key)).alias("query")).distinct()
+    wanted = p.select(F.when(F.col("p_partkey") % 2 == 0, key).otherwise(F.concat(F.lit("CAT-"), "p_brand", F.lit(":"), key)).alias("query")).distinct()
     return catalog.by_record_id(A.works(spark, sf_dir), wanted)
 
 

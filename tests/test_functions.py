@@ -31,7 +31,7 @@ CASES = [
     (T.strip_nonfiling, "mid [x] title", "mid [x] title"),
     (T.extract_year, "c1990.", 1990),
     (T.extract_year, "12345", None),
-    (T.biblionumber, "KOHA:x:12", "12"),
+    (T.biblionumber, "CAT:x:12", "12"),
     (T.biblionumber, "12", "12"),
     (T.fold, "Éç ñ Ü", "ec n u"),
     (T.subject_head, "Perl -- History", "Perl"),
