@@ -46,8 +46,13 @@ def encoder(path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
-        own = Tokenizer.from_file(path)
-        slow = lambda text: own.encode(text, add_special_tokens=False).ids
+        own: list[Tokenizer] = []  # loaded by the first text that needs it
+
+        def slow(text):
+            if not own:
+                own.append(Tokenizer.from_file(path))
+            return own[0].encode(text, add_special_tokens=False).ids
+
         fast = None
         if spec["model"]["type"] == "BPE" and (spec.get("pre_tokenizer") or {}).get("type") == "ByteLevel":
             shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that the file writes as themselves
@@ -65,7 +70,7 @@ def tokenize(docs: DataFrame, tokenizer: str, end_id: int, wide: bool) -> DataFr
 
     def run(batches):
         encode, part, sent = encoder(tokenizer), TaskContext.get().partitionId(), {}
-        for b in batches:
+        for b in (whole.slice(lo, 512) for whole in batches for lo in range(0, whole.num_rows, 512)):
             queues, n, off, ids = b.column("queue").to_pylist(), [], [], []
             for text, q in zip(b.column("text").to_pylist(), queues, strict=True):
                 x = encode(text) if text else []
