@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import hashing
 from ..functions import text as T
-from ..operators import catalog, interactions, marc, merge, rank, search, vectors
+from ..operators import catalog, evaluation, interactions, marc, merge, rank, search, vectors
 from . import adapters as A
 
 QUERIES: dict = {}
@@ -161,6 +161,17 @@ def rescue_rate(spark, sf_dir):
     return catalog.rescue_rate(runs)
 
 
+@query(A.with_("live") + "SELECT isbn, count(*) AS n FROM (SELECT DISTINCT id, unnest(isbns) AS isbn FROM (SELECT id, [lpad(CAST(id % 500 AS VARCHAR), 10, '0')] AS isbns FROM live)) GROUP BY 1 HAVING count(*) > 1")
+def shared_isbns(spark, sf_dir):
+    isbn = F.lpad((F.col("id") % 500).cast("string"), 10, "0")
+    return evaluation.shared_isbns(A.works(spark, sf_dir).withColumn("isbns", F.array(isbn)))
+
+
+@query(A.with_("loans", "fac") + "SELECT patron_ref, count(DISTINCT work_id) AS n FROM loans WHERE work_id IN (SELECT work_id FROM fac) GROUP BY 1 ORDER BY n DESC, patron_ref LIMIT 2")
+def popular_patrons(spark, sf_dir):
+    return evaluation.popular_patrons(A.loans(spark, sf_dir), A.factors(spark, sf_dir))
+
+
 # interactions ------------------------------------------------------------------------------------------------------
 
 
