@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import subject_head
 from .catalog import live
+from .vectors import dot
 
 
 def shared_isbns(works: DataFrame) -> DataFrame:
@@ -30,6 +31,27 @@ def popular_patrons(loans: DataFrame, factors: DataFrame, limit: int = 2) -> Dat
     return rows.groupBy("patron_ref").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "patron_ref").limit(limit)
 
 
+def co_borrow_gap(loans: DataFrame, factors: DataFrame) -> DataFrame:
+    """One row: linked_pairs, linked_mean, other_mean, gap: the mean cosine of the pairs of works that some patron borrowed both
+    of, and of all other pairs; null where there are none. factors(work_id, factors) holds unit vectors, a row for each work.
+
+    The other pairs are never formed: the sum over all pairs follows from the sum of the vectors. The linked ones are, so the
+    work grows with the square of what a patron borrowed; draw patrons with sample() for a catalogue with very heavy ones.
+    """
+    own = loans.join(factors.select("work_id"), "work_id", "left_semi").select("patron_ref", "work_id").distinct()
+    pair = own.select("patron_ref", F.col("work_id").alias("a")).join(own.select("patron_ref", F.col("work_id").alias("b")), "patron_ref").where("a < b").select("a", "b").distinct()
+    vector = lambda k: factors.select(F.col("work_id").alias(k), F.col("factors").alias(f"v{k}"))
+    linked = pair.join(vector("a"), "a").join(vector("b"), "b").agg(F.count(F.lit(1)).alias("linked_pairs"), F.coalesce(F.sum(dot(F.col("va"), F.col("vb"))), F.lit(0.0)).alias("linked"))
+    x = F.col("x").cast("double")
+    summed = factors.select("work_id", F.posexplode("factors").alias("d", "x")).groupBy("d").agg(F.sum(x).alias("s"), F.sum(x * x).alias("q"), F.count(F.lit(1)).alias("n"))
+    whole = summed.agg(((F.coalesce(F.sum(F.col("s") * F.col("s")), F.lit(0.0)) - F.coalesce(F.sum("q"), F.lit(0.0))) / 2).alias("every"), F.coalesce(F.max("n"), F.lit(0)).alias("n"))
+    others = F.col("n") * (F.col("n") - 1) / 2 - F.col("linked_pairs")
+    mean = lambda total, count: F.when(count > 0, total / count)
+    both = linked.crossJoin(whole)  # a row each
+    both = both.select("linked_pairs", mean(F.col("linked"), F.col("linked_pairs")).alias("linked_mean"), mean(F.col("every") - F.col("linked"), others).alias("other_mean"))
+    return both.withColumn("gap", F.col("linked_mean") - F.col("other_mean"))
+
+
 def uniform(seed: int, purpose: str, *keys: Column) -> Column:
     """A number in [0, 1) that depends on the keys alone, so that retried tasks draw the same."""
     return F.pmod(F.xxhash64(F.lit(seed), F.lit(purpose), *keys), F.lit(1 << 52)) / float(1 << 52)

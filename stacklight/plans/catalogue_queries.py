@@ -172,6 +172,17 @@ def popular_patrons(spark, sf_dir):
     return evaluation.popular_patrons(A.loans(spark, sf_dir), A.factors(spark, sf_dir))
 
 
+@query(
+    A.with_("loans", "fac").rstrip()
+    + ", own AS (SELECT DISTINCT patron_ref, work_id FROM loans WHERE work_id IN (SELECT work_id FROM fac)), "
+    "linked AS (SELECT DISTINCT x.work_id AS a, y.work_id AS b FROM own x JOIN own y ON x.patron_ref = y.patron_ref AND x.work_id < y.work_id), "
+    "pairs AS (SELECT list_dot_product(CAST(x.factors AS DOUBLE[]), CAST(y.factors AS DOUBLE[])) AS cosine, l.a IS NOT NULL AS hit FROM fac x JOIN fac y ON x.work_id < y.work_id LEFT JOIN linked l ON l.a = x.work_id AND l.b = y.work_id) "
+    "SELECT count(*) FILTER (hit) AS linked_pairs, round(avg(cosine) FILTER (hit), 6) AS linked_mean, round(avg(cosine) FILTER (NOT hit), 6) AS other_mean, round(avg(cosine) FILTER (hit) - avg(cosine) FILTER (NOT hit), 6) AS gap FROM pairs"
+)
+def co_borrow_gap(spark, sf_dir):
+    return _rounded(evaluation.co_borrow_gap(A.loans(spark, sf_dir), A.factors(spark, sf_dir)), "linked_mean", "other_mean", "gap")
+
+
 # interactions ------------------------------------------------------------------------------------------------------
 
 

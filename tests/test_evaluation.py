@@ -31,3 +31,12 @@ def test_loan_plan(spark):
     assert (plan.repeated <= plan.returned).all() and plan.groupby("patron").size().max() <= 50
     assert plan.work_id.value_counts().iloc[0] > 3 * plan.work_id.value_counts().median()
     assert not evaluation.loan_plan(works.where("id < 0"), 5).count()
+
+
+def test_co_borrow_gap(spark):
+    factors = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.6, 0.8]), (3, [0.0, 1.0]), (4, [-1.0, 0.0])], "work_id long, factors array<float>")
+    loans = spark.createDataFrame([("p", 1), ("p", 1), ("p", 2), ("q", 2), ("q", 1), ("q", 9), (None, 3), (None, 4)], "patron_ref string, work_id long")
+    linked, mean, other, gap = evaluation.co_borrow_gap(loans, factors).first()
+    assert linked == 1 and abs(mean - 0.6) < 1e-6 and abs(other - (0.0 - 1.0 + 0.8 - 0.6 + 0.0) / 5) < 1e-6 and abs(gap - mean + other) < 1e-9
+    none = evaluation.co_borrow_gap(loans.limit(0), factors.limit(0)).first()
+    assert none.linked_pairs == 0 and none.linked_mean is None and none.gap is None
