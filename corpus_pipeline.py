@@ -23,9 +23,16 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near-duplicates: the one with the smallest id."""
-    kept = minhash.near_duplicates(docs).where("kept").select("doc_id").distinct()
-    return docs.join(kept.hint("merge"), "doc_id", "left_semi").select(COLUMNS)
+    """Keeps one row of each group of near-duplicates: the one with the smallest id, rows without one last.
+
+    Every row is a vertex of its own, whatever its id: of equal rows one stays, rows of one id with different texts are judged
+    by their texts, and rows without an id take part. Rows without words group with nothing, so all of them stay."""
+    # the key is written with its row, so that every pass reads the same one
+    rows = materialize(docs.select(F.monotonically_increasing_id().alias("row"), *COLUMNS), "pipeline-rows")
+    groups = minhash.near_duplicates(rows.select(F.col("row").alias("doc_id"), "text")).select(F.col("doc_id").alias("row"), "component_id")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row"))
+    kept = rows.select("row", "doc_id").join(groups.hint("merge"), "row").groupBy("component_id").agg(first.alias("first")).select("first.row")
+    return rows.join(kept.hint("merge"), "row", "left_semi").select(COLUMNS)
 
 
 def repeated_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,10 +43,14 @@ def repeated_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a window of a benchmark item."""
-    found = decontaminate.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    dirty = found.where("contaminated").select("doc_id").distinct()
-    return docs.join(dirty, "doc_id", "left_anti").select(COLUMNS)
+    """Drops documents that hold a window of a benchmark item.
+
+    The verdict is the text's (by its 64-bit hash), not the id's: rows without an id are judged, and a clean row stays where
+    another text of its id goes."""
+    rows = docs.withColumn("text_hash", F.xxhash64("text"))
+    found = decontaminate.contamination(rows.select(F.col("text_hash").alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    dirty = found.where("contaminated").select(F.col("doc_id").alias("text_hash")).distinct()
+    return rows.join(dirty, "text_hash", "left_anti").select(COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -58,3 +58,22 @@ def test_each_stage_by_brute_force(spark, tables):
 def test_run(spark, tables):
     rows = cp.run(spark, tables[0]).collect()
     assert sum(r.length for r in rows) > 0 and {r.doc_id for r in rows} <= {r[0] for r in tables[1]}
+
+
+def documents(spark, rows):
+    return spark.createDataFrame([(i, t, "en", "s", None if t is None else len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+
+
+def words(seed, n=120):
+    import random
+
+    rng = random.Random(seed)
+    return " ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(n))
+
+
+def test_one_of_repeated_rows_survives(spark):
+    a, b, c = words(1), words(2), words(3)
+    rows = [(1, a)] * 3 + [(2, b), (2, c), (3, c + " more"), (4, c)]
+    one = cp.near_duplicates(spark, documents(spark, rows), "").cache()
+    assert sorted((r.doc_id, r.text) for r in one.collect()) == sorted([(1, a), (2, b), (2, c)])
+    assert sorted((r.doc_id, r.text) for r in cp.repeated_text(spark, one, "").collect()) == sorted([(1, a), (2, b), (2, c)])
