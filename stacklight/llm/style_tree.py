@@ -5,16 +5,22 @@ over the host's pages, how often each presentation (the sequence of child labels
 it) occurs. A node in m pages has
     presentation importance  - sum p log_m p     over its presentations, and
     content importance       1 - mean log_m c    over its pages, c being the pages that share the page's content,
-combined as (1 - GAMMA) * presentation + GAMMA * content; in one page only, both are 1. Branches of low importance, the
-template's, are cut from each page, as are branches that their tag, role or class names as menus, headers, footers, sidebars,
-notices, adverts, forms or comments. What lies in <article> or <main> directly is the article, however often its text occurs on
-the host, so mirrored articles survive; other branches inside them are judged by the tree.
+combined as (1 - GAMMA) * presentation + GAMMA * content; in one page only, both are 1. Equal pages of a host count once. Branches
+of low importance, the template's, are cut from the pages that show their common content (1 - log_m c is low too), but never where
+they hold all the text that a page has left, or half of what its article has. What lies in <article> or <main> directly is the
+article, however often its text occurs on the host, so mirrored articles survive; other branches inside them are judged by the tree.
+
+Branches that tag or role makes menus, headers, footers, sidebars, forms or dialogs are cut before. Names decide less: a class
+must consist of noise words and words of place ("notice-box", not "related-work" or "with-sidebar") and stand on a container
+(div, section, list, table), never on a heading, paragraph or <article>; inside an article only words that are no likely topic count.
+An id decides outside articles only, on a div, list or table, by words of a site's frame. If a page without <article> or <main>
+is left empty by its names, they decide nothing on it.
 
 Blocks are flushed at block-level tags; references are decoded, white space in a block (no-break spaces and <br> included)
 becomes one space, blocks are joined by an empty line.
 
-Cases: null and empty html give an empty text; a null url counts as a host of its own; broken markup (unclosed tags and comments,
-stray end tags, unquoted attributes) is read leniently; repeated rows each count as a page; an empty table gives no rows; further
+Cases: null and empty html give an empty text; null urls are one host; broken markup (unclosed tags and comments,
+stray end tags, unquoted attributes) is read leniently; repeated rows each get their text; an empty table gives no rows; further
 columns are ignored. Whole pages are read.
 """
 
@@ -42,25 +48,39 @@ BLOCK = frozenset("address article aside blockquote body center dd details dialo
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 NOISE_TAGS = frozenset("nav aside footer form dialog menu button search fieldset head".split())
 NOISE_ROLES = frozenset("navigation contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
-#: Words of class and id: of noise whatever it holds, and of noise unless an article stands inside.
+#: Words of class names: of noise whatever it holds, and of noise unless an article stands inside.
 HARD = frozenset("nav navbar navigation menu menubar breadcrumb breadcrumbs footer comment comments reply replies respond disqus discussion related recommended recommendations share sharing social newsletter subscribe subscription signup login pagination pager copyright cookie cookies consent gdpr advert adverts advertisement ad ads adsbygoogle adslot sponsor sponsored promo promotion form search".split())
 SOFT = frozenset("header masthead banner sidebar aside widget notice notices alert popup modal overlay toolbar topbar bottombar disclaimer skip hidden".split())
+#: Words that don't change what a class names, those that may be a topic of an article, and those that an id needs.
+PLACE = frozenset("area bar bottom box block buttons col column container content footer group inner item items left links list main outer page panel right section site top wrap wrapper".split())
+TOPIC = frozenset("ad ads header form search discussion related recommended recommendations share sharing social promotion copyright cookie cookies consent replies respond alert hidden skip widget subscription login signup notices disclaimer".split())
+FRAME = frozenset("nav navbar navigation menu menubar breadcrumb breadcrumbs footer header masthead banner sidebar disqus pagination pager toolbar topbar bottombar".split())
+CONTAINERS = frozenset("div section aside ul ol dl table tbody tr td center details".split())
 MAIN = frozenset(("article", "main"))
 NONE, IS_MAIN, NOISE = 0, 1, 2
 
 
+def named(names: list[str], words: frozenset[str]) -> bool:
+    """Whether one of the names consists of these words and words of place."""
+    split = [{w.lower() for w in WORD.findall(x)} for x in names]
+    return any(w & words and w <= words | PLACE for w in split)
+
+
 @lru_cache(65_536)
-def label(tag: str, attributes: str) -> tuple[str, bool, bool]:
-    """The node label, and whether the element is noise for certain, or unless it holds an article."""
+def label(tag: str, attributes: str, inside: bool = False, names: bool = True) -> tuple[str, bool, bool]:
+    """The node label, and whether the element is noise for certain, or unless it holds an article. inside: an article;
+    names: whether class and id decide."""
     if not attributes.strip(" /\n\t"):
         return tag, tag in NOISE_TAGS, tag == "header"
     a = {k.lower(): unescape(d or s or b) for k, d, s, b in ATTRIBUTE.findall(attributes)}
     classes, ident, role = a.get("class", "").split(), a.get("id", ""), a.get("role", "").lower()
-    words = {w.lower() for x in [*classes, ident] for w in WORD.findall(x)}
     gone = "hidden" in a or a.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", a.get("style", ""), re.I)
-    plain = tag in MAIN or tag in ("html", "body")
-    hard = tag in NOISE_TAGS or role in NOISE_ROLES or bool(gone) or (bool(words & HARD) and tag not in ("html", "body", "main"))
-    soft = tag == "header" or role == "banner" or (bool(words & SOFT) and not plain)
+    hard, soft = tag in NOISE_TAGS or role in NOISE_ROLES or bool(gone), tag == "header" or role == "banner"
+    if names and tag in CONTAINERS:
+        topic = TOPIC if inside else frozenset()
+        ids = [ident] if ident and not inside and tag != "section" else []
+        hard = hard or named(classes, HARD - topic) or named(ids, HARD & FRAME)
+        soft = soft or named(classes, SOFT - topic) or named(ids, SOFT & FRAME)
     marks = "".join(f".{re.sub('[0-9]+', '', c)}" for c in sorted(classes)) + (f"#{re.sub('[0-9]+', '', ident)}" if ident else "")
     return tag + marks + ("[main]" if role == "main" else ""), hard, soft
 
@@ -88,7 +108,7 @@ class Node:
         self.children, self.text = [], []
 
 
-def parse(html: str) -> tuple[list[tuple[Node, str]], list[Node]]:
+def parse(html: str, names: bool = True) -> tuple[list[tuple[Node, str]], list[Node]]:
     """The page's blocks (node, text) in order, and its block-level nodes."""
     root = Node("#root", "", None, False, False)
     stack, nodes, out, buffer = [root], [], [], []
@@ -146,7 +166,7 @@ def parse(html: str) -> tuple[list[tuple[Node, str]], list[Node]]:
             if tag == "br":
                 buffer.append(" ")
             continue
-        name, hard, soft = label(tag, attributes)
+        name, hard, soft = label(tag, attributes, stack[-1].main, names)
         if tag not in BLOCK:
             if buffer and (hard or soft):
                 # an inline branch that is noise ends the text before it without ending its block
@@ -170,37 +190,59 @@ def _inline(tag: str, up: Node) -> Node:
     return n
 
 
-def page_nodes(html: str) -> list[tuple[int, int, int, int]]:
-    """The page's style nodes: path, presentation, content, kind (of undecided, article, noise the greatest)."""
-    blocks, nodes = parse(html)
-    shown: dict[str, list] = {}
-    for n in nodes:
-        x = shown.setdefault(n.path, [[], [], NONE])
-        x[0].append(",".join(c for i, c in enumerate(n.children) if not i or n.children[i - 1] != c))
-        x[2] = max(x[2], n.kind)
+def under(blocks: list[tuple[Node, str]], paths) -> dict[str, list[str]]:
+    """The texts below each of the paths."""
+    found: dict[str, list[str]] = {p: [] for p in paths}
     for node, text in blocks:
         path = node.path
         while path:
-            if path in shown:
-                shown[path][1].append(text)
+            if path in found:
+                found[path].append(text)
             path = path.rpartition("/")[0]
-    return [(digest(p), digest(";".join(dict.fromkeys(a))), digest("\n".join(t)), k) for p, (a, t, k) in shown.items()]
+    return found
+
+
+def content(texts: list[str]) -> int:
+    return digest("\n".join(texts))
 
 
-def page_text(html: str, cut: frozenset[int]) -> str:
-    """The page's main text; cut: the paths of low importance on its host."""
+def page_nodes(html: str) -> list[tuple[int, int, int, int, int]]:
+    """The page's style nodes: page (the same for equal pages), path, presentation, content, kind (of undecided, article, noise
+    the greatest)."""
+    blocks, nodes = parse(html)
+    shown: dict[str, list] = {}
+    for n in nodes:
+        x = shown.setdefault(n.path, [[], NONE])
+        x[0].append(",".join(c for i, c in enumerate(n.children) if not i or n.children[i - 1] != c))
+        x[1] = max(x[1], n.kind)
+    texts = under(blocks, shown)
+    rows = [(digest(p), digest(";".join(dict.fromkeys(a))), content(texts[p]), k) for p, (a, k) in shown.items()]
+    page = digest(repr((rows, [t for _, t in blocks])))
+    return [(page, *r) for r in rows]
+
+
+def page_text(html: str, cut: frozenset[tuple[int, int]]) -> str:
+    """The page's main text; cut: the paths of low importance on its host, each with a common content."""
     blocks, nodes = parse(html)
     mains = {n.path for n in nodes if n.main}
+    chosen = [(n, t) for n, t in blocks if n.kind != NOISE]
+    if not chosen and not mains:
+        return "\n\n".join(t for n, t in parse(html, names=False)[0] if n.kind != NOISE)
+    low = {p for p, _ in cut}
     # a node that holds an article is never cut
-    paths = {n.path for n in nodes if n.kind == NONE and digest(n.path) in cut and not any(m.startswith(n.path + "/") for m in mains)} if cut else set()
+    paths = {n.path: n.main for n in nodes if n.kind == NONE and digest(n.path) in low and not any(m.startswith(n.path + "/") for m in mains)} if cut else {}
+    if paths:
+        texts = under(blocks, paths)
+        article = sum(len(t) for n, t in chosen if n.main)
+        paths = {p for p, main in paths.items() if (digest(p), content(texts[p])) in cut and not (main and 2 * sum(map(len, texts[p])) >= article)}
 
     def kept(node):
-        path = "" if node.kind == NOISE else node.path
+        path = node.path
         while path and path not in paths:
             path = path.rpartition("/")[0]
-        return node.kind != NOISE and not path
+        return not path
 
-    chosen = [(n, t) for n, t in blocks if kept(n)]
+    chosen = [x for x in chosen if kept(x[0])] or chosen
     if any(n.main for n, _ in chosen):
         chosen = [(n, t) for n, t in chosen if n.main]
     return "\n\n".join(t for _, t in chosen)
@@ -210,18 +252,23 @@ def host(url: str = "url"):
     return F.lower(F.coalesce(F.regexp_extract(F.col(url), r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//([^/?#]*)", 1), F.lit("")))
 
 
-def style_tree(pages: DataFrame, html: str = "html", url: str = "url") -> DataFrame:
-    """host, path, kind, pages, importance of each node of each host's tree."""
+def counted(pages: DataFrame, html: str = "html", url: str = "url") -> DataFrame:
+    """host, path, side, value, c, kind: in how many different pages of the host the node shows each presentation (side 0) and
+    each content (side 1)."""
 
     def run(batches):
         for b in batches:
             rows = [(h, *n) for h, t in zip(b.column("host").to_pylist(), b.column("html").to_pylist(), strict=True) if t for n in page_nodes(t)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int32()))], names=["host", "path", "shown", "content", "kind"])
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), *[pa.int64()] * 4, pa.int32()))], names=["host", "page", "path", "shown", "content", "kind"])
 
-    nodes = pages.select(host(url).alias("host"), F.col(html).alias("html")).mapInArrow(run, "host string, path long, shown long, content long, kind int")
-    # two counts by one aggregation: a row for each presentation (side 0) and each content (side 1) of a node
+    nodes = pages.select(host(url).alias("host"), F.col(html).alias("html")).mapInArrow(run, "host string, page long, path long, shown long, content long, kind int").distinct()
+    # two counts by one aggregation
     sides = nodes.select("host", "path", "kind", F.inline(F.array(F.struct(F.lit(0).alias("side"), F.col("shown").alias("value")), F.struct(F.lit(1).alias("side"), F.col("content").alias("value")))))
-    counts = sides.groupBy("host", "path", "side", "value").agg(F.count(F.lit(1)).alias("c"), F.max("kind").alias("kind"))
+    return sides.groupBy("host", "path", "side", "value").agg(F.count(F.lit(1)).alias("c"), F.max("kind").alias("kind"))
+
+
+def style_tree(counts: DataFrame) -> DataFrame:
+    """host, path, kind, pages, importance of each node of each host's tree, from counted()."""
     per = counts.groupBy("host", "path").agg(
         F.max("kind").alias("kind"),
         F.sum(F.when(F.col("side") == 0, F.col("c"))).alias("pages"),
@@ -236,13 +283,16 @@ def style_tree(pages: DataFrame, html: str = "html", url: str = "url") -> DataFr
 
 def extract(pages: DataFrame, html: str = "html", url: str = "url", least: float = LEAST_IMPORTANCE, least_pages: int = LEAST_PAGES) -> DataFrame:
     """page_id, url, text, n_chars for each row of pages(page_id, url, html)."""
-    low = style_tree(pages, html, url).where((F.col("kind") == NONE) & (F.col("pages") >= least_pages) & (F.col("importance") < least))
-    cuts = materialize(low.groupBy("host").agg(F.collect_list("path").alias("cut")), "style-cuts")
+    counts = materialize(counted(pages, html, url), "style-counts")
+    low = style_tree(counts).where((F.col("kind") == NONE) & (F.col("pages") >= least_pages) & (F.col("importance") < least)).select("host", "path", "pages")
+    # content of one page is never common
+    common = counts.where("side = 1 and c > 1").join(low, ["host", "path"]).where(1 - F.log("c") / F.log("pages") < least)
+    cuts = materialize(common.groupBy("host").agg(F.collect_list(F.struct("path", F.col("value").alias("content"))).alias("cut")), "style-cuts")
 
     def run(batches):
         for b in batches:
             cols = [b.column(c).to_pylist() for c in ("html", "cut")]
-            texts = [page_text(t, frozenset(c or ())) if t else "" for t, c in zip(*cols, strict=True)]
+            texts = [page_text(t, frozenset((x["path"], x["content"]) for x in c or ())) if t else "" for t, c in zip(*cols, strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col(url).alias("url"), F.col(html).alias("html"), host(url).alias("host"))

@@ -39,6 +39,32 @@ def test_template_branches_are_cut_by_importance(spark):
     assert all(got[100 + i].text == "The same article" for i in range(12)) and got[200].text == "Welcome to the site"
 
 
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        ("<article><h2 id='how-to-share-a-form'>How</h2><p>a</p><section id='related-work'><h2 id='discussion'>Work</h2><p>b</p></section><div class='discussion'><p class='copyright'>c</p></div></article>", "How\n\na\n\nWork\n\nb\n\nc"),
+        ("<article class='post category-social tag-search'><p>a</p></article><div class='related-posts'>r</div>", "a"),
+        ("<div class='content with-sidebar'><p>a</p></div><div class='sidebar-left'>s</div><div id='footer'>f</div><ul class='share-buttons'><li>x</ul>", "a"),
+        ("<div class='content sidebar'><p>the only text</p></div><nav>n</nav>", "the only text"),
+        ("<div class='section' id='discussion'><h1>Discussion</h1><p>a</p></div>", "Discussion\n\na"),
+    ],
+)
+def test_names_don_t_take_the_article(html, text):
+    assert style_tree.page_text(html, frozenset()) == text
+
+
+def test_copies_on_a_host_keep_their_text(spark):
+    page = lambda text, menu="": f"<html><body><nav>{menu}</nav><div class='text'><p>{text}</p></div></body></html>"
+    rows = [(i, None, page("The copied text")) for i in range(10)]
+    rows += [(100 + i, "http://a.example/", page("The copied text" if i < 8 else f"Own text {i}")) for i in range(10)]
+    # copies that differ outside the text
+    rows += [(200 + i, "http://b.example/", page("The copied text" if i < 16 else f"Own text {i}", f"menu {i}")) for i in range(18)]
+    rows += [(300 + i, "http://c.example/", f"<nav>{i}</nav><article><h1>Title</h1><div class='body'><p>The copied text</p></div></article>") for i in range(12)]
+    got = {r.page_id: r.text for r in style_tree.extract(pages(spark, rows)).collect()}
+    own = {i: f"Own text {i % 100}" for i in (108, 109, 216, 217)}
+    assert got == {i: own.get(i, "Title\n\nThe copied text" if i >= 300 else "The copied text") for i, _, _ in rows}
+
+
 def test_edge_cases(spark):
     rows = [(1, None, "<p>a</p>"), (1, None, "<p>a</p>"), (2, "x", None), (None, "http://a/", ""), (3, "http://a/", "<p>" + "long " * 100_000)]
     got = style_tree.extract(pages(spark, rows)).collect()
