@@ -36,9 +36,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Removes repeated 400-byte strings; a document left empty goes. Bytes of a cut character go with it."""
-    rest = suffix_dedup.remove_repeats(docs, carry=["lang", "source"])
-    kept = rest.where("kept_text <> ''").withColumnRenamed("kept_text", "text")
+    """Removes repeated 400-byte strings; a document left empty goes. Bytes of a cut character go with it.
+
+    Documents that came in null or empty lost nothing: they stay as they are."""
+    rest = suffix_dedup.remove_repeats(docs.withColumn("no_text", F.col("text").isNull()), carry=["lang", "source", "no_text"])
+    kept = rest.where("n_removed = 0 or kept_text <> ''").withColumn("text", F.when(~F.col("carried.no_text"), F.col("kept_text")))
     return kept.select("doc_id", "text", "carried.lang", "carried.source", F.char_length("text").cast("long").alias("n_chars"))
 
 

@@ -77,3 +77,19 @@ def test_one_of_repeated_rows_survives(spark):
     one = cp.near_duplicates(spark, documents(spark, rows), "").cache()
     assert sorted((r.doc_id, r.text) for r in one.collect()) == sorted([(1, a), (2, b), (2, c)])
     assert sorted((r.doc_id, r.text) for r in cp.repeated_text(spark, one, "").collect()) == sorted([(1, a), (2, b), (2, c)])
+
+
+def test_rows_without_id_or_text(spark, tmp_path):
+    a, b, c, item = words(4), words(5), words(6), words(7, 30)
+    dirty = f"{words(8, 40)} {item} {words(9, 40)}"
+    rows = [(None, a), (None, a), (None, b), (7, b + " more"), (None, dirty), (8, None), (None, ""), (9, c), (9, f"{words(10, 40)} {item}")]
+    one = cp.near_duplicates(spark, documents(spark, rows), "").cache()
+    order = lambda rows: sorted(((r[0], r[1]) for r in rows), key=str)
+    want = [(None, a), (7, b + " more"), (None, dirty), (8, None), (None, ""), (9, c), rows[-1]]
+    assert order(one.collect()) == order(want)
+    rest = cp.repeated_text(spark, one, "").cache()
+    assert order(rest.collect()) == order(want)
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    clean = cp.benchmark_passages(spark, rest, str(tmp_path)).cache()
+    assert order(clean.collect()) == order([(None, a), (7, b + " more"), (8, None), (None, ""), (9, c)])
+    assert sorted((r.doc_id or 0, r.length) for r in cp.pack(spark, clean, "").collect() if r.doc_tokens == 1) == [(0, 1), (8, 1)]
