@@ -12,8 +12,10 @@ So that no text meets the whole corpus, the strings are first dealt to groups in
 3. Where an anchor has different contexts, one text of each is fetched, and the contexts, aligned at the anchor, go through
    the construction: a round takes the column of symbols before the current suffixes (the BWT column), reorders the suffixes
    stably by it, and renews the common prefixes from range minima of the last round's. Rounds: one for each aligned column.
-   Groups stream through a task in batches of bounded size. An anchor with more than `group_limit` different contexts
-   would not fit: its strings are counted by digest, one row each, combined before the shuffle.
+   Groups stream through a task in batches of bounded size.
+4. An anchor with more than `group_limit` different contexts is dealt to many tasks first: its strings are cut into segments of
+   neighbouring columns, and a segment's contexts are dealt by the window of bytes that all of its strings cover, so equal strings
+   still meet. Groups that stay large are cut again, into an eighth each time; a segment of one column holds equal strings only.
 The columns are arrays in memory instead of external files: a batch is bounded, and executors should keep nothing on local disk.
 
 Cases: null text is empty; texts under `length` bytes keep everything; equal rows repeat each other and both lose their text; null
@@ -23,6 +25,7 @@ ids are carried; an empty table gives no rows; further columns are ignored. Whol
 from __future__ import annotations
 
 import hashlib
+import struct
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +37,8 @@ from pyspark.sql import functions as F
 from .common import BASE, BYTE64, materialize, mix64, powers, text_bytes
 
 GRAM, PIECE = 64, 1 << 20
-BATCH_CONTEXTS, GROUP_LIMIT = 8192, 65_536
+BATCH_CONTEXTS, GROUP_LIMIT = 8192, 512
+PIECES = "g long, h long, c long, n long, first int, at int, k int, context binary"
 _inverse = np.uint64(pow(int(BASE), -1, 1 << 64))
 _inverses = np.ones(1, np.uint64)
 
@@ -92,21 +96,20 @@ def distinct(h, c, a, d, k) -> tuple[np.ndarray, ...]:
     return h[first], c[first], d[by][first], k[by][first], np.diff(np.append(first, len(h))), a[by]
 
 
-def repeated(rows: list[tuple[int, int, int, int, bytes]], length: int, gram: int = GRAM) -> np.ndarray:
-    """rows: (group, copies, distance of the anchor, strings, context), a group's rows together. Which strings, by their start
-    column (string 0 is column span - distance), repeat inside their group: a boolean matrix."""
-    span = length - gram
-    width = span + length
+def repeated(rows: list[tuple[int, int, int, bytes]], length: int, columns: int) -> np.ndarray:
+    """rows: (group, column of the first string, strings, context), in any order. Which strings, by their start column (of
+    `columns`), repeat inside their group: a boolean matrix."""
+    width = columns - 1 + length
     m = len(rows)
-    symbol = np.full((width + 1, m), 256, np.int64)  # 256 stands where a context doesn't reach
-    for i, (_, _, d, k, text) in enumerate(rows):
-        symbol[span - d : span - d + k - 1 + length, i] = np.frombuffer(text, np.uint8)
-    names, group = np.unique([r[0] for r in rows], return_inverse=True)
-    first = span - np.array([r[2] for r in rows])
-    last = first + np.array([r[3] for r in rows])
+    symbol = np.full((width + 1, m), 256, np.int16)  # 256 stands where a context doesn't reach
+    for i, (_, at, k, text) in enumerate(rows):
+        symbol[at : at + k - 1 + length, i] = np.frombuffer(text, np.uint8)
+    _, group = np.unique([r[0] for r in rows], return_inverse=True)
+    first = np.array([r[1] for r in rows])
+    last = first + np.array([r[2] for r in rows])
     order = np.argsort(group, kind="stable")
     common = np.zeros(m + 1, np.int64)
-    found = np.zeros((m, span + 1), bool)
+    found = np.zeros((m, columns), bool)
     for x in range(width - 1, -1, -1):
         bwt = group[order] * 257 + symbol[x, order]
         step = np.argsort(bwt, kind="stable")
@@ -117,13 +120,36 @@ def repeated(rows: list[tuple[int, int, int, int, bytes]], length: int, gram: in
         fresh = np.zeros(m + 1, np.int64)
         fresh[1:m][same] = low + 1
         order, common = order[step], fresh
-        if x <= span:
+        if x < columns:
             both = np.maximum(common[:m], common[1:]) >= length
             inside = (first[order] <= x) & (x < last[order])
             found[order[both & inside], x] = True
     return found
 
 
+def segments(length: int, step: int):
+    """Cuts pieces into those of `step` columns; g: the segment and the bytes that all its strings cover."""
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for g, h, c, n, first, at, k, text in zip(*(b.column(x).to_pylist() for x in ("g", "h", "c", "n", "first", "at", "k", "context")), strict=True):
+                for s in range(first - first % step, first + k, step):
+                    lo, hi = max(first, s), min(first + k, s + step)
+                    window = text[s + step - 1 - first : s + length - first]
+                    key = hashlib.blake2b(struct.pack("<qq", g, s) + window, digest_size=8).digest()
+                    out.append((int.from_bytes(key, "little", signed=True), h, c, n, lo - s, at + lo - first, hi - lo, text[lo - first : hi - 1 - first + length]))
+            for lo in range(0, len(out), 4000):
+                yield piece_batch(out[lo : lo + 4000])
+
+    return run
+
+
+def piece_batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (*[pa.int64()] * 4, *[pa.int32()] * 3, pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=["g", "h", "c", "n", "first", "at", "k", "context"])
+
+
 def ranges(flags: np.ndarray, first: int, count: int) -> list[int]:
     """Runs of true flags as start, end, start, end, ... from 0 at `first`."""
     return np.flatnonzero(np.diff(np.concatenate([[False], flags[first : first + count], [False]]).view(np.int8))).tolist()
@@ -164,67 +190,62 @@ def repeated_spans(docs: DataFrame, text: str = "text", length: int = 400, carry
             out = []
             for t, wanted in zip(b.column("text").to_pylist(), b.column("wanted").to_pylist(), strict=True):
                 t = unpack.decompress(t)
-                out += [(w["h"], w["c"], w["n"], w["d"], w["k"], w["kinds"], t[w["a"] : w["a"] + w["k"] - 1 + length]) for w in wanted]
+                out += [(w["h"], w["h"], w["c"], w["n"], span - w["d"], 0, w["k"], t[w["a"] : w["a"] + w["k"] - 1 + length]) for w in wanted]
             for lo in range(0, len(out), 4000):
-                cols = [pa.array([o[i] for o in out[lo : lo + 4000]], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary()))]
-                yield pa.RecordBatch.from_arrays(cols, names=["h", "c", "n", "d", "k", "kinds", "context"])
-
-    wanted = kinds.join(mixed, "h").groupBy("uid").agg(F.collect_list(F.struct("h", "c", "n", "a", "d", "k", "kinds")).alias("wanted"))
-    held = table.select("uid", "text").join(wanted, "uid").select("text", "wanted").mapInArrow(fetch, "h long, c long, n long, d int, k int, kinds long, context binary")
-
-    def construct(batches):
-        rows: list[tuple] = []
-
-        def emit(part):
-            found = repeated([(r[0], r[2], r[3], r[4], r[5]) for r in part], length)
-            out = [(r[0], r[1], [0, r[4]] if r[2] > 1 else ranges(f, span - r[3], r[4])) for r, f in zip(part, found, strict=True)]
-            out = [o for o in out if o[2]]
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.list_(pa.int32())))], names=["h", "c", "runs"])
-
-        for b in batches:
-            for r in zip(*(b.column(c).to_pylist() for c in ("h", "c", "n", "d", "k", "context")), strict=True):
-                if len(rows) >= batch and r[0] != rows[-1][0]:
-                    yield from emit(rows)
-                    rows = []
-                rows.append(r)
-        if rows:
-            yield from emit(rows)
-
-    runs_schema = "h long, c long, runs array<int>"
-    if mixed.where(F.col("kinds") > group_limit).isEmpty():
-        small, large = held, None
-    else:
-        held = materialize(held, "suffix-held")
-        small, large = held.where(F.col("kinds") <= group_limit), held.where(F.col("kinds") > group_limit)
-    dealt = small.repartition("h").sortWithinPartitions("h").select("h", "c", "n", "d", "k", "context").mapInArrow(construct, runs_schema)
-    verdicts = plain.union(dealt)
-    if large is not None:
-        verdicts = verdicts.union(_by_digest(large, length, runs_schema))
+                yield piece_batch(out[lo : lo + 4000])
+
+    def pieces(of: DataFrame) -> DataFrame:
+        wanted = kinds.join(of.select("h"), "h").groupBy("uid").agg(F.collect_list(F.struct("h", "c", "n", "a", "d", "k")).alias("wanted"))
+        return table.select("uid", "text").join(wanted, "uid").select("text", "wanted").mapInArrow(fetch, PIECES)
+
+    def construct(columns: int):
+        def run(batches):
+            rows: list[tuple] = []
+
+            def emit(part):
+                found = repeated([(r[0], r[4], r[6], r[7]) for r in part], length, columns)
+                out = [(r[1], r[2], [r[5], r[5] + r[6]] if r[3] > 1 else [r[5] + x for x in ranges(f, r[4], r[6])]) for r, f in zip(part, found, strict=True)]
+                out = [o for o in out if o[2]]
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.list_(pa.int32())))], names=["h", "c", "runs"])
+
+            for b in batches:
+                for r in zip(*(b.column(x).to_pylist() for x in ("g", "h", "c", "n", "first", "at", "k", "context")), strict=True):
+                    if len(rows) >= batch and r[0] != rows[-1][0]:
+                        yield from emit(rows)
+                        rows = []
+                    rows.append(r)
+            if rows:
+                yield from emit(rows)
+
+        return run
+
+    def built(groups: DataFrame, columns: int) -> DataFrame:
+        return groups.repartition("g").sortWithinPartitions("g").mapInArrow(construct(columns), "h long, c long, runs array<int>")
+
+    verdicts = plain.union(built(pieces(mixed.where(F.col("kinds") <= group_limit)), span + 1))
+    large, step = mixed.where(F.col("kinds") > group_limit), span + 1
+    hot = None if large.isEmpty() else pieces(large)
+    while hot is not None:
+        step = -(-step // 8)
+        parts = materialize(hot.mapInArrow(segments(length, step), PIECES), "suffix-parts")
+        met = materialize(parts.groupBy("g").agg(F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("copies")).where("copies > 1"), "suffix-met")
+        sized = parts.join(met.hint("merge"), "g")
+        alone = (F.col("kinds") == 1) | F.lit(step == 1)
+        verdicts = verdicts.union(sized.where(alone).select("h", "c", F.array("at", F.col("at") + F.col("k")).alias("runs")))
+        verdicts = verdicts.union(built(sized.where(~alone & (F.col("kinds") <= group_limit)).select(parts.columns), step))
+        still = F.lit(step > 1) & (F.col("kinds") > group_limit)
+        hot = None if met.where(still).isEmpty() else sized.where(still).select(parts.columns)
     verdicts = materialize(verdicts, "suffix-verdicts")
     spans = rows.select("uid", "h", "c", "a").join(verdicts, ["h", "c"]).select("uid", F.expr(f"flatten(transform(a, x -> transform(sequence(0, size(runs) - 1, 2), i -> struct(x + runs[i] as start, x + runs[i + 1] + {length - 1} as end))))").alias("spans"))
     spans = spans.groupBy("uid").agg(F.flatten(F.collect_list("spans")).alias("spans"))
     return table.select("uid", "doc_id", "carried", "text").join(spans, "uid", "left").select("doc_id", "carried", "text", "spans")
 
 
-def _by_digest(held: DataFrame, length: int, schema: str) -> DataFrame:
-    """The verdicts of anchors with very many contexts: a row for each string, by anchor, place and digest."""
-
-    def strings(batches):
-        for b in batches:
-            for h, c, n, d, k, text in zip(*(b.column(x).to_pylist() for x in ("h", "c", "n", "d", "k", "context")), strict=True):
-                dig = [hashlib.blake2b(text[i : i + length], digest_size=16).digest() for i in range(k)]
-                yield pa.RecordBatch.from_arrays([pa.array([h] * k, pa.int64()), pa.array([c] * k, pa.int64()), pa.array([n] * k, pa.int64()), pa.array(range(k), pa.int32()), pa.array([i - d for i in range(k)], pa.int32()), pa.array(dig, pa.binary())], names=["h", "c", "n", "i", "place", "digest"])
-
-    rows = materialize(held.mapInArrow(strings, "h long, c long, n long, i int, place int, digest binary"), "suffix-strings")
-    twice = rows.groupBy("h", "place", "digest").agg(F.sum("n").alias("times")).where("times > 1").select("h", "place", "digest")
-    hit = rows.join(twice, ["h", "place", "digest"]).groupBy("h", "c").agg(F.sort_array(F.collect_list("i")).alias("i"))
-    return hit.select("h", "c", F.flatten(F.transform("i", lambda i: F.array(i, i + 1))).alias("runs"))
-
-
-def remove_repeats(docs: DataFrame, text: str = "text", length: int = 400, carry: list[str] | None = None, **options) -> DataFrame:
+def remove_repeats(docs: DataFrame, text: str = "text", length: int = 400, carry: list[str] | None = None, least_words: int = 0, sure_bytes: int = 400, **options) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (the remaining bytes), kept_text (without the bytes of cut characters),
-    kept_sha256, carried (a struct of the columns of `carry`) for each row of docs(doc_id, text)."""
+    kept_sha256, carried (a struct of the columns of `carry`) for each row of docs(doc_id, text). A run of repeated strings of
+    less than `least_words` words and less than `sure_bytes` bytes stays."""
 
     def cut(batches):
         unpack = zstandard.ZstdDecompressor()
@@ -238,6 +259,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: int = 400, carry
                         merged[-1][1] = max(merged[-1][1], s[1])
                     else:
                         merged.append(list(s))
+                merged = [s for s in merged if s[1] - s[0] >= sure_bytes or len(t[s[0] : s[1]].split()) >= least_words]
                 edges = [0, *(e for s in merged for e in s), len(t)]
                 kept = b"".join(t[a:z] for a, z in zip(edges[::2], edges[1::2], strict=True))
                 whole = "".join(t[a:z].decode("utf-8", "ignore") for a, z in zip(edges[::2], edges[1::2], strict=True))

@@ -17,7 +17,7 @@ def corpus(seed):
     return out
 
 
-@pytest.mark.parametrize("options", [{}, {"batch": 3}, {"group_limit": 2}])
+@pytest.mark.parametrize("options", [{}, {"batch": 3}, {"group_limit": 1}])
 def test_brute_force(spark, options):
     texts = corpus(len(options) + 7)
     rows = suffix_dedup.remove_repeats(docs(spark, list(enumerate(texts))).repartition(3), length=80, **options).collect()
@@ -27,6 +27,24 @@ def test_brute_force(spark, options):
         assert (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) == want[r.doc_id]
 
 
+def test_a_hot_passage_among_many_contexts(spark):
+    rng = random.Random(4)
+    text = lambda n: "".join(rng.choice("abcé ") for _ in range(n))
+    line, tail = text(75), text(40)
+    texts = [f"{text(60)}{line}{rng.choice(['', tail])}{text(60)}" for _ in range(60)]
+    want = brute.remove_repeats(texts, 80)
+    for limit in (4,):
+        rows = suffix_dedup.remove_repeats(docs(spark, list(enumerate(texts))).repartition(3), length=80, group_limit=limit).collect()
+        assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in rows} == dict(enumerate(want))
+
+
+def test_short_runs_stay_by_their_words(spark):
+    run = " ".join(f"w{i:02}" for i in range(30))
+    texts = [f"a {run} b", f"c {run} d", "x" * 150 + "1", "x" * 150 + "2", f"e {run[:100]} f"]
+    rows = {r.doc_id: r.n_removed for r in suffix_dedup.remove_repeats(docs(spark, list(enumerate(texts))), length=80, least_words=28, sure_bytes=140).collect()}
+    assert rows == {0: 121, 1: 121, 2: 150, 3: 150, 4: 0}
+
+
 def test_contexts_cover_every_string_in_pieces():
     text = corpus(1)[0].encode() + b"z" * 300 + corpus(2)[3].encode()
     for piece in (37, 1 << 20):
