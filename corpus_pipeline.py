@@ -14,6 +14,7 @@ from stacklight.llm import decontaminate, mil, minhash, packing, suffix_dedup
 from stacklight.llm.common import documents, materialize
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+REPEAT_BYTES, PASSAGE_WORDS = 200, 50
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,10 +37,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Removes repeated 400-byte strings; a document left empty goes. Bytes of a cut character go with it.
+    """Removes passages that repeat: runs of repeated REPEAT_BYTES-byte strings that hold PASSAGE_WORDS words, or 400 bytes. All
+    copies go. A document left empty goes; bytes of a cut character go with it.
 
-    Documents that came in null or empty lost nothing: they stay as they are."""
-    rest = suffix_dedup.remove_repeats(docs.withColumn("no_text", F.col("text").isNull()), carry=["lang", "source", "no_text"])
+    REPEAT_BYTES is the least size of a passage of PASSAGE_WORDS words whose words have three letters in the mean; shorter ones
+    are missed. Shorter runs stay: phrases of that size are shared by clean texts. Documents that came in null or empty lost
+    nothing: they stay as they are."""
+    rest = suffix_dedup.remove_repeats(docs.withColumn("no_text", F.col("text").isNull()), length=REPEAT_BYTES, carry=["lang", "source", "no_text"], least_words=PASSAGE_WORDS)
     kept = rest.where("n_removed = 0 or kept_text <> ''").withColumn("text", F.when(~F.col("carried.no_text"), F.col("kept_text")))
     return kept.select("doc_id", "text", "carried.lang", "carried.source", F.char_length("text").cast("long").alias("n_chars"))
 
