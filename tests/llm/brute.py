@@ -37,8 +37,8 @@ def near_duplicates(docs, percent=75):
     return {d: (len(s), root(d)) for d, s in sets.items()}
 
 
-def remove_repeats(texts, length=400):
-    """texts: list of str or None -> [(n_bytes, n_removed, n_spans, kept)]"""
+def remove_repeats(texts, length=400, least_words=0):
+    """texts: list of str or None -> [(n_bytes, n_removed, n_spans, kept)]; runs under 400 bytes and least_words words stay"""
     raw = [(t or "").encode() for t in texts]
     seen = defaultdict(int)
     for b in raw:
@@ -50,6 +50,9 @@ def remove_repeats(texts, length=400):
         for i in range(len(b) - length + 1):
             if seen[hashlib.blake2b(b[i : i + length], digest_size=16).digest()] > 1:
                 gone[i : i + length] = b"\x01" * length
+        for run in re.finditer(rb"\x01+", bytes(gone)):
+            if run.end() - run.start() < 400 and len(b[run.start() : run.end()].split()) < least_words:
+                gone[run.start() : run.end()] = bytes(run.end() - run.start())
         out.append((len(b), sum(gone), len(re.findall(rb"\x01+", bytes(gone))), bytes(x for x, g in zip(b, gone, strict=True) if not g)))
     return out
 

@@ -14,10 +14,10 @@ def tables(spark, tmp_path_factory):
     d, rng = tmp_path_factory.mktemp("tables"), random.Random(8)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 8)))
     text = lambda n: " ".join(word() for _ in range(n))
-    shared, item = text(120), text(30)
+    shared, item, phrase, passage = text(120), text(30), text(45), text(51)
     rows = [(i, text(rng.randrange(10, 200)), "en", f"s{i % 3}", 0) for i in range(120)]
     rows += [(200 + i, " ".join(f"{word().upper()}!!" for _ in range(60)), "en", "s1", 0) for i in range(40)]
-    rows += [(300, rows[3][1], "en", "s0", 0), (301, rows[4][1] + " more", "en", "s0", 0), (302, f"{text(40)} {shared} {text(40)}", None, None, None), (303, f"{text(50)} {shared} {text(30)}", "de", "s2", 0), (304, f"{text(20)} {item} {text(20)}", "en", "s0", 0), (305, None, None, None, None)]
+    rows += [(300, rows[3][1], "en", "s0", 0), (301, rows[4][1] + " more", "en", "s0", 0), (302, f"{text(40)} {shared} {text(40)}", None, None, None), (306, f"{text(60)} {phrase} {text(50)}", "en", "s1", 0), (307, f"{text(50)} {phrase} {text(9)} {passage} {text(60)}", "en", "s1", 0), (308, f"{text(70)} {passage} {text(60)}", "en", "s1", 0), (303, f"{text(50)} {shared} {text(30)}", "de", "s2", 0), (304, f"{text(20)} {item} {text(20)}", "en", "s0", 0), (305, None, None, None, None)]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{d}/documents.parquet")
     spark.createDataFrame([(i, int(i < 200), 0) for i in [*range(100), *range(200, 230)]], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
     spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
@@ -29,7 +29,7 @@ def test_each_stage_by_brute_force(spark, tables):
     docs = spark.read.parquet(f"{d}/documents.parquet").select(cp.COLUMNS)
     kept = cp.quality(spark, docs, d).cache()
     ids = {r.doc_id for r in kept.collect()}
-    assert not ids & set(range(200, 240)) and len(ids & {*range(120), *range(300, 305)}) >= 120
+    assert not ids & set(range(200, 240)) and len(ids & {*range(120), *range(300, 309)}) >= 120
     assert kept.schema.simpleString() == docs.schema.simpleString()
 
     one = cp.near_duplicates(spark, kept, d).cache()
@@ -38,9 +38,12 @@ def test_each_stage_by_brute_force(spark, tables):
 
     rest = cp.repeated_text(spark, one, d).cache()
     before = one.collect()
-    want = {r.doc_id: x[3].decode(errors="ignore") for r, x in zip(before, brute.remove_repeats([r.text for r in before]), strict=True)}
+    want = {r.doc_id: x[3].decode(errors="ignore") for r, x in zip(before, brute.remove_repeats([r.text for r in before], cp.REPEAT_BYTES, cp.PASSAGE_WORDS), strict=True)}
     got = {r.doc_id: r for r in rest.collect()}
     assert {i: r.text for i, r in got.items()} == {i: t for i, t in want.items() if t}
+    given = {r[0]: (r[1] or "").split() for r in rows}
+    phrase, passage = " ".join(given[306][60:105]), " ".join(given[308][70:121])
+    assert all(phrase in got[i].text for i in (306, 307)) and not any(passage in got[i].text for i in (307, 308))
     assert all(r.n_chars == len(r.text) for r in got.values()) and got[302].source is None and len(got[303].text) < len(rows[163][1])
     assert rest.schema.simpleString() == docs.schema.simpleString()
 
