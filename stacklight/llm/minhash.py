@@ -9,8 +9,10 @@
    true link crosses clusters, no pairs are listed.
 4. Inside a cluster, links are found on the full sets with an inverted index over its shingles: expanding a document counts its
    shared shingles with all others at once. Union-find takes the smallest unfinished group first and stops when one is left, so
-   a large group of copies needs few expansions. Clusters over `cluster_shingles` don't fit a task: theirs go through rounds of
-   a bounded number of pivots, each round one distributed pass over the cluster.
+   a large group of copies needs few expansions. A cluster is verified in tiles: its classes are cut into blocks by set size
+   (sizes that differ by more than the similarity allows never link, so such blocks don't meet) and by hash, and a tile is a pair
+   of blocks. The tiles of a cluster are separate rows of the shuffle; a small cluster is one block and one tile. The links that
+   the tiles find, one spanning forest each, are joined by the components of step 3.
 
 Cases: null, empty and word-less texts have no shingles and link with nothing; texts of one to four words have one shingle; equal
 texts are one class; rows with one doc_id are one vertex, so their groups merge; rows with a null doc_id keep a null component,
@@ -21,6 +23,7 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -32,10 +35,10 @@ from .components import connected_components
 
 BANDS, ROWS = 48, 5
 GOLDEN = 0x9E3779B97F4A7C15
-#: Elements that are drawn for at a time, and shingles of a cluster that one task takes.
-BATCH, CLUSTER_SHINGLES = 4096, 12_000_000
-#: Pivots, and their shingles together, of one round for a larger cluster.
-PIVOTS, PIVOT_SHINGLES = 256, 4_000_000
+#: Elements that are drawn for at a time.
+BATCH = 4096
+#: What a class weighs besides its shingles; the least and the most weight of a block; blocks into which a cluster in between is cut.
+ROW_WEIGHT, LEAST_BLOCK, MOST_BLOCK, BLOCKS = 256, 32_768, 2_000_000, 24
 
 
 def superminhash(sets: list[np.ndarray], m: int) -> np.ndarray:
@@ -163,8 +166,30 @@ def exact_groups(ids: list[int], sets: list[np.ndarray], percent: int) -> list[i
     return [least[root(i)] for i in range(n)]
 
 
+def tiles(members: DataFrame, percent: int, least: int, most: int, blocks: int) -> DataFrame:
+    """members (cluster, rep, n, ...) with the keys of the tiles of each: an array, tile."""
+    # sizes of linked sets differ by a factor of 100 / percent at most, so by one size class
+    ratio = math.log(1.001 * 100 / percent)
+    rows = members.withColumn("size", F.floor(F.log(F.col("n").cast("double")) / ratio).cast("int"))
+    sizes = rows.groupBy("cluster", "size").agg(F.sum(F.col("n") + ROW_WEIGHT).alias("weight"))
+    plan = sizes.groupBy("cluster").agg(F.sum("weight").alias("weight"), F.map_from_entries(F.collect_list(F.struct("size", "weight"))).alias("sizes"))
+    block = F.least(F.greatest(F.col("weight") / blocks, F.lit(least)), F.lit(most))
+    plan = plan.where(F.col("weight") > least).select("cluster", F.transform_values("sizes", lambda _, w: F.ceil(w / block).cast("int")).alias("cut"))
+    plan = materialize(plan, "minhash-plan")
+    at = lambda size: F.coalesce(F.try_element_at("cut", size), F.lit(0))
+    own = F.pmod(F.xxhash64("rep"), F.greatest(at(F.col("size")), F.lit(1))).cast("int")
+    key = lambda size, x, other, y: F.xxhash64("cluster", size, x, other, y)
+    all_of = lambda n, f: F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), f)).otherwise(F.array().cast("array<bigint>"))
+    size = F.col("size")
+    same = all_of(at(size), lambda x: key(size, F.least(x, F.col("own")), size, F.greatest(x, F.col("own"))))
+    above = all_of(at(size + 1), lambda x: key(size, F.col("own"), size + 1, x))
+    below = all_of(at(size - 1), lambda x: key(size - 1, x, size, F.col("own")))
+    out = rows.join(plan.hint("merge"), "cluster", "left").withColumn("own", own)
+    return out.withColumn("tile", F.when(F.col("cut").isNull(), F.array(F.xxhash64("cluster"))).otherwise(F.concat(same, above, below))).drop("size", "cut", "own")
+
+
 def _groups(sets: DataFrame, percent: int) -> DataFrame:
-    """(cluster, rep, shingles binary) -> (a, b): ties of each class to the least of its component."""
+    """(tile, rep, shingles binary) -> (a, b): ties of each class to the least of its component in the tile."""
 
     def run(batches):
         now, ids, held = None, [], []
@@ -175,57 +200,18 @@ def _groups(sets: DataFrame, percent: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*pairs, strict=True)], names=["a", "b"])
 
         for b in batches:
-            for cluster, rep, s in zip(*(b.column(c).to_pylist() for c in ("cluster", "rep", "shingles")), strict=True):
-                if cluster != now:
+            for tile, rep, s in zip(*(b.column(c).to_pylist() for c in ("tile", "rep", "shingles")), strict=True):
+                if tile != now:
                     yield from emit()
-                    now, ids, held = cluster, [], []
+                    now, ids, held = tile, [], []
                 ids.append(rep)
                 held.append(np.frombuffer(s, np.uint64))
         yield from emit()
 
-    return sets.repartition("cluster").sortWithinPartitions("cluster", "rep").select("cluster", "rep", "shingles").mapInArrow(run, "a long, b long")
-
-
-def _pivot_rounds(sets: DataFrame, percent: int, pivots: int, pivot_shingles: int) -> DataFrame:
-    """As _groups, for clusters too large for a task: sets is read once a round, against a bounded number of pivots.
-
-    The pivots are unexpanded members of the smallest groups. It ends when no cluster has two groups with such members."""
-    spark = sets.sparkSession
-    ids = materialize(sets.select("cluster", "rep", "n"), "minhash-large")
-    links = spark.createDataFrame([], "a long, b long")
-    done = spark.createDataFrame([], "rep long")
-    while True:
-        comp = connected_components(links)
-        state = ids.join(comp, ids.rep == comp.id, "left").select("cluster", "rep", "n", F.coalesce("component", "rep").alias("comp"))
-        state = materialize(state.join(done.withColumn("expanded", F.lit(True)), "rep", "left"), "minhash-large")
-        groups = state.groupBy("cluster", "comp").agg(F.count(F.lit(1)).alias("size"), F.count_if(F.col("expanded").isNull()).alias("left"))
-        going = groups.where("left > 0").groupBy("cluster").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
-        chosen = state.where("expanded is null").join(going, "cluster", "left_semi").join(groups.select("cluster", "comp", "size"), ["cluster", "comp"]).orderBy("size", F.xxhash64("rep"), "rep").limit(pivots)
-        picked = chosen.select("rep", "n").collect()  # at most `pivots` rows
-        if not picked:
-            return links
-        total, take = 0, []
-        for r in picked:
-            total += r.n
-            if take and total > pivot_shingles:
-                break
-            take.append(r.rep)
-        held = [(r.cluster, r.rep, np.frombuffer(r.shingles, np.uint64)) for r in sets.where(F.col("rep").isin(take)).select("cluster", "rep", "shingles").collect()]
-
-        def run(batches, held=held):
-            for b in batches:
-                out = []
-                for cluster, rep, s in zip(*(b.column(c).to_pylist() for c in ("cluster", "rep", "shingles")), strict=True):
-                    s = np.frombuffer(s, np.uint64)
-                    out += [(rep, p) for k, p, x in held if k == cluster and p != rep and linked(len(np.intersect1d(s, x, assume_unique=True)), len(s), len(x), percent)]
-                yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
-
-        found = sets.select("cluster", "rep", "shingles").mapInArrow(run, "a long, b long")
-        links = materialize(links.union(found), "minhash-large")
-        done = materialize(done.union(spark.createDataFrame([(x,) for x in take], "rep long")), "minhash-large")
-
-
-def near_duplicates(docs: DataFrame, text: str = "text", width: int = 5, percent: int = 75, bands: int = BANDS, rows: int = ROWS, cluster_shingles: int = CLUSTER_SHINGLES, pivots: int = PIVOTS) -> DataFrame:
+    return sets.repartition("tile").sortWithinPartitions("tile", "rep").select("tile", "rep", "shingles").mapInArrow(run, "a long, b long")
+
+
+def near_duplicates(docs: DataFrame, text: str = "text", width: int = 5, percent: int = 75, bands: int = BANDS, rows: int = ROWS, least_block: int = LEAST_BLOCK, most_block: int = MOST_BLOCK, blocks: int = BLOCKS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of docs(doc_id, text)."""
     signed = materialize(signatures(docs, text, width, bands, rows), "minhash-signed")
     classes = signed.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
@@ -236,27 +222,23 @@ def near_duplicates(docs: DataFrame, text: str = "text", width: int = 5, percent
     ties = banded.join(hubs.hint("merge"), ["band", "key"]).where("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct()
     clusters = connected_components(ties)
     members = materialize(classes.select("digest", "rep", "n").join(clusters, classes.rep == clusters.id).select("digest", "rep", "n", F.col("component").alias("cluster")), "minhash-members")
+    dealt = materialize(tiles(members, percent, least_block, most_block, blocks).select("digest", "rep", "tile"), "minhash-tiles")
 
     def load(batches):
         for b in batches:
             out = []
-            for cluster, rep, want, t in zip(*(b.column(c).to_pylist() for c in ("cluster", "rep", "digest", "text")), strict=True):
+            for tile, rep, want, t in zip(*(b.column(c).to_pylist() for c in ("tile", "rep", "digest", "text")), strict=True):
                 s = shingle_hashes(t, width)
                 if digest(s) == want:
-                    out.append((cluster, rep, len(s), s.tobytes()))
+                    out.append((tile, rep, s.tobytes()))
             for lo in range(0, len(out), 1000):
                 part = out[lo : lo + 1000]
-                yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in part], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names=["cluster", "rep", "n", "shingles"])
+                yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in part], t) for i, t in enumerate((pa.list_(pa.int64()), pa.int64(), pa.binary()))], names=["tile", "rep", "shingles"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), text_bytes(text).alias("text"))
-    # the members grow with the corpus: merge joins at every size, never a broadcast
-    sets = lambda who: texts.join(who.hint("merge"), "rep").select("cluster", "rep", "digest", "text").mapInArrow(load, "cluster long, rep long, n long, shingles binary")
-    large = materialize(members.groupBy("cluster").agg(F.sum("n").alias("n")).where(F.col("n") > cluster_shingles).select("cluster"), "minhash-large")
-    if large.isEmpty():
-        links = _groups(sets(members), percent)
-    else:
-        links = _groups(sets(members.join(large, "cluster", "left_anti")), percent)
-        links = links.union(_pivot_rounds(materialize(sets(members.join(large, "cluster", "left_semi")), "minhash-large"), percent, pivots, PIVOT_SHINGLES))
+    # the members grow with the corpus: a merge join at every size, never a broadcast
+    sets = texts.join(dealt.hint("merge"), "rep").select("tile", "rep", "digest", "text").mapInArrow(load, "tile array<long>, rep long, shingles binary")
+    links = _groups(sets.select(F.explode("tile").alias("tile"), "rep", "shingles"), percent)
     # rows of one doc_id with different sets are one vertex
     found = connected_components(links)
     comp = classes.select("digest", "rep").join(found, classes.rep == found.id, "left").select("digest", F.coalesce("component", "rep").alias("of_class"))

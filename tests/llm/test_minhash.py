@@ -23,17 +23,19 @@ def corpus(n=60, seed=3):
     return list(enumerate(out, 10))
 
 
-def verify(spark, rows, **options):
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(docs(spark, rows).repartition(3), **options).collect()}
-    assert got == brute.near_duplicates(rows)
+def verify(spark, texts, **options):
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(docs(spark, texts).repartition(3), **options).collect()}
+    assert got == brute.near_duplicates(texts)
 
 
 def test_brute_force(spark):
     verify(spark, corpus())
 
 
-def test_clusters_too_large_for_a_task(spark):
-    verify(spark, corpus(24, 5), cluster_shingles=50, pivots=3)
+def test_clusters_in_tiles(spark):
+    # single words that all texts share tie them to a few clusters, with sets of one to hundreds of shingles
+    texts = corpus(36, 5) + [(1000 + i, " ".join(["same old line of words"] * 3 + [f"w{i // 2}", *"abcdefgh"[: i % 7]])) for i in range(30)]
+    verify(spark, texts, rows=1, least_block=1, most_block=700)
 
 
 def test_signature_estimates_similarity():
@@ -46,6 +48,14 @@ def test_signature_estimates_similarity():
     assert (minhash.superminhash([a], 240) == minhash.superminhash([a[:7], a], 240)[1]).all()
 
 
+def test_linked_sizes_meet_in_a_tile(spark):
+    n = list(range(1, 400, 3))
+    dealt = minhash.tiles(spark.createDataFrame([(7, i, x) for i, x in enumerate(n)], "cluster long, rep long, n long"), 75, 1, 4000, 6).collect()
+    tile = {r.rep: set(r.tile) for r in dealt}
+    assert all(tile[i] & tile[j] for i, x in enumerate(n) for j, y in enumerate(n) if i != j and min(x, y) >= 0.75 * max(x, y))
+    assert sum(bool(tile[i] & tile[j]) for i in tile for j in tile) < 0.6 * len(n) ** 2
+
+
 def test_exact_groups_chain():
     sets = [np.arange(i, i + 20, dtype=np.uint64) for i in range(0, 30, 2)] + [np.arange(500, 510, dtype=np.uint64)]
     assert minhash.exact_groups(list(range(16)), sets, 75) == [0] * 15 + [15]
