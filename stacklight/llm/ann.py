@@ -1,14 +1,21 @@
 """Approximate nearest neighbours by multi-index hashing.
 
 Codes: the sample's principal rotation, refined so that signs lose least (iterative quantisation), gives a bit for each rotated
-dimension. A code is cut into substrings, and each substring is indexed (its values, each with its codes). Two codes within
-radius r differ by at most floor(r / m) bits in one of m substrings, so probing all values that near, then testing the whole
-codes, retrieves every code within r. The candidates' distances are then computed on the original vectors.
-
-The index is cut into blocks of at most `block_rows` vectors, the queries likewise; each pair of blocks is searched on its own and
-gives at most k rows a query, so no bucket, however hot, is ever gathered, and copies of one vector cost their number once. The
-radius is the one that holds `target` of the true neighbours of sampled vectors within the sample (bounded by sample_rows); a
-query with fewer than k codes within it takes the nearest codes left, by a radius that grows until k are found.
+dimension. A code is cut into m substrings, and each substring is indexed (its values, each with its codes). Two codes within
+radius r differ by at most t_i bits in some substring i where the t_i add up to r - m + 1, so probing all values that near, then
+testing the whole codes, retrieves every code within r. Few near values are enumerated by their differences; where they are more
+than the block has, its values are tested instead. The candidates' distances are then computed on the original vectors.
+
+The index is cut into blocks of at most `block_rows` vectors, the queries likewise, and both are dealt to a grid of groups: an index
+block goes to the cells of its row, a query block to those of its column, so each pair meets in one cell and nothing is broadcast.
+With T cells, q queries and n vectors, sqrt(T q / n) columns keep the copies of both sides level. A cell holds its column's
+queries (`query_rows` in the mean at most) and streams index blocks, which give at most k rows a query each; so no bucket, however
+hot, is ever gathered, and copies of one vector cost their number once. The radius is the one that holds `target` of the true
+neighbours of sampled vectors within the sample (bounded by sample_rows); a query with fewer than k codes within it takes the
+nearest codes left, by a radius that grows until k are found.
+
+What the radius prunes depends on the vectors: where the nearest are hardly nearer than the rest, near codes are not rare and the
+probes visit most of them; share() measures it.
 
 Cases: vectors that are null, zero or hold null or non-finite components take no part; vectors of another length than the
 query's are no candidates; rows with the query's id are its own and no candidates; an id that queries twice queries with its
@@ -26,7 +33,11 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
-SAMPLE_ROWS, BLOCK_ROWS, QUERY_ROWS, SUBSTRING_BITS = 4096, 16_384, 2048, 16
+SAMPLE_ROWS, BLOCK_ROWS, QUERY_ROWS, SUBSTRING_BITS = 4096, 16_384, 32_768, 16
+#: Pairs of a query and a vector for one task.
+CELL_PAIRS = 2_000_000_000
+_differences = np.argsort(np.bitwise_count(np.arange(1 << SUBSTRING_BITS, dtype=np.uint32)), kind="stable").astype(np.uint16)
+_near = np.cumsum([math.comb(SUBSTRING_BITS, i) for i in range(SUBSTRING_BITS + 1)])
 
 
 class Codes:
@@ -66,16 +77,29 @@ class Block:
         self.codes, self.tables = codes, []
         for s in codes.T:
             order = np.argsort(s, kind="stable")
-            values, first = np.unique(s[order], return_index=True)
-            self.tables.append((values, np.append(first, len(s)), order))
+            values, first, count = np.unique(s[order], return_index=True, return_counts=True)
+            self.tables.append((values, first, count, order))
+
+    def probed(self, q: np.ndarray, radius: int) -> np.ndarray:
+        """Every row that some substring's probes visit."""
+        m, hit = self.codes.shape[1], np.zeros(len(self.codes), bool)
+        for i, ((values, first, count, order), part) in enumerate(zip(self.tables, q, strict=True)):
+            near = min((radius + 1 + i) // m - 1, SUBSTRING_BITS)  # these add up to radius - m + 1
+            if near < 0:
+                continue
+            if _near[near] < len(values):
+                wanted = _differences[: _near[near]] ^ part
+                at = np.searchsorted(values, wanted)
+                at = at[values[np.minimum(at, len(values) - 1)] == wanted]
+            else:
+                at = np.flatnonzero(np.bitwise_count(values ^ part) <= near)
+            n = count[at]
+            hit[order[np.repeat(first[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())]] = True
+        return np.flatnonzero(hit)
 
     def within(self, q: np.ndarray, radius: int) -> np.ndarray:
         """Every row whose code lies within the radius."""
-        near, hit = radius // self.codes.shape[1], np.zeros(len(self.codes), bool)
-        for (values, first, order), part in zip(self.tables, q, strict=True):
-            for v in np.flatnonzero(np.bitwise_count(values ^ part) <= near) if near < SUBSTRING_BITS else range(len(values)):
-                hit[order[first[v] : first[v + 1]]] = True
-        rows = np.flatnonzero(hit)
+        rows = self.probed(q, radius)
         return rows[Codes.hamming(q, self.codes[rows]) <= radius]
 
 
@@ -87,14 +111,14 @@ def usable(vectors: DataFrame, id_col: str, vector: str) -> DataFrame:
 
 
 def blocks(rows: DataFrame, size: int) -> DataFrame:
-    """(n, dim, ids, vectors): rows of one dimension, packed, at most `size` in a row."""
+    """(dim, ids, vectors): rows of one dimension, packed, at most `size` in a row."""
 
     def run(batches):
         held: dict[int, list] = {}
 
         def emit(dim):
             x = held.pop(dim)
-            return pa.RecordBatch.from_arrays([pa.array([len(x)], pa.int64()), pa.array([dim], pa.int64()), pa.array([np.array([i for i, _ in x], np.int64).tobytes()], pa.binary()), pa.array([np.array([v for _, v in x], np.float64).tobytes()], pa.binary())], names=["n", "dim", "ids", "vectors"])
+            return pa.RecordBatch.from_arrays([pa.array([dim], pa.int64()), pa.array([np.array([i for i, _ in x], np.int64).tobytes()], pa.binary()), pa.array([np.array([v for _, v in x], np.float64).tobytes()], pa.binary())], names=["dim", "ids", "vectors"])
 
         for b in batches:
             for i, v in zip(b.column("id").to_pylist(), b.column("v").to_pylist(), strict=True):
@@ -104,54 +128,80 @@ def blocks(rows: DataFrame, size: int) -> DataFrame:
         for dim in list(held):
             yield emit(dim)
 
-    return rows.select("id", "v").mapInArrow(run, "n long, dim long, ids binary, vectors binary")
+    return rows.select("id", "v").mapInArrow(run, "dim long, ids binary, vectors binary")
 
 
-def nearest(vectors: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", vector: str = "embedding", target: float = 0.99, sample_rows: int = SAMPLE_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """query_id, rank, vec_id, score: for each row where is_query (a function of the id column) holds, the k nearest found."""
-    rows = usable(vectors, id_col, vector)
-    models: dict[int, Codes] = {}
+def fit(rows: DataFrame, k: int, target: float, sample_rows: int) -> dict[int, Codes]:
+    """The codes of each dimension, from a bounded sample of usable vectors."""
     by_dim: dict[int, list] = {}
-    for r in rows.orderBy(F.xxhash64("id", F.lit(7)), "id").limit(sample_rows).collect():  # a bounded sample for the codes
+    for r in rows.orderBy(F.xxhash64("id", F.lit(7)), "id").limit(sample_rows).collect():
         by_dim.setdefault(len(r.v), []).append(r.v)
-    for dim, x in by_dim.items():
-        models[dim] = Codes(np.array(x), k, target)
+    return {dim: Codes(np.array(x), k, target) for dim, x in by_dim.items()}
+
+
+def share(vectors: np.ndarray, queries: np.ndarray, model: Codes) -> tuple[float, float]:
+    """The mean shares of the vectors that probing visits, and that lie within the radius."""
+    block = Block(model.encode(vectors))
+    codes = model.encode(queries)
+    return np.mean([len(block.probed(q, model.radius)) for q in codes]) / len(vectors), np.mean([len(block.within(q, model.radius)) for q in codes]) / len(vectors)
+
+
+def nearest(vectors: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", vector: str = "embedding", target: float = 0.95, sample_rows: int = SAMPLE_ROWS, block_rows: int = BLOCK_ROWS, query_rows: int = QUERY_ROWS, cell_pairs: int = CELL_PAIRS) -> DataFrame:
+    """query_id, rank, vec_id, score: for each row where is_query (a function of the id column) holds, the k nearest found."""
+    rows = usable(vectors, id_col, vector)
+    models = fit(rows, k, target, sample_rows)
     size = rows.agg(F.count(F.lit(1)).alias("n"), F.count_if(is_query(F.col("id"))).alias("q")).first()
     at_least = rows.sparkSession.sparkContext.defaultParallelism
-    index = materialize(blocks(rows.coalesce(max(at_least, math.ceil(size.n / block_rows))), block_rows), "ann-index")
-    asked = rows.where(is_query(F.col("id"))).groupBy("id").agg(F.min("v").alias("v")).coalesce(max(1, math.ceil(size.q / QUERY_ROWS)))
-    queries = materialize(blocks(asked, QUERY_ROWS).select("dim", F.col("ids").alias("query_ids"), F.col("vectors").alias("query_vectors")), "ann-queries")
+    cells = max(4 * at_least, math.ceil(size.n * size.q / cell_pairs))
+    columns = max(1, round(math.sqrt(cells * size.q / max(1, size.n))), math.ceil(size.q / query_rows))
+    lines = math.ceil(cells / columns)
+    # blocks small enough to occupy every core, dealt by what they hold
+    block_rows = min(block_rows, max(1024, math.ceil(size.n / (4 * at_least))))
+    packed = lambda df, size, n, side: materialize(blocks(df, size).select("dim", "ids", "vectors", F.pmod(F.xxhash64("ids"), F.lit(n)).cast("int").alias("group"), F.lit(side).alias("side")), "ann-blocks")
+    index = packed(rows, block_rows, lines, 1)
+    queries = packed(rows.where(is_query(F.col("id"))).groupBy("id").agg(F.min("v").alias("v")), query_rows, columns, 0)
 
     def search(batches):
-        held: tuple = (None, None)
+        cell, asked, held = None, [], []
         for b in batches:
-            cols = (b.column(c).to_pylist() for c in ("dim", "ids", "vectors", "query_dim", "query_ids", "query_vectors"))
-            for dim, ids, vecs, q_dim, q_ids, q_vecs in zip(*cols, strict=True):
-                if dim != q_dim:
-                    continue
-                model, raw = models.get(dim), ids
+            for now, side, dim, ids, vecs in zip(*(b.column(c).to_pylist() for c in ("cell", "side", "dim", "ids", "vectors")), strict=True):
+                if now != cell:
+                    cell, asked = now, []
                 ids, x = np.frombuffer(ids, np.int64), np.frombuffer(vecs, np.float64).reshape(-1, dim)
-                q_ids, q = np.frombuffer(q_ids, np.int64), np.frombuffer(q_vecs, np.float64).reshape(-1, dim)
-                if model and held[0] != raw:
-                    held = raw, Block(model.encode(x))
-                codes = model.encode(q) if model else None
-                out: list[tuple] = []
-                for i, own in enumerate(q_ids.tolist()):
-                    radius = model.radius if model else 0
-                    rows = held[1].within(codes[i], radius) if model else np.arange(len(ids))
-                    rows = rows[ids[rows] != own]
-                    want = min(k, int((ids != own).sum()))
-                    while len(rows) < want:  # too few codes in the radius: widen it
-                        radius += 4
-                        rows = held[1].within(codes[i], radius)
-                        rows = rows[ids[rows] != own]
-                    d = np.sqrt(((x[rows] - q[i]) ** 2).sum(1))
-                    best = np.lexsort((ids[rows], d))[:k]
-                    out += [(own, int(ids[rows[j]]), float(d[j])) for j in best]
-                yield pa.RecordBatch.from_arrays([pa.array([o[c] for o in out], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], names=["query_id", "vec_id", "score"])
-
-    # the stated query set against all rows, a pair of blocks at a time
-    pairs = index.crossJoin(queries.withColumnRenamed("dim", "query_dim"))
-    found = pairs.select("dim", "ids", "vectors", "query_dim", "query_ids", "query_vectors").mapInArrow(search, "query_id long, vec_id long, score double")
+                if side == 0:
+                    asked.append((dim, ids, x))
+                    continue
+                model = models.get(dim)
+                held = Block(model.encode(x)) if model else None
+                for _, q_ids, q in (a for a in asked if a[0] == dim):
+                    yield pa.RecordBatch.from_arrays([pa.array(o, t) for o, t in zip(_best(model, held, ids, x, q_ids, q, k), (pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["query_id", "vec_id", "score"])
+
+    spread = lambda df, cell, n: df.select(F.explode(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), cell)).alias("cell"), "side", "dim", "ids", "vectors")
+    both = spread(index, lambda c: F.col("group") * columns + c, columns).union(spread(queries, lambda r: r * columns + F.col("group"), lines))
+    found = both.repartition(cells, "cell").sortWithinPartitions("cell", "side").mapInArrow(search, "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _best(model: Codes | None, held: Block | None, ids: np.ndarray, x: np.ndarray, q_ids: np.ndarray, q: np.ndarray, k: int) -> tuple[list, list, list]:
+    """The k nearest found of one block for each query: query ids, vector ids, distances."""
+    out: tuple[list, list, list] = ([], [], [])
+    codes = model.encode(q) if model else None
+    for i, own in enumerate(q_ids.tolist()):
+        radius = model.radius if model else 0
+        rows = held.within(codes[i], radius) if model else np.arange(len(ids))
+        rows = rows[ids[rows] != own]
+        want = min(k, int((ids != own).sum()))
+        while len(rows) < want:  # too few codes in the radius: widen it
+            radius += 4
+            rows = held.within(codes[i], radius)
+            rows = rows[ids[rows] != own]
+        d = np.sqrt(((x[rows] - q[i]) ** 2).sum(1))
+        if len(d) > k:
+            few = np.flatnonzero(d <= np.partition(d, k - 1)[k - 1])
+            rows, d = rows[few], d[few]
+        best = np.lexsort((ids[rows], d))[:k]
+        out[0].extend([own] * len(best))
+        out[1].extend(ids[rows[best]].tolist())
+        out[2].extend(d[best].tolist())
+    return out

@@ -20,7 +20,7 @@ def test_recall_and_exact_scores(spark):
     x[50:80] = x[0]  # copies of a query's vector
     rows = [(i, v.tolist()) for i, v in enumerate(x)]
     got = {}
-    for r in ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3), lambda i: i % 100 == 0, block_rows=300).collect():
+    for r in ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3), lambda i: i % 100 == 0, block_rows=300, query_rows=7).collect():
         got.setdefault(r.query_id, []).append((r.rank, r.score, r.vec_id))
     want = brute(rows, 10)
     assert set(got) == set(want)
@@ -42,6 +42,16 @@ def test_every_code_within_the_radius_is_found():
             assert set(block.within(q, radius)) == set(np.flatnonzero(ann.Codes.hamming(q, codes) <= radius))
 
 
+def test_probes_visit_few_codes_of_clustered_vectors():
+    rng = np.random.default_rng(4)
+    x = (rng.normal(size=(200, 64))[rng.integers(0, 200, 8000)] + 0.1 * rng.normal(size=(8000, 64))).astype(float)
+    m = ann.Codes(x[:3000], 10, 0.95)
+    probed, near = ann.share(x, x[::100], m)
+    assert m.radius < 16 and near <= probed < 0.1
+    found = [len(set(np.argsort(((x - x[i]) ** 2).sum(1), kind="stable")[:11]) & set(ann.Block(m.encode(x)).within(m.encode(x[i : i + 1])[0], m.radius))) / 11 for i in range(0, 8000, 400)]
+    assert np.mean(found) >= 0.9
+
+
 @pytest.mark.parametrize("n", [0, 1, 4])
 def test_edge_cases(spark, n):
     rows = [(0, [1.0, 0.0]), (7, [0.5, 0.5]), (8, [0.5, 0.5]), (None, [1.0, 1.0])][:n]
