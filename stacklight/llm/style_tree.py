@@ -1,33 +1,37 @@
 """Main-text extraction by a site style tree.
 
-The DOMs of a host are merged: a node of the tree is a path of element labels (tag, classes, id without digits), and keeps,
-over the host's pages, how often each presentation (the sequence of child labels) and each content (a hash of the text below
-it) occurs. A node in m pages has
-    presentation importance  - sum p log_m p     over its presentations, and
-    content importance       1 - mean log_m c    over its pages, c being the pages that share the page's content,
-combined as (1 - GAMMA) * presentation + GAMMA * content; in one page only, both are 1. Equal pages of a host count once. Branches
-of low importance, the template's, are cut from the pages that show their common content (1 - log_m c is low too), but never where
-they hold all the text that a page has left, or half of what its article has. What lies in <article> or <main> directly is the
-article, however often its text occurs on the host, so mirrored articles survive; other branches inside them are judged by the tree.
-
-Branches that tag or role makes menus, headers, footers, sidebars, forms or dialogs are cut before. Names decide less: a class
-must consist of noise words and words of place ("notice-box", not "related-work" or "with-sidebar") and stand on a container
-(div, section, list, table), never on a heading, paragraph or <article>; inside an article only words that are no likely topic count.
-An id decides outside articles only, on a div, list or table, by words of a site's frame. If a page without <article> or <main>
-is left empty by its names, they decide nothing on it.
+The DOMs of a host are merged: a node of the tree is a path of element labels (tag, classes, id without digits), and keeps, over
+the host's pages, how often each presentation (the sequence of child labels) and each content (a hash of the branch) occurs. Equal
+pages of a host count once. A node in m pages has
+    presentation importance  p = - sum of q log_m q  over its presentations, q being their shares,
+    content importance       c = 1 - mean of log_m n over its different contents, n being the pages that show each,
+and importance c + (1 - c) GAMMA p; in one page only it is 1. Every different content counts once, so a text that many pages copy
+doesn't lower its node, while a template's few texts do. A host of few pages says little: the importance of a node is its mean, by
+pages, with that of the path in the tree of all hosts (ALL_PAGES pages at most) and with 1 (PRIOR_PAGES pages).
+
+One rule decides on every branch: importance times a weight, under LEAST, cuts it. Tags, roles and names give the weight: NOISE for
+menus, headers, footers, sidebars, forms, comments and the like; MAIN for what lies in <article> or <main> directly, so that it
+takes a very low importance to cut it; BESIDE for other branches of a page that has such an element; else 1. So the tree alone
+decides where names say nothing, and inside articles; names alone can cut (comments and related links differ from page to page as
+articles do, no entropy tells them apart). A branch is never cut where it holds an article, half of what the article has, or all
+the text that the page has left. Names decide with care: a class must consist of noise words and words of place ("notice-box", not
+"related-work" or "with-sidebar") and stand on a container (div, section, list, table), never on a heading, paragraph or <article>;
+inside an article only words that are no likely topic count. An id decides outside articles only, on a div, list or table, by words
+of a site's frame. If a page without <article> or <main> is left empty by its names, they decide nothing on it.
 
 Blocks are flushed at block-level tags; references are decoded, white space in a block (no-break spaces and <br> included)
 becomes one space, blocks are joined by an empty line.
 
-Cases: null and empty html give an empty text; null urls are one host; broken markup (unclosed tags and comments,
-stray end tags, unquoted attributes) is read leniently; repeated rows each get their text; an empty table gives no rows; further
-columns are ignored. Whole pages are read.
+Cases: null and empty html give an empty text; null urls are one host; broken markup (unclosed tags and comments, stray end
+tags, unquoted attributes) is read leniently, in time linear in the page however deep its elements lie; repeated rows each get their
+text; an empty table gives no rows; further columns are ignored. Whole pages are read.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import struct
 from functools import lru_cache
 from html import unescape
 
@@ -37,7 +41,8 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
-GAMMA, LEAST_IMPORTANCE, LEAST_PAGES = 0.9, 0.35, 8
+GAMMA, LEAST, ALL_PAGES, PRIOR_PAGES = 0.1, 0.85, 100, 25
+NOISE_WEIGHT, MAIN_WEIGHT, BESIDE_WEIGHT = 0.5, 1.5, 0.8
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
 ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
@@ -58,6 +63,9 @@ FRAME = frozenset("nav navbar navigation menu menubar breadcrumb breadcrumbs foo
 CONTAINERS = frozenset("div section aside ul ol dl table tbody tr td center details".split())
 MAIN = frozenset(("article", "main"))
 NONE, IS_MAIN, NOISE = 0, 1, 2
+ROOT_PATH = 0
+#: Of the polynomial hash of a sequence of texts.
+FACTOR, MASK = 0x9E3779B97F4A7C15, (1 << 64) - 1
 
 
 def named(names: list[str], words: frozenset[str]) -> bool:
@@ -85,17 +93,25 @@ def label(tag: str, attributes: str, inside: bool = False, names: bool = True) -
     return tag + marks + ("[main]" if role == "main" else ""), hard, soft
 
 
+def digest(b: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(b, digest_size=8).digest(), "little", signed=True)
+
+
 @lru_cache(65_536)
-def digest(s: str) -> int:
-    return int.from_bytes(hashlib.blake2b(s.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+def below(path: int, name: str) -> int:
+    """The path of a child with this label."""
+    return digest(struct.pack("<q", path) + name.encode("utf-8", "surrogatepass"))
 
 
 class Node:
-    __slots__ = ("children", "hard", "kind", "main", "path", "soft", "tag", "text")
+    """An element. block: the innermost element at block level, itself included; first, last: its texts in the page's list;
+    begin, end: the elements at block level from it to its last descendant."""
+
+    __slots__ = ("begin", "block", "children", "cut", "end", "first", "hard", "kind", "last", "main", "path", "soft", "tag", "up")
 
     def __init__(self, tag, name, up, hard, soft):
-        self.tag = tag
-        self.path = f"{up.path}/{name}" if up else name
+        self.tag, self.up = tag, up.block if up else None
+        self.path = below(up.path, name) if up else ROOT_PATH
         is_main = tag in MAIN or name.endswith("[main]")
         self.hard = hard or bool(up and up.hard)
         own_main = is_main and not self.hard
@@ -105,26 +121,42 @@ class Node:
         self.main = not self.hard and not self.soft and (own_main or inside)
         marked = "." in name or "#" in name
         self.kind = NOISE if self.hard or self.soft else IS_MAIN if self.main and (own_main or not marked and up.kind == IS_MAIN) else NONE
-        self.children, self.text = [], []
+        self.block = self if tag in BLOCK or up is None else up.block
+        self.children, self.cut = [], False
 
 
 def parse(html: str, names: bool = True) -> tuple[list[tuple[Node, str]], list[Node]]:
-    """The page's blocks (node, text) in order, and its block-level nodes."""
+    """The page's blocks (node, text) in order, and its elements at block level, parents first."""
     root = Node("#root", "", None, False, False)
     stack, nodes, out, buffer = [root], [], [], []
+    places: dict[str, list[int]] = {}  # where on the stack each tag is open
+    unclosed: set[str] = set()
 
     def flush():
         text = " ".join("".join(buffer).split())
         buffer.clear()
         if text:
-            node = next(n for n in reversed(stack) if n.tag in BLOCK or n is root)
             inner = stack[-1]
+            node = inner.block
             out.append((node if inner.hard == node.hard and inner.soft == node.soft else inner, text))
 
+    def push(node):
+        places.setdefault(node.tag, []).append(len(stack))
+        stack.append(node)
+        if node.block is node:
+            node.first, node.begin = len(out), len(nodes)
+            nodes.append(node)
+
     def close(i):
-        if any(n.tag in BLOCK for n in stack[i:]):
+        if any(n.block is n for n in stack[i:]):
             flush()
-        del stack[i:]
+        while len(stack) > i:
+            node = stack.pop()
+            places[node.tag].pop()
+            node.last, node.end = len(out), len(nodes)
+
+    def last(tags):
+        return max((places[t][-1] for t in tags if places.get(t)), default=0)
 
     at = 0
     while True:
@@ -141,111 +173,93 @@ def parse(html: str, names: bool = True) -> tuple[list[tuple[Node, str]], list[N
             continue
         tag = tag.lower()
         if end:
-            i = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == tag), 0)
-            if i:
+            if i := last((tag,)):
                 close(i)
             elif tag in BLOCK:
                 flush()
             continue
         if tag in RAW:
-            stop = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, at)
+            stop = None if tag in unclosed else re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, at)
+            if not stop:
+                unclosed.add(tag)
             at = stop.end() if stop else (len(html) if tag in ("script", "style", "textarea", "title") else at)
             continue
         if tag in BLOCK:
-            i = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == "p"), 0)
+            i = last(("p",))
             close(i) if i else flush()
         if tag in CLOSES:
             kinds, stops = CLOSES[tag]
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag in stops:
-                    break
-                if stack[i].tag in kinds:
-                    close(i)
-                    break
+            if (i := last(kinds)) > last(stops):
+                close(i)
         if tag in VOID:
             if tag == "br":
                 buffer.append(" ")
             continue
-        name, hard, soft = label(tag, attributes, stack[-1].main, names)
-        if tag not in BLOCK:
-            if buffer and (hard or soft):
-                # an inline branch that is noise ends the text before it without ending its block
-                stack.append(Node(tag, name, stack[-1], hard, soft))
-                continue
-            stack.append(Node(tag, name, stack[-1], hard, soft) if hard or soft or attributes else _inline(tag, stack[-1]))
-            continue
-        node = Node(tag, name, stack[-1], hard, soft)
-        next(n for n in reversed(stack) if n.tag in BLOCK or n is root).children.append(name)
-        stack.append(node)
-        nodes.append(node)
-        if attributes.rstrip().endswith("/") and tag in VOID:
-            stack.pop()
+        up = stack[-1]
+        name, hard, soft = label(tag, attributes, up.main, names)
+        if tag in BLOCK:
+            up.block.children.append(name)
+        push(Node(tag, name, up, hard, soft) if tag in BLOCK or hard or soft or attributes else _inline(tag, up))
     flush()
+    close(1)
     return out, nodes
 
 
 def _inline(tag: str, up: Node) -> Node:
     n = Node.__new__(Node)
-    n.tag, n.path, n.hard, n.soft, n.main, n.kind, n.children, n.text = tag, up.path, up.hard, up.soft, up.main, up.kind, [], []
+    n.tag, n.up, n.path, n.hard, n.soft, n.main, n.kind, n.block, n.children, n.cut = tag, up.block, up.path, up.hard, up.soft, up.main, up.kind, up.block, [], False
     return n
 
 
-def under(blocks: list[tuple[Node, str]], paths) -> dict[str, list[str]]:
-    """The texts below each of the paths."""
-    found: dict[str, list[str]] = {p: [] for p in paths}
-    for node, text in blocks:
-        path = node.path
-        while path:
-            if path in found:
-                found[path].append(text)
-            path = path.rpartition("/")[0]
+def contents(blocks: list[tuple[Node, str]], nodes: list[Node]) -> dict[int, list[int]]:
+    """Of each path: a hash of the texts below it."""
+    prefix = [0]
+    for _, text in blocks:
+        prefix.append((prefix[-1] * FACTOR + digest(text.encode("utf-8", "surrogatepass"))) & MASK)
+    power = [1]
+    for _ in blocks:
+        power.append(power[-1] * FACTOR & MASK)
+    found: dict[int, list[int]] = {}
+    for n in nodes:
+        found.setdefault(n.path, []).append((prefix[n.last] - prefix[n.first] * power[n.last - n.first]) & MASK)
     return found
 
 
-def content(texts: list[str]) -> int:
-    return digest("\n".join(texts))
-
-
-def page_nodes(html: str) -> list[tuple[int, int, int, int, int]]:
-    """The page's style nodes: page (the same for equal pages), path, presentation, content, kind (of undecided, article, noise
-    the greatest)."""
+def page_nodes(html: str) -> list[tuple[int, int, int, int]]:
+    """The page's style nodes: page (the same for equal pages), path, presentation, content."""
     blocks, nodes = parse(html)
-    shown: dict[str, list] = {}
+    shown: dict[int, dict[str, None]] = {}
     for n in nodes:
-        x = shown.setdefault(n.path, [[], NONE])
-        x[0].append(",".join(c for i, c in enumerate(n.children) if not i or n.children[i - 1] != c))
-        x[1] = max(x[1], n.kind)
-    texts = under(blocks, shown)
-    rows = [(digest(p), digest(";".join(dict.fromkeys(a))), content(texts[p]), k) for p, (a, k) in shown.items()]
-    page = digest(repr((rows, [t for _, t in blocks])))
+        runs = ",".join(c for i, c in enumerate(n.children) if not i or n.children[i - 1] != c)
+        shown.setdefault(n.path, {})[runs] = None
+    texts = contents(blocks, nodes)
+    rows = [(p, digest(";".join(a).encode("utf-8", "surrogatepass")), digest(repr(texts[p]).encode())) for p, a in shown.items()]
+    page = digest(repr((rows, [t for _, t in blocks])).encode("utf-8", "surrogatepass"))
     return [(page, *r) for r in rows]
 
 
-def page_text(html: str, cut: frozenset[tuple[int, int]]) -> str:
-    """The page's main text; cut: the paths of low importance on its host, each with a common content."""
+def page_text(html: str, importance: dict[int, float], least: float = LEAST) -> str:
+    """The page's main text; importance: of the paths of its host's tree, 1 for those left out."""
     blocks, nodes = parse(html)
-    mains = {n.path for n in nodes if n.main}
-    chosen = [(n, t) for n, t in blocks if n.kind != NOISE]
-    if not chosen and not mains:
-        return "\n\n".join(t for n, t in parse(html, names=False)[0] if n.kind != NOISE)
-    low = {p for p, _ in cut}
-    # a node that holds an article is never cut
-    paths = {n.path: n.main for n in nodes if n.kind == NONE and digest(n.path) in low and not any(m.startswith(n.path + "/") for m in mains)} if cut else {}
-    if paths:
-        texts = under(blocks, paths)
-        article = sum(len(t) for n, t in chosen if n.main)
-        paths = {p for p, main in paths.items() if (digest(p), content(texts[p])) in cut and not (main and 2 * sum(map(len, texts[p])) >= article)}
-
-    def kept(node):
-        path = node.path
-        while path and path not in paths:
-            path = path.rpartition("/")[0]
-        return not path
-
-    chosen = [x for x in chosen if kept(x[0])] or chosen
-    if any(n.main for n, _ in chosen):
-        chosen = [(n, t) for n, t in chosen if n.main]
-    return "\n\n".join(t for _, t in chosen)
+    size, mains = [0], [0]
+    for n, t in blocks:
+        size.append(size[-1] + len(t) * (n.kind != NOISE))
+    for n in nodes:
+        mains.append(mains[-1] + n.main)
+    article = sum(len(t) for n, t in blocks if n.main)
+    for n in nodes:
+        weight = NOISE_WEIGHT if n.kind == NOISE else MAIN_WEIGHT if n.kind == IS_MAIN else BESIDE_WEIGHT if mains[-1] and not n.main else 1.0
+        low = importance.get(n.path, 1.0) * weight < least
+        holds = mains[n.end] > mains[n.begin] if not n.main else 2 * (size[n.last] - size[n.first]) >= article
+        n.cut = bool(n.up and n.up.cut) or (low and (n.kind == NOISE or not holds))
+    beside = BESIDE_WEIGHT < least and mains[-1]
+    chosen = [t for n, t in blocks if not n.block.cut and n.kind != NOISE and (n.main or not beside)]
+    if not chosen:
+        # all is of low importance: what names don't cut stays
+        chosen = [t for n, t in blocks if n.kind != NOISE and (n.main or not article)]
+    if not chosen and not mains[-1]:
+        chosen = [t for n, t in parse(html, names=False)[0] if n.kind != NOISE]
+    return "\n\n".join(chosen)
 
 
 def host(url: str = "url"):
@@ -253,47 +267,51 @@ def host(url: str = "url"):
 
 
 def counted(pages: DataFrame, html: str = "html", url: str = "url") -> DataFrame:
-    """host, path, side, value, c, kind: in how many different pages of the host the node shows each presentation (side 0) and
-    each content (side 1)."""
+    """host, path, side, value, n: in how many different pages of the host the node shows each presentation (side 0) and each
+    content (side 1)."""
 
     def run(batches):
         for b in batches:
             rows = [(h, *n) for h, t in zip(b.column("host").to_pylist(), b.column("html").to_pylist(), strict=True) if t for n in page_nodes(t)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), *[pa.int64()] * 4, pa.int32()))], names=["host", "page", "path", "shown", "content", "kind"])
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), *[pa.int64()] * 4))], names=["host", "page", "path", "shown", "content"])
 
-    nodes = pages.select(host(url).alias("host"), F.col(html).alias("html")).mapInArrow(run, "host string, page long, path long, shown long, content long, kind int").distinct()
+    nodes = pages.select(host(url).alias("host"), F.col(html).alias("html")).mapInArrow(run, "host string, page long, path long, shown long, content long").distinct()
     # two counts by one aggregation
-    sides = nodes.select("host", "path", "kind", F.inline(F.array(F.struct(F.lit(0).alias("side"), F.col("shown").alias("value")), F.struct(F.lit(1).alias("side"), F.col("content").alias("value")))))
-    return sides.groupBy("host", "path", "side", "value").agg(F.count(F.lit(1)).alias("c"), F.max("kind").alias("kind"))
+    sides = nodes.select("host", "path", F.inline(F.array(F.struct(F.lit(0).alias("side"), F.col("shown").alias("value")), F.struct(F.lit(1).alias("side"), F.col("content").alias("value")))))
+    return sides.groupBy("host", "path", "side", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
-def style_tree(counts: DataFrame) -> DataFrame:
-    """host, path, kind, pages, importance of each node of each host's tree, from counted()."""
-    per = counts.groupBy("host", "path").agg(
-        F.max("kind").alias("kind"),
-        F.sum(F.when(F.col("side") == 0, F.col("c"))).alias("pages"),
-        F.sum(F.when(F.col("side") == 0, F.col("c") * F.log("c")).otherwise(0.0)).alias("shown"),
-        F.sum(F.when(F.col("side") == 1, F.col("c") * F.log("c")).otherwise(0.0)).alias("content"),
-    )
+def merged(counts: DataFrame, *by: str) -> DataFrame:
+    """by, pages, importance of each node of the trees that counts (by, side, value, n) give."""
+    shown, content, n = F.col("side") == 0, F.col("side") == 1, F.col("n")
+    per = counts.groupBy(*by).agg(F.sum(F.when(shown, n)).alias("pages"), F.sum(F.when(shown, n * F.log("n")).otherwise(0.0)).alias("p"), F.avg(F.when(content, F.log("n"))).alias("c"))
     m, lm = F.col("pages"), F.log("pages")
-    # - sum p log_m p = 1 - sum c ln c / (m ln m)
-    part = lambda s: F.when(m > 1, 1 - F.col(s) / (m * lm)).otherwise(1.0)
-    return per.select("host", "path", "kind", "pages", ((1 - GAMMA) * part("shown") + GAMMA * part("content")).alias("importance"))
+    # - sum q log_m q = 1 - sum n ln n / (m ln m)
+    p, c = F.when(m > 1, 1 - F.col("p") / (m * lm)).otherwise(1.0), F.when(m > 1, 1 - F.col("c") / lm).otherwise(1.0)
+    return per.select(*by, "pages", (c + (1 - c) * GAMMA * p).alias("importance"))
+
+
+def style_tree(counts: DataFrame) -> DataFrame:
+    """host, path, importance of each node of each host's tree, from counted(), backed by the tree of all hosts."""
+    own = merged(counts, "host", "path")
+    every = merged(counts.groupBy("path", "side", "value").agg(F.sum("n").alias("n")), "path")
+    every = materialize(every.select("path", F.col("pages").alias("all_pages"), F.col("importance").alias("all")), "style-all")
+    m, a = F.col("pages"), F.least(F.lit(ALL_PAGES), F.col("all_pages") - F.col("pages"))
+    mean = (m * F.col("importance") + a * F.col("all") + F.lit(PRIOR_PAGES)) / (m + a + F.lit(PRIOR_PAGES))
+    return own.join(every, "path").select("host", "path", mean.alias("importance"))
 
 
-def extract(pages: DataFrame, html: str = "html", url: str = "url", least: float = LEAST_IMPORTANCE, least_pages: int = LEAST_PAGES) -> DataFrame:
+def extract(pages: DataFrame, html: str = "html", url: str = "url", least: float = LEAST) -> DataFrame:
     """page_id, url, text, n_chars for each row of pages(page_id, url, html)."""
     counts = materialize(counted(pages, html, url), "style-counts")
-    low = style_tree(counts).where((F.col("kind") == NONE) & (F.col("pages") >= least_pages) & (F.col("importance") < least)).select("host", "path", "pages")
-    # content of one page is never common
-    common = counts.where("side = 1 and c > 1").join(low, ["host", "path"]).where(1 - F.log("c") / F.log("pages") < least)
-    cuts = materialize(common.groupBy("host").agg(F.collect_list(F.struct("path", F.col("value").alias("content"))).alias("cut")), "style-cuts")
+    low = style_tree(counts).where(F.col("importance") < least)
+    trees = materialize(low.groupBy("host").agg(F.collect_list(F.struct("path", "importance")).alias("tree")), "style-trees")
 
     def run(batches):
         for b in batches:
-            cols = [b.column(c).to_pylist() for c in ("html", "cut")]
-            texts = [page_text(t, frozenset((x["path"], x["content"]) for x in c or ())) if t else "" for t, c in zip(*cols, strict=True)]
+            cols = [b.column(c).to_pylist() for c in ("html", "tree")]
+            texts = [page_text(t, {x["path"]: x["importance"] for x in c or ()}, least) if t else "" for t, c in zip(*cols, strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col(url).alias("url"), F.col(html).alias("html"), host(url).alias("host"))
-    return rows.join(cuts, "host", "left").select("page_id", "url", "html", "cut").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return rows.join(trees, "host", "left").select("page_id", "url", "html", "tree").mapInArrow(run, "page_id long, url string, text string, n_chars long")

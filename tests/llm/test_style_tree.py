@@ -1,3 +1,8 @@
+import math
+import random
+import time
+from collections import Counter, defaultdict
+
 import pytest
 
 from stacklight.llm import style_tree
@@ -20,7 +25,7 @@ from stacklight.llm import style_tree
     ],
 )
 def test_page_text(html, text):
-    assert style_tree.page_text(html, frozenset()) == text
+    assert style_tree.page_text(html, {}) == text
 
 
 SCHEMA = "page_id long, url string, html string, host int"
@@ -33,7 +38,7 @@ def pages(spark, rows):
 def test_template_branches_are_cut_by_importance(spark):
     rows = [(i, f"http://H.example/{i}", f"<div class='top x{i}'>Welcome to the site</div><div class='body'><p>Own text {i} of the page</p></div>") for i in range(12)]
     rows += [(100 + i, f"http://mirror.example/{i}", "<article><p>The same article</p></article>") for i in range(12)]
-    rows += [(200, "http://small.example/", "<div class='top x'>Welcome to the site</div>")]
+    rows += [(200, "http://small.example/", "<section class='top x'>Welcome to the site</section>")]
     got = {r.page_id: r for r in style_tree.extract(pages(spark, rows)).collect()}
     assert all(got[i].text == f"Own text {i} of the page" and got[i].n_chars == len(got[i].text) for i in range(12))
     assert all(got[100 + i].text == "The same article" for i in range(12)) and got[200].text == "Welcome to the site"
@@ -50,7 +55,7 @@ def test_template_branches_are_cut_by_importance(spark):
     ],
 )
 def test_names_don_t_take_the_article(html, text):
-    assert style_tree.page_text(html, frozenset()) == text
+    assert style_tree.page_text(html, {}) == text
 
 
 def test_copies_on_a_host_keep_their_text(spark):
@@ -65,6 +70,71 @@ def test_copies_on_a_host_keep_their_text(spark):
     assert got == {i: own.get(i, "Title\n\nThe copied text" if i >= 300 else "The copied text") for i, _, _ in rows}
 
 
+def template_site(hosts, per_host, seed=5):
+    """Pages whose tags and names say nothing: (page_id, url, html, article). Menu, advert and foot come from a few texts."""
+    rng = random.Random(seed)
+    words = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 7))) for _ in range(n))
+    menus, adverts = [[words(1) for _ in range(6)] for _ in range(8)], [words(9) for _ in range(8)]
+    rows = []
+    for h in range(hosts):
+        for i in range(per_host):
+            title, paragraphs = words(5), [words(rng.randrange(4, 40)) for _ in range(rng.randrange(1, 6))]
+            menu = "".join(f"<li><a href='/{w}'>{w}</a></li>" for w in rng.choice(menus))
+            body = "".join(f"<p>{p}</p>" for p in paragraphs)
+            html = f"<html><body><div class='z{i}'><ul>{menu}</ul></div><div class='q'>{rng.choice(adverts)}</div><h1>{title}</h1>{body}<div class='y'>h{h} {rng.choice(adverts)}</div></body></html>"
+            rows.append((h * 1000 + i, f"http://h{h}.example/{i}", html, "\n\n".join([title, *paragraphs])))
+    return rows
+
+
+def test_the_tree_alone_finds_the_article(spark):
+    rows = template_site(4, 30)
+    got = {r.page_id: r.text for r in style_tree.extract(pages(spark, [r[:3] for r in rows])).collect()}
+    assert got == {r[0]: r[3] for r in rows}
+
+
+def test_a_small_host_is_judged_by_the_tree_of_all(spark):
+    rows = template_site(12, 12, 6)
+    own = f"<html><body><div class='z'><ul><li>{'</li><li>'.join(['one', 'two'])}</li></ul></div><h1>title</h1><p>body</p></body></html>"
+    got = {r.page_id: r.text for r in style_tree.extract(pages(spark, [r[:3] for r in rows] + [(-1, "http://new.example/", own)])).collect()}
+    assert got[-1] == "title\n\nbody"
+
+
+def test_importance_by_brute_force(spark):
+    rows = [r[:3] for r in template_site(3, 9, 7)]
+    rows += [(5000 + i, "http://h0.example/x", rows[0][2]) for i in range(4)]  # equal pages count once
+    seen = defaultdict(set)
+    for _, url, html in rows:
+        for page, path, shown, content in style_tree.page_nodes(html):
+            seen[url.split("/")[2], path].add((page, shown, content))
+
+    def value(nodes):
+        m = len(nodes)
+        if m == 1:
+            return 1.0
+        p = -sum(n / m * math.log(n / m, m) for n in Counter(s for _, s, _ in nodes).values())
+        counts = Counter(c for _, _, c in nodes).values()
+        c = 1 - sum(math.log(n, m) for n in counts) / len(counts)
+        return c + (1 - c) * style_tree.GAMMA * p
+
+    every = defaultdict(list)
+    for (_, path), nodes in seen.items():
+        every[path] += nodes
+    want = {}
+    for (h, path), nodes in seen.items():
+        a = min(style_tree.ALL_PAGES, len(every[path]) - len(nodes))
+        want[h, path] = (len(nodes) * value(nodes) + a * value(every[path]) + style_tree.PRIOR_PAGES) / (len(nodes) + a + style_tree.PRIOR_PAGES)
+    got = {(r.host, r.path): r.importance for r in style_tree.style_tree(style_tree.counted(pages(spark, rows))).collect()}
+    assert got == pytest.approx(want)
+
+
+def test_deep_pages_take_linear_time():
+    deep = "<div class=x>" * 70_000 + "text"
+    began = time.time()
+    assert style_tree.page_text(deep, {}) == "text" and len(style_tree.page_nodes(deep)) == 70_000
+    assert style_tree.page_text("<p><b>" * 50_000 + "x" + "<svg>" * 50_000, {}) == "x"
+    assert time.time() - began < 60
+
+
 def test_edge_cases(spark):
     rows = [(1, None, "<p>a</p>"), (1, None, "<p>a</p>"), (2, "x", None), (None, "http://a/", ""), (3, "http://a/", "<p>" + "long " * 100_000)]
     got = style_tree.extract(pages(spark, rows)).collect()
