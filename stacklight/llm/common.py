@@ -49,6 +49,13 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def slices(batches, rows: int = 512):
+    """The batches in parts of few rows, so that a worker holds little beside the batch itself."""
+    for b in batches:
+        for lo in range(0, b.num_rows, rows):
+            yield b.slice(lo, rows)
+
+
 def text_bytes(text: str = "text"):
     """UTF-8 bytes of a text, null as empty."""
     return F.coalesce(F.col(text).cast("binary"), F.lit(b""))

@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASE, BYTE64, materialize, mix64, powers, text_bytes
+from .common import BASE, BYTE64, materialize, mix64, powers, slices, text_bytes
 
 GRAM, PIECE = 64, 1 << 20
 BATCH_CONTEXTS, GROUP_LIMIT = 8192, 512
@@ -131,7 +131,7 @@ def segments(length: int, step: int):
     """Cuts pieces into those of `step` columns; g: the segment and the bytes that all its strings cover."""
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             out = []
             for g, h, c, n, first, at, k, text in zip(*(b.column(x).to_pylist() for x in ("g", "h", "c", "n", "first", "at", "k", "context")), strict=True):
                 for s in range(first - first % step, first + k, step):
@@ -162,7 +162,7 @@ def repeated_spans(docs: DataFrame, text: str = "text", length: int = 400, carry
 
     def index(batches):
         part, n, pack = TaskContext.get().partitionId(), 0, zstandard.ZstdCompressor(level=3)
-        for b in batches:
+        for b in slices(batches):
             uid, texts, found = [], [], []
             for t in b.column("text").to_pylist():
                 found.append(distinct(*contexts(t, length)))
@@ -186,7 +186,7 @@ def repeated_spans(docs: DataFrame, text: str = "text", length: int = 400, carry
 
     def fetch(batches):
         unpack = zstandard.ZstdDecompressor()
-        for b in batches:
+        for b in slices(batches):
             out = []
             for t, wanted in zip(b.column("text").to_pylist(), b.column("wanted").to_pylist(), strict=True):
                 t = unpack.decompress(t)
@@ -249,7 +249,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: int = 400, carry
 
     def cut(batches):
         unpack = zstandard.ZstdDecompressor()
-        for b in batches:
+        for b in slices(batches):
             out = []
             for doc, t, spans in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "spans")), strict=True):
                 t = unpack.decompress(t)
