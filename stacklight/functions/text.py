@@ -9,11 +9,18 @@ from pyspark.sql import functions as F
 
 #: Language codes that say nothing, in natural order (fixed values).
 NO_LANGUAGES = ["mis", "mul", "sgn", "und", "xxx", "zxx"]
-#: Latin letters with a canonical decomposition to a base letter, and those base letters.
-_ACCENTED = [chr(c) for c in range(0xC0, 0x180) if len(unicodedata.normalize("NFD", chr(c))) > 1]
+#: Articles that a canonical key leaves out, in natural order (fixed values).
+ARTICLES = ["the", "a", "an", "le", "la", "les", "un", "une", "des"]
+#: Latin, Greek and Cyrillic letters with a canonical decomposition to a base letter, and those base letters.
+_ACCENTED = [chr(c) for lo, hi in ((0xC0, 0x250), (0x370, 0x500), (0x1E00, 0x2000)) for c in range(lo, hi) if len(unicodedata.normalize("NFD", chr(c))) > 1 and unicodedata.category(chr(c)) == "Ll"]
 _BASES = [unicodedata.normalize("NFD", c)[0] for c in _ACCENTED]
 
 
+#: Designations of character sets and other escapes of ISO 2022, and what XML 1.0 forbids (fixed values).
+ESCAPES = r"""\x1b(?:\$?[()*+][A-Za-z0-9!"#$%&'-]|[@-_])"""
+ILLEGAL = r"[\x00-\x08\x0b\x0c\x0e-\x1f]"
+
+
 def nullify(c: Column) -> Column:
     """Empty as null."""
     return F.when(c != "", c)
@@ -95,7 +102,7 @@ def searchable_authors(authors: Column) -> Column:
 def canonical_key(title: Column, authors: Column) -> Column:
     """A key that editions of one work share: title without punctuation and leading article, and the first author."""
     plain = lambda c: F.trim(F.regexp_replace(F.regexp_replace(F.lower(c), r"(?U)[^\w\s]", " "), r"(?U)\s+", " "))
-    bare = F.regexp_replace(plain(title), r"^(the|a|an|le|la|les|l|un|une|des) ", "")
+    bare = F.regexp_replace(plain(F.coalesce(title, F.lit(""))), f"^({'|'.join(ARTICLES)}) ", "")
     return F.concat(bare, F.lit("|"), plain(F.coalesce(F.get(authors, F.lit(0)), F.lit(""))))
 
 
@@ -111,6 +118,32 @@ def clip_each(c: Column, n: int) -> Column:
     return F.transform(c, lambda x: F.left(x, F.lit(n)))
 
 
+def is_current(back: Column) -> Column:
+    """Whether a loan is still out."""
+    return back.isNull()
+
+
+def iso_time(c: Column) -> Column:
+    """A timestamp as ISO 8601 in UTC, null as null."""
+    return F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss")
+
+
+def or_empty(c: Column, trimmed: bool = False) -> Column:
+    """A null array as an empty one, its strings trimmed on request."""
+    full = F.coalesce(c, F.array().cast("array<string>"))
+    return F.transform(full, lambda x: F.trim(x)) if trimmed else full
+
+
+def pair_linked(links: Column) -> Column:
+    """An array of linkage values of 880 fields -> map from "tag-occurrence" to the place of the first field that links there;
+    malformed and standalone ones are left out."""
+    at = F.transform(links, lambda x, i: F.struct(parse_linkage(x).alias("l"), i.alias("i")))
+    good = F.filter(at, lambda x: x["l"].isNotNull() & ~x["l"]["standalone"])
+    keyed = F.transform(good, lambda x: F.struct(F.concat_ws("-", x["l"]["tag"], x["l"]["occurrence"]).alias("key"), x["i"].alias("value")))
+    first = F.filter(keyed, lambda x, i: ~F.exists(F.slice(keyed, F.lit(1), i), lambda y: y["key"] == x["key"]))
+    return F.map_from_entries(first)
+
+
 def days_held(out: Column, back: Column) -> Column:
     return (F.unix_timestamp(back) - F.unix_timestamp(out)) / 86400
 
@@ -164,7 +197,7 @@ def forename(name: Column) -> Column:
 def article_length(title: Column, language: Column) -> Column:
     """Characters of a leading article with its space, by language."""
     pattern = F.when(language == "eng", "^(the|an|a) ").when(language == "fre", "^(l['’]|le |la |les |un |une |des )").when(language == "ger", "^(der|die|das|ein|eine) ").when(language == "spa", "^(el|la|los|las|un|una) ")
-    return F.when(pattern.isNotNull(), F.length(F.regexp_substr(F.lower(title), pattern))).otherwise(0)
+    return F.coalesce(F.length(F.regexp_substr(F.lower(title), pattern)), F.lit(0))
 
 
 def first_accepted(paths: Column, accepted: list[str]) -> Column:
@@ -183,10 +216,11 @@ def is_latin(c: Column) -> Column:
 
 
 def prefer_script(primary: Column, alternate: Column) -> Column:
-    """(embed, search): the non-Latin form is embedded, both are searched; ties keep the primary."""
-    alt = nullify(F.coalesce(alternate, F.lit("")))
-    embed = F.when(alt.isNotNull() & is_latin(primary) & ~is_latin(alt), alt).otherwise(primary)
-    return F.struct(embed.alias("embed"), F.concat_ws(" ", primary, alt).alias("search"))
+    """(embed, search): the non-Latin form is embedded, both are searched; ties keep the primary; a blank one leaves the other."""
+    one, alt = F.coalesce(primary, F.lit("")), F.coalesce(alternate, F.lit(""))
+    no_one, no_alt = F.trim(one) == "", F.trim(alt) == ""
+    embed = F.when(no_alt, one).when(no_one | (is_latin(one) & ~is_latin(alt)), alt).otherwise(one)
+    return F.struct(embed.alias("embed"), F.when(no_alt, one).when(no_one, alt).otherwise(F.concat_ws(" ", one, alt)).alias("search"))
 
 
 def parse_linkage(c: Column) -> Column:
@@ -226,11 +260,9 @@ def build_text(title: Column, alternate: Column, subjects: Column, summary: Colu
 
 
 def sanitize_xml(c: Column) -> Column:
-    """Text without ISO 2022 escapes and characters that XML forbids, and how many went."""
-    escapes, illegal = "\x1b[()][A-Za-z0-9]|\x1b[$][()]?[A-Za-z0-9]", "[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]"
-    once = F.regexp_replace(c, escapes, "")
-    clean = F.regexp_replace(once, illegal, "")
-    return F.struct(clean.alias("text"), (F.length(c) - F.length(clean)).alias("removed"))
+    """Text without ISO 2022 escapes and characters that XML forbids, and how many of them went."""
+    once = F.regexp_replace(c, ESCAPES, "")
+    return F.struct(F.regexp_replace(once, ILLEGAL, "").alias("text"), (F.regexp_count(c, F.lit(ESCAPES)) + F.regexp_count(once, F.lit(ILLEGAL))).alias("removed"))
 
 
 def trigrams(c: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import fold, isbn_shaped, searchable_authors, similarity, trigrams
+from .catalog import live, scope
 
 
 def word_trigrams(text: str) -> list[str]:
@@ -36,7 +37,7 @@ def word_similarity(query: str, target: str) -> float:
 def trigram_index(works: DataFrame) -> DataFrame:
     """field (title or authors), gram, id: the inverted index; n, the trigrams of the field's text."""
     fields = F.array(F.struct(F.lit("title").alias("field"), fold(F.col("title")).alias("text")), F.struct(F.lit("authors").alias("field"), searchable_authors(F.col("authors")).alias("text")))
-    rows = works.where(F.col("deleted_at").isNull()).select("id", F.inline(fields)).withColumn("grams", trigrams(F.col("text")))
+    rows = live(works).select("id", F.inline(fields)).withColumn("grams", trigrams(F.col("text")))
     return rows.select("id", "field", F.size("grams").alias("n"), F.explode("grams").alias("gram"))
 
 
@@ -47,12 +48,13 @@ def trigram_candidates(queries: DataFrame, index: DataFrame, least: float = 0.3)
     return hits.where(F.col("shared") >= least * F.col("n_query"))
 
 
-def search_exact(queries: DataFrame, works: DataFrame, limit: int = 10, word_floor: float = 0.6, plain_floor: float = 0.3, floor: float = 0.45) -> DataFrame:
+def search_exact(queries: DataFrame, works: DataFrame, limit: int = 20, source_id: int | None = None, word_floor: float = 0.6, plain_floor: float = 0.3, floor: float = 0.45) -> DataFrame:
     """queries (query) -> query, id, score, rank. An ISBN hit scores 1.0 and shuts out the fuzzy search; else the better of the
-    word similarities to title and authors, if one reaches word_floor, or plain similarity to the title plain_floor, and `floor`."""
+    word similarities to title and authors, if one reaches word_floor, or plain similarity to the title plain_floor, and `floor`.
+    source_id: of one source's works only."""
     from pyspark.sql.functions import udf
 
-    rows = works.where(F.col("deleted_at").isNull())
+    rows = scope(live(works), source_id)
     isbn = queries.withColumn("isbn", isbn_shaped(F.col("query"))).where("isbn is not null")
     hits = isbn.join(rows.select("id", F.explode("isbns").alias("isbn")), "isbn").select("query", "id", F.lit(1.0).alias("score")).distinct()
     rest = queries.join(hits.select("query").distinct(), "query", "left_anti")

@@ -17,6 +17,9 @@ def upsert_stream(feed: DataFrame, state_dir: str, checkpoint: str):
         rows = latest(batch, ["source_id", "source_record_id"], [F.desc("ts"), F.desc("content_hash")]).drop("ts")
         old = read_state(spark, state_dir, batch_id - 1, rows)
         merge_works(old, rows).drop("action", "items_changed").write.mode("overwrite").parquet(f"{state_dir}/state={batch_id}")
+        # the last state but one may still be read when this batch is delivered again; older ones go
+        gone = spark._jvm.org.apache.hadoop.fs.Path(f"{state_dir}/state={batch_id - 2}")
+        gone.getFileSystem(spark._jsc.hadoopConfiguration()).delete(gone, True)
 
     return feed.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
