@@ -10,6 +10,10 @@ from .catalog import live
 from .vectors import dot
 
 
+#: Works of a patron that one task pairs.
+PAIR_BLOCK = 500
+
+
 def shared_isbns(works: DataFrame) -> DataFrame:
     """isbn, n: the ISBNs that more than one live work holds."""
     rows = live(works).select("id", F.explode(F.array_distinct("isbns")).alias("isbn"))
@@ -35,11 +39,17 @@ def co_borrow_gap(loans: DataFrame, factors: DataFrame) -> DataFrame:
     """One row: linked_pairs, linked_mean, other_mean, gap: the mean cosine of the pairs of works that some patron borrowed both
     of, and of all other pairs; null where there are none. factors(work_id, factors) holds unit vectors, a row for each work.
 
-    The other pairs are never formed: the sum over all pairs follows from the sum of the vectors. The linked ones are, so the
-    work grows with the square of what a patron borrowed; draw patrons with sample() for a catalogue with very heavy ones.
+    The other pairs are never formed: the sum over all pairs follows from the sum of the vectors. The linked ones are what is asked
+    for; a patron's works are cut into blocks of about PAIR_BLOCK, and each pair of blocks is a key of its own, so that a heavy
+    patron is spread over tasks.
     """
     own = loans.join(factors.select("work_id"), "work_id", "left_semi").select("patron_ref", "work_id").distinct()
-    pair = own.select("patron_ref", F.col("work_id").alias("a")).join(own.select("patron_ref", F.col("work_id").alias("b")), "patron_ref").where("a < b").select("a", "b").distinct()
+    heavy = own.groupBy("patron_ref").agg(F.ceil(F.count(F.lit(1)) / PAIR_BLOCK).cast("int").alias("cut"))
+    own = own.join(heavy, "patron_ref").withColumn("block", F.pmod(F.xxhash64("work_id"), F.col("cut")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("cut") - 1))
+    left = own.select("patron_ref", F.col("block").alias("i"), every.alias("j"), F.col("work_id").alias("a"))
+    right = own.select("patron_ref", every.alias("i"), F.col("block").alias("j"), F.col("work_id").alias("b"))
+    pair = left.join(right, ["patron_ref", "i", "j"]).where("a < b").select("a", "b").distinct()
     vector = lambda k: factors.select(F.col("work_id").alias(k), F.col("factors").alias(f"v{k}"))
     linked = pair.join(vector("a"), "a").join(vector("b"), "b").agg(F.count(F.lit(1)).alias("linked_pairs"), F.coalesce(F.sum(dot(F.col("va"), F.col("vb"))), F.lit(0.0)).alias("linked"))
     x = F.col("x").cast("double")

@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .catalog import scope
 from .state import checkpoint
 
 FACTORISER_VERSION = 1
+#: Doubles that a task of fold_in() holds before it passes its sums on.
+PARTIAL_SUMS = 4_000_000
 
 
 def interactions(loans: DataFrame) -> DataFrame:
@@ -17,6 +23,11 @@ def interactions(loans: DataFrame) -> DataFrame:
     return loans.where(F.col("work_id").isNotNull()).groupBy("patron_ref", "work_id").agg(F.count(F.lit(1)).alias("n_loans"), F.coalesce(F.sum("renewals"), F.lit(0)).cast("long").alias("n_renewals"))
 
 
+def of_patron(loans: DataFrame, patron_ref: str, source_id: int | None = None) -> DataFrame:
+    """The interactions of one patron."""
+    return interactions(scope(loans, source_id).where(F.col("patron_ref") == patron_ref))
+
+
 def confidence(n_loans: Column, n_renewals: Column, base=1.0, loan=1.0, renewal=2.0, repeat=4.0, ceiling=40.0) -> Column:
     value = F.lit(base) + loan * n_loans + renewal * n_renewals + repeat * F.greatest(n_loans - 1, F.lit(0))
     return F.least(F.greatest(value, F.lit(1.0)), F.lit(ceiling))
@@ -49,7 +60,9 @@ def choose_factors(n_patrons: Column, n_works: Column, n_interactions: Column, l
 def index(rows: DataFrame, column: str) -> DataFrame:
     """A gapless number from 0 for each value, in its order: range partitions, then their starts (no single-task sort)."""
     values = rows.select(column).distinct().repartitionByRange(column).sortWithinPartitions(column)
-    numbered = values.select(column, F.spark_partition_id().alias("part")).withColumn("i", F.row_number().over(Window.partitionBy("part").orderBy(column)) - 1)
+    # written once: both reads below see the same partitions
+    numbered = checkpoint(values.select(column, F.spark_partition_id().alias("part")))
+    numbered = numbered.withColumn("i", F.row_number().over(Window.partitionBy("part").orderBy(column)) - 1)
     starts = numbered.groupBy("part").agg(F.count(F.lit(1)).alias("n")).withColumn("start", F.sum("n").over(Window.orderBy("part")) - F.col("n"))
     return numbered.join(starts, "part").select(column, (F.col("start") + F.col("i")).cast("long").alias(f"{column}_idx"))
 
@@ -73,27 +86,68 @@ def fit_als(rows: DataFrame, factors: int, iterations: int = 15, regularization:
     return items.join(w, "work_id_idx").join(patrons_per_work(rows), "work_id").select("work_id", "vector", "n_patrons")
 
 
+def factorise(loans: DataFrame, source_id: int | None = None, min_works: int = 2, min_patrons: int = 2, factors: int | None = None, iterations: int = 15, regularization: float = 0.1, seed: int = 1) -> DataFrame:
+    """The whole refit: loans -> work_id, vector, dimensions, factoriser_version, n_patrons. The result replaces all stored factors,
+    of other sources too: vectors of two fits are not comparable. Raises without interactions."""
+    rows = k_core(interactions(scope(loans, source_id)), min_works, min_patrons)
+    size = training_stats(rows).first()  # a row
+    if not size["n_interactions"]:
+        raise ValueError("no circulation history to learn from")
+    if factors is None:
+        chosen = rows.sparkSession.range(1).select(choose_factors(*[F.lit(size[c]) for c in ("n_patrons", "n_works", "n_interactions")]).alias("k"))
+        factors = chosen.first()["k"]
+    fitted = fit_als(rows, factors, iterations, regularization, seed)
+    return fitted.select("work_id", "vector", F.size("vector").alias("dimensions"), F.lit(FACTORISER_VERSION).alias("factoriser_version"), "n_patrons")
+
+
 def fold_in(rows: DataFrame, factors: DataFrame, regularization: float = 0.1, min_works: int = 3) -> DataFrame:
-    """patron_ref, vector (null under min_works usable works), n_works, n_loans: a patron's vector from their loans alone."""
+    """patron_ref, vector (null under min_works usable works), n_works, n_loans: a patron's vector from their loans alone.
+
+    The normal equations are sums over works, so each partition adds up its part of a patron first, and a heavy patron is a row of
+    each partition in the shuffle."""
+    known = rows.join(factors.select("work_id", "vector"), "work_id").select("patron_ref", F.col("vector").cast("array<double>").alias("vector"), "n_loans", confidence(F.col("n_loans"), F.col("n_renewals")).alias("confidence"))
+
+    def add(batches):
+        held: dict[str, list] = {}
+
+        def emit():
+            out = [(p, np.concatenate([a.ravel(), b]).tobytes(), n, loans) for p, (a, b, n, loans) in held.items()]
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate((pa.string(), pa.binary(), pa.int64(), pa.int64()))], names=["patron_ref", "sums", "n_works", "n_loans"])
+
+        for batch in batches:
+            for p, y, loans, c in zip(*(batch.column(x).to_pylist() for x in ("patron_ref", "vector", "n_loans", "confidence")), strict=True):
+                y = np.array(y)
+                old = held.setdefault(p, [np.zeros((len(y), len(y))), np.zeros(len(y)), 0, 0])
+                old[0] += c * np.outer(y, y)
+                old[1] += c * y
+                old[2] += 1
+                old[3] += loans
+                if len(held) * len(y) * (len(y) + 1) > PARTIAL_SUMS:
+                    yield emit()
+        if held:
+            yield emit()
 
     def solve(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        y, c = np.stack(pdf["vector"].to_numpy()).astype(float), pdf["confidence"].to_numpy()
-        vector = None
-        if len(pdf) >= min_works:
-            x = np.linalg.solve(y.T @ (c[:, None] * y) + regularization * np.eye(y.shape[1]), y.T @ c)
+        vector, n = None, int(pdf["n_works"].sum())
+        if n >= min_works:
+            sums = sum(np.frombuffer(s) for s in pdf["sums"])
+            k = math.isqrt(len(sums))
+            x = np.linalg.solve(sums[: k * k].reshape(k, k) + regularization * np.eye(k), sums[k * k :])
             norm = np.linalg.norm(x)
             vector = (x / norm if norm else x).astype(np.float32).tolist()
-        return pd.DataFrame({"patron_ref": [key[0]], "vector": [vector], "n_works": [len(pdf)], "n_loans": [int(pdf["n_loans"].sum())]})
+        return pd.DataFrame({"patron_ref": [key[0]], "vector": [vector], "n_works": [n], "n_loans": [int(pdf["n_loans"].sum())]})
 
-    known = rows.join(factors.select("work_id", "vector"), "work_id").select("patron_ref", "vector", "n_loans", confidence(F.col("n_loans"), F.col("n_renewals")).alias("confidence"))
-    return known.groupBy("patron_ref").applyInPandas(solve, "patron_ref string, vector array<float>, n_works long, n_loans long")
+    parts = known.mapInArrow(add, "patron_ref string, sums binary, n_works long, n_loans long")
+    return parts.groupBy("patron_ref").applyInPandas(solve, "patron_ref string, vector array<float>, n_works long, n_loans long")
 
 
 def folded_ranking(patrons: DataFrame, factors: DataFrame, rows: DataFrame, limit: int = 10) -> DataFrame:
     """Works by the patron's vector, without those borrowed already. patrons: the stated probes."""
-    from .vectors import dot, top_k
+    from .vectors import nearest
 
-    some = patrons.where(F.col("vector").isNotNull()).select(F.col("patron_ref").alias("probe"), F.col("vector").alias("probe_vector"))
-    scored = factors.crossJoin(some).select("probe", "work_id", dot(F.col("vector"), F.col("probe_vector")).alias("score"))
-    seen = rows.select(F.col("patron_ref").alias("probe"), "work_id")
-    return top_k(scored.join(seen, ["probe", "work_id"], "left_anti"), limit)
+    some = checkpoint(patrons.where(F.col("vector").isNotNull()).select("patron_ref", F.xxhash64("patron_ref").alias("probe"), F.col("vector").alias("probe_vector"), F.lit(0).alias("probe_source")))
+    # a patron's own works are masked, so they come with the probe; of patrons that are asked for only
+    seen = rows.join(some.select("patron_ref", "probe"), "patron_ref").groupBy("probe").agg(F.collect_set(F.col("work_id").cast("long")).alias("shown"))
+    found = nearest(some.join(seen, "probe", "left"), factors.select("work_id", "vector", F.lit(0).alias("source_id")), limit)
+    return found.join(some.select("probe", "patron_ref"), "probe").select("patron_ref", "work_id", "score", "rank")

@@ -8,9 +8,12 @@ from pyspark.sql import DataFrame
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """df, written to the folder that the cluster names in spark.checkpoint.dir; where it is unset (tests), to one of our own."""
+    """df, written to the folder that the cluster names in spark.checkpoint.dir; where it is unset, on a local master (tests), to
+    one of our own."""
     spark = df.sparkSession
     if not spark.conf.get("spark.checkpoint.dir", None):
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         spark.conf.set("spark.checkpoint.dir", f"file://{tempfile.mkdtemp(prefix='stacklight-')}")
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():

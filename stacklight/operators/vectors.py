@@ -1,10 +1,24 @@
-"""Similarity search over unit vectors: masks before top-k, batched over any number of probes."""
+"""Similarity search over unit vectors: masks before top-k, batched over any number of probes.
+
+Vectors are packed into blocks, a matrix each. Blocks of rows and of probes are dealt to a grid of cells in which each pair meets
+once, and a pair gives the best k of each probe from one product; nothing is broadcast and no pair of vectors is a row. With T
+cells, q probes and n rows, sqrt(T q / n) columns keep the copies of both sides level."""
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .catalog import live
+
+#: Vectors of a block, and pairs of vectors for one task.
+BLOCK_ROWS, CELL_PAIRS = 4096, 500_000_000
+_PACKED = "grp long, ids binary, sources binary, vectors binary, shown array<array<long>>"
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -16,15 +30,98 @@ def normalize(a: Column) -> Column:
     return F.when(norm > 0, F.transform(a, lambda x: x / norm)).otherwise(a)
 
 
-def score(probes: DataFrame, embeddings: DataFrame, cross_source: bool = False, exclude_title_only: bool = False) -> DataFrame:
-    """probes (probe, probe_vector, probe_source) x embeddings (work_id, vector, source_id, is_title_only) -> probe, work_id,
-    source_id, score. Exclusions remove before any top-k. Within sources it is an equi-join on the source; across, the stated
-    probes meet all rows."""
+def of_live_works(vectors: DataFrame, works: DataFrame) -> DataFrame:
+    """The vectors (work_id, ...) of works that are not deleted."""
+    return vectors.join(live(works).select(F.col("id").alias("work_id")), "work_id")
+
+
+def _pack(rows: DataFrame) -> DataFrame:
+    def run(batches):
+        held: dict[int, list] = {}
+
+        def emit(key):
+            ids, sources, vectors, shown = zip(*held.pop(key), strict=True)
+            cols = [pa.array([key], pa.int64()), *(pa.array([np.array(x, t).tobytes()], pa.binary()) for x, t in ((ids, np.int64), (sources, np.int64), (vectors, np.float64))), pa.array([list(shown)], pa.list_(pa.list_(pa.int64())))]
+            return pa.RecordBatch.from_arrays(cols, names=["grp", "ids", "sources", "vectors", "shown"])
+
+        for b in batches:
+            for key, *row in zip(*(b.column(c).to_pylist() for c in ("grp", "id", "source", "v", "shown")), strict=True):
+                held.setdefault(key, []).append(row)
+                if len(held[key]) >= BLOCK_ROWS:
+                    yield emit(key)
+        for key in list(held):
+            yield emit(key)
+
+    return rows.mapInArrow(run, _PACKED)
+
+
+def best_of(x: np.ndarray, ids: np.ndarray, q: np.ndarray, q_ids: np.ndarray, shown: list, k: int) -> list[tuple[int, int, float]]:
+    """(probe, place in x, score) of the k best rows of each probe but itself and those shown; ties by id."""
+    scores = q @ x.T
+    scores[q_ids[:, None] == ids] = -np.inf
+    out = []
+    for i, own in enumerate(q_ids.tolist()):
+        if shown[i]:
+            scores[i, np.isin(ids, shown[i])] = -np.inf
+        s = scores[i]
+        at = np.flatnonzero(s >= np.partition(s, -k)[-k] - 1e-9) if len(s) > k else np.arange(len(s))
+        at = at[s[at] > -np.inf]
+        exact = (x[at] * q[i]).sum(1)  # the same for equal vectors, wherever they lie
+        for j in np.lexsort((ids[at], -exact))[:k]:
+            out.append((own, int(at[j]), float(exact[j])))
+    return out
+
+
+def nearest(probes: DataFrame, rows: DataFrame, k: int, same_source: bool = False) -> DataFrame:
+    """probes (probe, probe_vector, probe_source, and shown, an array of work ids, on request) x rows (work_id, vector,
+    source_id) -> probe, work_id, source_id, score, rank: the k best by inner product; ties by work_id. same_source: rows of the
+    probe's source only. Null vectors take no part."""
+
+    def given(df, id_, vector, source):
+        v = F.col(vector).cast("array<double>")
+        shown = F.coalesce(F.col("shown"), F.array().cast("array<long>")) if "shown" in df.columns and id_ == "probe" else F.array().cast("array<long>")
+        key = F.xxhash64(F.col(source), F.size(v)) if same_source else F.xxhash64(F.size(v))
+        out = df.select(key.alias("grp"), F.col(id_).cast("long").alias("id"), F.coalesce(F.col(source).cast("long"), F.lit(-1)).alias("source"), v.alias("v"), shown.alias("shown"))
+        return out.where(F.col("id").isNotNull() & F.col("v").isNotNull() & (F.col("source") != -1 if same_source else F.lit(True)))
+
+    rows, probes = given(rows, "work_id", "vector", "source_id"), given(probes, "probe", "probe_vector", "probe_source")
+    n, q = rows.count(), probes.count()
+    cells = max(2 * rows.sparkSession.sparkContext.defaultParallelism, math.ceil(n * q / CELL_PAIRS))
+    columns = min(max(1, round(math.sqrt(cells * q / max(1, n)))), max(1, math.ceil(q / BLOCK_ROWS)))
+    lines = math.ceil(cells / columns)
+
+    def spread(df, side, own, copies, cell):
+        at = F.pmod(F.xxhash64("ids"), F.lit(own)).cast("int")
+        packed = _pack(df).select("*", F.lit(side).alias("side"), F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).alias("copy"))
+        return packed.withColumn("cell", F.xxhash64("grp", *cell(at, F.col("copy")))).drop("copy")
+
+    both = spread(probes, 0, columns, lines, lambda at, copy: (copy, at)).union(spread(rows, 1, lines, columns, lambda at, copy: (at, copy)))
+
+    def search(batches):
+        cell, asked = None, []
+        for b in batches:
+            for now, side, ids, sources, v, shown in zip(*(b.column(c).to_pylist() for c in ("cell", "side", "ids", "sources", "vectors", "shown")), strict=True):
+                if now != cell:
+                    cell, asked = now, []
+                ids, sources = np.frombuffer(ids, np.int64), np.frombuffer(sources, np.int64)
+                x = np.frombuffer(v, np.float64).reshape(len(ids), -1)
+                if side == 0:
+                    asked.append((x, ids, shown))
+                    continue
+                for y, q_ids, hidden in asked:
+                    found = best_of(x, ids, y, q_ids, hidden, k)
+                    at = np.array([f[1] for f in found], np.int64)
+                    cols = (pa.array([f[0] for f in found], pa.int64()), pa.array(ids[at]), pa.array(sources[at]), pa.array([f[2] for f in found], pa.float64()))
+                    yield pa.RecordBatch.from_arrays(list(cols), names=["probe", "work_id", "source_id", "score"])
+
+    found = both.repartition(cells, "cell").sortWithinPartitions("cell", "side").mapInArrow(search, "probe long, work_id long, source_id long, score double")
+    return top_k(found, k)
+
+
+def similar(probes: DataFrame, embeddings: DataFrame, k: int, cross_source: bool = False, exclude_title_only: bool = False) -> DataFrame:
+    """The k works nearest to each probe (see nearest), of its own source unless cross_source; exclusions remove before any top-k."""
     rows = embeddings.where(~F.col("is_title_only")) if exclude_title_only else embeddings
-    on = F.col("work_id") != F.col("probe")
-    if not cross_source:
-        on = on & (F.col("source_id") == F.col("probe_source"))
-    return rows.join(probes, on).select("probe", "work_id", "source_id", dot(F.col("vector"), F.col("probe_vector")).alias("score"))
+    return nearest(probes, rows, k, same_source=not cross_source)
 
 
 def top_k(scored: DataFrame, k: int) -> DataFrame:
@@ -35,7 +132,20 @@ def top_k(scored: DataFrame, k: int) -> DataFrame:
 
 def semantic_search(probes: DataFrame, embeddings: DataFrame, keys: DataFrame, limit: int = 10, min_score: float = 0.55, **masks) -> DataFrame:
     """Top 4 x limit, score floor, one edition per canonical key (work_id, key), top limit."""
-    best = top_k(score(probes, embeddings, **masks), 4 * limit).where(F.col("score") >= min_score)
+    best = similar(probes, embeddings, 4 * limit, **masks).where(F.col("score") >= min_score)
     first = Window.partitionBy("probe", "key").orderBy("rank")
     kept = best.join(keys, "work_id").withColumn("edition", F.row_number().over(first)).where("edition = 1").drop("edition", "rank")
     return top_k(kept, limit)
+
+
+def tiers(probes: DataFrame, embeddings: DataFrame, keys: DataFrame, limit: int = 5, floor: float = 0.55) -> DataFrame:
+    """What a search page shows, for probes (probe, probe_vector, probe_source, hits, shown): the rescue tier where the catalogue
+    found nothing (the best `limit` above the floor), else the related tier: a floor 0.05 higher (0.95 at most), three times as
+    many asked for, those already shown left out, cut at limit. -> probe, tier, work_id, score, rank."""
+    none = F.col("hits") == 0
+    strict = min(round(floor + 0.05, 2), 0.95)
+    kept = lambda df, n, low: semantic_search(df.drop("shown"), embeddings, keys, n, low, cross_source=True)
+    rescue = kept(probes.where(none), limit, floor).select("probe", F.lit("rescue").alias("tier"), "work_id", "score", "rank")
+    page = probes.where(~none).select("probe", F.explode("shown").alias("work_id"))
+    related = kept(probes.where(~none), 3 * limit, strict).drop("rank").join(page, ["probe", "work_id"], "left_anti")
+    return rescue.unionByName(top_k(related, limit).select("probe", F.lit("related").alias("tier"), "work_id", "score", "rank"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime
 import json
 import re
 import time
@@ -11,9 +12,10 @@ import urllib.request
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 from ..functions.hashing import patron_reference
+from .diagnosis import not_marc, parse_xml
 
 
 def fetch(url: str, headers: dict[str, str] | None = None, attempts: int = 4, backoff: float = 2.0, opener=urllib.request.urlopen) -> tuple[bytes, dict[str, str]]:
@@ -48,44 +50,76 @@ class Endpoint(InputPartition):
         self.url, self.params = url, params
 
 
+def list_records(options: dict[str, str], params: dict[str, str]):
+    """(url, body, removed) of each page of a list, following its tokens: a token is sent alone, a blank one or none ends the list.
+    A page that doesn't parse is cleaned of escapes and illegal characters (removed counts them) and parsed once more. The options
+    maxpages and maxseconds end a list early."""
+    pages, most = 0, int(options.get("maxpages", 1 << 30))
+    until = time.monotonic() + float(options.get("maxseconds", "inf"))
+    while params and pages < most and time.monotonic() < until:
+        url = f"{options['url']}?{urllib.parse.urlencode(params)}"
+        body, removed = parse_xml(fetch(url, json.loads(options.get("headers", "{}")))[0])
+        if (error := error_of(body)) and not error.startswith("noRecordsMatch"):
+            raise ValueError(error)
+        yield url, body, removed
+        pages += 1
+        token = token_of(body)
+        params = {"verb": "ListRecords", "resumptionToken": token} if token else None
+
+
 class OaiReader(DataSourceReader):
     """One partition for each set (tokens are sequential); a page a row."""
 
     def __init__(self, options):
-        self.options = options
+        self.options = dict(options)
 
-    def partitions(self):
+    def partitions(self, **dates):
         base = {"verb": "ListRecords", "metadataPrefix": self.options.get("metadataprefix", "marc21")}
-        base |= {k: self.options[k] for k in ("from", "until") if k in self.options}
+        base |= {k: self.options[k] for k in ("from", "until") if k in self.options} | dates
         sets = [s for s in self.options.get("sets", "").split(",") if s] or [None]
         return [Endpoint(self.options["url"], base | ({"set": s} if s else {})) for s in sets]
 
     def read(self, part):
-        params, pages, most = part.params, 0, int(self.options.get("maxpages", 1 << 30))
-        while params and pages < most:
-            url = f"{part.url}?{urllib.parse.urlencode(params)}"
-            body = fetch(url, json.loads(self.options.get("headers", "{}")))[0].decode("utf-8", "replace")
-            if (error := error_of(body)) and not error.startswith("noRecordsMatch"):
-                raise ValueError(error)
-            yield url, body
-            pages += 1
-            token = token_of(body)
-            params = {"verb": "ListRecords", "resumptionToken": token} if token else None
+        yield from list_records(self.options, part.params)
+
+
+class OaiStreamReader(DataSourceStreamReader):
+    """Incremental pulls: the offset is the time up to which changes were asked for. Both ends of a list are inclusive, so what
+    changed in the second of an offset may come twice; merges by hash take that."""
+
+    def __init__(self, options):
+        self.pages = OaiReader(options)
+
+    def initialOffset(self):
+        return {"until": self.pages.options.get("from", "")}
+
+    def latestOffset(self):
+        return {"until": datetime.datetime.now(datetime.UTC).strftime("%Y-%m-%dT%H:%M:%SZ")}
+
+    def partitions(self, start, end):
+        since = {"from": start["until"]} if start["until"] else {}
+        return self.pages.partitions(**since, until=end["until"])
+
+    def read(self, part):
+        yield from self.pages.read(part)
 
 
 class OaiSource(DataSource):
-    """spark.read.format("oai_pmh").option("url", ...).load(): url, body."""
+    """spark.read (or readStream) .format("oai_pmh").option("url", ...).load(): url, body, removed."""
 
     @classmethod
     def name(cls):
         return "oai_pmh"
 
     def schema(self):
-        return "url string, body string"
+        return "url string, body string, removed int"
 
     def reader(self, schema):
         return OaiReader(self.options)
 
+    def streamReader(self, schema):
+        return OaiStreamReader(self.options)
+
 
 class CheckoutReader(DataSourceReader):
     """Two partitions, current and returned checkouts; follows rel="next"."""
@@ -99,7 +133,11 @@ class CheckoutReader(DataSourceReader):
     def read(self, part):
         url = part.url + (f"?{urllib.parse.urlencode(part.params)}" if part.params else "")
         while url:
-            body, headers = fetch(url, json.loads(self.options.get("headers", "{}")))
+            try:
+                body, headers = fetch(url, json.loads(self.options.get("headers", "{}")))
+            except urllib.error.HTTPError as e:
+                why = {401: "the credentials are refused", 403: "the account may not list checkouts"}.get(e.code)
+                raise ValueError(f"{e.code}: {why}") if why else e from e
             for row in json.loads(body):
                 yield (json.dumps(row),)
             m = re.search(r'<([^>]*)>;\s*rel="?next"?', headers.get("Link", ""))
@@ -136,24 +174,54 @@ def loans(checkouts: DataFrame, secret: str) -> DataFrame:
 
 
 def split_records(pages: DataFrame) -> DataFrame:
-    """Pages (url, body) to records: source_record_id, deleted, xml (the payload; null for deletions)."""
-    record = F.explode(F.regexp_extract_all("body", F.lit(r"(?s)<(?:\w+:)?record>\s*<(?:\w+:)?header.*?</(?:\w+:)?header>(?:\s*<(?:\w+:)?metadata>.*?</(?:\w+:)?metadata>)?"), F.lit(0)))
-    r = pages.select(record.alias("r"))
-    return r.select(F.trim(F.regexp_extract("r", r"<(?:\w+:)?identifier>([^<]*)<", 1)).alias("source_record_id"), F.col("r").rlike(r"<(?:\w+:)?header[^>]*status=.deleted").alias("deleted"), F.nullif(F.regexp_extract("r", r"(?s)<(?:\w+:)?metadata>\s*(.*?)\s*</(?:\w+:)?metadata>", 1), F.lit("")).alias("xml"))
+    """Pages (url, body) to records: place in the page, source_record_id, deleted, xml (the payload; null for deletions)."""
+    record = F.posexplode(F.regexp_extract_all("body", F.lit(r"(?s)<(?:\w+:)?record>\s*<(?:\w+:)?header.*?</(?:\w+:)?header>(?:\s*<(?:\w+:)?metadata>.*?</(?:\w+:)?metadata>)?"), F.lit(0)))
+    r = pages.select(record.alias("place", "r"))
+    return r.select("place", F.trim(F.regexp_extract("r", r"<(?:\w+:)?identifier>([^<]*)<", 1)).alias("source_record_id"), F.col("r").rlike(r"<(?:\w+:)?header[^>]*status=.deleted").alias("deleted"), F.nullif(F.regexp_extract("r", r"(?s)<(?:\w+:)?metadata>\s*(.*?)\s*</(?:\w+:)?metadata>", 1), F.lit("")).alias("xml"))
 
 
-def preflight(records: DataFrame, expect_items: bool) -> None:
-    """Raises where a first page's records mix flavours, hold none, or lack the items that were there before."""
+def response_flavour(records: DataFrame, sample: int = 5) -> str:
+    """The flavour of a response by its first records (place, rec); raises where they disagree or none is readable. What can't be
+    told is passed over if another can."""
     from ..operators import marc
 
-    r = records.select(marc.parse(F.col("xml")).alias("rec"))
-    kind = marc.flavour(F.col("rec"))
-    n_items = F.size(marc.fields(F.col("rec"), "952", "995"))
-    got = r.agg(F.collect_set(kind).alias("kinds"), F.sum(n_items).alias("items")).first()
-    if len(got["kinds"]) != 1:
-        raise ValueError(f"one flavour is needed, found {sorted(got['kinds'])}")
-    if expect_items and not got["items"]:
-        raise ValueError("items were there before and are missing")
+    first = records.orderBy("place").limit(sample).select(marc.flavour(F.col("rec")).alias("kind"))
+    kinds = sorted(r["kind"] for r in first.where("kind is not null").distinct().collect())
+    if len(kinds) != 1:
+        raise ValueError(f"the sampled records disagree on the flavour: {kinds}" if kinds else "no sampled record tells its flavour")
+    return kinds[0]
+
+
+def preflight(spark: SparkSession, options: dict[str, str], expect_items: bool = False) -> dict:
+    """Whether an endpoint can be harvested: it identifies itself, offers the metadata prefix, gives a first page of one flavour, and
+    holds items if it did before (else going on would delete them all). Raises ValueError with the reason; -> flavour, prefixes,
+    records, items."""
+    from ..operators import marc
+
+    ask = lambda **params: parse_xml(fetch(f"{options['url']}?{urllib.parse.urlencode(params)}", json.loads(options.get("headers", "{}")))[0])[0]
+    prefix = options.get("metadataprefix", "marc21")
+    try:
+        for verb in ("Identify", "ListMetadataFormats"):
+            body = ask(verb=verb)
+            if error := error_of(body):
+                raise ValueError(error)
+        prefixes = [p.strip() for p in re.findall(r"<(?:\w+:)?metadataPrefix>([^<]*)<", body)]
+        if prefix not in prefixes:
+            raise ValueError(f"the endpoint doesn't offer {prefix}; it offers {prefixes or 'none'}")
+        page = next(list_records(options | {"maxpages": "1"}, {"verb": "ListRecords", "metadataPrefix": prefix}))
+    except OSError as e:
+        raise ValueError(f"the endpoint isn't ready: {e}") from e
+    rows = split_records(spark.createDataFrame([page], "url string, body string, removed int"))
+    xml = F.col("xml")
+    record = F.when(xml.rlike(r"<(?:\w+:)?notice[\s>]"), marc.translate_vendor(xml)).otherwise(marc.parse(xml))
+    rows = rows.where("xml is not null").select("place", record.alias("rec")).where(F.size("rec.datafield") > 0)
+    n = rows.agg(F.count(F.lit(1)).alias("records"), F.coalesce(F.sum(F.size(marc.fields(F.col("rec"), "952"))), F.lit(0)).alias("marc21"), F.coalesce(F.sum(F.size(marc.fields(F.col("rec"), "995"))), F.lit(0)).alias("unimarc")).first()
+    if not n["records"]:
+        raise ValueError(not_marc(page[1]))
+    flavour = response_flavour(rows)
+    if expect_items and not n[flavour]:
+        raise ValueError(f"no items in the first {n['records']} records, but the last run found some")
+    return {"flavour": flavour, "prefixes": prefixes, "records": n["records"], "items": n[flavour]}
 
 
 def open_library(spark: SparkSession, path: str) -> DataFrame:
@@ -177,6 +245,12 @@ def database_works(biblio: DataFrame, biblioitems: DataFrame, since=None) -> Dat
     return rows.select("biblionumber", T.merge_subtitle(F.col("title"), F.col("subtitle")).alias("title"), "author", T.split_isbns(F.col("isbn")).alias("isbns"), T.leading_year(F.col("publicationyear").cast("string"), F.col("copyrightdate").cast("string")).alias("publication_year"))
 
 
+def database_ratings(ratings: DataFrame, secret: str) -> DataFrame:
+    """Ratings of the library's database, pseudonymised; values outside 1 to 5 are dropped, as the store refuses them."""
+    rows = ratings.where(F.col("rating_value").between(1, 5))
+    return rows.select(patron_reference(F.col("borrowernumber"), secret).alias("patron_ref"), F.col("biblionumber").cast("string").alias("biblio_id"), F.col("rating_value").cast("smallint").alias("rating"), F.col("timestamp").alias("rated_at"))
+
+
 def database_loans(issues: DataFrame, old_issues: DataFrame, items: DataFrame, biblio: DataFrame, secret: str, history: bool = True) -> DataFrame:
     """Current and past loans with their biblio, pseudonymised."""
     every = issues.unionByName(old_issues) if history else issues
