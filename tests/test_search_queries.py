@@ -25,11 +25,11 @@ def test_trigram_candidates_of_all_stated_works(spark):
                 g = grams(text)
                 if g & q and len(g & q) >= 0.3 * len(q):
                     want.add((query, w.id, field, len(g), len(q), len(g & q)))
-    got = [(r["query"], r.id, r.field, r.n, r.n_query, r.shared) for r in Q.QUERIES["trigram_candidates_stated"](spark, SMALL).collect()]
+    got = [(r["query"], r.id, r.field, r.n, r.n_query, r.shared) for r in Q.trigram_candidates(spark, SMALL).collect()]
     assert len(got) == len(set(got)) and set(got) == want
 
 
 def test_search_exact_takes_the_stated_works(spark):
     stated = {i: w.id for w in live(spark) if w.id % 20 == 0 for i in w.isbns[:1]}
-    hits = {r["query"]: r.id for r in Q.QUERIES["search_exact"](spark, SMALL).where("score = 1.0").collect()}
+    hits = {r["query"]: r.id for r in Q.search_exact(spark, SMALL).where("score = 1.0").collect()}
     assert stated and stated.items() <= hits.items()
