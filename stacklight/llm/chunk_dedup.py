@@ -2,7 +2,8 @@
 
 A gear hash rolls over the bytes (h = 2 h + G[byte], 32 bits, so it sees the last 32 bytes); a chunk ends where its top bits are
 all zero, not before `least` bytes and at `most` at the latest. Boundaries follow content, so an insertion moves the cuts
-near it only. Chunks with one 128-bit digest are one: the first by doc_id, row and place stays, the others are removed.
+near it only. Chunks with one 128-bit digest are one: the first by doc_id, row and place stays, the others are removed, if they
+make up a run of `least_run` bytes or the whole text: shorter runs are stock phrases, which clean texts share.
 
 A text's equal chunks are one row before the shuffle, and digests are counted with partial sums; a chunk that a third of all
 texts share is a skewed join key, which adaptive execution splits.
@@ -22,10 +23,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTE64, materialize, mix64, powers, text_bytes
+from .common import BYTE64, materialize, mix64, powers, slices, text_bytes
 from .suffix_dedup import offsets
 
-LEAST, MOST, BITS = 32, 1024, 6
+LEAST, MOST, BITS, LEAST_RUN = 32, 1024, 6, 100
 GEAR = (mix64(BYTE64) >> np.uint64(32)).astype(np.uint32)
 SECOND = mix64(BYTE64 + np.uint64(1))
 
@@ -68,12 +69,24 @@ def digests(text: bytes, ends: np.ndarray, step: int = 4096) -> tuple[np.ndarray
     return (np.concatenate(one), np.concatenate(two)) if one else (np.zeros(0, np.uint64), np.zeros(0, np.uint64))
 
 
-def remove_repeated_chunks(docs: DataFrame, text: str = "text", least: int = LEAST, most: int = MOST, bits: int = BITS) -> DataFrame:
+def long_runs(chunks: list[int], ends: list[int], least: int) -> set[int]:
+    """Those of the sorted chunks that lie in a run of neighbours of `least` bytes, or in one that is the whole text."""
+    out, lo = set(), 0
+    for k in range(len(chunks)):
+        if k + 1 == len(chunks) or chunks[k + 1] != chunks[k] + 1:
+            size = ends[chunks[k]] - (ends[chunks[lo] - 1] if chunks[lo] else 0)
+            if size >= least or size == ends[-1]:
+                out.update(chunks[lo : k + 1])
+            lo = k + 1
+    return out
+
+
+def remove_repeated_chunks(docs: DataFrame, text: str = "text", least: int = LEAST, most: int = MOST, bits: int = BITS, least_run: int = LEAST_RUN) -> DataFrame:
     """doc_id, n_bytes, n_chunks, n_removed (bytes), n_spans (maximal removed runs), kept (bytes), kept_sha256 for each row."""
 
     def index(batches):
         part, n, pack = TaskContext.get().partitionId(), 0, zstandard.ZstdCompressor(level=3)
-        for batch in batches:
+        for batch in slices(batches):
             uid, texts, found, ends = [], [], [], []
             for t in batch.column("text").to_pylist():
                 e = cuts(t, least, most, bits)
@@ -104,10 +117,10 @@ def remove_repeated_chunks(docs: DataFrame, text: str = "text", least: int = LEA
 
     def cut(batches):
         unpack = zstandard.ZstdDecompressor()
-        for batch in batches:
+        for batch in slices(batches):
             out = []
             for doc, t, ends, lost in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "ends", "gone")), strict=True):
-                t, lost = unpack.decompress(t), set(lost or ())
+                t, lost = unpack.decompress(t), long_runs(sorted(lost or ()), ends, least_run)
                 starts = [0, *ends[:-1]]
                 kept = b"".join(t[s:e] for i, (s, e) in enumerate(zip(starts, ends, strict=False)) if i not in lost)
                 out.append((doc, len(t), len(ends), len(t) - len(kept), sum(i - 1 not in lost for i in lost), kept, hashlib.sha256(kept).hexdigest()))

@@ -1,3 +1,4 @@
+import itertools
 import random
 
 from stacklight.llm import chunk_dedup
@@ -34,12 +35,18 @@ def test_brute_force(spark):
     got = {r.doc_id: r for r in chunk_dedup.remove_repeated_chunks(docs(spark, list(enumerate(texts))).repartition(3)).collect()}
     seen = set()
     for i, t in enumerate(texts):
-        t, kept = (t or "").encode(), []
+        t = (t or "").encode()
         ends = gear_cuts(t, chunk_dedup.LEAST, chunk_dedup.MOST, chunk_dedup.BITS)
-        for s, e in zip([0, *ends[:-1]], ends, strict=False):
-            if t[s:e] not in seen:
-                seen.add(t[s:e])
-                kept.append(t[s:e])
+        chunks = [t[s:e] for s, e in zip([0, *ends[:-1]], ends, strict=False)]
+        flags = []
+        for c in chunks:
+            flags.append(c in seen)
+            seen.add(c)
+        kept = []
+        for again, run in itertools.groupby(zip(flags, chunks, strict=True), key=lambda x: x[0]):
+            part = b"".join(c for _, c in run)
+            if not again or (len(part) < chunk_dedup.LEAST_RUN and part != t):
+                kept.append(part)
         assert bytes(got[i].kept) == b"".join(kept) and got[i].n_bytes == len(t) and got[i].n_chunks == len(ends)
     assert sum(got[i].n_removed > 500 for i in range(1, 20)) == 19  # the shared passage goes, shifted as it is
 
