@@ -10,6 +10,9 @@ queue totals alone; deficits carry across windows and partitions without any seq
 Within a window the queues' tokens lie one queue after another, so a document is cut only where its queue's allotment of a
 window, or a sequence of `max_len`, ends. All sequences are full but the last one.
 
+With more sources than `max_queues`, the smallest ones are mixed by shared queues: the target holds for each queue, named sources
+included, not for each of the pooled ones.
+
 Cases: null text packs as empty (one piece: the end id); null source is a queue of its own; equal rows are packed each; an
 empty table gives no rows; further columns are ignored. Texts are encoded whole.
 """
@@ -26,8 +29,9 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
-#: More sources than this share queues by hash, so that the queue table sent to every task stays bounded.
-MAX_QUEUES = 1024
+#: The queue table is sent to every task. Of more sources than MAX_QUEUES, the largest (or those with a target proportion) have a
+#: queue of their own, and the rest share TAIL_QUEUES by hash.
+MAX_QUEUES, TAIL_QUEUES = 1024, 64
 _encoders: dict[str, object] = {}
 
 
@@ -121,20 +125,24 @@ def pack(docs: DataFrame, tokenizer: str, max_len: int = 2048, end_id: int = 1,
     Columns: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, source_queue and, if with_ids, ids.
     """
     source = F.col("source").cast("string")
+    queue = F.when(source.isNotNull(), F.concat(F.lit("="), source)).otherwise("null")
     n_sources = docs.select(source.alias("s")).distinct().limit(max_queues + 1).count()
     if n_sources > max_queues:
-        if proportions:
-            raise ValueError(f"proportions need at most max_queues={max_queues} sources")
-        queue = F.pmod(F.xxhash64(source), F.lit(max_queues)).cast("string")
-    else:
-        queue = F.when(source.isNotNull(), F.concat(F.lit("="), source)).otherwise("null")
+        tail = max(1, min(TAIL_QUEUES, max_queues // 2))
+        own = [s for s in proportions or () if s is not None]
+        if not own:
+            size = F.sum(F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1)
+            largest = docs.where(source.isNotNull()).groupBy(source.alias("s")).agg(size.alias("n")).orderBy(F.desc("n"), "s").limit(max_queues - tail - 1)
+            own = [r.s for r in largest.collect()]  # at most max_queues rows
+        shared = F.concat(F.lit("#"), F.pmod(F.xxhash64(source), F.lit(tail)).cast("string"))
+        queue = F.when(source.isNull() | source.isin(own), queue).otherwise(shared)
     if encoder(tokenizer) is None:
         raise ValueError(tokenizer)
     wide = _vocabulary(tokenizer, end_id) > 65_536
     tokens = materialize(tokenize(docs.select("doc_id", "text", queue.alias("queue")), tokenizer, end_id, wide), "packing-tokens")
 
     parts = tokens.groupBy("queue", "part").agg(F.sum("n_tokens").alias("part_tokens"))
-    totals = {r.queue: r.n for r in parts.groupBy("queue").agg(F.sum("part_tokens").alias("n")).collect()}  # at most max_queues rows
+    totals = {r.queue: r.n for r in parts.groupBy("queue").agg(F.sum("part_tokens").alias("n")).collect()}  # a row for each queue
     names = sorted(totals)
     weight = lambda q: (proportions or {}).get(None if q == "null" else q[1:], 0.0) if proportions else totals[q]
     weights = np.array([max(float(weight(q)), 1e-9 * max(1, sum((proportions or {}).values()))) for q in names], float)

@@ -2,6 +2,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow.parquet as pq
 from tokenizers import Tokenizer
 
 from stacklight.llm import packing
@@ -63,10 +64,20 @@ def test_windows_hold_the_target_proportions(spark):
 
 
 def test_many_sources_share_queues(spark):
-    df = docs(spark, [(i, "text " * 20, f"s{i}") for i in range(30)])
+    texts = {i: "text " * (60 if i == 7 else 20) for i in range(30)}
+    df = docs(spark, [(i, t, f"s{i}") for i, t in texts.items()])
     rows = packing.pack(df, PATH, max_len=64, max_queues=4).collect()
-    assert len({r.source_queue for r in rows}) <= 4
-    verify(rows, {i: "text " * 20 for i in range(30)}, 64)
+    assert "=s7" in {r.source_queue for r in rows} and len({r.source_queue for r in rows}) <= 4
+    verify(rows, texts, 64)
+    rows = packing.pack(df, PATH, max_len=64, window_sequences=2, max_queues=4, proportions={"s3": 1, "s4": 1}).collect()
+    assert {r.source_queue for r in rows} <= {"=s3", "=s4", "#0", "#1"}
+    verify(rows, texts, 64)
+
+
+def test_encoder_on_a_whole_table():
+    own, enc = Tokenizer.from_file(PATH), packing.encoder(PATH)
+    texts = pq.read_table("/root/testdata/sf0.001/documents.parquet", columns=["text"]).column("text").to_pylist()
+    assert texts and all(enc(t) == own.encode(t, add_special_tokens=False).ids for t in texts if t)
 
 
 def test_edge_cases(spark):
