@@ -3,11 +3,11 @@
 A document is a bag of passages of `passage_words` words. Every passage is encoded to fixed features (hashed byte pairs,
 hashed words, and shares of character classes, repeats and word shapes) and by a learned layer. Gated attention
 weighs the passages, and the weighted mean of their codes gives the document's score. Only document labels train it: which
-passages matter is learned. The fit takes at most `max_docs` labelled documents, the least by a seeded hash of their id; every
-passage of every document is scored.
+passages matter is learned. The fit takes at most `max_docs` labelled documents, the least by a seeded hash of their id, and of a
+long one `fit_passages` passages, evenly spread; every passage of every document is scored.
 
 Cases: null, empty and word-less texts are one passage without words, and get a score like any; null ids or labels don't train;
-an id labelled twice trains with its least label; labels without a document are passed over; without labels every score is 0.5; equal
+an id labelled twice trains with its least label, rows of one id with one of their texts; labels without a document are passed over; without labels every score is 0.5; equal
 rows get equal scores; an empty table gives no rows; further columns are ignored.
 """
 
@@ -22,7 +22,7 @@ from .common import SPACES, mix64, text_bytes, word_hashes
 
 PAIRS, WORDS, SHAPES = 256, 256, 18
 FEATURES = PAIRS + WORDS + SHAPES
-PASSAGE_WORDS, MAX_DOCS = 128, 4000
+PASSAGE_WORDS, MAX_DOCS, FIT_PASSAGES = 128, 4000, 32
 _b = np.arange(256)
 #: Indicators of character classes, a row for each: upper, lower, digit, punctuation, blank, line break, other controls, non-ASCII.
 CLASSES = np.stack([(_b >= 65) & (_b <= 90), (_b >= 97) & (_b <= 122), (_b >= 48) & (_b <= 57), ((_b > 32) & (_b < 127)) & ~((_b >= 48) & (_b <= 57)) & ~((_b >= 65) & (_b <= 90)) & ~((_b >= 97) & (_b <= 122)), (_b == 32) | (_b == 9), (_b == 10) | (_b == 13), (_b < 9) | (_b == 127), _b >= 128]).astype(np.int64)
@@ -142,7 +142,7 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("long").cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, text: str = "text", max_docs: int = MAX_DOCS, passage_words: int = PASSAGE_WORDS, seed: int = 11) -> Model | None:
+def fit(docs: DataFrame, labels: DataFrame, text: str = "text", max_docs: int = MAX_DOCS, passage_words: int = PASSAGE_WORDS, fit_passages: int = FIT_PASSAGES, seed: int = 11) -> Model | None:
     """Trains on labels(doc_id, quality) outside the held-out fold; None without any."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & ~held_out())
     known = known.groupBy("doc_id").agg((F.min("quality") > 0).cast("int").alias("quality"))
@@ -155,9 +155,12 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", max_docs: int =
     def encode(batches):
         for b in batches:
             x = [passages(t, passage_words) for t in b.column("text").to_pylist()]
+            x = [v if len(v) <= fit_passages else v[np.linspace(0, len(v) - 1, fit_passages).astype(int)] for v in x]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([v.astype(np.float16).tobytes() for v in x], pa.binary())], names=["doc_id", "x"])
 
     sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes(text).alias("text")).join(F.broadcast(ids), "doc_id")
+    # one row of each id: at most max_docs texts, and max_docs * fit_passages rows of features on the driver
+    sample = sample.groupBy("doc_id").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
     rows = sorted((r.doc_id, bytes(r.x)) for r in sample.mapInArrow(encode, "doc_id long, x binary").collect())
     if not rows:
         return None
