@@ -25,6 +25,8 @@ from .common import materialize
 
 #: Text bytes that a bucket holds on average. The arrays of a bucket stay a few times this.
 BUCKET_BYTES = 8 << 20
+#: Buckets whose starts one task adds up.
+GROUP = 4096
 
 
 def two_pass_shuffle(docs: DataFrame, seed: int = 17, bucket_bytes: int = BUCKET_BYTES, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -66,9 +68,12 @@ def two_pass_shuffle(docs: DataFrame, seed: int = 17, bucket_bytes: int = BUCKET
     out = T.StructType([T.StructField("row", docs.schema), T.StructField("bucket", T.IntegerType()), T.StructField("bucket_pos", T.LongType())])
     moved = scattered.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(fisher_yates, out)
     written = materialize(moved, "sharding")
-    # the bucket starts: a running sum over one row per bucket
-    counts = written.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
-    base = materialize(counts.select("bucket", (F.sum("n").over(Window.orderBy("bucket")) - F.col("n")).alias("base"), F.sum("n").over(Window.partitionBy()).alias("total")), "sharding-base")
+    # the bucket starts: running sums over the buckets of a group, a row each, and over the groups
+    counts = materialize(written.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).withColumn("group", F.floor(F.col("bucket") / GROUP)), "sharding-counts")
+    groups = counts.groupBy("group").agg(F.sum("n").alias("group_n"))
+    groups = groups.select("group", (F.sum("group_n").over(Window.orderBy("group")) - F.col("group_n")).alias("before"), F.sum("group_n").over(Window.partitionBy()).alias("total"))
+    inside = F.sum("n").over(Window.partitionBy("group").orderBy("bucket")) - F.col("n")
+    base = materialize(counts.withColumn("inside", inside).join(groups, "group").select("bucket", (F.col("before") + F.col("inside")).alias("base"), "total"), "sharding-base")
     return written.join(base, "bucket").withColumn("pos", F.col("base") + F.col("bucket_pos"))
 
 

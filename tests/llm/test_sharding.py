@@ -1,5 +1,8 @@
 from collections import Counter
 
+import numpy as np
+from pyspark.sql import functions as F
+
 from stacklight.llm import sharding
 
 from .util import EDGE, docs
@@ -26,6 +29,24 @@ def test_law_and_order(spark):
     assert {(r.row.doc_id, r.row.text) for r in rows} == {(i, f"text {i} " * 20) for i in range(501)}
 
 
+def test_order_by_plain_loops(spark, monkeypatch):
+    """The two passes again, on the driver: buckets by the seeded hash, each put in order and shuffled with its own seed."""
+    monkeypatch.setattr(sharding, "GROUP", 3)
+    df = docs(spark, [(i, f"text {i} " * 20) for i in range(300)]).repartition(3).cache()
+    n = -(-sum(len(r.text) + 1 for r in df.collect()) // 4000)
+    key = F.concat_ws(":", F.xxhash64(F.lit(17), "doc_id", "text"), F.col("doc_id").cast("string"))
+    scattered = df.select("doc_id", F.pmod(F.xxhash64(F.lit(17), F.col("doc_id"), F.monotonically_increasing_id()), F.lit(n)).alias("b"), key.alias("k")).collect()
+    want = []
+    for b in range(n):
+        bucket = [r.doc_id for r in sorted((r for r in scattered if r.b == b), key=lambda r: r.k)]
+        order = np.arange(len(bucket))
+        np.random.Generator(np.random.PCG64([17, b])).shuffle(order)
+        want += [bucket[i] for i in order]
+    got = sharding.shard(df, 8, bucket_bytes=4000).collect()
+    assert n > 9 and [r.row.doc_id for r in sorted(got, key=lambda r: r.pos)] == want
+    assert [r.pos for r in sorted(got, key=lambda r: (r.shard, r.slot))] == list(range(300))
+
+
 def test_edge_cases(spark):
     check(docs(spark, EDGE), 8)
     check(docs(spark, EDGE), 2, bucket_bytes=10)
