@@ -66,9 +66,13 @@ def fields(rec: Column, *tags: str) -> Column:
     return F.flatten(F.array(*[of(t) for t in tags]))
 
 
-def values(field: Column, codes: str) -> Column:
-    """Non-blank values of the subfields, in document order."""
-    sub = F.filter(F.coalesce(field["subfield"], F.array().cast("array<struct<_code:string,_VALUE:string>>")), lambda s: s["_code"].isin(*codes) & (F.trim(F.coalesce(s["_VALUE"], F.lit(""))) != ""))
+_SUBFIELDS = "array<struct<_code:string,_VALUE:string>>"
+
+
+def values(field: Column, codes: str | Column) -> Column:
+    """Non-blank values of the subfields whose code is one of the characters of `codes`, in document order."""
+    wanted = F.lit(codes) if isinstance(codes, str) else codes
+    sub = F.filter(F.coalesce(field["subfield"], F.array().cast(_SUBFIELDS)), lambda s: F.contains(wanted, s["_code"]) & (F.trim(F.coalesce(s["_VALUE"], F.lit(""))) != ""))
     return F.transform(sub, lambda s: F.trim(s["_VALUE"]))
 
 
@@ -78,92 +82,108 @@ def flavour(rec: Column) -> Column:
     return F.when(has("245") & ~has("200"), "marc21").when(has("200") & ~has("245"), "unimarc")
 
 
-def assemble_title(field: Column, codes: dict[str, str]) -> Column:
-    """Subfields in document order, each after its own punctuation."""
-    sub = F.filter(field["subfield"], lambda s: s["_code"].isin(*codes) & (T.strip_isbd(F.coalesce(s["_VALUE"], F.lit(""))) != ""))
-    sep = F.create_map(*[F.lit(x) for kv in codes.items() for x in kv])
-    return F.aggregate(sub, F.lit(""), lambda acc, s: F.when(acc == "", F.trim(T.strip_isbd(s["_VALUE"]))).otherwise(F.concat(acc, sep[s["_code"]], F.trim(T.strip_isbd(s["_VALUE"])))))
+def assemble_title(field: Column, punctuation: Column) -> Column:
+    """Subfields in document order, each after its own punctuation (a map from codes)."""
+    named = F.transform(F.filter(field["subfield"], lambda s: F.map_contains_key(punctuation, s["_code"])), lambda s: F.struct(punctuation[s["_code"]].alias("p"), F.trim(T.strip_isbd(F.coalesce(s["_VALUE"], F.lit("")))).alias("v")))
+    return F.aggregate(F.filter(named, lambda x: x["v"] != ""), F.lit(""), lambda acc, x: F.when(acc == "", x["v"]).otherwise(F.concat(acc, x["p"], x["v"])))
 
 
-def title(rec: Column, m: FieldMap) -> Column:
-    found = F.filter(F.transform(fields(rec, m.title), lambda f: assemble_title(f, m.title_codes)), lambda t: t != "")
-    return T.strip_nonfiling(F.coalesce(F.get(found, F.lit(0)), F.lit("")))
+def first_filled(texts: Column) -> Column:
+    return F.coalesce(F.get(F.filter(texts, lambda t: t != ""), F.lit(0)), F.lit(""))
 
 
-def alternate_title(rec: Column, m: FieldMap) -> Column:
+def alternate_title(titles: Column, linked: Column, title_tag: Column, punctuation: Column) -> Column:
     """The 880 field that is linked with the title by tag and occurrence."""
     link = lambda f: T.parse_linkage(F.get(values(f, "6"), F.lit(0)))
-    own = F.filter(F.transform(fields(rec, m.title), link), lambda x: x.isNotNull() & (x["tag"] == "880") & ~x["standalone"])
-    pairs = F.filter(fields(rec, "880"), lambda f: F.exists(own, lambda o: (link(f)["tag"] == m.title) & (link(f)["occurrence"] == o["occurrence"])))
-    return F.coalesce(F.get(F.filter(F.transform(pairs, lambda f: assemble_title(f, m.title_codes)), lambda t: t != ""), F.lit(0)), F.lit(""))
+    own = F.transform(F.filter(F.transform(titles, link), lambda x: x.isNotNull() & (x["tag"] == "880") & ~x["standalone"]), lambda x: F.concat(title_tag, F.lit("-"), x["occurrence"]))
+    keyed = F.transform(linked, lambda f: F.struct(link(f).alias("l"), f.alias("f")))
+    pairs = F.filter(keyed, lambda x: F.array_contains(own, F.concat(x["l"]["tag"], F.lit("-"), x["l"]["occurrence"])))
+    return F.when(F.size(own) > 0, first_filled(F.transform(pairs, lambda x: assemble_title(x["f"], punctuation)))).otherwise("")
 
 
-def first_text(rec: Column, tags: tuple[str, ...]) -> Column:
-    found = F.filter(F.transform(fields(rec, *tags), lambda f: T.strip_isbd(F.array_join(values(f, "abcdefghijklmnopqrstuvwxyz"), " "))), lambda t: t != "")
-    return F.coalesce(F.get(found, F.lit(0)), F.lit(""))
+def first_text(notes: Column) -> Column:
+    return first_filled(F.transform(notes, lambda f: T.strip_isbd(F.array_join(values(f, "abcdefghijklmnopqrstuvwxyz"), " "))))
 
 
-def items(rec: Column, m: FieldMap) -> Column:
-    """An array of item structs; the last of a repeated code counts."""
+def items(copies: Column, codes: Column) -> Column:
+    """An array of item structs; codes: a map from names to subfield codes. The last of a repeated code counts."""
 
     def one(f):
-        last = lambda code: F.try_element_at(values(f, code), F.lit(-1))
-        code = {name: c for c, name in m.item_codes.items()}
-        cols = [F.coalesce(last(code[n]), F.lit("")).alias(n) for n in ("barcode", "owning_branch", "holding_branch", "location", "call_number", "item_type")]
-        due = last(code["due_date"]).try_cast("date") if "due_date" in code else F.lit(None).cast("date")
-        n = last(code["issue_count"]) if "issue_count" in code else F.lit(None).cast("string")
-        return F.struct(*cols, due.alias("due_date"), F.when(n.rlike("^[0-9]+$"), n.try_cast("int")).alias("issue_count"))
+        # the last value of each code, blank ones left out
+        filled = F.transform(F.filter(F.coalesce(f["subfield"], F.array().cast(_SUBFIELDS)), lambda s: F.trim(F.coalesce(s["_VALUE"], F.lit(""))) != ""), lambda s: F.struct(s["_code"].alias("c"), F.trim(s["_VALUE"]).alias("v")))
+        last = lambda name: F.try_element_at(F.filter(filled, lambda s: s["c"] == codes[name]), F.lit(-1))["v"]
+        cols = [F.coalesce(last(n), F.lit("")).alias(n) for n in ("barcode", "owning_branch", "holding_branch", "location", "call_number", "item_type")]
+        n = last("issue_count")
+        return F.struct(*cols, last("due_date").try_cast("date").alias("due_date"), F.when(n.rlike("^[0-9]+$"), n.try_cast("int")).alias("issue_count"))
 
-    return F.transform(fields(rec, m.items), one)
+    return F.transform(copies, one)
 
 
 def control(rec: Column, tag: str) -> Column:
     return F.get(F.filter(F.coalesce(rec["controlfield"], F.array().cast("array<struct<_tag:string,_VALUE:string>>")), lambda c: c["_tag"] == tag), F.lit(0))["_VALUE"]
 
 
-def record_hash(rec: Column, m: FieldMap, own_items: bool) -> Column:
+def record_hash(rec: Column, item_tag: str | Column, own_items: bool) -> Column:
     """Of the item fields, or of all others with the mapper version: equal records have equal hashes."""
-    data = F.filter(rec["datafield"], lambda f: (f["_tag"] == m.items) if own_items else (f["_tag"] != m.items))
+    tag = F.lit(item_tag) if isinstance(item_tag, str) else item_tag
+    data = F.filter(rec["datafield"], lambda f: (f["_tag"] == tag) if own_items else (f["_tag"] != tag))
     body = F.to_json(F.struct(data.alias("d"))) if own_items else F.concat(F.lit(f"v{MAPPER_VERSION}\n"), F.to_json(F.struct(rec["leader"].alias("l"), rec["controlfield"].alias("c"), data.alias("d"))))
     return F.sha2(body, 256)
 
 
-def _mapped(rec: Column, m: FieldMap, name: str) -> Column:
-    author = lambda tags: F.filter(F.transform(fields(rec, *tags), lambda f: T.strip_isbd(F.array_join(values(f, m.author_codes), " "))), lambda a: a != "")
-    subjects = F.filter(F.transform(fields(rec, *m.subjects), lambda f: F.array_join(F.transform(values(f, "axyzv"), T.strip_isbd), " — ")), lambda s: s != "")
-    pub = F.get(F.filter(F.array(*[F.get(fields(rec, t), F.lit(0)) for t in m.publishers]), lambda f: f.isNotNull()), F.lit(0))
-    a101, a041 = F.flatten(F.transform(fields(rec, "101"), lambda f: values(f, "a"))), F.flatten(F.transform(fields(rec, "041"), lambda f: values(f, "a")))
-    tags = F.array_distinct(F.transform(rec["datafield"], lambda f: f["_tag"]))
-    used = [m.title, "880", *m.main_authors, *m.added_authors, m.isbn, *m.subjects, *m.summary, *m.contents, *m.publishers, "041", "101", m.items]
-    where = {"title": (m.title,), "authors": m.main_authors + m.added_authors, "isbns": (m.isbn,), "subjects": m.subjects, "summary": m.summary, "publisher": m.publishers}
-    source = F.map_from_entries(F.filter(F.array(*[F.struct(F.lit(k).alias("key"), F.get(fields(rec, *t), F.lit(0))["_tag"].alias("value")) for k, t in where.items()]), lambda e: e["value"].isNotNull()))
+def _of(kind: Column, f) -> Column:
+    """f(map) of the record's flavour, null without one."""
+    return F.when(kind == "marc21", f(MARC21)).when(kind == "unimarc", f(UNIMARC))
+
+
+def _roles(rec: Column, kind: Column) -> dict[str, Column]:
+    """The fields of each role and the codes to read them by: what depends on the flavour, so that the mapping is written once."""
+    pairs = lambda d: F.create_map(*[F.lit(x) for kv in d.items() for x in kv])
+    tags = {"titles": lambda m: (m.title,), "main": lambda m: m.main_authors, "added": lambda m: m.added_authors, "isbn": lambda m: (m.isbn,), "subject": lambda m: m.subjects, "summaries": lambda m: m.summary, "notes": lambda m: m.contents, "published": lambda m: m.publishers, "copies": lambda m: (m.items,)}
+    out = {name: _of(kind, lambda m, f=f: fields(rec, *f(m))) for name, f in tags.items()}
+    out |= {"punctuation": _of(kind, lambda m: pairs(m.title_codes)), "item_codes": _of(kind, lambda m: pairs({n: c for c, n in m.item_codes.items()}))}
+    out |= {"author_codes": _of(kind, lambda m: F.lit(m.author_codes)), "publisher_code": _of(kind, lambda m: F.lit(m.publisher_code)), "year_code": _of(kind, lambda m: F.lit(m.year_code)), "title_tag": _of(kind, lambda m: F.lit(m.title)), "item_tag": _of(kind, lambda m: F.lit(m.items))}
+    known = lambda m: list(dict.fromkeys([m.title, "880", *m.main_authors, *m.added_authors, m.isbn, *m.subjects, *m.summary, *m.contents, *m.publishers, "041", "101", m.items]))
+    out["known"] = _of(kind, lambda m: F.array(*[F.lit(t) for t in known(m)]))
+    return out | {"linked": fields(rec, "880"), "f101": fields(rec, "101"), "f041": fields(rec, "041")}
+
+
+def _mapped() -> Column:
+    """The work, from the columns of _roles()."""
+    rec, c = F.col("rec"), F.col
+    author = lambda fs: F.filter(F.transform(fs, lambda f: T.strip_isbd(F.array_join(values(f, c("author_codes")), " "))), lambda a: a != "")
+    subjects = F.filter(F.transform("subject", lambda f: F.array_join(F.transform(values(f, "axyzv"), T.strip_isbd), " — ")), lambda s: s != "")
+    pub = F.get("published", F.lit(0))
+    of_a = lambda fs: F.flatten(F.transform(fs, lambda f: values(f, "a")))
+    roles = {"title": c("titles"), "authors": F.concat("main", "added"), "isbns": c("isbn"), "subjects": c("subject"), "summary": c("summaries"), "publisher": c("published")}
+    source = F.map_from_entries(F.filter(F.array(*[F.struct(F.lit(k).alias("key"), F.get(f, F.lit(0))["_tag"].alias("value")) for k, f in roles.items()]), lambda e: e["value"].isNotNull()))
     return F.struct(
-        F.lit(name).alias("flavour"),
-        title(rec, m).alias("title"),
-        alternate_title(rec, m).alias("title_alternate"),
-        F.concat(author(m.main_authors), author(m.added_authors)).alias("authors"),
-        F.array_distinct(F.filter(F.flatten(F.transform(fields(rec, m.isbn), lambda f: F.transform(values(f, "a"), T.clean_isbn))), lambda x: x.isNotNull())).alias("isbns"),
+        c("kind").alias("flavour"),
+        T.strip_nonfiling(first_filled(F.transform("titles", lambda f: assemble_title(f, c("punctuation"))))).alias("title"),
+        alternate_title(c("titles"), c("linked"), c("title_tag"), c("punctuation")).alias("title_alternate"),
+        author(F.concat("main", "added")).alias("authors"),
+        F.array_distinct(F.filter(F.transform(of_a(c("isbn")), T.clean_isbn), lambda x: x.isNotNull())).alias("isbns"),
         subjects.alias("subjects"),
-        first_text(rec, m.summary).alias("summary"),
-        first_text(rec, m.contents).alias("contents"),
-        F.coalesce(T.strip_isbd(F.get(values(pub, m.publisher_code), F.lit(0))), F.lit("")).alias("publisher"),
-        T.extract_year(F.array_join(values(pub, m.year_code), " ")).alias("publication_year"),
-        T.language_chain(a101, a041, control(rec, "008")).alias("languages"),
-        items(rec, m).alias("items"),
+        first_text(c("summaries")).alias("summary"),
+        first_text(c("notes")).alias("contents"),
+        F.coalesce(T.strip_isbd(F.get(values(pub, c("publisher_code")), F.lit(0))), F.lit("")).alias("publisher"),
+        T.extract_year(F.array_join(values(pub, c("year_code")), " ")).alias("publication_year"),
+        T.language_chain(of_a(c("f101")), of_a(c("f041")), control(rec, "008")).alias("languages"),
+        items(c("copies"), c("item_codes")).alias("items"),
         source.alias("provenance"),
         control(rec, "005").alias("marc_005"),
-        F.array_sort(F.array_except(tags, F.array(*[F.lit(t) for t in dict.fromkeys(used)]))).alias("unmapped"),
-        record_hash(rec, m, False).alias("content_hash"),
-        record_hash(rec, m, True).alias("items_hash"),
+        F.array_sort(F.array_except(F.array_distinct(F.transform(rec["datafield"], lambda f: f["_tag"])), c("known"))).alias("unmapped"),
+        record_hash(rec, c("item_tag"), False).alias("content_hash"),
+        record_hash(rec, c("item_tag"), True).alias("items_hash"),
     )
 
 
 def map_records(records: DataFrame) -> DataFrame:
     """records (source_record_id, deleted, rec) -> source_record_id, status (mapped, deleted, unmappable), work (a struct)."""
-    kind = flavour(F.col("rec"))
-    work = F.when(kind == "marc21", _mapped(F.col("rec"), MARC21, "marc21")).when(kind == "unimarc", _mapped(F.col("rec"), UNIMARC, "unimarc"))
-    status = F.when(F.col("deleted"), "deleted").when(kind.isNull() | F.col("rec").isNull(), "unmappable").otherwise("mapped")
-    return records.select("source_record_id", status.alias("status"), F.when(status == "mapped", work).alias("work"))
+    rows = records.select("source_record_id", "deleted", "rec", flavour(F.col("rec")).alias("kind"))
+    status = F.when(F.col("deleted"), "deleted").when(F.col("kind").isNull(), "unmappable").otherwise("mapped")
+    rows = rows.select("source_record_id", status.alias("status"), "rec", "kind", *[x.alias(n) for n, x in _roles(F.col("rec"), F.col("kind")).items()])
+    return rows.select("source_record_id", "status", F.when(F.col("status") == "mapped", _mapped()).alias("work"))
 
 
 def works_batch(mapped: DataFrame) -> DataFrame:

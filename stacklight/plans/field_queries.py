@@ -175,7 +175,7 @@ def marc_hashes(spark, sf_dir):
     vary = lambda k: F.when(_k() % 3 == k, F.col("p_type")).otherwise(F.lit("same"))
     xml = _record(_xml_field("245", ("a", vary(0))), _xml_field("952", ("p", vary(1))))
     rows = A.table(spark, sf_dir, "part").select((_k() % 3).alias("kind"), marc.parse(xml).alias("rec"))
-    rows = rows.select("kind", marc.record_hash(F.col("rec"), marc.MARC21, False).alias("c"), marc.record_hash(F.col("rec"), marc.MARC21, True).alias("i"))
+    rows = rows.select("kind", marc.record_hash(F.col("rec"), "952", False).alias("c"), marc.record_hash(F.col("rec"), "952", True).alias("i"))
     return rows.groupBy("kind").agg(F.count_distinct("c").alias("contents"), F.count_distinct("i").alias("items"))
 
 
