@@ -80,9 +80,9 @@ def leading_year(*cs: Column) -> Column:
 
 
 def merge_subtitle(title: Column, subtitle: Column) -> Column:
-    """title : subtitle, unless the title already holds it."""
-    sub = F.trim(F.coalesce(subtitle, F.lit("")))
-    return F.when((sub == "") | F.contains(F.lower(title), F.lower(sub)), title).otherwise(F.concat(title, F.lit(" : "), sub))
+    """title : subtitle, unless the title already holds it; without a title, the subtitle."""
+    head, sub = F.trim(F.coalesce(title, F.lit(""))), F.trim(F.coalesce(subtitle, F.lit("")))
+    return F.when((sub == "") | F.contains(F.lower(head), F.lower(sub)), head).when(head == "", sub).otherwise(F.concat(head, F.lit(" : "), sub))
 
 
 def biblionumber(record_id: Column) -> Column:

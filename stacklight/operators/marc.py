@@ -178,10 +178,12 @@ def _mapped() -> Column:
     )
 
 
-def map_records(records: DataFrame) -> DataFrame:
-    """records (source_record_id, deleted, rec) -> source_record_id, status (mapped, deleted, unmappable), work (a struct)."""
+def map_records(records: DataFrame, expected: str | None = None) -> DataFrame:
+    """records (source_record_id, deleted, rec) -> source_record_id, status (mapped, deleted, unmappable, flavour_change), work (a
+    struct). expected: the flavour of the feed; records of another are not mapped."""
     rows = records.select("source_record_id", "deleted", "rec", flavour(F.col("rec")).alias("kind"))
-    status = F.when(F.col("deleted"), "deleted").when(F.col("kind").isNull(), "unmappable").otherwise("mapped")
+    status = F.when(F.col("deleted"), "deleted").when(F.col("kind").isNull(), "unmappable")
+    status = (status.when(F.col("kind") != expected, "flavour_change") if expected else status).otherwise("mapped")
     rows = rows.select("source_record_id", status.alias("status"), "rec", "kind", *[x.alias(n) for n, x in _roles(F.col("rec"), F.col("kind")).items()])
     return rows.select("source_record_id", "status", F.when(F.col("status") == "mapped", _mapped()).alias("work"))
 

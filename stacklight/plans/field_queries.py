@@ -216,6 +216,66 @@ def feed_records(spark, sf_dir):
     return harvest.split_records(pages).select("source_record_id", "deleted", F.col("xml").isNotNull().alias("has_xml"))
 
 
+@query("SELECT CASE WHEN p_partkey % 9 = 0 THEN 'deleted' WHEN p_partkey % 3 = 0 THEN 'flavour_change' ELSE 'mapped' END AS status, count(*) AS n FROM part GROUP BY 1")
+def marc_flavours(spark, sf_dir):
+    """A feed of MARC 21 in which every third record is UNIMARC."""
+    xml = F.when(_k() % 3 == 0, _record(_xml_field("200", ("a", _name())))).otherwise(_record(_xml_field("245", ("a", _name()))))
+    rows = A.table(spark, sf_dir, "part").select(_str(_k()).alias("source_record_id"), (_k() % 9 == 0).alias("deleted"), marc.parse(xml).alias("rec"))
+    return marc.counters(marc.map_records(rows, "marc21"))
+
+
+# the library's database ---------------------------------------------------------------------------------------------
+
+
+def _database(spark, sf_dir):
+    """Parts as biblios (every 13th hidden, every 4th without its edition row), line items as copies, orders as issues."""
+    p = A.table(spark, sf_dir, "part")
+    biblio = p.select(_k().alias("biblionumber"), _name().alias("title"), F.when(_k() % 2 == 0, F.col("p_brand")).alias("subtitle"), F.when(_k() % 3 == 0, F.col("p_brand")).alias("author"), F.col("p_type").alias("abstract"), F.lit(None).cast("string").alias("notes"), F.lit(1950).alias("copyrightdate"), F.lit("2024-01-01").cast("timestamp").alias("timestamp"), (_k() % 13 == 0).cast("int").alias("opac_suppressed"))
+    editions = p.where(_k() % 4 != 0).select(_k().alias("biblionumber"), F.concat(F.lpad(_str(_k()), 10, "0"), F.lit(" | 12")).alias("isbn"), F.lit("1984").alias("publicationyear"), F.col("p_brand").alias("publishercode"))
+    items = p.select((_k() * 10).alias("itemnumber"), _k().alias("biblionumber"), _str(_k()).alias("barcode"), F.lit("h").alias("homebranch"), F.lit("b").alias("holdingbranch"), F.lit("l").alias("location"), F.lit("c").alias("itemcallnumber"), F.lit("t").alias("itype"), F.when(_k() % 5 == 0, "2024-05-05").alias("onloan"), F.when(_k() % 2 == 0, 3).alias("issues"))
+    return biblio, editions, items
+
+
+@query("SELECT CAST(p_partkey AS VARCHAR) AS source_record_id, CASE WHEN p_partkey % 2 = 0 THEN p_name || ' : ' || p_brand ELSE p_name END AS title, CASE WHEN p_partkey % 3 = 0 THEN [p_brand] ELSE CAST([] AS VARCHAR[]) END AS authors, p_type AS summary, CASE WHEN p_partkey % 4 <> 0 THEN [lpad(CAST(p_partkey AS VARCHAR), 10, '0')] ELSE CAST([] AS VARCHAR[]) END AS isbns, CASE WHEN p_partkey % 4 <> 0 THEN p_brand ELSE '' END AS publisher, CASE WHEN p_partkey % 4 <> 0 THEN 1984 ELSE 1950 END AS year FROM part WHERE p_partkey % 13 <> 0")
+def database_works(spark, sf_dir):
+    biblio, editions, _ = _database(spark, sf_dir)
+    got = harvest.database_works(biblio, editions, since="2023-01-01")
+    return got.select("source_record_id", "title", "authors", "summary", "isbns", "publisher", F.col("publication_year").cast("int").alias("year"))
+
+
+@query("SELECT CAST(p_partkey AS VARCHAR) AS source_record_id, sha256(CASE WHEN p_partkey % 2 = 0 THEN p_name || ' : ' || p_brand ELSE p_name END || chr(31) || CASE WHEN p_partkey % 3 = 0 THEN p_brand ELSE '' END || chr(31) || p_type || chr(31) || chr(31) || CASE WHEN p_partkey % 4 <> 0 THEN lpad(CAST(p_partkey AS VARCHAR), 10, '0') ELSE '' END || chr(31) || CASE WHEN p_partkey % 4 <> 0 THEN p_brand ELSE '' END || chr(31) || CASE WHEN p_partkey % 4 <> 0 THEN '1984' ELSE '1950' END) AS content_hash, sha256(p_partkey || ':b:c:t:' || CASE WHEN p_partkey % 5 = 0 THEN '2024-05-05' ELSE '' END) AS items_hash FROM part WHERE p_partkey % 13 <> 0")
+def database_hashes(spark, sf_dir):
+    biblio, editions, items = _database(spark, sf_dir)
+    got = harvest.database_hashes(harvest.database_works(biblio, editions), harvest.database_items(items, biblio))
+    return got.select("source_record_id", "content_hash", "items_hash")
+
+
+@query("SELECT o_orderkey AS source_loan_id, CAST(p_partkey AS VARCHAR) AS biblio_id, o_orderkey % 2 = 1 AS returned, o_orderkey % 3 AS renewals FROM orders JOIN part ON p_partkey = o_custkey WHERE p_partkey % 13 <> 0")
+def database_loans(spark, sf_dir):
+    biblio, _, items = _database(spark, sf_dir)
+    k = F.col("o_orderkey")
+    rows = A.table(spark, sf_dir, "orders").select(k.alias("issue_id"), (F.col("o_custkey") * 10).alias("itemnumber"), F.col("o_custkey").alias("borrowernumber"), F.col("o_orderdate").alias("issuedate"), F.when(k % 2 == 1, F.col("o_orderdate")).alias("returndate"), F.when(k % 3 != 0, k % 3).alias("renewals_count"))
+    got = harvest.database_loans(rows.where("returndate is null"), rows.where("returndate is not null"), items, biblio, A.SECRET)
+    return got.select("source_loan_id", "biblio_id", F.col("checked_in_at").isNotNull().alias("returned"), F.col("renewals").cast("bigint").alias("renewals"))
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS biblio_id, CAST(doc_id % 7 AS SMALLINT) AS rating FROM labels WHERE doc_id % 7 BETWEEN 1 AND 5")
+def database_ratings(spark, sf_dir):
+    rows = A.table(spark, sf_dir, "labels").select(F.col("doc_id").alias("borrowernumber"), F.col("doc_id").alias("biblionumber"), (F.col("doc_id") % 7).alias("rating_value"), F.lit("2024-01-01").cast("timestamp").alias("timestamp"))
+    return harvest.database_ratings(rows, A.SECRET).select("biblio_id", "rating")
+
+
+@query()
+def sampled_works(spark, sf_dir):
+    """A seeded sample; the draw depends on a hash that SQL lacks."""
+    return evaluation.sample(A.works(spark, sf_dir).select("id", "title"), 100, 42, "id")
+
+
+@query()
+def synthetic_loans(spark, sf_dir):
+    return evaluation.loan_plan(A.works(spark, sf_dir), 200)
+
+
 # Open Library and exports -----------------------------------------------------------------------------------------
 
 

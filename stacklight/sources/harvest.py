@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
-from ..functions.hashing import patron_reference
+from ..functions.hashing import flat_hash, patron_reference
 from .diagnosis import not_marc, parse_xml
 
 
@@ -242,7 +242,36 @@ def database_works(biblio: DataFrame, biblioitems: DataFrame, since=None) -> Dat
     b = biblio.where("opac_suppressed = 0")
     b = b.where(F.col("timestamp") > F.lit(since)) if since is not None else b
     rows = b.join(biblioitems, "biblionumber", "left")
-    return rows.select("biblionumber", T.merge_subtitle(F.col("title"), F.col("subtitle")).alias("title"), "author", T.split_isbns(F.col("isbn")).alias("isbns"), T.leading_year(F.col("publicationyear").cast("string"), F.col("copyrightdate").cast("string")).alias("publication_year"))
+    text = lambda c: F.trim(F.coalesce(c, F.lit("")))
+    author = text("author")
+    return rows.select(
+        F.col("biblionumber").cast("string").alias("source_record_id"),
+        T.merge_subtitle(F.col("title"), F.col("subtitle")).alias("title"),
+        F.when(author != "", F.array(author)).otherwise(F.array().cast("array<string>")).alias("authors"),
+        text("abstract").alias("summary"),
+        text("notes").alias("contents"),
+        T.split_isbns(F.col("isbn")).alias("isbns"),
+        T.clip(text("publishercode"), 255).alias("publisher"),
+        T.leading_year(F.col("publicationyear").cast("string"), F.col("copyrightdate").cast("string")).alias("publication_year"),
+        F.col("timestamp").alias("modified"),
+    )
+
+
+def database_items(items: DataFrame, biblio: DataFrame) -> DataFrame:
+    """The copies of visible biblios."""
+    rows = items.join(biblio.where("opac_suppressed = 0").select("biblionumber"), "biblionumber")
+    names = {"biblionumber": "source_record_id", "homebranch": "owning_branch", "holdingbranch": "holding_branch", "itemcallnumber": "call_number", "itype": "item_type", "onloan": "due_date"}
+    return rows.select(F.col("biblionumber").cast("string").alias("source_record_id"), "barcode", *[F.col(a).alias(b) for a, b in names.items() if a != "biblionumber"], "location", F.coalesce("issues", F.lit(0)).alias("issue_count"))
+
+
+def database_hashes(works: DataFrame, items: DataFrame) -> DataFrame:
+    """works with content_hash, over the bibliographic fields, and items_hash, over those of its copies in the order of their
+    barcodes: a copy that moves doesn't change the content."""
+    one = F.concat_ws(":", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("barcode", "holding_branch", "call_number", "item_type", "due_date")])
+    copies = items.groupBy("source_record_id").agg(F.array_join(F.array_sort(F.collect_list(one)), "\x1f").alias("copies"))
+    rows = works.join(copies, "source_record_id", "left")
+    content = flat_hash(F.col("title"), F.array_join("authors", "|"), F.col("summary"), F.col("contents"), F.array_join("isbns", "|"), F.col("publisher"), F.col("publication_year"))
+    return rows.withColumns({"content_hash": content, "items_hash": F.sha2(F.coalesce("copies", F.lit("")), 256)}).drop("copies")
 
 
 def database_ratings(ratings: DataFrame, secret: str) -> DataFrame:
@@ -255,4 +284,4 @@ def database_loans(issues: DataFrame, old_issues: DataFrame, items: DataFrame, b
     """Current and past loans with their biblio, pseudonymised."""
     every = issues.unionByName(old_issues) if history else issues
     rows = every.join(items.select("itemnumber", "biblionumber"), "itemnumber").join(biblio.where("opac_suppressed = 0").select("biblionumber"), "biblionumber")
-    return rows.select(F.col("issue_id").alias("source_loan_id"), "biblionumber", patron_reference(F.col("borrowernumber"), secret).alias("patron_ref"), F.col("issuedate").alias("checked_out_at"), F.col("returndate").alias("checked_in_at"), F.coalesce("renewals", F.lit(0)).alias("renewals"))
+    return rows.select(F.col("issue_id").alias("source_loan_id"), F.col("biblionumber").cast("string").alias("biblio_id"), patron_reference(F.col("borrowernumber"), secret).alias("patron_ref"), F.col("issuedate").alias("checked_out_at"), F.col("returndate").alias("checked_in_at"), F.coalesce("renewals_count", F.lit(0)).alias("renewals"))
