@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from functools import lru_cache
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,16 +13,20 @@ from ..functions.text import fold, isbn_shaped, searchable_authors, similarity,
 from .catalog import live, scope
 
 
-def word_trigrams(text: str) -> list[str]:
+@lru_cache(100_000)
+def word_trigrams(text: str) -> tuple[str, ...]:
     """Trigrams of the words of a folded text, in order."""
-    import re
+    return tuple(f"  {w} "[i : i + 3] for w in re.findall(r"[^\W_]+", text) for i in range(len(w) + 1))
+
 
-    return [f"  {w} "[i : i + 3] for w in re.findall(r"[^\W_]+", text) for i in range(len(w) + 1)]
+@lru_cache(100_000)
+def trigram_set(text: str) -> frozenset[str]:
+    return frozenset(word_trigrams(text))
 
 
 def word_similarity(query: str, target: str) -> float:
     """The most that the query's trigrams share with a contiguous extent of the target's, over the union of both."""
-    q, t = set(word_trigrams(query)), word_trigrams(target)
+    q, t = trigram_set(query), word_trigrams(target)
     best = 0.0
     starts = [i for i, g in enumerate(t) if g in q]
     for i in starts:
@@ -42,29 +50,41 @@ def trigram_index(works: DataFrame) -> DataFrame:
 
 
 def trigram_candidates(queries: DataFrame, index: DataFrame, least: float = 0.3) -> DataFrame:
-    """queries (query) -> query, id, field, shared, n, n_query where the field holds at least `least` of the query's trigrams."""
-    q = queries.select("query", trigrams(F.col("query")).alias("grams")).select("query", F.size("grams").alias("n_query"), F.explode("grams").alias("gram"))
-    hits = q.join(index, "gram").groupBy("query", "id", "field", "n", "n_query").agg(F.count(F.lit(1)).alias("shared"))
-    return hits.where(F.col("shared") >= least * F.col("n_query"))
+    """queries (query) -> query, id, field, shared, n, n_query where the field holds at least `least` of the query's trigrams.
+
+    Shared trigrams are counted by a number for each query and field, so that the shuffled keys are short."""
+    q = queries.select("query").distinct().select("query", F.xxhash64("query").alias("number"), trigrams(F.col("query")).alias("grams"))
+    grams = q.select("number", F.explode("grams").alias("gram"))
+    rows = index.select("gram", "id", (F.col("field") == "title").alias("is_title"), "n")
+    hits = grams.join(rows, "gram").groupBy("number", "id", "is_title").agg(F.count(F.lit(1)).alias("shared"), F.first("n").alias("n"))
+    found = hits.join(q.select("number", "query", F.size("grams").alias("n_query")), "number").where(F.col("shared") >= least * F.col("n_query"))
+    return found.select("query", "id", F.when(F.col("is_title"), "title").otherwise("authors").alias("field"), "shared", "n", "n_query")
 
 
 def search_exact(queries: DataFrame, works: DataFrame, limit: int = 20, source_id: int | None = None, word_floor: float = 0.6, plain_floor: float = 0.3, floor: float = 0.45) -> DataFrame:
     """queries (query) -> query, id, score, rank. An ISBN hit scores 1.0 and shuts out the fuzzy search; else the better of the
     word similarities to title and authors, if one reaches word_floor, or plain similarity to the title plain_floor, and `floor`.
-    source_id: of one source's works only."""
-    from pyspark.sql.functions import udf
+    source_id: of one source's works only.
 
+    Word similarity is at most the share of the query's trigrams that a field holds, so only fields that hold `floor` are scored."""
     rows = scope(live(works), source_id)
     isbn = queries.withColumn("isbn", isbn_shaped(F.col("query"))).where("isbn is not null")
     hits = isbn.join(rows.select("id", F.explode("isbns").alias("isbn")), "isbn").select("query", "id", F.lit(1.0).alias("score")).distinct()
     rest = queries.join(hits.select("query").distinct(), "query", "left_anti")
-    ids = trigram_candidates(rest, trigram_index(rows), floor).select("query", "id").distinct()
-    score = udf(lambda q, t: word_similarity(q, t or ""), "double", useArrow=True)
-    fuzzy = ids.join(rows.select("id", fold(F.col("title")).alias("title"), searchable_authors(F.col("authors")).alias("authors")), "id")
-    q = fold(F.col("query"))
-    fuzzy = fuzzy.select("query", "id", score(q, "title").alias("by_title"), score(q, "authors").alias("by_authors"), similarity(trigrams(q), trigrams(F.col("title"))).alias("plain"))
-    best = F.greatest("by_title", "by_authors")
-    fuzzy = fuzzy.where(((best >= word_floor) | (F.col("plain") >= plain_floor)) & (best >= floor)).select("query", "id", best.alias("score"))
+    found = trigram_candidates(rest, trigram_index(rows), floor).select("query", "id", "field")
+    texts = rows.select("id", fold(F.col("title")).alias("title"), searchable_authors(F.col("authors")).alias("authors"))
+
+    def score(batches):
+        for b in batches:
+            pairs = zip(b.column("folded").to_pylist(), b.column("text").to_pylist(), strict=True)
+            yield pa.RecordBatch.from_arrays([b.column("query"), b.column("id"), pa.array([word_similarity(q, t or "") for q, t in pairs], pa.float64())], names=["query", "id", "score"])
+
+    held = found.join(texts, "id").select("query", fold(F.col("query")).alias("folded"), "id", F.when(F.col("field") == "title", F.col("title")).otherwise(F.col("authors")).alias("text"))
+    best = held.mapInArrow(score, f"query string, id {works.schema['id'].dataType.simpleString()}, score double").where(F.col("score") >= floor)
+    best = best.groupBy("query", "id").agg(F.max("score").alias("score"))
+    sure = best.where(F.col("score") >= word_floor)
+    plain = similarity(trigrams(F.col("query")), trigrams(F.col("title")))
+    other = best.where(F.col("score") < word_floor).join(texts.select("id", "title"), "id").where(plain >= plain_floor).select("query", "id", "score")
     w = Window.partitionBy("query").orderBy(F.desc("score"), "id")
-    ranked = fuzzy.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
+    ranked = sure.unionByName(other).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
     return ranked.unionByName(hits.withColumn("rank", F.row_number().over(w)))
