@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from .common import BASE, BYTE64, materialize, mix64, powers, slices, text_bytes
 
 GRAM, PIECE = 64, 1 << 20
-BATCH_CONTEXTS, GROUP_LIMIT = 8192, 512
+BATCH_CONTEXTS, GROUP_LIMIT, SALTS = 8192, 512, 16
 PIECES = "g long, h long, c long, n long, first int, at int, k int, context binary"
 _inverse = np.uint64(pow(int(BASE), -1, 1 << 64))
 _inverses = np.ones(1, np.uint64)
@@ -230,7 +230,9 @@ def repeated_spans(docs: DataFrame, text: str = "text", length: int = 400, carry
         step = -(-step // 8)
         parts = materialize(hot.mapInArrow(segments(length, step), PIECES), "suffix-parts")
         met = materialize(parts.groupBy("g").agg(F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("copies")).where("copies > 1"), "suffix-met")
-        sized = parts.join(met.hint("merge"), "g")
+        # a large group is many tasks' in the join: by its contexts' hash
+        salted = met.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        sized = parts.withColumn("salt", F.pmod(F.xxhash64("c"), F.lit(SALTS)).cast("int")).join(salted.hint("merge"), ["g", "salt"])
         alone = (F.col("kinds") == 1) | F.lit(step == 1)
         verdicts = verdicts.union(sized.where(alone).select("h", "c", F.array("at", F.col("at") + F.col("k")).alias("runs")))
         verdicts = verdicts.union(built(sized.where(~alone & (F.col("kinds") <= group_limit)).select(parts.columns), step))
