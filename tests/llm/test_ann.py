@@ -58,3 +58,13 @@ def test_edge_cases(spark, n):
     rows += [(100, None), (200, [0.0, 0.0]), (300, [1.0, None]), (400, [float("nan"), 1.0]), (500, [float("inf"), 1.0]), (9, [1.0, 2.0, 3.0])] if n else []
     got = [(r.query_id, r["rank"], r.vec_id) for r in ann.nearest(spark.createDataFrame([(*r, 1) for r in rows], "vec_id long, embedding array<float>, rank int").drop("x"), lambda i: i % 100 == 0).collect()]
     assert sorted(got) == ([(0, 1, 7), (0, 2, 8)] if n == 4 else [])
+
+
+def test_a_dimension_that_the_sample_lacks(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.normal(size=4 if i % 50 else 3).tolist()) for i in range(1, 402)]
+    got = {}
+    for r in ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), lambda i: i % 100 == 0, k=3, sample_rows=2).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id))
+    want = brute(rows, 3)
+    assert {q: sorted(v) for q, v in got.items()} == {q: list(enumerate((i for _, i in w), 1)) for q, w in want.items()}

@@ -75,3 +75,12 @@ def test_edge_cases(spark):
     assert by[5].component_id == 4 and not by[5].kept and by[3].n_shingles == 1
     assert by[None].component_id is None and not by[None].kept
     assert minhash.near_duplicates(docs(spark, [])).collect() == []
+
+
+def test_very_long_texts(spark):
+    rng = random.Random(4)
+    words = ["".join(rng.choices("abcdefgh", k=5)) for _ in range(120_000)]
+    near = list(words)
+    near[::100] = ["other"] * len(near[::100])
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(docs(spark, [(1, " ".join(words)), (2, " ".join(near)), (3, " ".join(words[:60_000]))])).collect()}
+    assert got == {1: 1, 2: 1, 3: 3}

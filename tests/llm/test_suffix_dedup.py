@@ -59,3 +59,11 @@ def test_edge_cases(spark):
     assert suffix_dedup.remove_repeats(docs(spark, [])).collect() == []
     rows = suffix_dedup.remove_repeats(docs(spark, [(1, "x" * 399 + "y"), (1, "x" * 399 + "y"), (2, "x" * 399)])).collect()
     assert sorted(r.n_removed for r in rows) == [0, 400, 400]
+
+
+def test_very_long_texts(spark):
+    rng = random.Random(9)
+    long = "".join(rng.choices("abcdefgh ", k=1_300_000))
+    texts = [long, "x" * 50 + long[1_048_000:1_049_500] + "y" * 50, "z" * 10]
+    rows = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans) for r in suffix_dedup.remove_repeats(docs(spark, list(enumerate(texts)))).collect()}
+    assert rows == {0: (1_300_000, 1500, 1), 1: (1600, 1500, 1), 2: (10, 0, 0)}
