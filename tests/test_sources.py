@@ -151,3 +151,20 @@ def test_sinks_and_records(spark, tmp_path):
     sinks.records(one, f"{tmp_path}/r")
     long = spark.range(1).select(F.struct(F.lit("x").alias("leader"), F.array(F.struct(F.lit("001").alias("_tag"), F.repeat(F.lit("é"), 6000).alias("_VALUE"))).alias("controlfield"), F.array(f("245", "a", "x")).alias("datafield")).alias("rec"))
     assert long.select(iso2709.iso2709(F.col("rec")).alias("t")).first().t is None
+
+
+def test_dump_reader(spark, tmp_path):
+    import gzip
+
+    with gzip.open(tmp_path / "dump.txt.gz", "wt") as f:
+        f.write('/type/work\t/works/W1\t3\t2024-01-01\t{"title": "a\\tb"}\nbroken\tline\n/type/work\t/works/W2\t1\t2024-01-01\t{"title": "x\ty"}\n')
+    got = sorted((r.key, r.json) for r in harvest.open_library(spark, str(tmp_path / "dump.txt.gz")).collect())
+    assert got == [("/works/W1", '{"title": "a\\tb"}'), ("/works/W2", '{"title": "x\ty"}')]
+
+
+def test_database_rows_with_nulls(spark):
+    biblio = spark.createDataFrame([(1, None, "sub", None, None, None, None, None, 0), (2, " T ", None, " A ", " s ", "n", 1999, None, 0), (3, "hidden", None, None, None, None, None, None, 1)], "biblionumber int, title string, subtitle string, author string, abstract string, notes string, copyrightdate int, timestamp timestamp, opac_suppressed int")
+    editions = spark.createDataFrame([(2, "x", "19xx", None)], "biblionumber int, isbn string, publicationyear string, publishercode string")
+    got = {r.source_record_id: r for r in harvest.database_works(biblio, editions).collect()}
+    assert set(got) == {"1", "2"} and got["1"].title == "sub" and got["1"].authors == [] and got["1"].isbns == []
+    assert (got["2"].title, got["2"].authors, got["2"].summary, got["2"].publication_year) == ("T", ["A"], "s", None)
