@@ -181,7 +181,8 @@ def _mapped() -> Column:
 def map_records(records: DataFrame, expected: str | None = None) -> DataFrame:
     """records (source_record_id, deleted, rec) -> source_record_id, status (mapped, deleted, unmappable, flavour_change), work (a
     struct). expected: the flavour of the feed; records of another are not mapped."""
-    rows = records.select("source_record_id", "deleted", "rec", flavour(F.col("rec")).alias("kind"))
+    # behind a generator, filters on what is read from a record don't repeat its parsing
+    rows = records.select("source_record_id", "deleted", F.explode_outer(F.array("rec")).alias("rec")).withColumn("kind", flavour(F.col("rec")))
     status = F.when(F.col("deleted"), "deleted").when(F.col("kind").isNull(), "unmappable")
     status = (status.when(F.col("kind") != expected, "flavour_change") if expected else status).otherwise("mapped")
     rows = rows.select("source_record_id", status.alias("status"), "rec", "kind", *[x.alias(n) for n, x in _roles(F.col("rec"), F.col("kind")).items()])
@@ -195,7 +196,8 @@ def works_batch(mapped: DataFrame) -> DataFrame:
 
 
 def items_batch(mapped: DataFrame) -> DataFrame:
-    return mapped.where("status = 'mapped'").select("source_record_id", F.inline("work.items"))
+    # an inner generator would be filtered by the size of an array that is computed for that alone
+    return mapped.select("source_record_id", F.inline_outer("work.items")).where("barcode is not null")
 
 
 def counters(mapped: DataFrame) -> DataFrame:
@@ -204,7 +206,7 @@ def counters(mapped: DataFrame) -> DataFrame:
 
 def field_profile(records: DataFrame) -> DataFrame:
     """Per tag: the share of records that have it, and that repeat it."""
-    tags = records.select(F.col("source_record_id"), F.explode(F.transform("rec.datafield", lambda f: f["_tag"])).alias("tag")).groupBy("source_record_id", "tag").agg(F.count(F.lit(1)).alias("n"))
+    tags = records.select(F.col("source_record_id"), F.explode_outer(F.transform("rec.datafield", lambda f: f["_tag"])).alias("tag")).where("tag is not null").groupBy("source_record_id", "tag").agg(F.count(F.lit(1)).alias("n"))
     total = records.agg(F.count(F.lit(1)).alias("records"))
     out = tags.groupBy("tag").agg(F.count(F.lit(1)).alias("with_tag"), F.count_if(F.col("n") > 1).alias("repeated"))
     return out.crossJoin(total).select("tag", F.round(100.0 * F.col("with_tag") / F.col("records"), 4).alias("percent"), F.round(100.0 * F.col("repeated") / F.col("records"), 4).alias("percent_repeated"))
