@@ -1,8 +1,9 @@
 """Similarity search over unit vectors: masks before top-k, batched over any number of probes.
 
 Vectors are packed into blocks, a matrix each. Blocks of rows and of probes are dealt to a grid of cells in which each pair meets
-once, and a pair gives the best k of each probe from one product; nothing is broadcast and no pair of vectors is a row. With T
-cells, q probes and n rows, sqrt(T q / n) columns keep the copies of both sides level."""
+once, and a pair gives the best k of each probe from one product; no pair of vectors is a row. With T cells, q
+probes and n rows, sqrt(T q / n) columns keep the copies of both sides level. A few probes against few rows, both counted first,
+are joined by a broadcast instead, which costs less than starting Python workers."""
 
 from __future__ import annotations
 
@@ -15,8 +16,9 @@ from pyspark.sql import functions as F
 
 from .catalog import live
 
-#: Vectors of a block, and pairs of vectors for one task.
-BLOCK_ROWS, CELL_PAIRS = 4096, 500_000_000
+#: Vectors of a block, and pairs of vectors for one task; so few pairs are scored in the JVM, from a broadcast of BLOCK_ROWS probes
+#: at most.
+BLOCK_ROWS, CELL_PAIRS, FEW_PAIRS = 4096, 500_000_000, 5_000_000
 _PACKED = "grp long, ids binary, sources binary, vectors binary, shown array<array<long>>"
 
 
@@ -85,7 +87,13 @@ def nearest(probes: DataFrame, rows: DataFrame, k: int, same_source: bool = Fals
         return out.where(F.col("id").isNotNull() & F.col("v").isNotNull() & (F.col("source") != -1 if same_source else F.lit(True)))
 
     rows, probes = given(rows, "work_id", "vector", "source_id"), given(probes, "probe", "probe_vector", "probe_source")
-    n, q = rows.count(), probes.count()
+    sides = rows.select(F.lit(0).alias("side")).union(probes.select(F.lit(1).alias("side")))
+    n, q = sides.agg(F.count_if(F.col("side") == 0), F.count_if(F.col("side") == 1)).first()
+    if q <= BLOCK_ROWS and n * q <= FEW_PAIRS:
+        # few probes, counted: they go to every task, and no Python runs
+        asked = F.broadcast(probes.select("grp", F.col("id").alias("probe"), F.col("v").alias("w"), F.col("shown").alias("hidden")))
+        pairs = rows.join(asked, "grp").where((F.col("id") != F.col("probe")) & ~F.array_contains("hidden", F.col("id")))
+        return top_k(pairs.select("probe", F.col("id").alias("work_id"), F.col("source").alias("source_id"), dot(F.col("v"), F.col("w")).alias("score")), k)
     cells = max(2 * rows.sparkSession.sparkContext.defaultParallelism, math.ceil(n * q / CELL_PAIRS))
     columns = min(max(1, round(math.sqrt(cells * q / max(1, n)))), max(1, math.ceil(q / BLOCK_ROWS)))
     lines = math.ceil(cells / columns)

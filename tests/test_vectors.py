@@ -9,9 +9,10 @@ def rows(spark, x, sources):
     return spark.createDataFrame([(i, v.tolist(), s, i % 3 == 0) for i, (v, s) in enumerate(zip(x, sources, strict=True))], "work_id long, vector array<double>, source_id int, is_title_only boolean")
 
 
-@pytest.mark.parametrize("same", [True, False])
-def test_nearest_by_brute_force(spark, monkeypatch, same):
-    monkeypatch.setattr(vectors, "BLOCK_ROWS", 40)
+@pytest.mark.parametrize(("same", "few"), [(True, 0), (False, 0), (True, 10**6), (False, 10**6)])
+def test_nearest_by_brute_force(spark, monkeypatch, same, few):
+    monkeypatch.setattr(vectors, "BLOCK_ROWS", 100 if few else 40)
+    monkeypatch.setattr(vectors, "FEW_PAIRS", few)
     rng = np.random.default_rng(6)
     x = rng.normal(size=(300, 8))
     x[100:140] = x[7]  # ties
