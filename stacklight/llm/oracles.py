@@ -53,3 +53,17 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
   CAST(sum(length(CASE WHEN {_CONFLICT} THEN {_escaped("text")} ELSE text END) + CASE role {_MARKS} ELSE {sum(map(len, OTHER))} + length({_escaped("role")}) END) AS BIGINT) AS formatted_chars
 FROM c GROUP BY conv_id
 """
+
+OP12 = """
+WITH shipped AS (SELECT sale_id, min(epoch(date_trunc('minute', shipped_at))) AS first FROM sale_lines WHERE shipped_at IS NOT NULL AND sale_id IS NOT NULL GROUP BY 1),
+nations AS (SELECT client_id, min(nation_id) AS nation FROM clients WHERE client_id IS NOT NULL GROUP BY 1),
+open AS (SELECT coalesce(nation, -1) AS nation, CAST(epoch(date_trunc('minute', sold_at)) AS BIGINT) AS s, CAST(first AS BIGINT) + 604800 AS e, CAST(floor(100 * coalesce(total, 0) + CAST(0.5 AS DOUBLE)) AS BIGINT) AS c
+  FROM sales LEFT JOIN shipped USING (sale_id) LEFT JOIN nations USING (client_id) WHERE sold_at IS NOT NULL),
+valid AS (SELECT * FROM open WHERE e IS NULL OR e > s),
+steps AS (SELECT nation, s AS t, 1 AS n, c FROM valid UNION ALL SELECT nation, e, -1, -c FROM valid WHERE e IS NOT NULL),
+each AS (SELECT nation, t, n, c FROM steps UNION ALL SELECT -2, t, n, c FROM steps),
+change AS (SELECT nation, t, sum(n) AS n, sum(c) AS c FROM each GROUP BY 1, 2 HAVING sum(n) <> 0 OR sum(c) <> 0),
+state AS (SELECT nation, t, sum(n) OVER w AS n, sum(c) OVER w AS c, lead(t) OVER w AS nxt FROM change WINDOW w AS (PARTITION BY nation ORDER BY t))
+SELECT CAST(nation AS INTEGER) AS nation_id, t AS from_s, nxt AS to_s, CAST(n AS BIGINT) AS n_open, CAST(c AS BIGINT) AS open_cents, CAST(max(n) OVER (PARTITION BY nation ORDER BY t) AS BIGINT) AS high_open, c = max(c) OVER (PARTITION BY nation) AS is_peak
+FROM state
+"""
