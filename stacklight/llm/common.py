@@ -37,6 +37,19 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def store_file(spark: SparkSession, name: str, content: bytes) -> str:
+    """The path of a file of its own in the shared folder, for Spark to hand to the executors; it goes when the driver ends."""
+    path = f"{shared_dir(spark)}/{name}"
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(spark._jsc.hadoopConfiguration()).create(at)
+    out.write(bytearray(content))
+    out.close()
+    if not _written:
+        atexit.register(cleanup)
+    _written.append((spark, path))
+    return path
+
+
 def cleanup() -> None:
     """Deletes the written tables of this process; DataFrames that read them can't be used afterwards."""
     while _written:
