@@ -64,11 +64,10 @@ def ancestor_sums(points: DataFrame, nodes: DataFrame, level: int, height: int)
 
 def with_all(sums: DataFrame, by: str, everything: int | None) -> DataFrame:
     """The sums by (key, `by`), and those of all keys together under the key `everything`."""
-    named = sums.where("key IS NOT NULL")
     if everything is None:
-        return named
+        return sums
     whole = sums.groupBy(by).agg(F.sum("n").alias("n"), F.sum("value").alias("value"))
-    return named.unionByName(whole.select(F.lit(everything).cast(sums.schema["key"].dataType).alias("key"), by, "n", "value"))
+    return sums.unionByName(whole.select(F.lit(everything).cast(sums.schema["key"].dataType).alias("key"), by, "n", "value"))
 
 
 def concurrency(intervals: DataFrame, everything: int | None = None) -> DataFrame:
@@ -88,8 +87,8 @@ def concurrency(intervals: DataFrame, everything: int | None = None) -> DataFram
     steps = F.array(F.struct(F.col("first").alias("at"), F.lit(1).alias("n"), F.col("value")), F.struct(F.col("last").alias("at"), F.lit(-1).alias("n"), (-F.col("value")).alias("value")))
     steps = placed.select("key", F.inline(steps)).where("at IS NOT NULL").groupBy("key", "at").agg(F.sum("n").alias("n"), F.sum("value").alias("value"))
     leaf = (F.col("at") + (1 << height)).alias("node")
-    points = materialize(with_all(steps, "at", everything).where("n <> 0 OR value <> 0").select("key", leaf), "sweep-moments")
-    nodes = materialize(with_all(node_sums(placed, height), "node", everything), "sweep-nodes")
+    points = materialize(with_all(steps, "at", everything).where("n <> 0 OR value <> 0").select("key", leaf), "sweep-moments").where("key IS NOT NULL")
+    nodes = materialize(with_all(node_sums(placed, height), "node", everything), "sweep-nodes").where("key IS NOT NULL")
 
     state = ancestor_sums(points, nodes, 0, height).select("key", (F.col("node") - (1 << height) + origin).alias("at"), "n", "value")
     return scan(materialize(state, "sweep-states"))
