@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, chunk_dedup, decontaminate, mil, minhash, oracles, packing, sharding, style_tree, suffix_dedup, sweep, transducer
+from . import ann, chat, chunk_dedup, decontaminate, mil, minhash, oracles, packing, resample, sharding, style_tree, suffix_dedup, sweep, transducer
 from .common import documents
 
 
@@ -65,5 +65,9 @@ def op12_peak_concurrency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return states.select(F.col("key").alias("nation_id"), seconds("at"), seconds("next_at"), F.col("n").alias("n_open"), F.col("value").alias("open_cents"), F.col("high_n").alias("high_open"), "is_peak")
 
 
-QUERIES = {f.__name__: f for f in (op1_main_text, op2_packing, op3_chunk_dedup, op4_nearest, op5_decontaminate, op6_suffix_dedup, op7_sharding, op8_minhash, op9_chat_format, op10_quality, op11_bpe_transducer, op12_peak_concurrency)}
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+QUERIES = {f.__name__: f for f in (op1_main_text, op2_packing, op3_chunk_dedup, op4_nearest, op5_decontaminate, op6_suffix_dedup, op7_sharding, op8_minhash, op9_chat_format, op10_quality, op11_bpe_transducer, op12_peak_concurrency, op13_importance_resampling)}
 ORACLE_SQL: dict[str, str] = {"op5_decontaminate": oracles.OP5, "op8_minhash": oracles.OP8, "op9_chat_format": oracles.OP9, "op12_peak_concurrency": oracles.OP12}
