@@ -67,3 +67,26 @@ state AS (SELECT nation, t, sum(n) OVER w AS n, sum(c) OVER w AS c, lead(t) OVER
 SELECT CAST(nation AS INTEGER) AS nation_id, t AS from_s, nxt AS to_s, CAST(n AS BIGINT) AS n_open, CAST(c AS BIGINT) AS open_cents, CAST(max(n) OVER (PARTITION BY nation ORDER BY t) AS BIGINT) AS high_open, c = max(c) OVER (PARTITION BY nation) AS is_peak
 FROM state
 """
+
+# crc32 (reversed polynomial 0xEDB88320), a byte at a time over all distinct features at once
+OP13 = rf"""
+WITH RECURSIVE steps AS (SELECT i, CAST(i AS BIGINT) AS c, 0 AS k FROM range(256) t(i) UNION ALL SELECT i, CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM steps WHERE k < 8),
+tab AS (SELECT list(c ORDER BY i) AS t FROM steps WHERE k = 8),
+hexes AS (SELECT map_from_entries(list((printf('%02X', i), i))) AS h FROM range(256) t(i)),
+d AS (SELECT doc_id, {_WORDS.format("coalesce(text, '')")} AS w FROM documents),
+b AS (SELECT {_WORDS.format("coalesce(text, '')")} AS w FROM benchmark),
+own AS (SELECT doc_id, unnest(w || list_transform(range(1, greatest(1, len(w))), lambda i: w[i] || ' ' || w[i + 1])) AS f FROM d),
+aim AS (SELECT unnest(w || list_transform(range(1, greatest(1, len(w))), lambda i: w[i] || ' ' || w[i + 1])) AS f FROM b),
+one AS (SELECT f, hex(encode(f)) AS x FROM (SELECT f FROM own UNION SELECT f FROM aim)),
+codes AS (SELECT f, list_transform(range(0, len(x) // 2), lambda i: h[x[2 * i + 1 : 2 * i + 2]]) AS codes, t FROM one, tab, hexes),
+crc AS (SELECT f, xor(list_reduce(list_prepend(4294967295, list_transform(codes, lambda c: CAST(c AS BIGINT))), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) % 10000 AS bucket FROM codes),
+per AS (SELECT doc_id, bucket, count(*) AS n FROM own JOIN crc USING (f) GROUP BY 1, 2),
+s AS (SELECT bucket, sum(n) AS s FROM per GROUP BY 1),
+t AS (SELECT bucket, count(*) AS t FROM aim JOIN crc USING (f) GROUP BY 1),
+gain AS (SELECT bucket, CAST(floor(1000 * ln((CAST(coalesce(t, 0) AS DOUBLE) + 1) * (CAST((SELECT sum(s) FROM s) AS DOUBLE) + 10000) / ((CAST(s AS DOUBLE) + 1) * (CAST((SELECT sum(t) FROM t) AS DOUBLE) + 10000)))) AS BIGINT) AS gain FROM s LEFT JOIN t USING (bucket)),
+mean AS (SELECT doc_id, CAST(sum(n) AS BIGINT) AS n_features, CAST(sum(n * gain) AS BIGINT) AS total FROM per JOIN gain USING (bucket) GROUP BY 1),
+weight AS (SELECT doc_id, len(w) AS n_words, coalesce(n_features, 0) AS n_features, CASE WHEN n_features > 0 THEN (total - ((total % n_features) + n_features) % n_features) // n_features ELSE 0 END AS weight, CAST('0x' || substr(sha256('7:' || doc_id), 1, 8) AS BIGINT) AS h FROM d LEFT JOIN mean USING (doc_id)),
+scored AS (SELECT doc_id, n_words, n_features, weight, weight + CAST(floor(-1000 * ln(-ln((h + CAST(0.5 AS DOUBLE)) / CAST(4294967296 AS DOUBLE)))) AS BIGINT) AS score FROM weight),
+drawn AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM scored WHERE n_words >= 20)
+SELECT doc_id, CAST(n_features AS BIGINT) AS n_features, CAST(weight AS BIGINT) AS weight, CAST(score AS BIGINT) AS score, CASE WHEN rank <= (SELECT 25 * count(*) // 100 FROM drawn) THEN rank END AS rank FROM scored LEFT JOIN drawn USING (doc_id)
+"""

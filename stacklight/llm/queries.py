@@ -70,4 +70,4 @@ def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_main_text, op2_packing, op3_chunk_dedup, op4_nearest, op5_decontaminate, op6_suffix_dedup, op7_sharding, op8_minhash, op9_chat_format, op10_quality, op11_bpe_transducer, op12_peak_concurrency, op13_importance_resampling)}
-ORACLE_SQL: dict[str, str] = {"op5_decontaminate": oracles.OP5, "op8_minhash": oracles.OP8, "op9_chat_format": oracles.OP9, "op12_peak_concurrency": oracles.OP12}
+ORACLE_SQL: dict[str, str] = {"op5_decontaminate": oracles.OP5, "op8_minhash": oracles.OP8, "op9_chat_format": oracles.OP9, "op12_peak_concurrency": oracles.OP12, "op13_importance_resampling": oracles.OP13}
