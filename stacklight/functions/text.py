@@ -12,15 +12,24 @@ NO_LANGUAGES = ["mis", "mul", "sgn", "und", "xxx", "zxx"]
 #: Articles that a canonical key leaves out, in natural order (fixed values).
 ARTICLES = ["the", "a", "an", "le", "la", "les", "un", "une", "des"]
 #: Latin, Greek and Cyrillic letters with a canonical decomposition to a base letter, and those base letters.
-_ACCENTED = [chr(c) for lo, hi in ((0xC0, 0x250), (0x370, 0x500), (0x1E00, 0x2000)) for c in range(lo, hi) if len(unicodedata.normalize("NFD", chr(c))) > 1 and unicodedata.category(chr(c)) == "Ll"]
+_ACCENTED = [chr(c) for lo, hi in ((0xC0, 0x250), (0x370, 0x500), (0x1E00, 0x2000)) for c in range(lo, hi) if len(unicodedata.normalize("NFD", chr(c))) > 1 and unicodedata.category(chr(c)) == "Ll" and chr(c) not in "ǣǽǿ"]
 _BASES = [unicodedata.normalize("NFD", c)[0] for c in _ACCENTED]
-
+#: Letters without such a decomposition, and what they fold to (fixed values).
+PLAIN_LETTERS = {"đ": "d", "ð": "d", "ħ": "h", "ı": "i", "ł": "l", "ø": "o", "ǿ": "o", "ŧ": "t", "ſ": "s"}
+LETTER_PAIRS = {"ß": "ss", "æ": "ae", "ǣ": "ae", "ǽ": "ae", "ĳ": "ij", "œ": "oe", "þ": "th"}
+#: White space, in the order of its code points (fixed value).
+WHITE = "\t\n\v\f\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 #: Designations of character sets and other escapes of ISO 2022, and what XML 1.0 forbids (fixed values).
 ESCAPES = r"""\x1b(?:\$?[()*+][A-Za-z0-9!"#$%&'-]|[@-_])"""
 ILLEGAL = r"[\x00-\x08\x0b\x0c\x0e-\x1f]"
 
 
+def strip(c: Column) -> Column:
+    """Without white space of any kind at its ends."""
+    return F.trim(c, F.lit(WHITE))
+
+
 def nullify(c: Column) -> Column:
     """Empty as null."""
     return F.when(c != "", c)
@@ -61,7 +70,7 @@ def strip_nonfiling(c: Column) -> Column:
 
 def join_parts(parts: Column, sep: str) -> Column:
     """The non-blank parts of an array, trimmed and joined."""
-    return F.array_join(F.filter(F.transform(parts, lambda p: F.trim(p)), lambda p: p != ""), sep)
+    return F.array_join(F.filter(F.transform(parts, lambda p: strip(p)), lambda p: p != ""), sep)
 
 
 def extract_year(c: Column) -> Column:
@@ -76,12 +85,12 @@ def edition_year(c: Column) -> Column:
 
 def leading_year(*cs: Column) -> Column:
     """The first four characters of the first non-empty value, if a number."""
-    return F.left(F.coalesce(*[nullify(F.trim(c)) for c in cs]), F.lit(4)).try_cast("smallint")
+    return F.left(F.coalesce(*[nullify(strip(c)) for c in cs]), F.lit(4)).try_cast("smallint")
 
 
 def merge_subtitle(title: Column, subtitle: Column) -> Column:
     """title : subtitle, unless the title already holds it; without a title, the subtitle."""
-    head, sub = F.trim(F.coalesce(title, F.lit(""))), F.trim(F.coalesce(subtitle, F.lit("")))
+    head, sub = strip(F.coalesce(title, F.lit(""))), strip(F.coalesce(subtitle, F.lit("")))
     return F.when((sub == "") | F.contains(F.lower(head), F.lower(sub)), head).when(head == "", sub).otherwise(F.concat(head, F.lit(" : "), sub))
 
 
@@ -91,8 +100,11 @@ def biblionumber(record_id: Column) -> Column:
 
 
 def fold(c: Column) -> Column:
-    """Lower case without accents."""
-    return F.translate(F.lower(c), "".join(a for a in _ACCENTED), "".join(_BASES))
+    """Lower case without accents; a letter of two letters, as œ, becomes both."""
+    out = F.translate(F.lower(c), "".join([*_ACCENTED, *PLAIN_LETTERS]), "".join([*_BASES, *PLAIN_LETTERS.values()]))
+    for letter, pair in LETTER_PAIRS.items():
+        out = F.replace(out, F.lit(letter), F.lit(pair))
+    return out
 
 
 def searchable_authors(authors: Column) -> Column:
@@ -124,14 +136,16 @@ def is_current(back: Column) -> Column:
 
 
 def iso_time(c: Column) -> Column:
-    """A timestamp as ISO 8601 in UTC, null as null."""
-    return F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss")
+    """A timestamp as ISO 8601 in UTC with its offset, whatever the session's zone is; null as null."""
+    utc = F.lit("1970-01-01").cast("timestamp_ntz") + F.make_dt_interval(secs=F.unix_seconds(c))
+    rest = F.pmod(F.unix_micros(c), F.lit(1_000_000))
+    return F.concat(F.date_format(utc, "yyyy-MM-dd'T'HH:mm:ss"), F.when(rest != 0, F.concat(F.lit("."), F.lpad(rest.cast("string"), 6, "0"))).otherwise(""), F.lit("+00:00"))
 
 
 def or_empty(c: Column, trimmed: bool = False) -> Column:
     """A null array as an empty one, its strings trimmed on request."""
     full = F.coalesce(c, F.array().cast("array<string>"))
-    return F.transform(full, lambda x: F.trim(x)) if trimmed else full
+    return F.transform(full, lambda x: strip(x)) if trimmed else full
 
 
 def pair_linked(links: Column) -> Column:
@@ -151,7 +165,7 @@ def days_held(out: Column, back: Column) -> Column:
 def clean_query(c: Column) -> Column:
     """A catalogue query string without index prefixes and quotes."""
     bare = F.regexp_replace(F.regexp_replace(c, r"\b[A-Za-z-]+(?:,[A-Za-z-]+)*[:=]", " "), r"[\"']", " ")
-    return F.trim(F.regexp_replace(bare, r"\s+", " "))
+    return strip(F.regexp_replace(bare, r"\s+", " "))
 
 
 def result_count(html: Column) -> Column:
@@ -177,7 +191,7 @@ def source_name(url: Column) -> Column:
 def parse_headers(lines: Column) -> Column:
     """NAME:VALUE strings as a map; a line without a colon is an error."""
     pair = lambda x: F.split(x, ":", 2)
-    return F.map_from_entries(F.transform(lines, lambda x: F.struct(F.trim(pair(x)[0]), F.coalesce(F.trim(F.get(pair(x), F.lit(1))), F.raise_error(F.concat(F.lit("no colon in header: "), x)).cast("string")))))
+    return F.map_from_entries(F.transform(lines, lambda x: F.struct(strip(pair(x)[0]), F.coalesce(strip(F.get(pair(x), F.lit(1))), F.raise_error(F.concat(F.lit("no colon in header: "), x)).cast("string")))))
 
 
 def merge_maps(old: Column, new: Column) -> Column:
@@ -187,11 +201,11 @@ def merge_maps(old: Column, new: Column) -> Column:
 
 
 def surname(name: Column) -> Column:
-    return F.element_at(F.split(F.trim(name), r"\s+"), -1)
+    return F.element_at(F.split(strip(name), r"\s+"), -1)
 
 
 def forename(name: Column) -> Column:
-    return F.trim(F.regexp_replace(F.trim(name), r"\S+$", ""))
+    return F.trim(F.regexp_replace(strip(name), r"\S+$", ""))
 
 
 def article_length(title: Column, language: Column) -> Column:
@@ -218,7 +232,7 @@ def is_latin(c: Column) -> Column:
 def prefer_script(primary: Column, alternate: Column) -> Column:
     """(embed, search): the non-Latin form is embedded, both are searched; ties keep the primary; a blank one leaves the other."""
     one, alt = F.coalesce(primary, F.lit("")), F.coalesce(alternate, F.lit(""))
-    no_one, no_alt = F.trim(one) == "", F.trim(alt) == ""
+    no_one, no_alt = strip(one) == "", strip(alt) == ""
     embed = F.when(no_alt, one).when(no_one | (is_latin(one) & ~is_latin(alt)), alt).otherwise(one)
     return F.struct(embed.alias("embed"), F.when(no_alt, one).when(no_one, alt).otherwise(F.concat_ws(" ", one, alt)).alias("search"))
 
@@ -232,7 +246,7 @@ def parse_linkage(c: Column) -> Column:
 
 def language_chunks(c: Column) -> Column:
     """Three-letter codes run together, lower case; a length that isn't a multiple of three is junk."""
-    s = F.lower(F.trim(c))
+    s = F.lower(strip(c))
     n = F.length(s)
     return F.when((n > 0) & (n % 3 == 0), F.transform(F.sequence(F.lit(0), n - 3, F.lit(3)), lambda i: F.substr(s, i + 1, F.lit(3)))).otherwise(F.array().cast("array<string>"))
 
@@ -252,8 +266,8 @@ def language_chain(a101: Column, a041: Column, f008: Column) -> Column:
 
 def build_text(title: Column, alternate: Column, subjects: Column, summary: Column, contents: Column) -> Column:
     """What is encoded of a work: core, description, and whether only a title is known."""
-    blank = lambda c: nullify(F.trim(F.coalesce(c, F.lit(""))))
-    subs = F.filter(F.coalesce(subjects, F.array().cast("array<string>")), lambda s: F.trim(s) != "")
+    blank = lambda c: nullify(strip(F.coalesce(c, F.lit(""))))
+    subs = F.filter(F.coalesce(subjects, F.array().cast("array<string>")), lambda s: strip(s) != "")
     core = F.concat_ws(". ", blank(prefer_script(title, alternate)["embed"]), subs)
     description = F.concat_ws(". ", blank(summary), blank(contents))
     return F.struct(core.alias("core"), description.alias("description"), ((description == "") & (F.size(subs) == 0)).alias("is_title_only"))

@@ -86,11 +86,11 @@ def source_breakdown(sources: DataFrame, works: DataFrame, embeddings: DataFrame
 
 
 def health(works: DataFrame, items: DataFrame, embeddings: DataFrame, factors: DataFrame, sources: DataFrame) -> DataFrame:
-    """One row of counts and of times (ISO 8601). unembedded = works - embeddings, so vectors of deleted works count against it."""
+    """One row of counts and of times (ISO 8601), with the status, which is ok if the row comes at all. unembedded = works - embeddings, so vectors of deleted works count against it."""
     n = lambda df, name, *more: df.agg(F.count(F.lit(1)).alias(name), *more)
     last = sources.agg(iso_time(F.max("last_harvest")).alias("last_harvest"))
     out = n(live(works), "works").crossJoin(n(items, "items")).crossJoin(n(embeddings, "embeddings")).crossJoin(n(factors, "factors", iso_time(F.max("trained_at")).alias("trained_at"))).crossJoin(last)  # a row each
-    return out.withColumn("unembedded", F.col("works") - F.col("embeddings"))
+    return out.withColumns({"unembedded": F.col("works") - F.col("embeddings"), "status": F.lit("ok")})
 
 
 def duplicate_titles(works: DataFrame) -> DataFrame:

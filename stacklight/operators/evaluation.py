@@ -68,8 +68,9 @@ def uniform(seed: int, purpose: str, *keys: Column) -> Column:
 
 
 def sample(rows: DataFrame, n: int, seed: int, *keys: str) -> DataFrame:
-    """n rows of equal chance by a seeded hash of their keys; the same rows at any partitioning."""
-    return rows.orderBy(uniform(seed, "sample", *map(F.col, keys)), *keys).limit(n)
+    """n rows of equal chance by the md5 of the seed and their keys; the same rows at any partitioning."""
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys]).cast("binary"))
+    return rows.orderBy(digest, *keys).limit(n)
 
 
 def loan_plan(works: DataFrame, patrons: int, first_patron: int = 0, seed: int = 1, min_topic: int = 8, active_topics: int = 60, topic_head: int = 40, global_head: int = 2000) -> DataFrame:

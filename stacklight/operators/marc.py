@@ -72,8 +72,8 @@ _SUBFIELDS = "array<struct<_code:string,_VALUE:string>>"
 def values(field: Column, codes: str | Column) -> Column:
     """Non-blank values of the subfields whose code is one of the characters of `codes`, in document order."""
     wanted = F.lit(codes) if isinstance(codes, str) else codes
-    sub = F.filter(F.coalesce(field["subfield"], F.array().cast(_SUBFIELDS)), lambda s: F.contains(wanted, s["_code"]) & (F.trim(F.coalesce(s["_VALUE"], F.lit(""))) != ""))
-    return F.transform(sub, lambda s: F.trim(s["_VALUE"]))
+    sub = F.filter(F.coalesce(field["subfield"], F.array().cast(_SUBFIELDS)), lambda s: F.contains(wanted, s["_code"]) & (T.strip(F.coalesce(s["_VALUE"], F.lit(""))) != ""))
+    return F.transform(sub, lambda s: T.strip(s["_VALUE"]))
 
 
 def flavour(rec: Column) -> Column:
@@ -84,7 +84,7 @@ def flavour(rec: Column) -> Column:
 
 def assemble_title(field: Column, punctuation: Column) -> Column:
     """Subfields in document order, each after its own punctuation (a map from codes)."""
-    named = F.transform(F.filter(field["subfield"], lambda s: F.map_contains_key(punctuation, s["_code"])), lambda s: F.struct(punctuation[s["_code"]].alias("p"), F.trim(T.strip_isbd(F.coalesce(s["_VALUE"], F.lit("")))).alias("v")))
+    named = F.transform(F.filter(field["subfield"], lambda s: F.map_contains_key(punctuation, s["_code"])), lambda s: F.struct(punctuation[s["_code"]].alias("p"), T.strip(T.strip_isbd(F.coalesce(s["_VALUE"], F.lit("")))).alias("v")))
     return F.aggregate(F.filter(named, lambda x: x["v"] != ""), F.lit(""), lambda acc, x: F.when(acc == "", x["v"]).otherwise(F.concat(acc, x["p"], x["v"])))
 
 
@@ -110,7 +110,7 @@ def items(copies: Column, codes: Column) -> Column:
 
     def one(f):
         # the last value of each code, blank ones left out
-        filled = F.transform(F.filter(F.coalesce(f["subfield"], F.array().cast(_SUBFIELDS)), lambda s: F.trim(F.coalesce(s["_VALUE"], F.lit(""))) != ""), lambda s: F.struct(s["_code"].alias("c"), F.trim(s["_VALUE"]).alias("v")))
+        filled = F.transform(F.filter(F.coalesce(f["subfield"], F.array().cast(_SUBFIELDS)), lambda s: T.strip(F.coalesce(s["_VALUE"], F.lit(""))) != ""), lambda s: F.struct(s["_code"].alias("c"), T.strip(s["_VALUE"]).alias("v")))
         last = lambda name: F.try_element_at(F.filter(filled, lambda s: s["c"] == codes[name]), F.lit(-1))["v"]
         cols = [F.coalesce(last(n), F.lit("")).alias(n) for n in ("barcode", "owning_branch", "holding_branch", "location", "call_number", "item_type")]
         n = last("issue_count")

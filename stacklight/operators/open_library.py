@@ -17,8 +17,8 @@ def eligible_works(dump: DataFrame, least_description: int = 80, least_subjects:
     the works with a title, enough description and enough subjects. Texts may be strings or objects with a value."""
     j = F.from_json("json", WORK)
     rows = dump.select(F.col("key").alias("work_key"), "json", j.alias("j"))
-    text = lambda f: F.trim(F.coalesce(T.text_value(F.col("json"), f), F.lit("")))
-    subjects = F.filter(F.transform(T.or_empty(F.col("j.subjects")), lambda s: F.trim(s)), lambda s: s != "")
+    text = lambda f: T.strip(F.coalesce(T.text_value(F.col("json"), f), F.lit("")))
+    subjects = F.filter(F.transform(T.or_empty(F.col("j.subjects")), lambda s: T.strip(s)), lambda s: s != "")
     authors = F.transform(F.filter(F.coalesce("j.authors", F.array().cast("array<struct<author:struct<key:string>>>")), lambda a: a["author"].isNotNull()), lambda a: a["author"]["key"])
     out = rows.select("work_key", text("title").alias("title"), text("subtitle").alias("subtitle"), text("description").alias("description"), subjects.alias("subjects"), authors.alias("author_keys"))
     out = out.where((F.length("description") >= least_description) & (F.size("subjects") >= least_subjects) & (F.col("title") != ""))
@@ -29,7 +29,7 @@ def first_editions(dump: DataFrame, works: DataFrame, languages: list[str]) -> D
     """dump (key, json) -> the first edition by key of each work that has an accepted language and an ISBN-13: work_key, edition_key,
     isbn13, language, publisher, year, pages, edition_title."""
     rows = dump.select(F.col("key").alias("edition_key"), "json", F.from_json("json", EDITION).alias("j"))
-    text = lambda f: F.trim(F.coalesce(T.text_value(F.col("json"), f), F.lit("")))
+    text = lambda f: T.strip(F.coalesce(T.text_value(F.col("json"), f), F.lit("")))
     isbns = T.isbn13s(T.or_empty(F.col("j.isbn_13")))
     keys = F.transform(F.coalesce("j.languages", F.array().cast("array<struct<key:string>>")), lambda x: x["key"])
     rows = rows.select(
@@ -53,7 +53,7 @@ def slice_of(works_dump: DataFrame, editions_dump: DataFrame, authors_dump: Data
     works = eligible_works(works_dump)
     works = works if n is None else sample(works, n, seed, "work_key")
     both = works.join(first_editions(editions_dump, works, languages), "work_key")
-    names = authors_dump.select(F.col("key").alias("author_key"), F.trim(F.coalesce(T.text_value(F.col("json"), "name"), F.lit(""))).alias("name")).where("name <> ''")
+    names = authors_dump.select(F.col("key").alias("author_key"), T.strip(F.coalesce(T.text_value(F.col("json"), "name"), F.lit(""))).alias("name")).where("name <> ''")
     wanted = both.select("work_key", F.posexplode("author_keys").alias("place", "author_key")).join(names, "author_key")
     listed = wanted.groupBy("work_key").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "name"))), lambda x: x["name"]).alias("authors"))
     return both.join(listed, "work_key", "left").withColumn("authors", T.or_empty(F.col("authors"))).drop("author_keys")

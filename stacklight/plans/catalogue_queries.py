@@ -179,7 +179,7 @@ def source_coverage(spark, sf_dir):
     return catalog.source_breakdown(A.sources(spark, sf_dir), A.works(spark, sf_dir), A.embeddings(spark, sf_dir), A.factors(spark, sf_dir))
 
 
-@query(A.with_("sources", "live", "items", "emb", "fac") + "SELECT (SELECT count(*) FROM live) AS works, (SELECT count(*) FROM items) AS items, (SELECT count(*) FROM emb) AS embeddings, (SELECT count(*) FROM fac) AS factors, (SELECT count(*) FROM live) - (SELECT count(*) FROM emb) AS unembedded, (SELECT strftime(max(last_harvest), '%Y-%m-%dT%H:%M:%S') FROM sources) AS last_harvest, (SELECT strftime(max(trained_at), '%Y-%m-%dT%H:%M:%S') FROM fac) AS trained_at")
+@query(A.with_("sources", "live", "items", "emb", "fac") + "SELECT (SELECT count(*) FROM live) AS works, (SELECT count(*) FROM items) AS items, (SELECT count(*) FROM emb) AS embeddings, (SELECT count(*) FROM fac) AS factors, (SELECT count(*) FROM live) - (SELECT count(*) FROM emb) AS unembedded, (SELECT strftime(max(last_harvest), '%Y-%m-%dT%H:%M:%S+00:00') FROM sources) AS last_harvest, (SELECT strftime(max(trained_at), '%Y-%m-%dT%H:%M:%S+00:00') FROM fac) AS trained_at, 'ok' AS status")
 def health(spark, sf_dir):
     return catalog.health(A.works(spark, sf_dir), A.items(spark, sf_dir), A.embeddings(spark, sf_dir), A.factors(spark, sf_dir), A.sources(spark, sf_dir))
 
@@ -513,9 +513,17 @@ def nonfiling(spark, sf_dir):
     return _part(spark, sf_dir, T.strip_nonfiling(F.concat(F.lit("[L']"), "p_name")).alias("title"))
 
 
-@query("SELECT doc_id, strip_accents(lower(text)) AS folded FROM documents")
+def _folded_sql(column: str) -> str:
+    """Letters of two letters and those without a decomposition first, then the accents."""
+    for letter, plain in (T.LETTER_PAIRS | T.PLAIN_LETTERS).items():
+        column = f"replace({column}, '{letter}', '{plain}')"
+    return f"strip_accents({column})"
+
+
+@query(f"SELECT doc_id, {_folded_sql('lower(text)')} AS folded, {_folded_sql("lower('Œuvres de Ærø, Łódź et Đakovo: ' || doc_id || ' Straßen')")} AS title FROM documents")
 def accent_fold(spark, sf_dir):
-    return A.table(spark, sf_dir, "documents").select("doc_id", T.fold(F.col("text")).alias("folded"))
+    title = F.concat(F.lit("Œuvres de Ærø, Łódź et Đakovo: "), F.col("doc_id").cast("string"), F.lit(" Straßen"))
+    return A.table(spark, sf_dir, "documents").select("doc_id", T.fold(F.col("text")).alias("folded"), T.fold(title).alias("title"))
 
 
 @query("SELECT p_partkey AS id, CASE WHEN p_partkey % 4 = 0 THEN ['gle', 'eng'] WHEN p_partkey % 4 = 1 THEN ['fre'] WHEN p_partkey % 4 = 2 THEN ['gla'] ELSE CAST([] AS VARCHAR[]) END AS languages FROM part")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import encode, evaluation, marc, open_library, vectors
 from ..sources import harvest, iso2709
+from ..sources.diagnosis import diagnose
 from . import adapters as A
 from .registry import query
 
@@ -34,7 +35,7 @@ def _str(c):
 
 @query("SELECT p_partkey AS id, p_name || ' / ' || p_brand AS title FROM part")
 def join_title(spark, sf_dir):
-    return _part(spark, sf_dir, title=T.join_parts(F.array(F.concat(F.lit("  "), "p_name", F.lit(" ")), F.lit("  "), F.col("p_brand")), " / "))
+    return _part(spark, sf_dir, title=T.join_parts(F.array(F.concat(F.lit(" \t"), "p_name", F.lit("\xa0\n")), F.lit("\n\t"), F.col("p_brand")), " / "))
 
 
 @query("SELECT p_partkey AS id, CASE WHEN p_partkey % 3 <> 0 THEN '245' END AS tag, CASE WHEN p_partkey % 3 <> 0 THEN lpad(CAST(p_partkey % 100 AS VARCHAR), 2, '0') END AS occurrence, CASE WHEN p_partkey % 3 = 1 THEN '(N' END AS script, CASE WHEN p_partkey % 3 = 1 THEN 'r' END AS orientation, CASE WHEN p_partkey % 3 <> 0 THEN p_partkey % 100 = 0 END AS standalone FROM part")
@@ -86,7 +87,7 @@ def search_pages(spark, sf_dir):
     return _part(spark, sf_dir, cleaned=T.clean_query(asked), hits=T.result_count(page))
 
 
-@query("SELECT o_orderkey AS id, o_orderkey % 2 = 0 AS is_current, strftime(CASE WHEN o_orderkey % 2 = 1 THEN CAST(o_orderdate AS TIMESTAMP) END, '%Y-%m-%dT%H:%M:%S') AS returned FROM orders")
+@query("SELECT o_orderkey AS id, o_orderkey % 2 = 0 AS is_current, strftime(CASE WHEN o_orderkey % 2 = 1 THEN CAST(o_orderdate AS TIMESTAMP) END, '%Y-%m-%dT%H:%M:%S+00:00') AS returned FROM orders")
 def loan_state(spark, sf_dir):
     back = F.when(F.col("o_orderkey") % 2 == 1, F.col("o_orderdate").cast("timestamp"))
     return A.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), T.is_current(back).alias("is_current"), T.iso_time(back).alias("returned"))
@@ -127,6 +128,31 @@ def empty_lists(spark, sf_dir):
     return _part(spark, sf_dir, list=T.or_empty(F.when(_k() % 2 == 0, F.array(F.concat("p_name", F.lit("  ")))), trimmed=True))
 
 
+_KINDS = [("empty", ""), ("refused", "badVerb: "), ("records", ""), ("other_format", "dc:title"), ("deletions", ""), ("no_records", ""), ("not_xml", "")]
+_KIND_SQL = " ".join(f"WHEN {i} THEN '{k}'" for i, (k, _) in enumerate(_KINDS))
+
+
+@query(f"""SELECT 'page' AS origin, page_id AS id, 'web_page' AS kind, '' AS detail FROM pages WHERE html IS NOT NULL
+UNION ALL SELECT 'part', p_partkey, CASE p_partkey % 7 {_KIND_SQL} END, CASE p_partkey % 7 WHEN 1 THEN 'badVerb: ' || p_name WHEN 3 THEN 'dc:title' WHEN 6 THEN p_name ELSE '' END FROM part""")
+def response_diagnosis(spark, sf_dir):
+    """Web pages as they came, and a response of each other kind around the names of parts."""
+    wrap = lambda *inner: F.concat(F.lit('<?xml version="1.0"?>\n<o:OAI-PMH xmlns:o="urn:o">'), *inner, F.lit("</o:OAI-PMH>"))
+    name, gone = _name(), F.lit('<o:record><o:header status="deleted"/></o:record>')
+    bodies = [
+        F.lit(" \n"),
+        wrap(F.lit('<o:error code="badVerb"> '), name, F.lit(" </o:error>")),
+        wrap(F.lit('<o:record><o:header/><o:metadata><record><datafield tag="245"><subfield code="a">'), name, F.lit("</subfield></datafield></record></o:metadata></o:record>"), gone),
+        wrap(F.lit("<o:record><o:header/><o:metadata> <dc:title>"), name, F.lit("</dc:title></o:metadata></o:record>")),
+        wrap(gone, gone),
+        wrap(F.lit("<o:header/>"), gone),
+        F.concat(F.lit("\t"), name),
+    ]
+    body = F.element_at(F.array(*bodies), (_k() % 7 + 1).cast("int"))
+    parts = _part(spark, sf_dir, d=diagnose(body)).select(F.lit("part").alias("origin"), "id", "d.kind", "d.detail")
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").where("html is not null").select(F.lit("page").alias("origin"), F.col("page_id").alias("id"), diagnose(F.col("html")).alias("d"))
+    return pages.select("origin", "id", "d.kind", "d.detail").unionByName(parts)
+
+
 # records ----------------------------------------------------------------------------------------------------------
 
 
@@ -265,9 +291,9 @@ def database_ratings(spark, sf_dir):
     return harvest.database_ratings(rows, A.SECRET).select("biblio_id", "rating")
 
 
-@query()
+@query(A.with_("works") + "SELECT id, title FROM works ORDER BY md5('42:' || coalesce(CAST(id AS VARCHAR), '')), id LIMIT 100")
 def sampled_works(spark, sf_dir):
-    """A seeded sample; the draw depends on a hash that SQL lacks."""
+    """A seeded sample: the rows of the smallest digests."""
     return evaluation.sample(A.works(spark, sf_dir).select("id", "title"), 100, 42, "id")
 
 

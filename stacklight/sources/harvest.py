@@ -14,8 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
+from ..functions import text as T
 from ..functions.hashing import flat_hash, patron_reference
-from .diagnosis import not_marc, parse_xml
+from .diagnosis import advice, diagnose, readable
 
 
 def fetch(url: str, headers: dict[str, str] | None = None, attempts: int = 4, backoff: float = 2.0, opener=urllib.request.urlopen) -> tuple[bytes, dict[str, str]]:
@@ -58,7 +59,7 @@ def list_records(options: dict[str, str], params: dict[str, str]):
     until = time.monotonic() + float(options.get("maxseconds", "inf"))
     while params and pages < most and time.monotonic() < until:
         url = f"{options['url']}?{urllib.parse.urlencode(params)}"
-        body, removed = parse_xml(fetch(url, json.loads(options.get("headers", "{}")))[0])
+        body, removed = readable(fetch(url, json.loads(options.get("headers", "{}")))[0])
         if (error := error_of(body)) and not error.startswith("noRecordsMatch"):
             raise ValueError(error)
         yield url, body, removed
@@ -177,7 +178,7 @@ def split_records(pages: DataFrame) -> DataFrame:
     """Pages (url, body) to records: place in the page, source_record_id, deleted, xml (the payload; null for deletions)."""
     record = F.posexplode(F.regexp_extract_all("body", F.lit(r"(?s)<(?:\w+:)?record>\s*<(?:\w+:)?header.*?</(?:\w+:)?header>(?:\s*<(?:\w+:)?metadata>.*?</(?:\w+:)?metadata>)?"), F.lit(0)))
     r = pages.select(record.alias("place", "r"))
-    return r.select("place", F.trim(F.regexp_extract("r", r"<(?:\w+:)?identifier>([^<]*)<", 1)).alias("source_record_id"), F.col("r").rlike(r"<(?:\w+:)?header[^>]*status=.deleted").alias("deleted"), F.nullif(F.regexp_extract("r", r"(?s)<(?:\w+:)?metadata>\s*(.*?)\s*</(?:\w+:)?metadata>", 1), F.lit("")).alias("xml"))
+    return r.select("place", T.strip(F.regexp_extract("r", r"<(?:\w+:)?identifier>([^<]*)<", 1)).alias("source_record_id"), F.col("r").rlike(r"<(?:\w+:)?header[^>]*status=.deleted").alias("deleted"), F.nullif(F.regexp_extract("r", r"(?s)<(?:\w+:)?metadata>\s*(.*?)\s*</(?:\w+:)?metadata>", 1), F.lit("")).alias("xml"))
 
 
 def response_flavour(records: DataFrame, sample: int = 5) -> str:
@@ -198,7 +199,7 @@ def preflight(spark: SparkSession, options: dict[str, str], expect_items: bool =
     records, items."""
     from ..operators import marc
 
-    ask = lambda **params: parse_xml(fetch(f"{options['url']}?{urllib.parse.urlencode(params)}", json.loads(options.get("headers", "{}")))[0])[0]
+    ask = lambda **params: readable(fetch(f"{options['url']}?{urllib.parse.urlencode(params)}", json.loads(options.get("headers", "{}")))[0])[0]
     prefix = options.get("metadataprefix", "marc21")
     try:
         for verb in ("Identify", "ListMetadataFormats"):
@@ -211,13 +212,14 @@ def preflight(spark: SparkSession, options: dict[str, str], expect_items: bool =
         page = next(list_records(options | {"maxpages": "1"}, {"verb": "ListRecords", "metadataPrefix": prefix}))
     except OSError as e:
         raise ValueError(f"the endpoint isn't ready: {e}") from e
-    rows = split_records(spark.createDataFrame([page], "url string, body string, removed int"))
+    first = spark.createDataFrame([page], "url string, body string, removed int")
+    rows = split_records(first)
     xml = F.col("xml")
     record = F.when(xml.rlike(r"<(?:\w+:)?notice[\s>]"), marc.translate_vendor(xml)).otherwise(marc.parse(xml))
     rows = rows.where("xml is not null").select("place", record.alias("rec")).where(F.size("rec.datafield") > 0)
     n = rows.agg(F.count(F.lit(1)).alias("records"), F.coalesce(F.sum(F.size(marc.fields(F.col("rec"), "952"))), F.lit(0)).alias("marc21"), F.coalesce(F.sum(F.size(marc.fields(F.col("rec"), "995"))), F.lit(0)).alias("unimarc")).first()
     if not n["records"]:
-        raise ValueError(not_marc(page[1]))
+        raise ValueError(first.select(advice(diagnose(F.col("body"))).alias("why")).first()["why"])
     flavour = response_flavour(rows)
     if expect_items and not n[flavour]:
         raise ValueError(f"no items in the first {n['records']} records, but the last run found some")
@@ -237,12 +239,10 @@ def jdbc(spark: SparkSession, url: str, table: str, **options) -> DataFrame:
 
 def database_works(biblio: DataFrame, biblioitems: DataFrame, since=None) -> DataFrame:
     """Visible biblios with their edition fields, optionally changed since a time."""
-    from ..functions import text as T
-
     b = biblio.where("opac_suppressed = 0")
     b = b.where(F.col("timestamp") > F.lit(since)) if since is not None else b
     rows = b.join(biblioitems, "biblionumber", "left")
-    text = lambda c: F.trim(F.coalesce(c, F.lit("")))
+    text = lambda c: T.strip(F.coalesce(c, F.lit("")))
     author = text("author")
     return rows.select(
         F.col("biblionumber").cast("string").alias("source_record_id"),

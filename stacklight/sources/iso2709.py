@@ -36,7 +36,7 @@ def each(tag: str, first: str, second: str, values: Column, *pairs) -> Column:
 def _parts(r: str = ""):
     c = lambda n: F.col(f"{r}{n}")
     authors = F.filter(T.or_empty(c("authors")), lambda a: a != "")
-    title = F.coalesce(T.nullify(F.trim(F.coalesce(c("edition_title"), F.lit("")))), c("title"))
+    title = F.coalesce(T.nullify(T.strip(F.coalesce(c("edition_title"), F.lit("")))), c("title"))
     number = F.split_part(c("edition_key"), F.lit("/"), F.lit(-1))
     year = F.when(c("year").isNotNull(), F.lpad(c("year").cast("string"), 4, "0"))
     return c, authors, title, number, year
@@ -48,7 +48,7 @@ def build_marc21(slice_: DataFrame, branch: str = "CPL", item_type: str = "BK",
     c, authors, title, number, year = _parts()
     control = lambda tag, v: F.struct(F.lit(tag).alias("_tag"), v.alias("_VALUE"))
     fixed = F.rpad(F.left(F.concat(F.lit(f"{entered}s"), F.coalesce(year, F.lit("    ")), F.lit("    xx            000 0 "), c("language"), F.lit(" d")), F.lit(40)), 40, " ")
-    subtitle = F.trim(F.coalesce(c("subtitle"), F.lit("")))
+    subtitle = T.strip(F.coalesce(c("subtitle"), F.lit("")))
     items = [field("952", " ", " ", ("a", F.lit(branch)), ("b", F.lit(branch)), ("y", F.lit(item_type)), ("p", F.concat(number, F.lit(f"-{i + 1}"))), ("o", F.right(c("isbn13"), F.lit(6))), ("7", F.lit("0")), ("8", F.lit("GEN"))) for i in range(copies)]
     data = F.concat(
         field("020", " ", " ", ("a", c("isbn13"))),
