@@ -4,7 +4,7 @@ A first pass counts the words (pre-tokens) of all texts. The most frequent ones,
 transducer over their bytes: an acyclic automaton whose arcs emit token ids, each as early as its words agree on it, in which
 equal states are one, so that words share prefixes and suffixes. Its arrays are one file in the shared folder, which Spark hands to
 the executors; their workers map it into memory, so that all of a machine share its pages. A batch's words walk the automaton
-together, a byte at a time; words that it doesn't accept are merged exactly.
+together, a byte at a time; words that it doesn't accept are merged exactly, those of a batch side by side.
 
 Words are split by the vocabulary's pattern; a text with characters that this Python doesn't know as assigned is split by the
 vocabulary's own library, as Unicode versions differ there. The file's special strings are tokens wherever they stand in a text.
@@ -33,10 +33,11 @@ from pyspark.sql import functions as F
 
 from .common import slices, store_file
 
-#: Words of the lexicon and the bytes of one; words that a worker counts before it hands them on, or keeps the ids of.
-LEXICON_WORDS, LEXICON_BYTES, HELD_WORDS = 1 << 16, 64, 200_000
-#: The splitting pattern of byte-level vocabularies (fixed value).
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Words of the lexicon and the bytes of one; words that a worker counts before it hands them on, or keeps the ids of; no pair's rank.
+LEXICON_WORDS, LEXICON_BYTES, HELD_WORDS, NONE = 1 << 17, 64, 400_000, 1 << 30
+#: How byte-level vocabularies split texts (fixed value), the commonest case first, and the same for ASCII texts.
+PATTERN = r" ?\p{L}+| ?\p{N}+|'(?:[stmd]|re|ve|ll)| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+PLAIN = r" ?[A-Za-z]+| ?[0-9]+|'(?:[stmd]|re|ve|ll)| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+"
 
 
 @cache
@@ -68,7 +69,12 @@ class Vocabulary:
         pairs = (m.split(" ") if isinstance(m, str) else m for m in model["merges"])
         self.merges = {(ids[x], ids[y]): (rank, ids[x + y]) for rank, (x, y) in enumerate(pairs)}
         self.specials = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.word = regex.compile(PATTERN)
+        # the same for arrays of pairs: their keys in order, ranks, and what they make; of two bytes a table
+        pair = np.array([x << 32 | y for x, y in self.merges], np.int64)
+        order = np.argsort(pair)
+        self.pairs, self.ranks = np.append(pair[order], np.int64(1) << 62), np.append(order, NONE)
+        self.made = np.array([made for _, made in self.merges.values()], np.int64)
+        self.plain_word, self.word = re.compile(PLAIN, re.ASCII), regex.compile(PATTERN)
         # what the pattern takes for letters or numbers and this Python doesn't know
         every = "".join(map(chr, [*range(0x80, 0xD800), *range(0xE000, 0x110000)]))
         unsure = [ord(c) for c in regex.findall(r"[\p{L}\p{N}]", every) if unicodedata.category(c) == "Cn"]
@@ -83,7 +89,9 @@ class Vocabulary:
 
     def split(self, text: str) -> list[str]:
         """The words of a text without special strings."""
-        if text.isascii() or not self.beyond.search(text) or not self.unsure.search(text):
+        if text.isascii():
+            return self.plain_word.findall(text)
+        if not self.beyond.search(text) or not self.unsure.search(text):
             return self.word.findall(text)
         if self._own is None:
             from tokenizers import Tokenizer
@@ -123,6 +131,53 @@ class Vocabulary:
                     heapq.heappush(queue, (m[0], m[1], left, ids[left], ids[right]))
         return [x for x in ids if x >= 0]
 
+    def rank_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        key = left << 32 | right
+        at = np.searchsorted(self.pairs, key)
+        return np.where(self.pairs[at] == key, self.ranks[at], NONE)
+
+    def merge_all(self, words: list[str]) -> list[bytes]:
+        """The ids of each word (little-endian, 32 bits), as merge() gives them: in each round every word merges one pair. Special
+        strings and long words are merged one by one."""
+        out: list[bytes] = [b""] * len(words)
+        raw = [w.encode() for w in words]
+        short = []
+        for i, w in enumerate(words):
+            if len(raw[i]) > LEXICON_BYTES or w in self.special:
+                out[i] = np.array(self.merge(w), "<u4").tobytes()
+            elif w:
+                short.append(i)
+        word, size = np.array(short, np.int64), np.array([len(raw[i]) for i in short], np.int64)
+        ids = np.array(self.first, np.int64)[np.frombuffer(b"".join(raw[i] for i in short), np.uint8)]
+        rank = self.rank_of(ids, np.append(ids[1:], 0))
+        rank[np.cumsum(size) - 1] = NONE
+        while len(word):
+            first = np.cumsum(size) - size
+            least = np.minimum.reduceat(rank, first)
+            done = least == NONE
+            if done.any():
+                of_done = np.repeat(done, size)
+                text, ends = ids[of_done].astype("<u4").tobytes(), np.cumsum(size[done]) * 4
+                for i, a, z in zip(word[done].tolist(), (ends - size[done] * 4).tolist(), ends.tolist(), strict=True):
+                    out[i] = text[a:z]
+                word, size, least, ids, rank = word[~done], size[~done], least[~done], ids[~of_done], rank[~of_done]
+                if not len(word):
+                    break
+                first = np.cumsum(size) - size
+            hits = np.flatnonzero(rank == np.repeat(least, size))
+            at = hits[np.searchsorted(hits, first)]  # the leftmost of each word
+            ids[at] = self.made[least]
+            rank[at] = rank[at + 1]
+            keep = np.ones(len(ids), bool)
+            keep[at + 1] = False
+            at -= np.arange(len(at))  # an id has gone from each word before
+            ids, rank, size = ids[keep], rank[keep], size - 1
+            last = np.cumsum(size) - 1
+            right, left = at[at < last], at[at > last - size + 1] - 1
+            rank[right] = self.rank_of(ids[right], ids[right + 1])
+            rank[left] = self.rank_of(ids[left], ids[left + 1])
+        return out
+
 
 @cache
 def vocabulary(path: str) -> Vocabulary:
@@ -271,13 +326,12 @@ def build_lexicon(docs: DataFrame, tokenizer: str, size: int = LEXICON_WORDS) ->
     def merged(batches):
         v = vocabulary(tokenizer)
         for b in batches:
-            words = b.column("word").to_pylist()
-            yield pa.RecordBatch.from_arrays([b.column("word"), pa.array([v.merge(w) for w in words], pa.list_(pa.int64()))], names=["word", "ids"])
+            yield pa.RecordBatch.from_arrays([b.column("word"), pa.array(v.merge_all(b.column("word").to_pylist()), pa.binary())], names=["word", "ids"])
 
     frequent = word_counts(docs, tokenizer).where(F.octet_length("word") <= LEXICON_BYTES).orderBy(F.desc("n"), "word").limit(size)
-    rows = frequent.select("word").mapInArrow(merged, "word string, ids array<long>").collect()  # `size` rows at most
+    rows = frequent.select("word").mapInArrow(merged, "word string, ids binary").collect()  # `size` rows at most
     name = f"bpe-lexicon-{uuid.uuid4().hex}"
-    docs.sparkSession.sparkContext.addFile(store_file(docs.sparkSession, name, compile_lexicon([(r.word.encode(), tuple(r.ids)) for r in rows])))
+    docs.sparkSession.sparkContext.addFile(store_file(docs.sparkSession, name, compile_lexicon([(r.word.encode(), tuple(np.frombuffer(r.ids, "<u4").tolist())) for r in rows])))
     return name
 
 
@@ -292,8 +346,9 @@ def encode(docs: DataFrame, tokenizer: str, lexicon: str) -> DataFrame:
             new = list(set().union(*texts) - known.keys())
             if len(known) > HELD_WORDS:
                 known, new = {}, list(set().union(*texts))
-            for w, ids in zip(new, lex.look_up([w.encode() for w in new]), strict=True):
-                known[w] = np.array(v.merge(w), "<u4").tobytes() if ids is None else ids
+            found = dict(zip(new, lex.look_up([w.encode() for w in new]), strict=True))
+            unseen = [w for w, ids in found.items() if ids is None]
+            known |= found | dict(zip(unseen, v.merge_all(unseen), strict=True))
             ids = [b"".join(map(known.__getitem__, words)) for words in texts]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "n_tokens", "ids"])
 

@@ -40,6 +40,15 @@ def test_every_code_point_splits_alike(own):
         assert v.split(s) == [s[a:z] for _, (a, z) in own.pre_tokenizer.pre_tokenize_str(s)]
 
 
+def test_merging_side_by_side(own):
+    v, rng = transducer.vocabulary(PATH), random.Random(9)
+    words = ["", "a", " the", "<|endoftext|>", "x" * 65, "ab" * 400, "日本語", *("".join(rng.choices("aeinrst hl'é0", k=rng.randrange(1, 30))) for _ in range(3000))]
+    assert [np.frombuffer(x, "<u4").tolist() for x in v.merge_all(words)] == [v.merge(w) for w in words]
+    assert v.merge_all([]) == [] and v.merge_all(["", "q"]) == [b"", np.array(v.merge("q"), "<u4").tobytes()]
+    whole = [w for w in words if w and len(v.words(w)) == 1]
+    assert [v.merge(w) for w in whole] == [own.encode(w, add_special_tokens=False).ids for w in whole]
+
+
 def entries(rng, n):
     words = {bytes(rng.choices(b"abc", k=rng.randrange(0, 6))) for _ in range(n)}
     return [(w, tuple(rng.choices(range(4), k=rng.randrange(0, 4)))) for w in words]
