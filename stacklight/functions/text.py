@@ -279,11 +279,16 @@ def sanitize_xml(c: Column) -> Column:
     return F.struct(F.regexp_replace(once, ILLEGAL, "").alias("text"), (F.regexp_count(c, F.lit(ESCAPES)) + F.regexp_count(once, F.lit(ILLEGAL))).alias("removed"))
 
 
-def trigrams(c: Column) -> Column:
-    """Distinct trigrams of the alphanumeric words, each padded by two blanks before and one after."""
-    words = F.filter(F.split(fold(c), r"(?U)[^\p{L}\p{N}]+"), lambda w: w != "")
+def gram_sequence(folded: Column) -> Column:
+    """The trigrams of a folded text's alphanumeric words in order, each word padded by two blanks before and one after."""
+    words = F.filter(F.split(folded, r"(?U)[^\p{L}\p{N}]+"), lambda w: w != "")
     grams = lambda w: F.transform(F.sequence(F.lit(1), F.length(w) + 1), lambda i: F.substr(F.concat(F.lit("  "), w, F.lit(" ")), i, F.lit(3)))
-    return F.array_distinct(F.flatten(F.transform(words, grams)))
+    return F.flatten(F.transform(words, grams))
+
+
+def trigrams(c: Column) -> Column:
+    """The distinct trigrams of a text."""
+    return F.array_distinct(gram_sequence(fold(c)))
 
 
 def similarity(a: Column, b: Column) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import canonical_key
-from . import catalog, rank, search, vectors
+from . import catalog, gram_index, rank, search, vectors
 
 
 def within(name: str, value, least, most):
@@ -21,7 +21,8 @@ def within(name: str, value, least, most):
 @dataclass
 class Catalogue:
     """works, items, sources, embeddings (work_id, vector, source_id, is_title_only), factors (work_id, factors, n_patrons, trained_at)
-    and, for searches by meaning, a function from a text to its unit vector."""
+    and, for searches by meaning, a function from a text to its unit vector. The trigram index of the works is built by the first
+    exact search, if none is given, and kept."""
 
     works: DataFrame
     items: DataFrame
@@ -30,6 +31,7 @@ class Catalogue:
     factors: DataFrame
     encode: Callable[[str], Sequence[float]] | None = None
     weights: rank.Weights = field(default_factory=rank.Weights)
+    grams: gram_index.GramIndex | None = None
 
     def _summary(self, works: DataFrame) -> DataFrame:
         return catalog.work_summary(works, self.items, self.sources)
@@ -67,7 +69,8 @@ class Catalogue:
         within("limit", limit, 1, 100)
         within("the length of the query", len(query), 2, 200)
         asked = self.works.sparkSession.createDataFrame([(query,)], "query string")
-        found = search.search_exact(asked, self.works, limit, source_id).select("id", "score", "rank")
+        self.grams = self.grams or gram_index.build(self.works)
+        found = search.search_exact(asked, self.works, limit, source_id, index=self.grams).select("id", "score", "rank")
         return self._answers(found)
 
     def search_semantic(self, query: str, limit: int = 20, source_id: int | None = None, exclude_title_only: bool = False, min_score: float = 0.0) -> DataFrame:

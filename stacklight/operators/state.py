@@ -1,21 +1,51 @@
-"""Cutting lineage for iterative operators."""
+"""Written intermediate tables: they cut the lineage of iterative operators and hold what is read again."""
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
+_written: list[tuple[SparkSession, str]] = []
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """df, written to the folder that the cluster names in spark.checkpoint.dir; where it is unset, on a local master (tests), to
-    one of our own."""
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None):
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir; where it is unset, on a local master (tests), one of our own."""
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-        spark.conf.set("spark.checkpoint.dir", f"file://{tempfile.mkdtemp(prefix='stacklight-')}")
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
-    return df.checkpoint()
+        at = f"file://{tempfile.mkdtemp(prefix='stacklight-')}"
+        spark.conf.set("spark.checkpoint.dir", at)
+    return at
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    """A fresh path in the shared folder; what is written there goes when the driver ends."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if not _written:
+        atexit.register(clean_up)
+    _written.append((spark, path))
+    return path
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def clean_up() -> None:
+    while _written:
+        try:
+            delete(*_written.pop())
+        except Exception:  # the session is gone: the cluster's own clean-up of the folder remains
+            return
+
+
+def checkpoint(df: DataFrame, name: str = "checkpoint") -> DataFrame:
+    """df, written to the shared folder as Parquet and read again: with true sizes for the planner."""
+    path = new_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

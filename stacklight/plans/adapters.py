@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import gram_index as grams
 from ..operators import vectors
 
 SECRET = "a test secret"
@@ -26,6 +27,17 @@ def works(spark, sf_dir):
     return p.select(F.col("p_partkey").alias("id"), (F.col("p_size") % 5).alias("source_id"), F.concat(F.lit("CAT-"), "p_brand", F.lit(":"), F.col("p_partkey").cast("string")).alias("source_record_id"), F.col("p_name").alias("title"), F.array("p_brand").alias("authors"), F.col("p_brand").alias("publisher"), F.when(F.col("p_partkey") % 10 != 0, F.array("p_type")).alias("subjects"), F.when(F.col("p_partkey") % 3 == 0, prefixed).otherwise("").alias("title_alternate"), F.when(F.col("p_partkey") % 4 == 0, F.col("p_brand")).otherwise("").alias("summary"), F.lit("").alias("contents"), (1900 + F.col("p_size")).cast("smallint").alias("publication_year"), F.when(F.col("p_partkey") % 7 != 0, F.array(F.lit("fre "), F.lit("eng"))).alias("languages"), F.array(F.lpad(F.col("p_partkey").cast("string"), 10, "0")).alias("isbns"), F.sha2(F.concat_ws("\x1f", "p_name", "p_type"), 256).alias("content_hash"), gone.alias("deleted_at"))
 
 
+_built: dict[tuple[str, str], grams.GramIndex] = {}
+
+
+def gram_index(spark, sf_dir) -> grams.GramIndex:
+    """The trigram index of the works, built once for each application and folder."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _built:
+        _built[key] = grams.build(works(spark, sf_dir))
+    return _built[key]
+
+
 def items(spark, sf_dir):
     due = F.when(F.col("l_linestatus") == "O", F.col("l_shipdate"))
     return table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("work_id"), F.col("l_suppkey").alias("owning_branch"), due.alias("due_date"))

@@ -592,7 +592,7 @@ def trigram_candidates(spark, sf_dir):
     """The titles of the stated works, every twentieth id, against all works."""
     w = A.works(spark, sf_dir)
     q = catalog.live(w).where("id % 20 = 0").select(F.col("title").alias("query")).distinct()
-    return search.trigram_candidates(q, search.trigram_index(w))
+    return search.trigram_candidates(q, A.gram_index(spark, sf_dir))
 
 
 def _typo_sql(column: str) -> str:
@@ -632,12 +632,12 @@ def _asked(spark, sf_dir):
 
 @query(_search_sql())
 def search_exact(spark, sf_dir):
-    return _rounded(search.search_exact(_asked(spark, sf_dir), A.works(spark, sf_dir)), "score")
+    return _rounded(search.search_exact(_asked(spark, sf_dir), A.works(spark, sf_dir), index=A.gram_index(spark, sf_dir)), "score")
 
 
 @query(_search_sql("WHERE source_id = 1"))
 def search_in_source(spark, sf_dir):
-    return _rounded(search.search_exact(_asked(spark, sf_dir), A.works(spark, sf_dir), source_id=1), "score")
+    return _rounded(search.search_exact(_asked(spark, sf_dir), A.works(spark, sf_dir), source_id=1, index=A.gram_index(spark, sf_dir)), "score")
 
 
 # marc --------------------------------------------------------------------------------------------------------------

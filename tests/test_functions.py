@@ -1,13 +1,16 @@
 import hashlib
 import hmac
+import random
 import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from stacklight.functions import hashing
 from stacklight.functions import text as T
-from stacklight.operators.search import word_similarity
+from stacklight.operators import search
+from stacklight.operators.search import word_similarities
 
 
 def one(spark, column, **values):
@@ -77,17 +80,29 @@ def grams(text):
     return [f"  {w} "[i : i + 3] for w in re.findall("[a-z0-9]+", text) for i in range(len(w) + 1)]
 
 
-@pytest.mark.parametrize(("query", "target"), [("tabor", "tabor, nils e. oake, ines p."), ("jardin anglais", "le jardin vague"), ("garden soil basicks", "garden soil basics"), ("x", ""), ("aaaa aa", "aa aaaa b aaa")])
-def test_word_similarity(spark, query, target):
-    q, t = set(grams(query)), grams(target)
-    every = [set(t[i:j]) for i in range(len(t)) for j in range(i + 1, len(t) + 1)]
-    assert word_similarity(query, target) == pytest.approx(max((len(q & e) / len(q | e) for e in every), default=0.0))
-    plain = one(spark, T.similarity(T.trigrams(F.lit(query)), T.trigrams(F.lit(target))))
-    assert plain == pytest.approx(len(q & set(t)) / len(q | set(t)))
+def test_word_similarities(spark, monkeypatch):
+    pairs = [("tabor", "tabor, nils e. oake, ines p."), ("jardin anglais", "le jardin vague"), ("garden soil basicks", "garden soil basics"), ("x", ""), ("aaaa aa", "aa aaaa b aaa"), ("", "x")]
+    rng = random.Random(2)
+    text = lambda n: " ".join("".join(rng.choices("ab", k=rng.randrange(1, 4))) for _ in range(rng.randrange(n)))
+    pairs += [(text(6), text(25)) for _ in range(150)]
+    want = []
+    for query, target in pairs:
+        q, t = set(grams(query)), grams(target)
+        every = [set(t[i:j]) for i in range(len(t)) for j in range(i + 1, len(t) + 1)]
+        want.append(max((len(q & e) / len(q | e) for e in every), default=0.0))
+    columns = [pa.array([list(dict.fromkeys(grams(q))) for q, _ in pairs], pa.list_(pa.string())), pa.array([grams(t) for _, t in pairs], pa.list_(pa.string()))]
+    for cells in (1, 100, 10**6):
+        monkeypatch.setattr(search, "CELLS", cells)
+        assert word_similarities(*columns).tolist() == pytest.approx(want)
+        assert word_similarities(*(c.slice(5, 40) for c in columns)).tolist() == pytest.approx(want[5:45])
+    for (query, target), w in list(zip(pairs, want, strict=True))[:5]:
+        plain = one(spark, T.similarity(T.trigrams(F.lit(query)), T.trigrams(F.lit(target))))
+        assert plain == pytest.approx(len(set(grams(query)) & set(grams(target))) / max(1, len(set(grams(query)) | set(grams(target))))) and w >= 0
 
 
 def test_fold_and_clean(spark):
-    assert one(spark, T.fold(F.lit("Ấn Độ Ά ё ŷ"))) == "an đo α е y"
+    assert one(spark, T.fold(F.lit("Ấn Độ Ά ё ŷ Œuvres STRASSE Straße Ærø Łódź ǼǾ"))) == "an do α е y oeuvres strasse strasse aero lodz aeo"
+    assert one(spark, T.strip(F.lit("\u3000\t a b\xa0\r\n"))) == "a b" and one(spark, T.join_parts(F.array(F.lit("\n\t"), F.lit(" x\n")), "/")) == "x"
     assert one(spark, T.sanitize_xml(F.lit("a\x1b*Bb\x1bAc\x00d"))) == {"text": "abcd", "removed": 3}
     assert one(spark, T.canonical_key(F.lit("L'Été: the End"), F.lit(None).cast("array<string>"))) == "l été the end|"
     assert one(spark, T.prefer_script(F.lit(" "), F.lit("море"))) == {"embed": "море", "search": "море"}
