@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .state import checkpoint
 from .merge import MAPPER_VERSION
 
 SCHEMA = "leader string, controlfield array<struct<_tag: string, _VALUE: string>>, datafield array<struct<_tag: string, _ind1: string, _ind2: string, subfield: array<struct<_code: string, _VALUE: string>>>>"
@@ -178,6 +179,10 @@ def _mapped() -> Column:
     )
 
 
+#: What can become of a record.
+STATUSES = ["mapped", "deleted", "unmappable", "flavour_change"]
+
+
 def map_records(records: DataFrame, expected: str | None = None) -> DataFrame:
     """records (source_record_id, deleted, rec) -> source_record_id, status (mapped, deleted, unmappable, flavour_change), work (a
     struct). expected: the flavour of the feed; records of another are not mapped."""
@@ -200,8 +205,12 @@ def items_batch(mapped: DataFrame) -> DataFrame:
     return mapped.select("source_record_id", F.inline_outer("work.items")).where("barcode is not null")
 
 
-def counters(mapped: DataFrame) -> DataFrame:
-    return mapped.groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+def store_mapped(mapped: DataFrame) -> tuple[DataFrame, dict[str, int]]:
+    """The mapped records, written once, for works_batch() and items_batch() to read, and how many have each status, counted in the same
+    pass."""
+    seen = Observation()
+    stored = checkpoint(mapped.observe(seen, *[F.count_if(F.col("status") == s).alias(s) for s in STATUSES]), "mapped")
+    return stored, {s: n for s, n in seen.get.items() if n}
 
 
 def field_profile(records: DataFrame) -> DataFrame:

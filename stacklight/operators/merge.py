@@ -1,4 +1,5 @@
-"""Upserts as pure functions merge(target, batch) -> new state; the caller writes the result to a fresh path and swaps."""
+"""Upserts as pure functions merge(target, batch) -> new state, each key judged by its own rows; buckets.BucketTable applies them to
+a stored table, to the buckets of a batch's keys alone."""
 
 from __future__ import annotations
 
@@ -56,6 +57,11 @@ def merge_by_key(target: DataFrame, batch: DataFrame, keys: list[str]) -> DataFr
     return target.join(batch.select(*keys).distinct(), keys, "left_anti").unionByName(batch)
 
 
+def merge_by(keys: list[str]):
+    """merge_by_key() with these keys, as a merge of a table in buckets."""
+    return lambda target, batch: merge_by_key(target, batch, keys)
+
+
 def merge_sources(target: DataFrame, batch: DataFrame) -> DataFrame:
     """Keyed by (base_url, metadata_prefix): a null flavour and empty headers leave the stored ones."""
     keys = ["base_url", "metadata_prefix"]

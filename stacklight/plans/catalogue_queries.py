@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import hashing
 from ..functions import text as T
 from ..operators import catalog, evaluation, interactions, marc, merge, rank, search, vectors
+from ..operators.state import new_path
+from ..streaming import feed
 from . import adapters as A
 from .registry import query
 
@@ -360,6 +362,16 @@ def upsert_works(spark, sf_dir):
     return merge.merge_works(*_works_state(spark, sf_dir))
 
 
+@query(_MERGE + "SELECT source_id, source_record_id, title, content_hash, items_hash, deleted FROM merged")
+def upsert_in_buckets(spark, sf_dir):
+    """The same merge into a stored table, bucket by bucket: a first version, and a second one by the batch."""
+    target, batch = _works_state(spark, sf_dir)
+    stored = feed.table(spark, new_path(spark, "works"), buckets=16)
+    stored.apply(target, merge.merge_by(feed.KEYS))
+    stored.apply(batch, merge.merge_works)
+    return stored.read()
+
+
 @query(_MERGE + "SELECT action, count(*) AS n, count(*) FILTER (WHERE items_changed) AS items_refreshed FROM merged GROUP BY 1")
 def upsert_counters(spark, sf_dir):
     return upsert_works(spark, sf_dir).groupBy("action").agg(F.count(F.lit(1)).alias("n"), F.count_if("items_changed").alias("items_refreshed"))
@@ -675,7 +687,8 @@ def marc_items(spark, sf_dir):
 
 @query("SELECT CASE WHEN p_partkey % 97 = 0 THEN 'deleted' ELSE 'mapped' END AS status, count(*) AS n FROM part GROUP BY 1")
 def marc_counters(spark, sf_dir):
-    return marc.counters(marc.map_records(records(spark, sf_dir)))
+    _, counts = marc.store_mapped(marc.map_records(records(spark, sf_dir)))
+    return spark.createDataFrame(sorted(counts.items()), "status string, n long")
 
 
 @query("SELECT tag, round(100.0 * n / (SELECT count(*) FROM part), 4) AS percent, CAST(0 AS DOUBLE) AS percent_repeated FROM (SELECT unnest(['020', '100', '245', '260', '650']) AS tag, count(*) AS n FROM part GROUP BY 1 UNION ALL SELECT '952', count(*) FROM part WHERE p_partkey % 2 = 0)")

@@ -3,7 +3,6 @@ from pyspark.sql import functions as F
 
 from stacklight.operators import catalog, interactions, marc, merge, rank, search
 from stacklight.sources import harvest
-from stacklight.streaming import feed
 
 RECORD = '<marc:record xmlns:marc="http://www.loc.gov/MARC21/slim"><marc:leader>     nam a22</marc:leader><marc:controlfield tag="008">{f008}</marc:controlfield>{fields}</marc:record>'
 
@@ -79,14 +78,6 @@ def test_merge_works(spark):
     assert got["a"].title == "A" and not got["a"].deleted and got["a"].items_changed and got["b"].title == "B2" and got["c"].deleted
 
 
-def test_stream_of_changes(spark, tmp_path):
-    rows = [(1, "a", "A", "h", "i", False, 1), (1, "a", "A2", "h2", "i", False, 2), (1, "b", "B", "h", "i", False, 1)]
-    spark.createDataFrame(rows, WORK + ", ts long").write.parquet(f"{tmp_path}/feed")
-    stream = spark.readStream.schema(WORK + ", ts long").parquet(f"{tmp_path}/feed")
-    feed.upsert_stream(stream, f"{tmp_path}/state", f"{tmp_path}/checkpoint").awaitTermination(120)
-    assert {(r.source_record_id, r.title) for r in spark.read.parquet(f"{tmp_path}/state/state=0").collect()} == {("a", "A2"), ("b", "B")}
-
-
 def test_feeds(spark):
     page = '<OAI-PMH><ListRecords><record><header status="deleted"><identifier>x:1</identifier></header></record><record><header><identifier>x:2</identifier></header><metadata><record>m</record></metadata></record><resumptionToken> t1 </resumptionToken></ListRecords></OAI-PMH>'
     assert harvest.token_of(page) == "t1" and harvest.token_of("<resumptionToken></resumptionToken>") is None
