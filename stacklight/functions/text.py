@@ -23,6 +23,8 @@ WHITE = "\t\n\v\f\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004
 #: Designations of character sets and other escapes of ISO 2022, and what XML 1.0 forbids (fixed values).
 ESCAPES = r"""\x1b(?:\$?[()*+][A-Za-z0-9!"#$%&'-]|[@-_])"""
 ILLEGAL = r"[\x00-\x08\x0b\x0c\x0e-\x1f]"
+#: Trailing punctuation and space of ISBD, but the full stop of an initial.
+ISBD_END = r"(?<!(?<![A-Za-z])[A-Z](?=\.))[\s:/;,=.]+$"
 
 
 def strip(c: Column) -> Column:
@@ -37,7 +39,7 @@ def nullify(c: Column) -> Column:
 
 def strip_isbd(c: Column) -> Column:
     """Without trailing ISBD punctuation and space; the full stop of an initial stays."""
-    return F.regexp_replace(c, r"(?<!(?<![A-Za-z])[A-Z](?=\.))[\s:/;,=.]+$", "")
+    return F.regexp_replace(c, ISBD_END, "")
 
 
 def clean_isbn(c: Column) -> Column:

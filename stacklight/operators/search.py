@@ -31,6 +31,8 @@ def word_similarities(queries: pa.Array, targets: pa.Array) -> np.ndarray:
     begin at one place are running sums; a step does one beginning for all pairs."""
     q_row, _ = _offsets(queries)
     t_row, t_at = _offsets(targets)
+    if not len(q_row) or not len(t_row):
+        return np.zeros(len(targets))
     code = pa.chunked_array([queries.flatten(), targets.flatten()]).combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
     q_code, t_code = code[: len(q_row)], code[len(q_row) :]
     n = int(code.max(initial=0)) + 1

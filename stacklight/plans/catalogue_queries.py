@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import hashing
+from ..functions import hashing, sql
 from ..functions import text as T
 from ..operators import catalog, evaluation, interactions, marc, merge, rank, search, vectors
 from ..operators.state import new_path
@@ -652,6 +652,24 @@ def search_in_source(spark, sf_dir):
     return _rounded(search.search_exact(_asked(spark, sf_dir), A.works(spark, sf_dir), source_id=1, index=A.gram_index(spark, sf_dir)), "score")
 
 
+@query(
+    A.with_("live").rstrip()
+    + ", t AS (SELECT id, title, CASE WHEN id % 2 = 0 THEN title || ' Œ' ELSE authors[1] END AS other FROM live), "
+    + "g AS (SELECT id, list_distinct(" + _LISTED.format("lower(title)") + ") AS a, list_distinct(" + _LISTED.format("replace(lower(other), 'œ', 'oe')") + ") AS b FROM t) "
+    "SELECT t.id, title AS bare, list_sort(a) AS grams, round(len(list_intersect(a, b)) / (len(a) + len(b) - len(list_intersect(a, b))), 6) AS similarity, CASE WHEN t.id % 2 = 0 THEN 1.0 END AS word_similarity, "
+    "left(sha256(unhex('{1}') || unhex(sha256(unhex('{0}') || encode(CAST(t.id AS VARCHAR))))), 32) AS patron FROM t JOIN g USING (id)".format(*_pads(A.SECRET))
+)
+def sql_functions(spark, sf_dir):
+    """The functions by their names in SQL; a title stands whole in itself with a word more, so its word similarity is 1."""
+    sql.register(spark, A.SECRET)
+    catalog.live(A.works(spark, sf_dir)).createOrReplaceTempView("live_works")
+    return spark.sql(
+        """SELECT id, strip_isbd(concat(title, ' :/ ')) AS bare, array_sort(trigrams(title)) AS grams, round(trigram_similarity(title, other), 6) AS similarity,
+        round(CASE WHEN id % 2 = 0 THEN word_similarity(title, other) END, 6) AS word_similarity, patron_reference(CAST(id AS STRING)) AS patron
+        FROM (SELECT id, title, CASE WHEN id % 2 = 0 THEN concat(title, ' Œ') ELSE authors[0] END AS other FROM live_works)"""
+    )
+
+
 # marc --------------------------------------------------------------------------------------------------------------
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime
 import json
+import pathlib
 import re
 import time
 import urllib.error
@@ -68,38 +69,82 @@ def list_records(options: dict[str, str], params: dict[str, str]):
         params = {"verb": "ListRecords", "resumptionToken": token} if token else None
 
 
+def seconds(stamp: str) -> int:
+    """A protocol date or time (UTC) as seconds since 1970."""
+    return int(datetime.datetime.fromisoformat(stamp.replace("Z", "+00:00") if "T" in stamp else f"{stamp}T00:00:00+00:00").timestamp())
+
+
+def stamp(at: int) -> str:
+    return datetime.datetime.fromtimestamp(at, datetime.UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
+
+
+def slices(first: int, last: int, days: float) -> list[tuple[str, str]]:
+    """The seconds from first to last, both included, as slices of so many days that don't overlap: (from, until)."""
+    step = max(1, int(days * 86_400))
+    return [(stamp(at), stamp(min(at + step - 1, last))) for at in range(first, last + 1, step)]
+
+
 class OaiReader(DataSourceReader):
-    """One partition for each set (tokens are sequential); a page a row."""
+    """A page a row. The tokens of a list are sequential, so a list is one task; with the option slicedays a list from `from` on (until
+    `until`, or now) is asked for in slices of so many days, each a list and a task of its own, which is read again if its
+    executor is lost. A record that changes meanwhile moves to a later slice, so it may be missed until the next pull."""
 
     def __init__(self, options):
         self.options = dict(options)
 
     def partitions(self, **dates):
+        given = {k: self.options[k] for k in ("from", "until") if k in self.options} | dates
         base = {"verb": "ListRecords", "metadataPrefix": self.options.get("metadataprefix", "marc21")}
-        base |= {k: self.options[k] for k in ("from", "until") if k in self.options} | dates
         sets = [s for s in self.options.get("sets", "").split(",") if s] or [None]
-        return [Endpoint(self.options["url"], base | ({"set": s} if s else {})) for s in sets]
+        spans = [given]
+        if "slicedays" in self.options:
+            if "from" not in given:
+                raise ValueError("slicedays needs from")
+            last = seconds(given["until"]) + (0 if "T" in given["until"] else 86_399) if "until" in given else int(time.time())
+            spans = [{"from": a, "until": z} for a, z in slices(seconds(given["from"]), last, float(self.options["slicedays"]))]
+        return [Endpoint(self.options["url"], base | span | ({"set": s} if s else {})) for s in sets for span in spans]
 
     def read(self, part):
         yield from list_records(self.options, part.params)
 
 
 class OaiStreamReader(DataSourceStreamReader):
-    """Incremental pulls: the offset is the time up to which changes were asked for. Both ends of a list are inclusive, so what
-    changed in the second of an offset may come twice; merges by hash take that."""
+    """Incremental pulls: the offset is the time up to which changes were asked for, and a batch starts one second after that. With
+    the option maxdays a batch asks for so many days at most, so a long absence is made up for in batches of bounded size; it needs
+    `from`, and progress, a file that the driver keeps of the time up to which it gave out batches, since Spark doesn't tell a
+    reader where a restarted query stands. slicedays cuts a batch into tasks. Changes of the last `settle` seconds (5) wait for the next batch, as a repository
+    may still be writing them."""
 
     def __init__(self, options):
-        self.pages = OaiReader(options)
+        self.pages, own = OaiReader(options), options
+        self.settle = int(own.get("settle", "5"))
+        self.most = max(1, int(float(own["maxdays"]) * 86_400)) if "maxdays" in own else None
+        self.progress = pathlib.Path(own["progress"].removeprefix("file://")) if "progress" in own else None
+        if self.most is not None and ("from" not in own or self.progress is None):
+            raise ValueError("maxdays needs from and progress")
 
     def initialOffset(self):
-        return {"until": self.pages.options.get("from", "")}
+        since = self.pages.options.get("from", "")
+        return {"until": stamp(seconds(since) - 1) if since else ""}
 
     def latestOffset(self):
-        return {"until": datetime.datetime.now(datetime.UTC).strftime("%Y-%m-%dT%H:%M:%SZ")}
+        """Up to now, or maxdays after what was given out before."""
+        now = int(time.time()) - self.settle
+        if self.most is not None:
+            before = self.progress.read_text() if self.progress.exists() else self.initialOffset()["until"]
+            now = min(now, seconds(before) + self.most)
+            draft = self.progress.with_suffix(".draft")
+            draft.write_text(stamp(now))
+            draft.replace(self.progress)
+        return {"until": stamp(now)}
 
     def partitions(self, start, end):
-        since = {"from": start["until"]} if start["until"] else {}
-        return self.pages.partitions(**since, until=end["until"])
+        if start["until"]:
+            first = seconds(start["until"]) + 1
+            if first > seconds(end["until"]):
+                return [Endpoint(self.pages.options["url"], {})]  # nothing yet
+            return self.pages.partitions(**{"from": stamp(first)}, until=end["until"])
+        return self.pages.partitions(until=end["until"])
 
     def read(self, part):
         yield from self.pages.read(part)
@@ -232,9 +277,37 @@ def open_library(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).where(F.size(parts) == 5).select(parts[1].alias("key"), parts[4].alias("json"))
 
 
-def jdbc(spark: SparkSession, url: str, table: str, **options) -> DataFrame:
-    """A table of the library's database; filters and columns are pushed down."""
-    return spark.read.format("jdbc").options(url=url, dbtable=table, **options).load()
+def jdbc(spark: SparkSession, url: str, table: str, key: str | None = None, partitions: int = 8, since=None, changed: str = "timestamp", **options) -> DataFrame:
+    """A table of the library's database; filters and columns are pushed down to it.
+
+    key: a number column by whose ranges the table is read in as many queries as `partitions`; its least and largest value are asked
+    for first, one row. since: only rows with `changed` later than that, which the database sifts out. Rows with a null key are in
+    the first range."""
+    given = {"url": url, "fetchsize": "1000"} | options
+    reader = spark.read.format("jdbc").options(**given)
+    if key is not None:
+        bounds = spark.read.format("jdbc").options(**given).option("query", f"SELECT MIN({key}) AS low, MAX({key}) AS high FROM {table}")
+        low, high = bounds.load().first()
+        if low is not None and high > low:
+            # the upper bound is that of the last range's start, so one more keeps the ranges even
+            reader = reader.options(partitionColumn=key, lowerBound=str(low), upperBound=str(high + 1), numPartitions=str(min(partitions, high - low + 1)))
+    rows = reader.option("dbtable", table).load()
+    return rows if since is None else rows.where(F.col(changed) > F.lit(since).cast(rows.schema[_named(rows, changed)].dataType))
+
+
+def _named(df: DataFrame, column: str) -> str:
+    """The column's name as the database spells it."""
+    return next(c for c in df.columns if c.lower() == column.lower())
+
+
+#: The tables of the library's database that are read, and the number columns by which they are split.
+DATABASE = {"biblio": "biblionumber", "biblioitems": "biblioitemnumber", "items": "itemnumber", "issues": "issue_id", "old_issues": "issue_id", "ratings": "borrowernumber"}
+
+
+def database(spark: SparkSession, url: str, since=None, partitions: int = 8, **options) -> dict[str, DataFrame]:
+    """The library's tables by name, column names in lower case, each read in ranges of its key. since: biblio and ratings changed
+    later than that only."""
+    return {t: (df := jdbc(spark, url, t, key, partitions, since if t in ("biblio", "ratings") else None, **options)).toDF(*map(str.lower, df.columns)) for t, key in DATABASE.items()}
 
 
 def database_works(biblio: DataFrame, biblioitems: DataFrame, since=None) -> DataFrame:

@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from stacklight.functions import hashing
+from stacklight.functions import hashing, sql
 from stacklight.functions import text as T
 from stacklight.operators import search
 from stacklight.operators.search import word_similarities
@@ -106,3 +106,30 @@ def test_fold_and_clean(spark):
     assert one(spark, T.sanitize_xml(F.lit("a\x1b*Bb\x1bAc\x00d"))) == {"text": "abcd", "removed": 3}
     assert one(spark, T.canonical_key(F.lit("L'Été: the End"), F.lit(None).cast("array<string>"))) == "l été the end|"
     assert one(spark, T.prefer_script(F.lit(" "), F.lit("море"))) == {"embed": "море", "search": "море"}
+
+
+def test_functions_in_sql(spark):
+    names = sql.register(spark, "s")
+    assert {"strip_isbd", "trigrams", "word_similarity", "patron_reference"} <= set(names)
+    rows = spark.createDataFrame([(1, "Łódź : Œuvres /", "lodz oeuvres x"), (2, "", None), (3, None, "a b")], "id long, a string, b string")
+    rows.createOrReplaceTempView("sql_functions_in")
+    got = spark.sql("SELECT a, strip_isbd(a) s, strip_white(a) w, clean_isbn(a) i, fold_accents(a) f, trigram_sequence(a) q, trigrams(a) g, trigram_similarity(a, b) t, word_similarity(a, b) m, patron_reference(cast(id AS string)) p FROM sql_functions_in ORDER BY id").collect()
+    c = F.col
+    want = rows.select(T.strip_isbd(c("a")).alias("s"), T.strip(c("a")).alias("w"), T.clean_isbn(c("a")).alias("i"), T.fold(c("a")).alias("f"), T.gram_sequence(T.fold(c("a"))).alias("q"), T.trigrams(c("a")).alias("g"), T.similarity(T.trigrams(c("a")), T.trigrams(c("b"))).alias("t"), hashing.patron_reference(c("id"), "s").alias("p")).orderBy("id").collect()
+    assert [[r[k] for k in "swifqp"] for r in got] == [[r[k] for k in "swifqp"] for r in want] and got[0].t == want[0].t
+    assert [r.m for r in got] == [1.0, None, None] and got[0].g == want[0].g
+    assert list(sql.grams("Œuvres d'été")) == one(spark, T.gram_sequence(T.fold(F.lit("Œuvres d'été"))))
+    with pytest.raises(ValueError):
+        sql.register(spark, "")
+
+
+def test_times_in_another_zone(spark):
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        at = F.timestamp_micros(F.lit(1_704_067_200_000_000))
+        assert one(spark, T.iso_time(at)) == "2024-01-01T00:00:00+00:00"
+        assert one(spark, T.iso_time(F.timestamp_micros(F.lit(1_710_054_000_000_005)))) == "2024-03-10T07:00:00.000005+00:00"  # the hour that is skipped there
+        assert one(spark, T.iso_time(F.lit(None).cast("timestamp"))) is None
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)

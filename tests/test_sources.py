@@ -1,5 +1,6 @@
 import json
 import threading
+import time
 from http.server import BaseHTTPRequestHandler, HTTPServer
 from urllib.parse import parse_qs, urlparse
 
@@ -93,6 +94,85 @@ def test_a_list_as_a_stream(spark, url, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/out").count() == 2 and any("until" in x for x in Stub.asked)
 
 
+def test_slices():
+    assert harvest.slices(0, 9, 3 / 86_400) == [("1970-01-01T00:00:00Z", "1970-01-01T00:00:02Z"), ("1970-01-01T00:00:03Z", "1970-01-01T00:00:05Z"), ("1970-01-01T00:00:06Z", "1970-01-01T00:00:08Z"), ("1970-01-01T00:00:09Z", "1970-01-01T00:00:09Z")]
+    assert harvest.seconds("2024-01-02") == harvest.seconds("2024-01-02T00:00:00Z") and harvest.stamp(harvest.seconds("2024-01-02T03:04:05Z")) == "2024-01-02T03:04:05Z"
+    parts = harvest.OaiReader({"url": "u", "from": "2024-01-01", "until": "2024-01-10", "slicedays": "4", "sets": "a,b"}).partitions()
+    assert [(p.params["set"], p.params["from"], p.params["until"]) for p in parts[:3]] == [("a", "2024-01-01T00:00:00Z", "2024-01-04T23:59:59Z"), ("a", "2024-01-05T00:00:00Z", "2024-01-08T23:59:59Z"), ("a", "2024-01-09T00:00:00Z", "2024-01-10T23:59:59Z")] and len(parts) == 6
+    with pytest.raises(ValueError, match="needs from"):
+        harvest.OaiReader({"url": "u", "slicedays": "4"}).partitions()
+
+
+class Dated(BaseHTTPRequestHandler):
+    """A record a day of January 2024; the first request for one of the days fails, as if its task were lost."""
+
+    asked: list = []
+    broken = {"2024-01-09T00:00:00Z"}
+
+    def log_message(self, *_):
+        pass
+
+    def do_GET(self):
+        q = {k: v[0] for k, v in parse_qs(urlparse(self.path).query).items()}
+        Dated.asked.append((q.get("from"), q.get("until")))
+        if q.get("from") in Dated.broken:
+            Dated.broken.discard(q["from"])
+            return self.send_error(404)
+        days = [d for d in range(1, 32) if q["from"] <= f"2024-01-{d:02d}T12:00:00Z" <= q["until"]]
+        self.send_response(200)
+        self.end_headers()
+        self.wfile.write(OAI.format(f"<ListRecords>{''.join(map(record, days))}</ListRecords>" if days else '<error code="noRecordsMatch">none</error>').encode())
+
+
+@pytest.fixture
+def dated():
+    server = HTTPServer(("127.0.0.1", 0), Dated)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    Dated.asked.clear()
+    yield f"http://127.0.0.1:{server.server_port}/oai"
+    server.shutdown()
+
+
+def ids(pages):
+    return sorted(int(r.source_record_id[2:]) for r in harvest.split_records(pages).collect())
+
+
+def test_a_list_in_slices_with_a_lost_task(spark, dated):
+    reader = harvest.OaiReader({"url": dated, "from": "2024-01-01", "until": "2024-01-31", "slicedays": "4"})
+    rows, lost = [], 0
+    for part in reader.partitions():
+        for _ in range(2):  # a task that fails is run again
+            try:
+                rows += list(reader.read(part))
+                break
+            except Exception:
+                lost += 1
+    assert lost == 1 and ids(spark.createDataFrame(rows, "url string, body string, removed int")) == list(range(1, 32))
+    harvest.register(spark)
+    pages = spark.read.format("oai_pmh").option("url", dated).option("from", "2024-01-01").option("until", "2024-01-31").option("slicedays", 10).load()
+    assert pages.rdd.getNumPartitions() == 4 and ids(pages) == list(range(1, 32))
+
+
+def test_a_stream_in_bounded_batches(spark, dated, tmp_path):
+    harvest.register(spark)
+    sizes: list = []
+    stream = spark.readStream.format("oai_pmh").option("url", dated).option("from", "2024-01-01").option("maxdays", 10).option("slicedays", 3).option("progress", f"{tmp_path}/until").load()
+    start = lambda: stream.writeStream.foreachBatch(lambda df, n: sizes.append((n, ids(df)))).option("checkpointLocation", f"{tmp_path}/cp").trigger(processingTime="0 seconds").start()
+    for least in (2, 4):  # stopped and started again
+        q = start()
+        for _ in range(600):
+            if len(sizes) >= least or not q.isActive:
+                break
+            time.sleep(0.1)
+        q.stop()
+    got = {n: found for n, found in sizes}
+    assert got[0] == list(range(1, 11)) and all(len(found) <= 10 for found in got.values())
+    with pytest.raises(ValueError, match="maxdays needs"):
+        harvest.OaiStreamReader({"url": dated, "maxdays": "1", "from": "2024-01-01"})
+    every = [i for n in sorted(got) for i in got[n]]
+    assert every == list(range(1, 32))
+
+
 def test_preflight(spark, url):
     got = harvest.preflight(spark, {"url": f"{url}/oai"}, expect_items=True)
     assert got == {"flavour": "marc21", "prefixes": ["marc21"], "records": 2, "items": 2}
