@@ -63,6 +63,14 @@ def live_embeddings(spark, sf_dir):
     return vectors.of_live_works(embeddings(spark, sf_dir), works(spark, sf_dir))
 
 
+_blocks = vectors.VectorCache()
+
+
+def live_blocks(spark, sf_dir) -> vectors.Blocks:
+    """The live vectors in blocks, packed once for each application and folder while they stay as they are."""
+    return _blocks.blocks(f"{spark.sparkContext.applicationId} {sf_dir}", live_embeddings(spark, sf_dir), "work_id")
+
+
 def live_factors(spark, sf_dir):
     return vectors.of_live_works(factors(spark, sf_dir), works(spark, sf_dir))
 

@@ -32,12 +32,12 @@ _TOP = "SELECT probe, work_id, CAST(source_id AS BIGINT) AS source_id, round(sco
 
 @query(A.with_("probes").rstrip() + ", " + _SCORED.format(mask=" AND source_id = probe_source") + _TOP)
 def similar_content(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(vectors.similar(_probes(spark, sf_dir), A.live_embeddings(spark, sf_dir), 10), "score")
+    return _rounded(vectors.similar(_probes(spark, sf_dir), A.live_blocks(spark, sf_dir), 10), "score")
 
 
 @query(A.with_("probes").rstrip() + ", " + _SCORED.format(mask=" AND NOT is_title_only") + _TOP)
 def similar_cross_source(spark, sf_dir):
-    return _rounded(vectors.similar(_probes(spark, sf_dir), A.live_embeddings(spark, sf_dir), 10, cross_source=True, exclude_title_only=True), "score")
+    return _rounded(vectors.similar(_probes(spark, sf_dir), A.live_blocks(spark, sf_dir), 10, cross_source=True, exclude_title_only=True), "score")
 
 
 _RERANK = (
@@ -54,7 +54,7 @@ _RERANK_OUT = "SELECT probe, work_id, round(content_score, 6) AS content_score,
 
 
 def _reranked(spark, sf_dir, weights):
-    pool = vectors.similar(_probes(spark, sf_dir), A.live_embeddings(spark, sf_dir), weights.pool)
+    pool = vectors.similar(_probes(spark, sf_dir), A.live_blocks(spark, sf_dir), weights.pool)
     fac = A.live_factors(spark, sf_dir)
     candidates = pool.join(fac, "work_id", "left").select("probe", "work_id", F.col("score").alias("content_score"), "factors", "n_patrons")
     own = fac.where("work_id % 10 = 0").select(F.col("work_id").alias("probe"), F.col("factors").alias("probe_vector"), F.col("n_patrons").alias("probe_patrons"))
@@ -102,7 +102,7 @@ def _keys(spark, sf_dir):
 
 @query(_SEMANTIC + "SELECT probe, work_id, key, round(score, 6) AS score, rank FROM out WHERE rank <= 10")
 def semantic_topk_floor(spark, sf_dir):
-    out = vectors.semantic_search(_probes(spark, sf_dir), A.live_embeddings(spark, sf_dir), _keys(spark, sf_dir), min_score=0.1, cross_source=True)
+    out = vectors.semantic_search(_probes(spark, sf_dir), A.live_blocks(spark, sf_dir), _keys(spark, sf_dir), min_score=0.1, cross_source=True)
     return _rounded(out.select("probe", "work_id", "key", "score", "rank"), "score")
 
 
@@ -129,7 +129,7 @@ def search_tiers(spark, sf_dir):
     """Rescue where the catalogue found nothing (every other probe), else related works without those that the page shows."""
     ids = A.live_embeddings(spark, sf_dir).where("work_id % 5 = 0").agg(F.collect_set("work_id").alias("shown"))
     probes = _probes(spark, sf_dir).withColumn("hits", F.when(F.col("probe") % 20 == 0, 0).otherwise(1)).crossJoin(ids)  # one row
-    return _rounded(vectors.tiers(probes, A.live_embeddings(spark, sf_dir), _keys(spark, sf_dir), 5, 0.1), "score")
+    return _rounded(vectors.tiers(probes, A.live_blocks(spark, sf_dir), _keys(spark, sf_dir), 5, 0.1), "score")
 
 
 @query(A.with_("emb") + "SELECT work_id, round(list_sum(list_transform(vector, lambda x: x * x)), 6) AS norm2 FROM emb")
