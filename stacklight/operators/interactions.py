@@ -71,18 +71,17 @@ def patrons_per_work(rows: DataFrame) -> DataFrame:
     return rows.groupBy("work_id").agg(F.count(F.lit(1)).alias("n_patrons"))
 
 
-def fit_als(rows: DataFrame, factors: int, iterations: int = 15, regularization: float = 0.1, seed: int = 1) -> DataFrame:
-    """work_id, vector (unit length), n_patrons from implicit-feedback ALS. User factors are discarded: nobody's reading is kept.
-
-    rating = confidence - 1, so that 1 + alpha * rating is the confidence."""
-    from pyspark.ml.recommendation import ALS
-
-    p, w = index(rows, "patron_ref"), index(rows, "work_id")
-    data = rows.join(p, "patron_ref").join(w, "work_id").select(F.col("patron_ref_idx").cast("int").alias("user"), F.col("work_id_idx").cast("int").alias("item"), (confidence(F.col("n_loans"), F.col("n_renewals")) - 1).alias("rating"))
-    model = ALS(rank=factors, maxIter=iterations, regParam=regularization, implicitPrefs=True, alpha=1.0, seed=seed, userCol="user", itemCol="item", ratingCol="rating").fit(data)
+def fit_als(rows: DataFrame, rank: int, iterations: int = 15, regularization: float = 0.1, seed: int = 1) -> DataFrame:
+    """work_id, vector (unit length), n_patrons from implicit-feedback least squares (see factors). User factors are discarded:
+    nobody's reading is kept."""
+    from .factors import alternate
     from .vectors import normalize
 
-    items = model.itemFactors.select(F.col("id").alias("work_id_idx"), normalize(F.col("features").cast("array<double>")).cast("array<float>").alias("vector"))
+    p, w = checkpoint(index(rows, "patron_ref")), checkpoint(index(rows, "work_id"))
+    weights = confidence(F.col("n_loans"), F.col("n_renewals")).cast("double")
+    data = rows.join(p, "patron_ref").join(w, "work_id").select(F.col("patron_ref_idx").alias("patron"), F.col("work_id_idx").alias("work"), weights.alias("c"))
+    fitted = alternate(data, rank, iterations, regularization, seed)
+    items = fitted.select(F.col("id").alias("work_id_idx"), normalize(F.col("vector")).cast("array<float>").alias("vector"))
     return items.join(w, "work_id_idx").join(patrons_per_work(rows), "work_id").select("work_id", "vector", "n_patrons")
 
 
@@ -116,14 +115,22 @@ def fold_in(rows: DataFrame, factors: DataFrame, regularization: float = 0.1, mi
             return pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate((pa.string(), pa.binary(), pa.int64(), pa.int64()))], names=["patron_ref", "sums", "n_works", "n_loans"])
 
         for batch in batches:
-            for p, y, loans, c in zip(*(batch.column(x).to_pylist() for x in ("patron_ref", "vector", "n_loans", "confidence")), strict=True):
-                y = np.array(y)
-                old = held.setdefault(p, [np.zeros((len(y), len(y))), np.zeros(len(y)), 0, 0])
-                old[0] += c * np.outer(y, y)
-                old[1] += c * y
-                old[2] += 1
-                old[3] += loans
-                if len(held) * len(y) * (len(y) + 1) > PARTIAL_SUMS:
+            who = batch.column("patron_ref").dictionary_encode()
+            names, number = who.dictionary.to_pylist(), who.indices.to_numpy()
+            order = np.argsort(number, kind="stable")
+            vectors = batch.column("vector")
+            y = vectors.flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)[order]
+            c, loans = (batch.column(n).to_numpy()[order] for n in ("confidence", "n_loans"))
+            starts = np.flatnonzero(np.diff(number[order], prepend=-1))
+            for lo, hi in zip(starts, [*starts[1:], batch.num_rows], strict=True):
+                weighted = y[lo:hi] * c[lo:hi, None]
+                k = y.shape[1]
+                old = held.setdefault(names[number[order[lo]]], [np.zeros((k, k)), np.zeros(k), 0, 0])
+                old[0] += weighted.T @ y[lo:hi]
+                old[1] += weighted.sum(0)
+                old[2] += int(hi - lo)
+                old[3] += int(loans[lo:hi].sum())
+                if len(held) * k * (k + 1) > PARTIAL_SUMS:
                     yield emit()
         if held:
             yield emit()

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import hashing, sql
 from ..functions import text as T
-from ..operators import catalog, evaluation, interactions, marc, merge, rank, search, vectors
+from ..operators import catalog, evaluation, factors, interactions, marc, merge, rank, search, vectors
 from ..operators.state import new_path
 from ..streaming import feed
 from . import adapters as A
@@ -303,6 +303,31 @@ def als_factors(spark, sf_dir):
     return interactions.factorise(A.events_loans(spark, sf_dir))
 
 
+_WEIGHT = "least(greatest(1 + n_loans + 2 * n_renewals + 4 * greatest(n_loans - 1, 0), 1), 40)"
+
+
+def _rounds_sql(rounds: int) -> str:
+    """Alternating least squares of rank 1, where every solution is a quotient of sums."""
+    half = "SELECT r.{own} AS id, sum(c * v) / ((SELECT sum(v * v) FROM {of}) + 0.1 + sum((c - 1) * v * v)) AS v FROM r JOIN {of} y ON y.id = r.{other} GROUP BY 1"
+    steps = ", ".join(f"p{i} AS ({half.format(own='patron', other='work', of=f'w{i}')}), w{i + 1} AS ({half.format(own='work', other='patron', of=f'p{i}')})" for i in range(rounds))
+    return (
+        A.with_("interactions").rstrip()
+        + f", r AS (SELECT CAST(patron_ref AS BIGINT) AS patron, work_id AS work, CAST({_WEIGHT} AS DOUBLE) AS c FROM interactions), "
+        + "w0 AS (SELECT work AS id, (CAST('0x' || left(md5('5:' || work || ':0'), 8) AS BIGINT) + CAST(0.5 AS DOUBLE)) / 4294967296 AS v FROM (SELECT DISTINCT work FROM r)), "
+        + steps
+        + f" SELECT id, round(v, 6) AS value FROM w{rounds}"
+    )
+
+
+@query(_rounds_sql(3))
+def factor_rounds(spark, sf_dir):
+    """Three rounds of the factor model at rank 1 over all interactions."""
+    rows = interactions.interactions(A.loans(spark, sf_dir))
+    c = interactions.confidence(F.col("n_loans"), F.col("n_renewals")).cast("double").alias("c")
+    works = factors.alternate(rows.select(F.col("patron_ref").cast("long").alias("patron"), F.col("work_id").alias("work"), c), 1, 3, seed=5)
+    return works.select("id", F.round(F.get("vector", F.lit(0)), 6).alias("value"))
+
+
 def _plane(spark, sf_dir):
     """Factors of two dimensions, so that the normal equations have a closed form in SQL."""
     e = A.table(spark, sf_dir, "embeddings")
