@@ -35,9 +35,8 @@ from .common import slices, store_file
 
 #: Words of the lexicon and the bytes of one; words that a worker counts before it hands them on, or keeps the ids of; no pair's rank.
 LEXICON_WORDS, LEXICON_BYTES, HELD_WORDS, NONE = 1 << 17, 64, 400_000, 1 << 30
-#: How byte-level vocabularies split texts (fixed value), the commonest case first, and the same for ASCII texts.
-PATTERN = r" ?\p{L}+| ?\p{N}+|'(?:[stmd]|re|ve|ll)| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-PLAIN = r" ?[A-Za-z]+| ?[0-9]+|'(?:[stmd]|re|ve|ll)| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+"
+#: How byte-level vocabularies split texts (fixed value), the commonest case first, by the classes of letters, numbers and space.
+PATTERN = r" ?[{L}]+| ?[{N}]+|'(?:[stmd]|re|ve|ll)| ?[^{S}{L}{N}]+|[{S}]+(?![^{S}])|[{S}]+"
 
 
 @cache
@@ -49,6 +48,13 @@ def byte_of() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(0x100 + i): b for i, b in enumerate(hidden)}
 
 
+def _ranges(points: list[int]) -> str:
+    """Code points in order as the ranges of a character class."""
+    starts = [c for c, last in zip(points, [-2, *points], strict=False) if c != last + 1]
+    ends = [c for c, following in zip(points, [*points[1:], -2], strict=True) if c != following - 1]
+    return "".join(re.escape(chr(a)) + (f"-{re.escape(chr(z))}" if z > a else "") for a, z in zip(starts, ends, strict=True))
+
+
 class Vocabulary:
     """A byte-level BPE file: its merges by id pair, its tokens' bytes, its special strings."""
 
@@ -74,17 +80,18 @@ class Vocabulary:
         order = np.argsort(pair)
         self.pairs, self.ranks = np.append(pair[order], np.int64(1) << 62), np.append(order, NONE)
         self.made = np.array([made for _, made in self.merges.values()], np.int64)
-        self.plain_word, self.word = re.compile(PLAIN, re.ASCII), regex.compile(PATTERN)
+        # the classes as ranges, which Python's own expressions look up faster; those of ASCII and of the first 65,536 code points
+        every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+        members = {k: [ord(c) for c in regex.findall(kind, every)] for k, kind in (("L", r"\p{L}"), ("N", r"\p{N}"), ("S", r"\s"))}
+        limited = lambda most: PATTERN.format(**{k: _ranges([c for c in cs if c < most]) for k, cs in members.items()})
+        self.plain_word, self.basic_word = re.compile(limited(0x80)), re.compile(limited(0x10000))
+        self.word, self.astral = regex.compile(PATTERN.format(L=r"\p{L}", N=r"\p{N}", S=r"\s")), re.compile("[\U00010000-\U0010ffff]")
         # what the pattern takes for letters or numbers and this Python doesn't know
-        every = "".join(map(chr, [*range(0x80, 0xD800), *range(0xE000, 0x110000)]))
-        unsure = [ord(c) for c in regex.findall(r"[\p{L}\p{N}]", every) if unicodedata.category(c) == "Cn"]
-        starts = [c for c, last in zip(unsure, [-1, *unsure], strict=False) if c != last + 1]
-        ends = [c for c, nxt in zip(unsure, [*unsure[1:], -1], strict=True) if c != nxt - 1]
-        span = lambda a, z: f"{re.escape(chr(a))}-{re.escape(chr(z))}"
-        self.unsure = re.compile("[" + "".join(map(span, starts, ends)) + "]")
+        unsure = [c for c in sorted(members["L"] + members["N"]) if unicodedata.category(chr(c)) == "Cn"]
+        self.unsure = re.compile(f"[{_ranges(unsure)}]")
         # most texts lie in the widest stretches between, which are faster to tell
-        sure = sorted(((a - z, z, a - 1) for z, a in zip([0, *(e + 1 for e in ends)], [*starts, 0x110000], strict=True)), reverse=True)[:8]
-        self.beyond = re.compile("[^" + "".join(span(a, z) for _, a, z in sure) + "]")
+        gaps = sorted(((z - a, a + 1, z - 1) for a, z in zip([-1, *unsure], [*unsure, 0x110000], strict=True)), reverse=True)[:8]
+        self.beyond = re.compile("[^" + "".join(f"{re.escape(chr(a))}-{re.escape(chr(z))}" for _, a, z in gaps) + "]")
         self._own = None
 
     def split(self, text: str) -> list[str]:
@@ -92,7 +99,7 @@ class Vocabulary:
         if text.isascii():
             return self.plain_word.findall(text)
         if not self.beyond.search(text) or not self.unsure.search(text):
-            return self.word.findall(text)
+            return (self.word if self.astral.search(text) else self.basic_word).findall(text)
         if self._own is None:
             from tokenizers import Tokenizer
 
