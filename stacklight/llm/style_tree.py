@@ -1,23 +1,28 @@
 """Main-text extraction by a site style tree.
 
-The DOMs of a host are merged: a node of the tree is a path of element labels (tag, classes, id without digits), and keeps, over
-the host's pages, how often each presentation (the sequence of child labels) and each content (a hash of the branch) occurs. Equal
-pages of a host count once. A node in m pages has
+The DOMs of a host are merged: a node of the tree is a place, that of an element in the sequence of child labels (tag, classes, id
+without digits) which its parent's node shows, so equal labels at different places are different nodes; a run of paragraphs, list
+items, cells and the like is one place. A node keeps, over the host's pages, how often each presentation (its own sequence of child
+labels) and each content (a hash of the branch, the host's own name left out) occurs. Equal pages of a host count once. A node in m
+pages has
     presentation importance  p = - sum of q log_m q  over its presentations, q being their shares,
     content importance       c = 1 - mean of log_m n over its different contents, n being the pages that show each,
 and importance c + (1 - c) GAMMA p; in one page only it is 1. Every different content counts once, so a text that many pages copy
 doesn't lower its node, while a template's few texts do. A host of few pages says little: the importance of a node is its mean, by
-pages, with that of the path in the tree of all hosts (ALL_PAGES pages at most) and with 1 (PRIOR_PAGES pages).
+pages, with that of the place in the tree of all hosts (ALL_PAGES pages at most; what is missing comes from the nodes with the same
+path of labels), and with 1 (PRIOR_PAGES pages).
 
 One rule decides on every branch: importance times a weight, under LEAST, cuts it. Tags, roles and names give the weight: NOISE for
-menus, headers, footers, sidebars, forms, comments and the like; MAIN for what lies in <article> or <main> directly, so that it
-takes a very low importance to cut it; BESIDE for other branches of a page that has such an element; else 1. So the tree alone
-decides where names say nothing, and inside articles; names alone can cut (comments and related links differ from page to page as
-articles do, no entropy tells them apart). A branch is never cut where it holds an article, half of what the article has, or all
-the text that the page has left. Names decide with care: a class must consist of noise words and words of place ("notice-box", not
-"related-work" or "with-sidebar") and stand on a container (div, section, list, table), never on a heading, paragraph or <article>;
-inside an article only words that are no likely topic count. An id decides outside articles only, on a div, list or table, by words
-of a site's frame. If a page without <article> or <main> is left empty by its names, they decide nothing on it.
+menus, headers, footers, sidebars and the like; MAIN for what lies in <article> or <main> directly, so that it takes a very low
+importance to cut it; BESIDE for other branches of a page that has such an element; else 1. Where the tree knows a node, from
+KNOWN_PAGES pages or more, the weights only shift its verdict: noise of full importance stays, an unnamed branch of low importance
+goes. Where it doesn't, they suffice to cut. What differs from page to page as articles do, no entropy tells: comments, related
+links and forms (SURE) and hidden elements are cut by their names at any rate. A branch is never cut where it holds an article, half
+of what the article has, or all the text that the page has left. Names count with care: a class must consist of noise words and
+words of place ("notice-box", not "related-work" or "with-sidebar") and stand on a container (div, section, list, table), never on a
+heading, paragraph or <article>; inside an article only words that are no likely topic count. An id counts outside articles only,
+on a div, list or table, by words of a site's frame. If a page without <article> or <main> is left empty by its names, they don't
+count on it.
 
 Blocks are flushed at block-level tags; references are decoded, white space in a block (no-break spaces and <br> included)
 becomes one space, blocks are joined by an empty line.
@@ -41,10 +46,13 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
-GAMMA, LEAST, ALL_PAGES, PRIOR_PAGES = 0.1, 0.85, 100, 25
-NOISE_WEIGHT, MAIN_WEIGHT, BESIDE_WEIGHT = 0.5, 1.5, 0.8
+GAMMA, LEAST, ALL_PAGES, PRIOR_PAGES, KNOWN_PAGES = 0.1, 0.85, 100, 25, 100
+#: Weights of what the tree knows, which shift its verdict, and of what it doesn't know, which are one.
+NOISE_WEIGHT, MAIN_WEIGHT, BESIDE_WEIGHT = 0.9, 1.5, 0.95
+UNKNOWN_NOISE, UNKNOWN_BESIDE = 0.5, 0.8
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
 ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
+MARKS = re.compile(r"[.#\[]")
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe svg math object canvas select xmp noembed".split())
@@ -57,6 +65,9 @@ NOISE_ROLES = frozenset("navigation contentinfo complementary search form dialog
 HARD = frozenset("nav navbar navigation menu menubar breadcrumb breadcrumbs footer comment comments reply replies respond disqus discussion related recommended recommendations share sharing social newsletter subscribe subscription signup login pagination pager copyright cookie cookies consent gdpr advert adverts advertisement ad ads adsbygoogle adslot sponsor sponsored promo promotion form search".split())
 SOFT = frozenset("header masthead banner sidebar aside widget notice notices alert popup modal overlay toolbar topbar bottombar disclaimer skip hidden".split())
 #: Words that don't change what a class names, those that may be a topic of an article, and those that an id needs.
+#: Names and tags of what differs from page to page as articles do, so that no entropy tells it.
+SURE = frozenset("comment comments reply replies respond disqus discussion related recommended recommendations form search".split())
+SURE_TAGS = frozenset("form dialog button search".split())
 PLACE = frozenset("area bar bottom box block buttons col column container content footer group inner item items left links list main outer page panel right section site top wrap wrapper".split())
 TOPIC = frozenset("ad ads header form search discussion related recommended recommendations share sharing social promotion copyright cookie cookies consent replies respond alert hidden skip widget subscription login signup notices disclaimer".split())
 FRAME = frozenset("nav navbar navigation menu menubar breadcrumb breadcrumbs footer header masthead banner sidebar disqus pagination pager toolbar topbar bottombar".split())
@@ -75,22 +86,24 @@ def named(names: list[str], words: frozenset[str]) -> bool:
 
 
 @lru_cache(65_536)
-def label(tag: str, attributes: str, inside: bool = False, names: bool = True) -> tuple[str, bool, bool]:
-    """The node label, and whether the element is noise for certain, or unless it holds an article. inside: an article;
-    names: whether class and id decide."""
+def label(tag: str, attributes: str, inside: bool = False, names: bool = True) -> tuple[str, bool, bool, bool]:
+    """The node label, and whether the element is noise whatever it holds, or unless it holds an article, and whether the tree can't
+    tell. inside: an article; names: whether class and id count."""
     if not attributes.strip(" /\n\t"):
-        return tag, tag in NOISE_TAGS, tag == "header"
+        return tag, tag in NOISE_TAGS, tag == "header", tag in SURE_TAGS
     a = {k.lower(): unescape(d or s or b) for k, d, s, b in ATTRIBUTE.findall(attributes)}
     classes, ident, role = a.get("class", "").split(), a.get("id", ""), a.get("role", "").lower()
     gone = "hidden" in a or a.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", a.get("style", ""), re.I)
     hard, soft = tag in NOISE_TAGS or role in NOISE_ROLES or bool(gone), tag == "header" or role == "banner"
+    sure = bool(gone) or tag in SURE_TAGS or role in SURE_TAGS
     if names and tag in CONTAINERS:
         topic = TOPIC if inside else frozenset()
         ids = [ident] if ident and not inside and tag != "section" else []
         hard = hard or named(classes, HARD - topic) or named(ids, HARD & FRAME)
         soft = soft or named(classes, SOFT - topic) or named(ids, SOFT & FRAME)
+        sure = sure or named(classes, SURE - topic) or named(ids, SURE & FRAME)
     marks = "".join(f".{re.sub('[0-9]+', '', c)}" for c in sorted(classes)) + (f"#{re.sub('[0-9]+', '', ident)}" if ident else "")
-    return tag + marks + ("[main]" if role == "main" else ""), hard, soft
+    return tag + marks + ("[main]" if role == "main" else ""), hard, soft, sure
 
 
 def digest(b: bytes) -> int:
@@ -98,22 +111,22 @@ def digest(b: bytes) -> int:
 
 
 @lru_cache(65_536)
-def below(path: int, name: str) -> int:
-    """The path of a child with this label."""
-    return digest(struct.pack("<q", path) + name.encode("utf-8", "surrogatepass"))
+def below(trail: int, name: str) -> int:
+    """The trail, a path of labels, of a child with this label."""
+    return digest(struct.pack("<q", trail) + name.encode("utf-8", "surrogatepass"))
 
 
 class Node:
     """An element. block: the innermost element at block level, itself included; first, last: its texts in the page's list;
     begin, end: the elements at block level from it to its last descendant."""
 
-    __slots__ = ("begin", "block", "children", "cut", "end", "first", "hard", "kind", "last", "main", "path", "soft", "tag", "up")
+    __slots__ = ("begin", "block", "children", "cut", "end", "first", "hard", "kind", "last", "main", "name", "path", "shown", "soft", "sure", "tag", "trail", "up")
 
-    def __init__(self, tag, name, up, hard, soft):
+    def __init__(self, tag, name, up, hard, soft, sure=False):
         self.tag, self.up = tag, up.block if up else None
-        self.path = below(up.path, name) if up else ROOT_PATH
+        self.name, self.path, self.trail = name, ROOT_PATH, ROOT_PATH
         is_main = tag in MAIN or name.endswith("[main]")
-        self.hard = hard or bool(up and up.hard)
+        self.hard, self.sure = hard or bool(up and up.hard), sure or bool(up and up.sure)
         own_main = is_main and not self.hard
         inside = bool(up and up.main)
         # a header inside an article holds its title
@@ -196,25 +209,54 @@ def parse(html: str, names: bool = True) -> tuple[list[tuple[Node, str]], list[N
                 buffer.append(" ")
             continue
         up = stack[-1]
-        name, hard, soft = label(tag, attributes, up.main, names)
+        name, hard, soft, sure = label(tag, attributes, up.main, names)
         if tag in BLOCK:
             up.block.children.append(name)
-        push(Node(tag, name, up, hard, soft) if tag in BLOCK or hard or soft or attributes else _inline(tag, up))
+        push(Node(tag, name, up, hard, soft, sure) if tag in BLOCK or hard or soft or attributes else _inline(tag, up))
     flush()
     close(1)
+    root.first, root.begin, root.last, root.end = 0, 0, len(out), len(nodes)
     return out, nodes
 
 
 def _inline(tag: str, up: Node) -> Node:
     n = Node.__new__(Node)
-    n.tag, n.up, n.path, n.hard, n.soft, n.main, n.kind, n.block, n.children, n.cut = tag, up.block, up.path, up.hard, up.soft, up.main, up.kind, up.block, [], False
+    n.tag, n.up, n.name, n.hard, n.sure, n.soft, n.main, n.kind, n.block, n.children, n.cut = tag, up.block, tag, up.hard, up.sure, up.soft, up.main, up.kind, up.block, [], False
     return n
 
 
-def contents(blocks: list[tuple[Node, str]], nodes: list[Node]) -> dict[int, list[int]]:
-    """Of each path: a hash of the texts below it."""
+#: Elements of a text's own flow, whose number varies with it: a run of one label is one place.
+FLOW = frozenset("p li dt dd tr td th blockquote pre h2 h3 h4 h5 h6 option figure".split())
+
+
+def place(nodes: list[Node]) -> None:
+    """Gives each element its style node: its place in the sequence of children that its parent shows."""
+    free: dict[int, list[int]] = {}
+
+    def show(n: Node) -> None:
+        shown: list[str] = []
+        slots = []
+        for c in n.children:
+            if not shown or c != shown[-1] or MARKS.split(c, 1)[0] not in FLOW:
+                shown.append(c)
+            slots.append(len(shown) - 1)
+        n.shown = digest(",".join(shown).encode("utf-8", "surrogatepass"))
+        free[id(n)] = slots[::-1]
+
+    for n in nodes:
+        up = n.up
+        if id(up) not in free:  # the page itself
+            show(up)
+        n.path = digest(struct.pack("<qqq", up.path, up.shown, free[id(up)].pop()))
+        n.trail = below(up.trail, n.name)
+        show(n)
+
+
+def contents(blocks: list[tuple[Node, str]], nodes: list[Node], own: str = "") -> dict[int, list[int]]:
+    """Of each style node: a hash of the texts below it. The host's own name in a text doesn't tell it from that of another host."""
     prefix = [0]
     for _, text in blocks:
+        text = text.replace(own, "") if own else text
         prefix.append((prefix[-1] * FACTOR + digest(text.encode("utf-8", "surrogatepass"))) & MASK)
     power = [1]
     for _ in blocks:
@@ -225,35 +267,47 @@ def contents(blocks: list[tuple[Node, str]], nodes: list[Node]) -> dict[int, lis
     return found
 
 
-def page_nodes(html: str) -> list[tuple[int, int, int, int]]:
-    """The page's style nodes: page (the same for equal pages), path, presentation, content."""
+def page_nodes(html: str, own: str = "") -> list[tuple[int, int, int, int, int]]:
+    """The page's style nodes: page (the same for equal pages), path (the place), trail (its labels), presentation, content. own: the
+    host's name."""
     blocks, nodes = parse(html)
-    shown: dict[int, dict[str, None]] = {}
+    place(nodes)
+    shown: dict[int, dict[int, None]] = {}
+    trails: dict[int, int] = {}
     for n in nodes:
-        runs = ",".join(c for i, c in enumerate(n.children) if not i or n.children[i - 1] != c)
-        shown.setdefault(n.path, {})[runs] = None
-    texts = contents(blocks, nodes)
-    rows = [(p, digest(";".join(a).encode("utf-8", "surrogatepass")), digest(repr(texts[p]).encode())) for p, a in shown.items()]
+        shown.setdefault(n.path, {})[n.shown] = None
+        trails[n.path] = n.trail
+    texts = contents(blocks, nodes, own)
+    rows = [(p, trails[p], digest(repr(list(a)).encode()), digest(repr(texts[p]).encode())) for p, a in shown.items()]
     page = digest(repr((rows, [t for _, t in blocks])).encode("utf-8", "surrogatepass"))
     return [(page, *r) for r in rows]
 
 
 def page_text(html: str, importance: dict[int, float], least: float = LEAST) -> str:
-    """The page's main text; importance: of the paths of its host's tree, 1 for those left out."""
+    """The page's main text; importance: of the nodes that its host's tree knows; what is left out is unknown."""
     blocks, nodes = parse(html)
+    place(nodes)
     size, mains = [0], [0]
     for n, t in blocks:
         size.append(size[-1] + len(t) * (n.kind != NOISE))
     for n in nodes:
         mains.append(mains[-1] + n.main)
     article = sum(len(t) for n, t in blocks if n.main)
+    noise = lambda n: n.sure or n.block is not n or n.path not in importance
     for n in nodes:
-        weight = NOISE_WEIGHT if n.kind == NOISE else MAIN_WEIGHT if n.kind == IS_MAIN else BESIDE_WEIGHT if mains[-1] and not n.main else 1.0
+        known = n.path in importance
+        if n.kind == NOISE:
+            weight = UNKNOWN_NOISE if n.sure or not known else NOISE_WEIGHT
+        elif n.kind == IS_MAIN:
+            weight = MAIN_WEIGHT
+        else:
+            weight = (BESIDE_WEIGHT if known else UNKNOWN_BESIDE) if mains[-1] and not n.main else 1.0
         low = importance.get(n.path, 1.0) * weight < least
         holds = mains[n.end] > mains[n.begin] if not n.main else 2 * (size[n.last] - size[n.first]) >= article
         n.cut = bool(n.up and n.up.cut) or (low and (n.kind == NOISE or not holds))
-    beside = BESIDE_WEIGHT < least and mains[-1]
-    chosen = [t for n, t in blocks if not n.block.cut and n.kind != NOISE and (n.main or not beside)]
+    # text beside an article in what holds both belongs to neither
+    apart = lambda n: mains[-1] and not n.main and mains[n.block.end] > mains[n.block.begin]
+    chosen = [t for n, t in blocks if not n.block.cut and not apart(n) and not (n.kind == NOISE and noise(n))]
     if not chosen:
         # all is of low importance: what names don't cut stays
         chosen = [t for n, t in blocks if n.kind != NOISE and (n.main or not article)]
@@ -267,18 +321,18 @@ def host(url: str = "url"):
 
 
 def counted(pages: DataFrame, html: str = "html", url: str = "url") -> DataFrame:
-    """host, path, side, value, n: in how many different pages of the host the node shows each presentation (side 0) and each
+    """host, path, trail, side, value, n: in how many different pages of the host the node shows each presentation (side 0) and each
     content (side 1)."""
 
     def run(batches):
         for b in batches:
-            rows = [(h, *n) for h, t in zip(b.column("host").to_pylist(), b.column("html").to_pylist(), strict=True) if t for n in page_nodes(t)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), *[pa.int64()] * 4))], names=["host", "page", "path", "shown", "content"])
+            rows = [(h, *n) for h, t in zip(b.column("host").to_pylist(), b.column("html").to_pylist(), strict=True) if t for n in page_nodes(t, h)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), *[pa.int64()] * 5))], names=["host", "page", "path", "trail", "shown", "content"])
 
-    nodes = pages.select(host(url).alias("host"), F.col(html).alias("html")).mapInArrow(run, "host string, page long, path long, shown long, content long").distinct()
+    nodes = pages.select(host(url).alias("host"), F.col(html).alias("html")).mapInArrow(run, "host string, page long, path long, trail long, shown long, content long").distinct()
     # two counts by one aggregation
-    sides = nodes.select("host", "path", F.inline(F.array(F.struct(F.lit(0).alias("side"), F.col("shown").alias("value")), F.struct(F.lit(1).alias("side"), F.col("content").alias("value")))))
-    return sides.groupBy("host", "path", "side", "value").agg(F.count(F.lit(1)).alias("n"))
+    sides = nodes.select("host", "path", "trail", F.inline(F.array(F.struct(F.lit(0).alias("side"), F.col("shown").alias("value")), F.struct(F.lit(1).alias("side"), F.col("content").alias("value")))))
+    return sides.groupBy("host", "path", "trail", "side", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
 def merged(counts: DataFrame, *by: str) -> DataFrame:
@@ -292,20 +346,27 @@ def merged(counts: DataFrame, *by: str) -> DataFrame:
 
 
 def style_tree(counts: DataFrame) -> DataFrame:
-    """host, path, importance of each node of each host's tree, from counted(), backed by the tree of all hosts."""
-    own = merged(counts, "host", "path")
-    every = merged(counts.groupBy("path", "side", "value").agg(F.sum("n").alias("n")), "path")
-    every = materialize(every.select("path", F.col("pages").alias("all_pages"), F.col("importance").alias("all")), "style-all")
-    m, a = F.col("pages"), F.least(F.lit(ALL_PAGES), F.col("all_pages") - F.col("pages"))
-    mean = (m * F.col("importance") + a * F.col("all") + F.lit(PRIOR_PAGES)) / (m + a + F.lit(PRIOR_PAGES))
-    return own.join(every, "path").select("host", "path", mean.alias("importance"))
+    """host, path, importance, seen (the pages that it comes from) of each node of each host's tree, from counted(): backed by the place
+    in the tree of all hosts, and as far as that has less than ALL_PAGES pages, by the trail of labels in it."""
+    own = merged(counts, "host", "path", "trail")
+
+    def every(key):
+        per = merged(counts.groupBy(key, "side", "value").agg(F.sum("n").alias("n")), key)
+        return materialize(per.select(key, F.col("pages").alias(f"{key}_pages"), F.col("importance").alias(f"{key}_all")), "style-all")
+
+    both = own.join(every("path"), "path").join(every("trail"), "trail")
+    m, a = F.col("pages"), F.least(F.lit(ALL_PAGES), F.col("path_pages") - F.col("pages"))
+    b = F.least(F.lit(ALL_PAGES) - a, F.col("trail_pages") - F.col("path_pages"))
+    mean = (m * F.col("importance") + a * F.col("path_all") + b * F.col("trail_all") + F.lit(PRIOR_PAGES)) / (m + a + b + F.lit(PRIOR_PAGES))
+    return both.select("host", "path", mean.alias("importance"), (m + a + b).alias("seen"))
 
 
 def extract(pages: DataFrame, html: str = "html", url: str = "url", least: float = LEAST) -> DataFrame:
     """page_id, url, text, n_chars for each row of pages(page_id, url, html)."""
     counts = materialize(counted(pages, html, url), "style-counts")
-    low = style_tree(counts).where(F.col("importance") < least)
-    trees = materialize(low.groupBy("host").agg(F.collect_list(F.struct("path", "importance")).alias("tree")), "style-trees")
+    # nodes that the tree knows, and those of low importance; what is left out is unknown
+    known = style_tree(counts).where((F.col("seen") >= KNOWN_PAGES) | (F.col("importance") < least))
+    trees = materialize(known.groupBy("host").agg(F.collect_list(F.struct("path", "importance")).alias("tree")), "style-trees")
 
     def run(batches):
         for b in batches:

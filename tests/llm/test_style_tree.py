@@ -1,5 +1,6 @@
 import math
 import random
+import re
 import time
 from collections import Counter, defaultdict
 
@@ -102,10 +103,11 @@ def test_a_small_host_is_judged_by_the_tree_of_all(spark):
 def test_importance_by_brute_force(spark):
     rows = [r[:3] for r in template_site(3, 9, 7)]
     rows += [(5000 + i, "http://h0.example/x", rows[0][2]) for i in range(4)]  # equal pages count once
-    seen = defaultdict(set)
+    seen, trails = defaultdict(set), {}
     for _, url, html in rows:
-        for page, path, shown, content in style_tree.page_nodes(html):
+        for page, path, trail, shown, content in style_tree.page_nodes(html, url.split("/")[2]):
             seen[url.split("/")[2], path].add((page, shown, content))
+            trails[path] = trail
 
     def value(nodes):
         m = len(nodes)
@@ -116,15 +118,51 @@ def test_importance_by_brute_force(spark):
         c = 1 - sum(math.log(n, m) for n in counts) / len(counts)
         return c + (1 - c) * style_tree.GAMMA * p
 
-    every = defaultdict(list)
+    every, alike = defaultdict(list), defaultdict(list)
     for (_, path), nodes in seen.items():
         every[path] += nodes
+        alike[trails[path]] += nodes
     want = {}
     for (h, path), nodes in seen.items():
         a = min(style_tree.ALL_PAGES, len(every[path]) - len(nodes))
-        want[h, path] = (len(nodes) * value(nodes) + a * value(every[path]) + style_tree.PRIOR_PAGES) / (len(nodes) + a + style_tree.PRIOR_PAGES)
-    got = {(r.host, r.path): r.importance for r in style_tree.style_tree(style_tree.counted(pages(spark, rows))).collect()}
-    assert got == pytest.approx(want)
+        b = min(style_tree.ALL_PAGES - a, len(alike[trails[path]]) - len(every[path]))
+        of_all = a * value(every[path]) + b * value(alike[trails[path]])
+        want[h, path] = (len(nodes) * value(nodes) + of_all + style_tree.PRIOR_PAGES) / (len(nodes) + a + b + style_tree.PRIOR_PAGES), len(nodes) + a + b
+    got = {(r.host, r.path): (r.importance, r.seen) for r in style_tree.style_tree(style_tree.counted(pages(spark, rows))).collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+
+
+def neutral(html):
+    """A page whose tags and names say nothing."""
+    html = re.sub(r"""\s(?:class|id|role)\s*=\s*(?:"[^"]*"|'[^']*'|[^\s>]+)""", "", html)
+    return re.sub(r"<(/?)(?:article|main|nav|aside|header|footer|section)\b", r"<\1div", html)
+
+
+def test_page_sets(spark):
+    """The given pages as they are, without article and main, and with neutral tags and names: the tree gives the same articles; an
+    empty one and one that finds everything important don't."""
+    given = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "url", "html").collect()
+    run = lambda change: {r.page_id: r.text for r in style_tree.extract(pages(spark, [(r.page_id, r.url, change(r.html)) for r in given])).collect()}
+    plain = run(lambda h: h)
+    assert all(plain.values()) and run(lambda h: re.sub(r"<(/?)(?:article|main)\b", r"<\1div", h)) == plain
+    bare = run(neutral)
+    assert sum(bare[i] == plain[i] for i in plain) >= 0.9 * len(plain)
+    assert all(style_tree.page_text(neutral(r.html), {}) != plain[r.page_id] for r in given)
+    for r in given[:50]:
+        blocks, nodes = style_tree.parse(r.html)
+        style_tree.place(nodes)
+        assert style_tree.page_text(r.html, {n.path: 1.0 for n in nodes}) != plain[r.page_id]  # names alone don't outvote the tree
+
+
+def test_comments_go_by_their_names(spark):
+    rng = random.Random(2)
+    words = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(4)) for _ in range(n))
+    rows = []
+    for i in range(150):
+        text = words(30)
+        rows.append((i, "http://a.example/", f"<nav>menu</nav><div><h1>t{i}</h1><p>{text}</p></div><div class='comments'><p>{words(9)}</p></div><form>{words(3)}</form>", f"t{i}\n\n{text}"))
+    got = {r.page_id: r.text for r in style_tree.extract(pages(spark, [r[:3] for r in rows])).collect()}
+    assert got == {r[0]: r[3] for r in rows}
 
 
 def test_deep_pages_take_linear_time():
