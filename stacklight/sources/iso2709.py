@@ -13,6 +13,9 @@ from ..functions import text as T
 #: Terminators of subfields, fields and records (fixed values).
 SUBFIELD, FIELD, RECORD = "\x1f", "\x1e", "\x1d"
 LEADER_MARC21, LEADER_UNIMARC = "     nam a22     4a 4500", "     nam  22        450 "
+#: What existing exports write for the agency of a number, the unknown part of 008 and its end, the collection, and the most subjects
+#: and characters of a summary (fixed values).
+AGENCY, REST_OF_008, END_OF_008, COLLECTION, MOST_SUBJECTS, MOST_SUMMARY = "OL", "    xx            000 0 ", " d", "GEN", 10, 4000
 DATA = "array<struct<_tag:string,_ind1:string,_ind2:string,subfield:array<struct<_code:string,_VALUE:string>>>>"
 
 
@@ -47,9 +50,9 @@ def build_marc21(slice_: DataFrame, branch: str = "CPL", item_type: str = "BK",
     952 field for each copy. entered: the date of entry in 008."""
     c, authors, title, number, year = _parts()
     control = lambda tag, v: F.struct(F.lit(tag).alias("_tag"), v.alias("_VALUE"))
-    fixed = F.rpad(F.left(F.concat(F.lit(f"{entered}s"), F.coalesce(year, F.lit("    ")), F.lit("    xx            000 0 "), c("language"), F.lit(" d")), F.lit(40)), 40, " ")
+    fixed = F.rpad(F.left(F.concat(F.lit(f"{entered}s"), F.coalesce(year, F.lit("    ")), F.lit(REST_OF_008), c("language"), F.lit(END_OF_008)), F.lit(40)), 40, " ")
     subtitle = T.strip(F.coalesce(c("subtitle"), F.lit("")))
-    items = [field("952", " ", " ", ("a", F.lit(branch)), ("b", F.lit(branch)), ("y", F.lit(item_type)), ("p", F.concat(number, F.lit(f"-{i + 1}"))), ("o", F.right(c("isbn13"), F.lit(6))), ("7", F.lit("0")), ("8", F.lit("GEN"))) for i in range(copies)]
+    items = [field("952", " ", " ", ("a", F.lit(branch)), ("b", F.lit(branch)), ("y", F.lit(item_type)), ("p", F.concat(number, F.lit(f"-{i + 1}"))), ("o", F.right(c("isbn13"), F.lit(6))), ("7", F.lit("0")), ("8", F.lit(COLLECTION))) for i in range(copies)]
     data = F.concat(
         field("020", " ", " ", ("a", c("isbn13"))),
         field("041", "0", " ", ("a", c("language"))),
@@ -57,13 +60,13 @@ def build_marc21(slice_: DataFrame, branch: str = "CPL", item_type: str = "BK",
         field("245", "1", T.article_length(title, c("language")).cast("string"), ("a", F.when(subtitle != "", F.concat(title, F.lit(" :"))).otherwise(title)), ("b", subtitle), ("c", F.array_join(authors, ", "))),
         field("264", " ", "1", ("b", c("publisher")), ("c", c("year").cast("string"))),
         field("300", " ", " ", ("a", F.concat(c("pages").cast("string"), F.lit(" pages")))),
-        field("520", " ", " ", ("a", F.left(F.regexp_replace(c("description"), r"\s+", " "), F.lit(4000)))),
-        each("650", " ", "4", F.slice(T.or_empty(c("subjects")), 1, 10), lambda s: ("a", s)),
+        field("520", " ", " ", ("a", F.left(F.regexp_replace(c("description"), r"\s+", " "), F.lit(MOST_SUMMARY)))),
+        each("650", " ", "4", F.slice(T.or_empty(c("subjects")), 1, MOST_SUBJECTS), lambda s: ("a", s)),
         each("700", "1", " ", F.slice(authors, 2, 3), lambda a: ("a", a), lambda a: ("e", F.lit("author"))),
         field("942", " ", " ", ("2", F.lit("ddc")), ("c", F.lit(item_type))),
         *items,
     )
-    head = F.array(control("001", number), control("003", F.lit("OL")), control("008", fixed))
+    head = F.array(control("001", number), control("003", F.lit(AGENCY)), control("008", fixed))
     return slice_.select("edition_key", F.struct(F.lit(LEADER_MARC21).alias("leader"), head.alias("controlfield"), data.alias("datafield")).alias("rec"))
 
 
@@ -79,8 +82,8 @@ def build_unimarc(slice_: DataFrame, branch: str = "CPL", item_type: str = "BK",
         field("200", "1", " ", ("a", title), ("e", c("subtitle")), ("f", F.array_join(authors, ", "))),
         field("210", " ", " ", ("c", c("publisher")), ("d", c("year").cast("string"))),
         field("215", " ", " ", ("a", F.concat(c("pages").cast("string"), F.lit(" p.")))),
-        field("330", " ", " ", ("a", F.left(F.regexp_replace(c("description"), r"\s+", " "), F.lit(4000)))),
-        each("606", " ", " ", F.slice(T.or_empty(c("subjects")), 1, 10), lambda s: ("a", s)),
+        field("330", " ", " ", ("a", F.left(F.regexp_replace(c("description"), r"\s+", " "), F.lit(MOST_SUMMARY)))),
+        each("606", " ", " ", F.slice(T.or_empty(c("subjects")), 1, MOST_SUBJECTS), lambda s: ("a", s)),
         F.when(F.size(authors) > 0, field("700", " ", "1", *name(first))).otherwise(F.array().cast(DATA)),
         each("701", " ", "1", F.slice(authors, 2, 3), lambda a: name(a)[0], lambda a: name(a)[1]),
         *items,
