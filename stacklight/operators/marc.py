@@ -213,6 +213,12 @@ def store_mapped(mapped: DataFrame) -> tuple[DataFrame, dict[str, int]]:
     return stored, {s: n for s, n in seen.get.items() if n}
 
 
+def counted(mapped: DataFrame) -> DataFrame:
+    """status, n of the mapped records, as store_mapped() counts them."""
+    _, counts = store_mapped(mapped)
+    return mapped.sparkSession.createDataFrame(sorted(counts.items()), "status string, n long")
+
+
 def field_profile(records: DataFrame) -> DataFrame:
     """Per tag: the share of records that have it, and that repeat it."""
     tags = records.select(F.col("source_record_id"), F.explode_outer(F.transform("rec.datafield", lambda f: f["_tag"])).alias("tag")).where("tag is not null").groupBy("source_record_id", "tag").agg(F.count(F.lit(1)).alias("n"))

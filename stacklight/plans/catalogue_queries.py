@@ -730,8 +730,7 @@ def marc_items(spark, sf_dir):
 
 @query("SELECT CASE WHEN p_partkey % 97 = 0 THEN 'deleted' ELSE 'mapped' END AS status, count(*) AS n FROM part GROUP BY 1")
 def marc_counters(spark, sf_dir):
-    _, counts = marc.store_mapped(marc.map_records(records(spark, sf_dir)))
-    return spark.createDataFrame(sorted(counts.items()), "status string, n long")
+    return marc.counted(marc.map_records(records(spark, sf_dir)))
 
 
 @query("SELECT tag, round(100.0 * n / (SELECT count(*) FROM part), 4) AS percent, CAST(0 AS DOUBLE) AS percent_repeated FROM (SELECT unnest(['020', '100', '245', '260', '650']) AS tag, count(*) AS n FROM part GROUP BY 1 UNION ALL SELECT '952', count(*) FROM part WHERE p_partkey % 2 = 0)")

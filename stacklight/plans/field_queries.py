@@ -192,7 +192,7 @@ def marc_details(spark, sf_dir):
 
 @query("SELECT CASE WHEN p_partkey % 5 = 0 THEN 'unmappable' ELSE 'mapped' END AS status, count(*) AS n FROM part GROUP BY 1")
 def marc_unmappable(spark, sf_dir):
-    return marc.counters(marc.map_records(rich_records(spark, sf_dir)))
+    return marc.counted(marc.map_records(rich_records(spark, sf_dir)))
 
 
 @query("SELECT p_partkey % 3 AS kind, count(DISTINCT CASE WHEN p_partkey % 3 = 0 THEN p_type ELSE '' END) AS contents, count(DISTINCT CASE WHEN p_partkey % 3 = 1 THEN p_type ELSE '' END) AS items FROM part GROUP BY 1")
@@ -247,7 +247,7 @@ def marc_flavours(spark, sf_dir):
     """A feed of MARC 21 in which every third record is UNIMARC."""
     xml = F.when(_k() % 3 == 0, _record(_xml_field("200", ("a", _name())))).otherwise(_record(_xml_field("245", ("a", _name()))))
     rows = A.table(spark, sf_dir, "part").select(_str(_k()).alias("source_record_id"), (_k() % 9 == 0).alias("deleted"), marc.parse(xml).alias("rec"))
-    return marc.counters(marc.map_records(rows, "marc21"))
+    return marc.counted(marc.map_records(rows, "marc21"))
 
 
 # the library's database ---------------------------------------------------------------------------------------------
