@@ -713,7 +713,7 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(k % 2 == 0, field("952", sub("p", k.cast("string")))).otherwise(F.lit("")),
         F.lit("</record>"),
     )
-    return A.table(spark, sf_dir, "part").select(k.cast("string").alias("source_record_id"), (k % 97 == 0).alias("deleted"), marc.parse(xml).alias("rec"))
+    return marc.dealt(A.table(spark, sf_dir, "part"), "p_partkey").select(k.cast("string").alias("source_record_id"), (k % 97 == 0).alias("deleted"), marc.parse(xml).alias("rec"))
 
 
 @query("SELECT CAST(p_partkey AS VARCHAR) AS source_record_id, regexp_replace(p_name, '[\\s:/;,=.]+$', '') || ' : ' || p_brand AS title, p_brand AS author, '978067' || lpad(CAST(p_partkey AS VARCHAR), 7, '0') AS isbn, p_type || ' — History' AS subject, p_brand AS publisher, CAST(1900 + p_size AS SMALLINT) AS publication_year FROM part WHERE p_partkey % 97 <> 0")

@@ -181,7 +181,7 @@ def rich_records(spark, sf_dir) -> DataFrame:
         _xml_field("880", ("6", F.lit("245-01/(N")), ("a", F.concat(F.lit("книга "), _str(_k())))),
         _xml_field("999", ("a", F.lit("x"))),
     )
-    return A.table(spark, sf_dir, "part").select(_str(_k()).alias("source_record_id"), F.lit(False).alias("deleted"), marc.parse(xml).alias("rec"))
+    return marc.dealt(A.table(spark, sf_dir, "part"), "p_partkey").select(_str(_k()).alias("source_record_id"), F.lit(False).alias("deleted"), marc.parse(xml).alias("rec"))
 
 
 @query("SELECT CAST(p_partkey AS VARCHAR) AS source_record_id, 'книга ' || p_partkey AS title_alternate, [regexp_replace(p_brand, '[\\s:/;,=.]+$', ''), p_type || ', 1900-'] AS authors, p_type AS summary, 'First -- second' AS contents, CASE WHEN p_partkey % 2 = 0 THEN p_brand ELSE 'Old house' END AS publisher, CAST(CASE WHEN p_partkey % 2 = 0 THEN 2001 ELSE 1900 END AS SMALLINT) AS publication_year, CASE WHEN p_partkey % 2 = 0 THEN '264' ELSE '260' END AS publisher_from, ['999'] AS unmapped FROM part WHERE p_partkey % 5 <> 0")
@@ -200,7 +200,7 @@ def marc_hashes(spark, sf_dir):
     """Of each kind, how many different hashes there are: kinds differ in which side of the record varies."""
     vary = lambda k: F.when(_k() % 3 == k, F.col("p_type")).otherwise(F.lit("same"))
     xml = _record(_xml_field("245", ("a", vary(0))), _xml_field("952", ("p", vary(1))))
-    rows = A.table(spark, sf_dir, "part").select((_k() % 3).alias("kind"), marc.parse(xml).alias("rec"))
+    rows = marc.dealt(A.table(spark, sf_dir, "part"), "p_partkey").select((_k() % 3).alias("kind"), marc.parse(xml).alias("rec"))
     rows = rows.select("kind", marc.record_hash(F.col("rec"), "952", False).alias("c"), marc.record_hash(F.col("rec"), "952", True).alias("i"))
     return rows.groupBy("kind").agg(F.count_distinct("c").alias("contents"), F.count_distinct("i").alias("items"))
 
@@ -220,7 +220,7 @@ def unimarc_works(spark, sf_dir):
         f("995", ("f", _str(_k()))),
         F.lit("</notice>"),
     )
-    rows = A.table(spark, sf_dir, "part").select(_str(_k()).alias("source_record_id"), F.lit(False).alias("deleted"), marc.translate_vendor(xml).alias("rec"))
+    rows = marc.dealt(A.table(spark, sf_dir, "part"), "p_partkey").select(_str(_k()).alias("source_record_id"), F.lit(False).alias("deleted"), marc.translate_vendor(xml).alias("rec"))
     w = marc.map_records(rows)
     return w.select("source_record_id", "work.flavour", "work.title", "work.authors", "work.publisher", "work.publication_year", "work.languages", F.get("work.items", F.lit(0))["barcode"].alias("barcode"))
 
@@ -246,7 +246,7 @@ def feed_records(spark, sf_dir):
 def marc_flavours(spark, sf_dir):
     """A feed of MARC 21 in which every third record is UNIMARC."""
     xml = F.when(_k() % 3 == 0, _record(_xml_field("200", ("a", _name())))).otherwise(_record(_xml_field("245", ("a", _name()))))
-    rows = A.table(spark, sf_dir, "part").select(_str(_k()).alias("source_record_id"), (_k() % 9 == 0).alias("deleted"), marc.parse(xml).alias("rec"))
+    rows = marc.dealt(A.table(spark, sf_dir, "part"), "p_partkey").select(_str(_k()).alias("source_record_id"), (_k() % 9 == 0).alias("deleted"), marc.parse(xml).alias("rec"))
     return marc.counted(marc.map_records(rows, "marc21"))
 
 
