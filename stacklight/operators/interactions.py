@@ -5,13 +5,12 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .catalog import scope
-from .state import checkpoint
+from .state import checkpoint, task_count
 
 FACTORISER_VERSION = 1
 #: Doubles that a task of fold_in() holds before it passes its sums on.
@@ -99,6 +98,13 @@ def factorise(loans: DataFrame, source_id: int | None = None, min_works: int = 2
     return fitted.select("work_id", "vector", F.size("vector").alias("dimensions"), F.lit(FACTORISER_VERSION).alias("factoriser_version"), "n_patrons")
 
 
+def _pieces(batch: pa.RecordBatch):
+    """Slices of a batch of sums that hold about PARTIAL_SUMS doubles at most."""
+    if batch.num_rows:
+        step = max(1, PARTIAL_SUMS * 8 // max(1, len(batch.column("sums")[0].as_py())))
+        yield from (batch.slice(lo, step) for lo in range(0, batch.num_rows, step))
+
+
 def fold_in(rows: DataFrame, factors: DataFrame, regularization: float = 0.1, min_works: int = 3) -> DataFrame:
     """patron_ref, vector (null under min_works usable works), n_works, n_loans: a patron's vector from their loans alone.
 
@@ -135,18 +141,35 @@ def fold_in(rows: DataFrame, factors: DataFrame, regularization: float = 0.1, mi
         if held:
             yield emit()
 
-    def solve(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        vector, n = None, int(pdf["n_works"].sum())
-        if n >= min_works:
-            sums = sum(np.frombuffer(s) for s in pdf["sums"])
-            k = math.isqrt(len(sums))
-            x = np.linalg.solve(sums[: k * k].reshape(k, k) + regularization * np.eye(k), sums[k * k :])
-            norm = np.linalg.norm(x)
-            vector = (x / norm if norm else x).astype(np.float32).tolist()
-        return pd.DataFrame({"patron_ref": [key[0]], "vector": [vector], "n_works": [n], "n_loans": [int(pdf["n_loans"].sum())]})
+    def solve(batches):
+        held = None  # the patron met last, of whom more rows may come
+
+        def solved(names, sums, n, loans):
+            k, some = (math.isqrt(4 * sums.shape[1] + 1) - 1) // 2, n >= min_works
+            vectors = np.zeros((len(n), k))
+            vectors[some] = np.linalg.solve(sums[some, : k * k].reshape(-1, k, k) + regularization * np.eye(k), sums[some, k * k :, None])[:, :, 0]
+            norm = np.linalg.norm(vectors, axis=1, keepdims=True)
+            flat = pa.array((vectors / np.where(norm > 0, norm, 1)).astype(np.float32).ravel())
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1) * k, pa.int32()), flat, mask=pa.array(~some))
+            return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), lists, pa.array(n), pa.array(loans)], names=["patron_ref", "vector", "n_works", "n_loans"])
+
+        for batch in (part for whole in batches for part in _pieces(whole)):
+            names = batch.column("patron_ref").to_pylist()
+            rows = [np.frombuffer(b"".join(batch.column("sums").to_pylist())).reshape(len(names), -1), *(batch.column(c).to_numpy() for c in ("n_works", "n_loans"))]
+            if held:
+                names, rows = held[0] + names, [np.concatenate(x) for x in zip(held[1], rows, strict=True)]
+            starts = [i for i, p in enumerate(names) if not i or p != names[i - 1]]
+            names, rows = [names[i] for i in starts], [np.add.reduceat(x, starts) for x in rows]
+            held = names[-1:], [x[-1:] for x in rows]
+            if len(names) > 1:
+                yield solved(names[:-1], *(x[:-1] for x in rows))
+        if held:
+            yield solved(held[0], *held[1])
 
     parts = known.mapInArrow(add, "patron_ref string, sums binary, n_works long, n_loans long")
-    return parts.groupBy("patron_ref").applyInPandas(solve, "patron_ref string, vector array<float>, n_works long, n_loans long")
+    # a patron's rows follow one another; many patrons are solved at once, since a call for each costs far more than their sums
+    dealt = parts.repartition(task_count(rows.sparkSession), "patron_ref").sortWithinPartitions("patron_ref")
+    return dealt.mapInArrow(solve, "patron_ref string, vector array<float>, n_works long, n_loans long")
 
 
 def folded_ranking(patrons: DataFrame, factors: DataFrame, rows: DataFrame, limit: int = 10) -> DataFrame:

@@ -44,6 +44,11 @@ def clean_up() -> None:
             return
 
 
+def task_count(spark: SparkSession) -> int:
+    """As many tasks as a shuffle has, or the cluster runs: for work that costs far more than its bytes tell the planner."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+
+
 def checkpoint(df: DataFrame, name: str = "checkpoint") -> DataFrame:
     """df, written to the shared folder as Parquet and read again: with true sizes for the planner."""
     path = new_path(df.sparkSession, name)
