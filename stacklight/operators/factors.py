@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from .state import checkpoint
 
 PART_ROWS = 4096
+#: Doubles of sums that a task holds before it solves them.
+HELD_SUMS = 1_000_000
 
 
 def start_vectors(ids: DataFrame, rank: int, seed: int) -> DataFrame:
@@ -60,30 +62,48 @@ def solve_side(side: tuple[DataFrame, bool], vectors: DataFrame, rank: int, regu
     """id, vector of one side, written, from its dealt() rows and the other side's vectors (id, vector)."""
     rows, parted = side
     base = gram(vectors, rank) + regularization * np.eye(rank)
-    solution = lambda sums: np.linalg.solve(base + sums[:, :-1], sums[:, -1])
+    # of a stack of sums; the matrices of many vertices are solved in one call
+    solutions = lambda sums: np.linalg.solve(base + sums[:, :, :-1], sums[:, :, -1:])[:, :, 0]
+    names = ["id", "vector", "sums"]
 
     def run(batches):
         now, split, sums = None, False, np.zeros((rank, rank + 1))
-
-        def emit():
-            x = None if split else solution(sums).tolist()
-            kept = sums.tobytes() if split else None
-            return pa.RecordBatch.from_arrays([pa.array([now[0]], pa.int64()), pa.array([x], pa.list_(pa.float64())), pa.array([kept], pa.binary())], names=["id", "vector", "sums"])
+        ids, whole, parted = [], [], []
+
+        def keep():
+            if split:
+                parted.append((now[0], sums.tobytes()))
+            else:
+                ids.append(now[0])
+                whole.append(sums.copy())
+
+        def held():
+            if ids:
+                x = pa.array(solutions(np.stack(whole)).ravel())
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(x) + 1, rank), pa.int32()), x)
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), lists, pa.nulls(len(ids), pa.binary())], names=names)
+            if parted:
+                yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in parted], pa.int64()), pa.nulls(len(parted), pa.list_(pa.float64())), pa.array([m for _, m in parted], pa.binary())], names=names)
+            ids.clear(), whole.clear(), parted.clear()
 
         for b in batches:
-            ids, part, parts, c = (b.column(n).to_numpy() for n in ("id", "part", "parts", "c"))
+            own, part, parts, c = (b.column(n).to_numpy() for n in ("id", "part", "parts", "c"))
             y = _matrix(b.column("vector"), rank)
-            cuts = np.flatnonzero(np.diff(ids, prepend=-1) | np.diff(part, prepend=-1))
-            for lo, hi in zip(cuts, [*cuts[1:], len(ids)], strict=True):
-                if (key := (int(ids[lo]), int(part[lo]))) != now:
+            less = y * (c[:, None] - 1)
+            cuts = np.flatnonzero(np.diff(own, prepend=-1) | np.diff(part, prepend=-1))
+            for lo, hi in zip(cuts, [*cuts[1:], len(own)], strict=True):
+                if (key := (int(own[lo]), int(part[lo]))) != now:
                     if now is not None:
-                        yield emit()
+                        keep()
+                        if (len(ids) + len(parted)) * sums.size >= HELD_SUMS:
+                            yield from held()
                     now, split = key, bool(parts[lo] > 1)
                     sums[:] = 0
-                sums[:, :-1] += (y[lo:hi] * (c[lo:hi, None] - 1)).T @ y[lo:hi]
+                sums[:, :-1] += less[lo:hi].T @ y[lo:hi]
                 sums[:, -1] += c[lo:hi] @ y[lo:hi]
         if now is not None:
-            yield emit()
+            keep()
+        yield from held()
 
     met = rows.join(vectors.withColumnRenamed("id", "other"), "other").select("id", "part", "parts", "c", "vector")
     # the rows of a vertex's part come together, whichever task had its other side
@@ -92,7 +112,7 @@ def solve_side(side: tuple[DataFrame, bool], vectors: DataFrame, rank: int, regu
     def add(key, pdf):
         import pandas as pd
 
-        return pd.DataFrame({"id": [key[0]], "vector": [solution(sum(np.frombuffer(s) for s in pdf["sums"]).reshape(rank, rank + 1)).tolist()]})
+        return pd.DataFrame({"id": [key[0]], "vector": [solutions(sum(np.frombuffer(s) for s in pdf["sums"]).reshape(1, rank, rank + 1))[0].tolist()]})
 
     whole = first.where("sums IS NULL").select("id", "vector")
     if not parted:

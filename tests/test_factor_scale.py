@@ -1,7 +1,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from stacklight.operators import interactions
+from stacklight.operators import factors, interactions
 
 
 def plan(df):
@@ -29,3 +29,19 @@ def test_fold_in_solves_many_patrons_at_once(spark, monkeypatch):
             continue
         x = np.linalg.solve(sum(c * np.outer(y, y) for y, _, c in own) + 0.1 * np.eye(3), sum(c * y for y, _, c in own))
         assert np.allclose(found[p].vector, x / np.linalg.norm(x), atol=1e-6)
+
+
+def test_half_round_in_stacks(spark, monkeypatch):
+    monkeypatch.setattr(factors, "PART_ROWS", 6)
+    monkeypatch.setattr(factors, "HELD_SUMS", 20)
+    rng = np.random.default_rng(4)
+    vectors = rng.normal(size=(9, 2))
+    rows = [(p, int(w), float(rng.integers(1, 40))) for p in range(60) for w in rng.choice(9, 1 + p % 9, replace=False)]
+    side = factors.dealt(spark.createDataFrame(rows, "patron long, work long, c double"), "patron", "work")
+    assert side[1]
+    got = {r.id: r.vector for r in factors.solve_side(side, spark.createDataFrame([(w, v.tolist()) for w, v in enumerate(vectors)], "id long, vector array<double>"), 2, 0.1).collect()}
+    base = vectors.T @ vectors + 0.1 * np.eye(2)
+    for p in range(60):
+        own = [(vectors[w], c) for q, w, c in rows if q == p]
+        x = np.linalg.solve(base + sum((c - 1) * np.outer(y, y) for y, c in own), sum(c * y for y, c in own))
+        assert np.allclose(got[p], x), p
