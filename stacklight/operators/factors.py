@@ -54,7 +54,7 @@ def dealt(rows: DataFrame, own: str, other: str) -> tuple[DataFrame, bool]:
     and whether any has several."""
     parts = rows.groupBy(own).agg(F.ceil(F.count(F.lit(1)) / PART_ROWS).cast("int").alias("parts"))
     part = F.pmod(F.xxhash64(other), F.col("parts")).cast("int").alias("part")
-    table = checkpoint(rows.join(parts, own).select(F.col(own).alias("id"), F.col(other).alias("other"), "c", part, "parts"), "ratings")
+    table = checkpoint(rows.join(parts.hint("merge"), own).select(F.col(own).alias("id"), F.col(other).alias("other"), "c", part, "parts"), "ratings")
     return table, not table.where("parts > 1").isEmpty()
 
 
@@ -105,7 +105,8 @@ def solve_side(side: tuple[DataFrame, bool], vectors: DataFrame, rank: int, regu
             keep()
         yield from held()
 
-    met = rows.join(vectors.withColumnRenamed("id", "other"), "other").select("id", "part", "parts", "c", "vector")
+    # not broadcast: what goes through the driver would grow with the vectors, in each half round
+    met = rows.join(vectors.withColumnRenamed("id", "other").hint("merge"), "other").select("id", "part", "parts", "c", "vector")
     # the rows of a vertex's part come together, whichever task had its other side
     first = checkpoint(met.repartition("id", "part").sortWithinPartitions("id", "part").mapInArrow(run, "id long, vector array<double>, sums binary"), "half-round")
 

@@ -38,9 +38,9 @@ def k_core(rows: DataFrame, min_works: int = 2, min_patrons: int = 2, rounds: in
     rows = checkpoint(rows)
     for _ in range(rounds):
         works = rows.groupBy("work_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_patrons).select("work_id")
-        rows = rows.join(works, "work_id", "left_semi")
+        rows = rows.join(works.hint("merge"), "work_id", "left_semi")
         patrons = rows.groupBy("patron_ref").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_works).select("patron_ref")
-        before, rows = rows, checkpoint(rows.join(patrons, "patron_ref", "left_semi"))
+        before, rows = rows, checkpoint(rows.join(patrons.hint("merge"), "patron_ref", "left_semi"))
         if rows.count() == before.count():  # settled: further rounds would drop nothing
             break
     return rows
@@ -76,12 +76,13 @@ def fit_als(rows: DataFrame, rank: int, iterations: int = 15, regularization: fl
     from .factors import alternate
     from .vectors import normalize
 
+    # merged, here and in k_core(): a broadcast would send through the driver what grows with patrons and works
     p, w = checkpoint(index(rows, "patron_ref")), checkpoint(index(rows, "work_id"))
     weights = confidence(F.col("n_loans"), F.col("n_renewals")).cast("double")
-    data = rows.join(p, "patron_ref").join(w, "work_id").select(F.col("patron_ref_idx").alias("patron"), F.col("work_id_idx").alias("work"), weights.alias("c"))
+    data = rows.join(p.hint("merge"), "patron_ref").join(w.hint("merge"), "work_id").select(F.col("patron_ref_idx").alias("patron"), F.col("work_id_idx").alias("work"), weights.alias("c"))
     fitted = alternate(data, rank, iterations, regularization, seed)
     items = fitted.select(F.col("id").alias("work_id_idx"), normalize(F.col("vector")).cast("array<float>").alias("vector"))
-    return items.join(w, "work_id_idx").join(patrons_per_work(rows), "work_id").select("work_id", "vector", "n_patrons")
+    return items.join(w.hint("merge"), "work_id_idx").join(patrons_per_work(rows).hint("merge"), "work_id").select("work_id", "vector", "n_patrons")
 
 
 def factorise(loans: DataFrame, source_id: int | None = None, min_works: int = 2, min_patrons: int = 2, factors: int | None = None, iterations: int = 15, regularization: float = 0.1, seed: int = 1) -> DataFrame:

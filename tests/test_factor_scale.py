@@ -1,5 +1,4 @@
 import numpy as np
-from pyspark.sql import functions as F
 
 from stacklight.operators import factors, interactions
 
@@ -45,3 +44,12 @@ def test_half_round_in_stacks(spark, monkeypatch):
         own = [(vectors[w], c) for q, w, c in rows if q == p]
         x = np.linalg.solve(base + sum((c - 1) * np.outer(y, y) for y, c in own), sum(c * y for y, c in own))
         assert np.allclose(got[p], x), p
+
+
+def test_half_round_broadcasts_nothing(spark, monkeypatch):
+    plans, write = [], factors.checkpoint
+    monkeypatch.setattr(factors, "checkpoint", lambda df, name="checkpoint": (plans.append(plan(df)), write(df, name))[1])
+    rows = spark.createDataFrame([(p, w, 2.0) for p in range(6) for w in range(4)], "patron long, work long, c double")
+    works = spark.createDataFrame([(w, [1.0, float(w)]) for w in range(4)], "id long, vector array<double>")
+    assert factors.solve_side(factors.dealt(rows, "patron", "work"), works, 2, 0.1).count() == 6
+    assert len(plans) == 2 and not any("Broadcast" in p for p in plans)
