@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import fold, gram_sequence, searchable_authors
 from .catalog import live
-from .state import new_path
+from .state import new_path, task_count
 
 #: Fields of one row of a gram's list.
 LIST_ROWS = 4096
@@ -86,6 +86,8 @@ def candidates(q: DataFrame, index: GramIndex, least: float, source_id: int | No
     probes = rare_grams(q, index, least)
     met = index.lists.join(probes, "gram").select("number", F.inline("held")).distinct()
     fields = index.fields if source_id is None else index.fields.where(F.col("source_id") == source_id)
-    both = fields.join(met, ["id", "is_title"]).join(q.withColumnRenamed("grams", "query_grams"), "number")
+    # dealt by a stated number: comparing grams costs far more than the rows' bytes, by which adaptive execution would gather them
+    pairs = fields.join(met, ["id", "is_title"]).repartition(task_count(q.sparkSession), "number", "id")
+    both = pairs.join(q.withColumnRenamed("grams", "query_grams"), "number")
     shared = F.size(F.array_intersect("query_grams", "grams"))
     return both.withColumn("shared", shared).where(F.col("shared") >= F.lit(least) * F.size("query_grams")).select("query", "query_grams", "id", "is_title", "grams", "shared", "n")

@@ -11,6 +11,7 @@ from ..functions.text import isbn_shaped, similarity
 from . import gram_index
 from .catalog import live, scope
 from .gram_index import GramIndex
+from .state import checkpoint
 
 #: Cells of the matrices that one step of word_similarities() fills.
 CELLS = 2_000_000
@@ -92,7 +93,8 @@ def search_exact(queries: DataFrame, works: DataFrame, limit: int = 20, source_i
     # the title's plain similarity goes along; a work whose title holds too few of the grams can't reach it
     plain = F.when(F.col("is_title"), similarity(F.col("query_grams"), F.array_distinct("grams")))
     scored = found.select("query", "query_grams", "id", "grams", plain.alias("plain")).mapInArrow(score, f"query string, id {works.schema['id'].dataType.simpleString()}, plain double, score double")
-    best = scored.groupBy("query", "id").agg(F.max("score").alias("score"), F.max("plain").alias("plain")).where(F.col("score") >= floor)
+    # written, since three branches read it: the scores are computed once
+    best = checkpoint(scored.groupBy("query", "id").agg(F.max("score").alias("score"), F.max("plain").alias("plain")).where(F.col("score") >= floor), "scored")
     sure = best.where(F.col("score") >= word_floor).drop("plain")
     # plain similarity is at most the share of the query's grams that the title holds, but a field of the authors may have found it
     doubtful = best.where(F.col("score") < word_floor)
