@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _written: list[tuple[SparkSession, str]] = []
+SHUFFLES_GO = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -25,18 +26,37 @@ def shared_dir(spark: SparkSession) -> str:
     return at
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, drop_shuffles: bool = False, written: list | None = None) -> DataFrame:
     """df, written as Parquet in the shared folder and read back: it cuts lineage, survives lost executors, and gives the
-    planner true sizes. The files go when the driver ends."""
+    planner true sizes. The files go when the driver ends, or with release() of `written`. With `drop_shuffles` the shuffle files
+    of the write go with its end."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(SHUFFLES_GO, None)
+    if drop_shuffles:
+        spark.conf.set(SHUFFLES_GO, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        if drop_shuffles:
+            spark.conf.set(SHUFFLES_GO, before) if before is not None else spark.conf.unset(SHUFFLES_GO)
     if not _written:
         atexit.register(cleanup)
     _written.append((spark, path))
+    if written is not None:
+        written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(written: list) -> None:
+    """Deletes tables that materialize() noted in `written`; DataFrames that read them can't be used afterwards."""
+    while written:
+        spark, path = written.pop()
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        _written.remove((spark, path))
+
+
 def store_file(spark: SparkSession, name: str, content: bytes) -> str:
     """The path of a file of its own in the shared folder, for Spark to hand to the executors; it goes when the driver ends."""
     path = f"{shared_dir(spark)}/{name}"

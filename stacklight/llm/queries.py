@@ -31,7 +31,8 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.remove_repeats(documents(spark, sf_dir)).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    rows = suffix_dedup.remove_repeats_and_mark(documents(spark, sf_dir))
+    return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "carried.n_passages", "carried.n_passage_bytes")
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -67,3 +67,54 @@ def test_very_long_texts(spark):
     texts = [long, "x" * 50 + long[1_048_000:1_049_500] + "y" * 50, "z" * 10]
     rows = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans) for r in suffix_dedup.remove_repeats(docs(spark, list(enumerate(texts)))).collect()}
     assert rows == {0: (1_300_000, 1500, 1), 1: (1600, 1500, 1), 2: (10, 0, 0)}
+
+
+@pytest.mark.parametrize("options", [{}, {"group_limit": 1}])
+def test_marked_passages_beside_the_removal(spark, options):
+    rng = random.Random(11)
+    texts = corpus(12)
+    text = lambda n: "".join(rng.choice("abcé ") for _ in range(n))
+    long = text(600)
+    texts += [long, long[:450] + text(70) + long[380:], text(30) + long[100:470] + text(30), "b" * 700, "ab" * 450]
+    # the two halves repeat with different partners: the whole is marked, but no string of 400 bytes in it repeats
+    halves = [text(230), text(230)]
+    texts += ["".join(halves), halves[0] + text(40), text(40) + halves[1]]
+    rows = suffix_dedup.remove_repeats_and_mark(docs(spark, list(enumerate(texts))).repartition(3), carry=["lang"], mark_bytes=80, mark_words=20, **options).collect()
+    removed, marked = brute.remove_repeats(texts, 400), brute.remove_repeats(texts, 80, least_words=20)
+    assert len(rows) == len(texts)
+    for r in rows:
+        assert (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) == removed[r.doc_id]
+        assert (r.carried.n_passages, r.carried.n_passage_bytes, r.carried.lang) == (marked[r.doc_id][2], marked[r.doc_id][1], "en")
+    assert removed[len(texts) - 3][1] == 0 and marked[len(texts) - 3][1] >= 460
+
+
+def test_the_query_marks_passages_just_over_50_words(spark, tmp_path):
+    from stacklight.llm import queries
+
+    rng = random.Random(12)
+    words = lambda n: " ".join("".join(rng.choices("abcdefghijklmnop", k=rng.randrange(2, 9))) for _ in range(n))
+    passages = [words(n) for n in (51, 52, 55, 60)]
+    texts = [f"{words(40)} {passages[i % 4]} {words(30)}" for i in range(8)] + [words(120) for _ in range(8)] + [None, ""]
+    # phrases of 20 words are shared by clean texts
+    phrase = words(20)
+    texts += [f"{words(60)} {phrase} {words(60)}" for _ in range(4)]
+    docs(spark, list(enumerate(texts))).write.parquet(f"{tmp_path}/documents.parquet")
+    rows = {r.doc_id: r for r in queries.op6_suffix_dedup(spark, str(tmp_path)).collect()}
+    assert len(rows) == len(texts) and all(r.n_removed == 0 for r in rows.values())
+    assert all((rows[i].n_passages > 0) == (i < 8) for i in rows)
+    assert all(rows[i].n_passage_bytes >= len(passages[i % 4]) for i in range(8))
+
+
+def test_marking_leaves_no_tables_of_its_first_pass(spark):
+    import os
+
+    from stacklight.llm import common
+
+    text = " ".join(f"w{i:03}" for i in range(120))
+    conf, before = spark.conf.get(common.SHUFFLES_GO), {p for _, p in common._written}
+    rows = suffix_dedup.remove_repeats_and_mark(docs(spark, [(1, text), (2, text), (None, "x")]))
+    there = {f"{common.shared_dir(spark)}/{n}" for n in os.listdir(common.shared_dir(spark).removeprefix("file://"))}
+    there = {p for p in there - before if "/suffix-" in p}
+    assert sum("suffix-index" in p for p in there) == 1 and there <= {p for _, p in common._written}
+    assert {(r.doc_id, r.n_removed, r.carried.n_passage_bytes) for r in rows.collect()} == {(1, 599, 599), (2, 599, 599), (None, 0, 0)}
+    assert spark.conf.get(common.SHUFFLES_GO) == conf
